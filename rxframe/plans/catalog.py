@@ -8,12 +8,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rxframe.functions.text import brand_simplify, query_string_form, url_slug
+from rxframe.operators import quality
+from rxframe.operators.clean import (clean_dosage, clean_leaflets, clean_registry_with_id, distinct_agent_names,
+                                     extract_sections, leaflet_keep_predicate)
 from rxframe.operators.context import MasterColumns
+from rxframe.operators.enrich import (first_seen_by_derived_key, lookup_first_wins, lookup_gap_fill,
+                                      lookup_last_wins, nest_details, resume_todo, union_by_name)
 from rxframe.operators.link import extract_entities, link_dictionary, search_terms
 from rxframe.operators.retrieve import retrieve_topk
 from rxframe.plans import fixtures as fx
 from rxframe.plans.consult import consult_contexts, consult_prompts
-from rxframe.plans.master import build_master
+from rxframe.plans.master import build_master, coverage_report
+from rxframe.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -83,6 +90,134 @@ def q_prompt_table(spark, sf):
                            _link_dict(spark, sf), MASTER_COLS)
 
 
+# --- data quality -----------------------------------------------------------
+
+def _raw_events(spark, sf):
+    return fx.raw_event_records(spark, sf)
+
+
+def q_dq_duplicate_ids(spark, sf):
+    li = read_table(spark, sf, "lineitem", "l_orderkey", "l_linenumber")
+    return quality.duplicate_ids(li, ["l_orderkey", "l_linenumber"])
+
+
+def q_dq_duplicate_keys(spark, sf):
+    return quality.duplicate_keys(fx.registry(spark, sf), "trade_name", "ord", 5)
+
+
+def q_dq_field_presence(spark, sf):
+    return quality.field_presence(_raw_events(spark, sf), "raw")
+
+
+def q_dq_critical_empty(spark, sf):
+    d = read_table(spark, sf, "documents", "text", "lang", "source").withColumn(
+        "title", F.regexp_extract("text", "^([A-Z][a-z]+) ", 1))
+    return quality.critical_empty(d, ["text", "lang", "source", "title"])
+
+
+def q_dq_filter_report(spark, sf):
+    lf = fx.leaflet_sheet(spark, sf)
+    return quality.filter_report(lf, leaflet_keep_predicate(lf.columns))
+
+
+def q_dataset_status(spark, sf):
+    return quality.dataset_status(fx.registry(spark, sf), fx.symptom_dictionary(spark, sf), "key", "ord", 3)
+
+
+# --- enrichment ---------------------------------------------------------------
+
+def q_lookup_first_wins(spark, sf):
+    m = lookup_first_wins(fx.registry(spark, sf), fx.leaflets(spark, sf), master_key="sci_key",
+                          lookup_key="search_key", ord_col="ord", require="leaflet",
+                          take={"leaflet": "leaflet", "practitioner": "practitioner", "route_ar": "route_ar"})
+    return m.select("ord", "sci_key", "leaflet", "practitioner", "route_ar")
+
+
+def q_lookup_gap_fill(spark, sf):
+    m = lookup_first_wins(fx.registry(spark, sf), fx.leaflets(spark, sf), master_key="sci_key",
+                          lookup_key="search_key", ord_col="ord", require="leaflet",
+                          take={"leaflet": "leaflet", "route_ar": "route_ar"})
+    m = lookup_gap_fill(m, fx.brand_leaflets(spark, sf), master_key="brand_key", lookup_key="search_key",
+                        ord_col="ord", require="leaflet", take={"leaflet": "leaflet", "route_ar": "route_ar"})
+    return m.select("ord", "brand_key", "leaflet", "route_ar")
+
+
+def q_lookup_last_wins(spark, sf):
+    m = lookup_last_wins(fx.registry(spark, sf), fx.dosage(spark, sf), master_key="sci_key",
+                         lookup_key="search_key", ord_col="ord", value="dosage_context", target="intl_dosage")
+    return m.select("ord", "sci_key", "intl_dosage")
+
+
+def q_coverage_report(spark, sf):
+    return coverage_report(_master(spark, sf))
+
+
+def q_resume_anti_join(spark, sf):
+    todo = read_table(spark, sf, "documents", "doc_id")
+    done = read_table(spark, sf, "labels", "doc_id")
+    return resume_todo(todo, done, "doc_id")
+
+
+def q_union_by_name(spark, sf):
+    earlier = read_table(spark, sf, "documents", "doc_id", "text", "lang", "source").where(
+        F.col("lang") == "en").drop("lang")
+    new = read_table(spark, sf, "conversations", "conv_id", "turn", "text")
+    return union_by_name(earlier, new)
+
+
+def q_nest_details(spark, sf):
+    o = read_table(spark, sf, "orders", "o_orderkey", "o_orderstatus")
+    li = read_table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    li = li.withColumnRenamed("l_orderkey", "o_orderkey").withColumn(
+        "_ord", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    nested = nest_details(o, li, key="o_orderkey", fields=["l_linenumber", "l_partkey"], ord_col="_ord",
+                          as_col="details")
+    return nested.select("o_orderkey", "o_orderstatus", F.size("details").cast("long").alias("n_details"),
+                         F.array_join(F.transform("details", lambda x: F.concat_ws(
+                             ":", x["l_linenumber"].cast("string"), x["l_partkey"].cast("string"))), ";")
+                         .alias("details"))
+
+
+def q_nested_distinct_join(spark, sf):
+    agents = fx.order_agents(spark, sf)
+    return agents.select("o_orderkey", distinct_agent_names("agents").alias("agents"))
+
+
+def q_search_terms(spark, sf):
+    r = fx.registry(spark, sf).where(F.col("trade_name").isNotNull())
+    keyed = first_seen_by_derived_key(r, key_expr=brand_simplify("trade_name"), value="trade_name",
+                                      ord_col="ord", key_name="search_term")
+    return keyed.where(F.length("search_term") > 2).select(
+        "search_term", F.col("trade_name").alias("original_name"))
+
+
+def q_slugify(spark, sf):
+    p = read_table(spark, sf, "part", "p_partkey", "p_name", "p_type")
+    return p.select("p_partkey", url_slug(F.concat_ws(" + ", "p_name", "p_type")).alias("slug"),
+                    query_string_form("p_name").alias("query_form"))
+
+
+# --- cleaning -----------------------------------------------------------------
+
+def q_registry_clean(spark, sf):
+    return clean_registry_with_id(fx.raw_registry(spark, sf))
+
+
+def q_leaflet_clean(spark, sf):
+    return clean_leaflets(fx.leaflet_sheet(spark, sf), ["leaflet", "trade_ar", "sci_ar"])
+
+
+def q_section_extract(spark, sf):
+    return extract_sections(fx.dosage_pages(spark, sf), "page")
+
+
+def q_dosage_clean(spark, sf):
+    sec = extract_sections(fx.dosage_pages(spark, sf), "page")
+    raw = sec.withColumn("adult", F.concat(F.lit("for:  "), "adult", F.lit("\n\nAdditional dosage information "),
+                                           "source"))
+    return clean_dosage(raw)
+
+
 QUERIES: dict[str, Query] = {
     "master_build": q_master_build,
     "link_dictionary": q_link_dictionary,
@@ -92,4 +227,24 @@ QUERIES: dict[str, Query] = {
     "context_lines": q_context_lines,
     "consult_context": q_consult_context,
     "prompt_table": q_prompt_table,
+    "dq_duplicate_ids": q_dq_duplicate_ids,
+    "dq_duplicate_keys": q_dq_duplicate_keys,
+    "dq_field_presence": q_dq_field_presence,
+    "dq_critical_empty": q_dq_critical_empty,
+    "dq_filter_report": q_dq_filter_report,
+    "dataset_status": q_dataset_status,
+    "lookup_first_wins": q_lookup_first_wins,
+    "lookup_gap_fill": q_lookup_gap_fill,
+    "lookup_last_wins": q_lookup_last_wins,
+    "coverage_report": q_coverage_report,
+    "resume_anti_join": q_resume_anti_join,
+    "union_by_name": q_union_by_name,
+    "nest_details": q_nest_details,
+    "nested_distinct_join": q_nested_distinct_join,
+    "search_terms": q_search_terms,
+    "slugify": q_slugify,
+    "registry_clean": q_registry_clean,
+    "leaflet_clean": q_leaflet_clean,
+    "section_extract": q_section_extract,
+    "dosage_clean": q_dosage_clean,
 }

@@ -83,8 +83,10 @@ def symptom_dictionary(spark: SparkSession, sf: str) -> DataFrame:
     """``(key, value)``: each part type expands to itself and the smallest and
     largest part name of that type (a comma-joined value, as in the reference)."""
     p = read_table(spark, sf, "part", "p_type", "p_name")
+    p = read_table(spark, sf, "part", "p_partkey", "p_type", "p_name")
     return p.groupBy(F.col("p_type").alias("key")).agg(
-        F.concat_ws(", ", F.lower(F.col("key")), F.min("p_name"), F.max("p_name")).alias("value"))
+        F.concat_ws(", ", F.lower(F.col("key")), F.min("p_name"), F.max("p_name")).alias("value"),
+        F.min("p_partkey").alias("ord"))
 
 
 def consult_requests(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,3 +109,90 @@ def chat_requests(spark: SparkSession, sf: str) -> DataFrame:
     return c.where(F.col("role") == "user").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("req_id"),
         F.col("text").alias("symptoms"), F.lit("").alias("history"), F.lit("").alias("medications"))
+
+
+def raw_event_records(spark: SparkSession, sf: str) -> DataFrame:
+    """One raw JSON record per event; some keys are absent by rule, one is
+    present with a null value (counts as present)."""
+    e = read_table(spark, sf, "events", "event_id", "user_id", "event_type", "props")
+    raw = F.concat(
+        F.lit('{"id": '), F.col("event_id").cast("string"), F.lit(', "props": '), F.col("props"),
+        F.when(F.col("event_type") == "click", F.lit(', "value": null')).otherwise(F.lit("")),
+        F.when(F.col("user_id") > 50, F.concat(F.lit(', "user": '), F.col("user_id").cast("string")))
+        .otherwise(F.lit("")),
+        F.when(F.col("event_type") != "error", F.concat(F.lit(', "type": "'), F.col("event_type"), F.lit('"')))
+        .otherwise(F.lit("")),
+        F.lit("}"))
+    return e.select("event_id", raw.alias("raw"))
+
+
+def leaflet_sheet(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaflet sheet with the artefacts the cleaning removes: CR/Excel CR marks
+    and blank-line runs, padded text, placeholders, rows missing all names."""
+    d = read_table(spark, sf, "documents", "doc_id", "text", "lang", "source", "n_chars")
+    lang = F.col("lang")
+    return d.select(
+        F.col("doc_id").alias("ord"),
+        F.col("source").alias("search_key"),
+        F.when(lang == "de", F.concat(F.lit("No data "), F.col("text")))
+        .when(lang == "es", F.lit(None).cast("string"))
+        .otherwise(F.concat(F.replace(F.col("text"), F.lit(". "), F.lit(".\r\n \n\n")), F.lit("_x000D_")))
+        .alias("leaflet"),
+        F.when(lang == "fr", F.concat(F.lit("  "), F.col("text"), F.lit("  "))).alias("practitioner"),
+        F.when((lang != "es") | (F.col("n_chars") > 1000), F.col("source")).alias("trade_ar"),
+        F.when(lang != "es", F.concat(F.col("source"), F.lit("  x"))).alias("sci_ar"),
+    )
+
+
+def dosage_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Dosage pages: document text with the section markers inserted at line
+    breaks and after commas, and a blank line before the renal marker."""
+    d = read_table(spark, sf, "documents", "doc_id", "text", "source")
+    t = F.replace(F.col("text"), F.lit(".\n"), F.lit(".\nUsual Adult Dose\n"))
+    t = F.replace(t, F.lit(", "), F.lit(", Usual Pediatric Dose "))
+    t = F.replace(t, F.lit("\nE"), F.lit("\n\nRenal Dose Adjustments E"))
+    t = F.replace(t, F.lit("\nL"), F.lit("\n\nLiver Dose Adjustments\n\nL"))
+    return d.select("doc_id", "source", t.alias("page"))
+
+
+def raw_registry(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw registry records as the JSON harvest gives them (all strings, nested
+    agents), with the spacing, comma and empty-field cases cleaning handles."""
+    p = read_table(spark, sf, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+    size = F.col("p_size")
+    agents = F.array(F.struct(F.col("p_brand").alias("nameEn")),
+                     F.struct(F.concat(F.lit(" "), F.lower("p_type"), F.lit("\t ")).alias("nameEn")),
+                     F.struct(F.when(size > 25, F.col("p_brand")).alias("nameEn")),
+                     F.struct(F.when(size > 45, F.lit("")).alias("nameEn")))
+    return p.select(
+        F.col("p_partkey").cast("string").alias("id"),
+        F.concat(F.lit("  "), F.col("p_name"), F.lit(" ,x ")).alias("tradeName"),
+        F.concat(F.col("p_type"), F.lit(" ,  "), F.lower("p_type")).alias("scientificName"),
+        F.col("p_brand").alias("registerNumber"),
+        (size + 1990).cast("string").alias("registerYear"),
+        F.concat(size.cast("string"), F.when(size > 25, F.lit(" ,,")).otherwise(F.lit(""))).alias("strength"),
+        F.when(size > 40, F.lit("")).otherwise(F.lit("mg")).alias("strengthUnit"),
+        F.concat(F.lower("p_type"), F.lit("\n\t form")).alias("doesageForm"),
+        F.element_at(F.split("p_name", " "), -1).alias("administrationRoute"),
+        F.col("p_retailprice").cast("string").alias("price"),
+        F.col("p_brand").alias("manufacturerName"),
+        F.lit(None).cast("string").alias("manufacturerCountry"),
+        F.concat(F.col("p_brand"), F.lit(" Co")).alias("companyName"),
+        F.lit("SA").alias("companyCountryEn"),
+        F.lit("Marketed").alias("marketingStatus"),
+        F.lit("Prescription").alias("legalStatus"),
+        F.when(size > 10, F.lit(" OTC ")).when(size > 5, F.lit("")).alias("legalStatusEn"),
+        F.lit("Store below 25C").alias("storageConditions"),
+        F.lit(None).cast("string").alias("distributionArea"),
+        agents.alias("agents"))
+
+
+def order_agents(spark: SparkSession, sf: str) -> DataFrame:
+    """Per order, its suppliers as a nested agent list (``nameEn`` = supplier
+    name, padded), as the harvest nests agents per register number."""
+    li = read_table(spark, sf, "lineitem", "l_orderkey", "l_suppkey", "l_linenumber")
+    s = read_table(spark, sf, "supplier", "s_suppkey", "s_name")
+    j = li.join(s, li.l_suppkey == s.s_suppkey, "left")
+    return (j.groupBy(F.col("l_orderkey").alias("o_orderkey"))
+            .agg(F.collect_list(F.struct(F.concat(F.lit(" "), F.col("s_name"), F.lit("  ")).alias("nameEn")))
+                 .alias("agents")))

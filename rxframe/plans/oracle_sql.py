@@ -208,3 +208,173 @@ ORACLES: dict[str, str] = {
     "consult_context": _with(*CONSULT_BASE) + "SELECT req_id, context FROM contexts",
     "prompt_table": _prompt_sql(),
 }
+
+
+# --- batch 2: quality, single lookups, cleaning -------------------------------
+
+_P = d.lit("لم يتم إدخال بيانات|No data|No specific match found")
+
+LEAFSHEET = """lf AS (
+  SELECT doc_id AS ord, source AS search_key,
+    CASE WHEN lang = 'de' THEN 'No data ' || text WHEN lang = 'es' THEN NULL
+         ELSE replace(text, '. ', '.' || chr(13) || chr(10) || ' ' || chr(10) || chr(10)) || '_x000D_' END AS leaflet,
+    CASE WHEN lang = 'fr' THEN '  ' || text || '  ' END AS practitioner,
+    CASE WHEN lang <> 'es' OR n_chars > 1000 THEN source END AS trade_ar,
+    CASE WHEN lang <> 'es' THEN source || '  x' END AS sci_ar
+  FROM documents)"""
+
+RAWEVENTS = """raw AS (
+  SELECT event_id, '{"id": ' || CAST(event_id AS VARCHAR) || ', "props": ' || props
+    || CASE WHEN event_type = 'click' THEN ', "value": null' ELSE '' END
+    || CASE WHEN user_id > 50 THEN ', "user": ' || CAST(user_id AS VARCHAR) ELSE '' END
+    || CASE WHEN event_type <> 'error' THEN ', "type": "' || event_type || '"' ELSE '' END || '}' AS raw
+  FROM events)"""
+
+DOSPAGES = """pages_d AS (
+  SELECT doc_id, source,
+    replace(replace(replace(replace(text, '.' || chr(10), '.' || chr(10) || 'Usual Adult Dose' || chr(10)),
+      ', ', ', Usual Pediatric Dose '), chr(10) || 'E', chr(10) || chr(10) || 'Renal Dose Adjustments E'),
+      chr(10) || 'L', chr(10) || chr(10) || 'Liver Dose Adjustments' || chr(10) || chr(10) || 'L') AS page
+  FROM documents)"""
+
+
+def _section(t: str, marker: str, stop: str, n: int) -> str:
+    return f"coalesce(substring({d.strip(f'split_part(split_part({t}, {d.lit(marker)}, 2), {stop}, 1)')}, 1, {n}), '')"
+
+
+SECTIONS = f"""sections AS (
+  SELECT * FROM (SELECT doc_id, source,
+    {_section('page', 'Usual Adult Dose', "'Usual'", 1000)} AS adult,
+    {_section('page', 'Usual Pediatric Dose', "'Usual'", 1000)} AS pediatric,
+    {_section('page', 'Renal Dose Adjustments', 'chr(10) || chr(10)', 500)} AS renal,
+    {_section('page', 'Liver Dose Adjustments', 'chr(10) || chr(10)', 500)} AS liver
+  FROM pages_d) WHERE adult <> '' OR pediatric <> '')"""
+
+_AGENTS = "[{'nameEn': p_brand}, {'nameEn': ' ' || lower(p_type) || chr(9) || ' '}, " \
+          "{'nameEn': CASE WHEN p_size > 25 THEN p_brand END}, {'nameEn': CASE WHEN p_size > 45 THEN '' END}]"
+RAWREG = f"""rawreg AS (
+  SELECT CAST(p_partkey AS VARCHAR) AS id, '  ' || p_name || ' ,x ' AS tradeName,
+    p_type || ' ,  ' || lower(p_type) AS scientificName, p_brand AS registerNumber,
+    CAST(p_size + 1990 AS VARCHAR) AS registerYear,
+    CAST(p_size AS VARCHAR) || CASE WHEN p_size > 25 THEN ' ,,' ELSE '' END AS strength,
+    CASE WHEN p_size > 40 THEN '' ELSE 'mg' END AS strengthUnit,
+    lower(p_type) || chr(10) || chr(9) || ' form' AS doesageForm,
+    string_split(p_name, ' ')[-1] AS administrationRoute, CAST(p_retailprice AS VARCHAR) AS price,
+    p_brand AS manufacturerName, CAST(NULL AS VARCHAR) AS manufacturerCountry, p_brand || ' Co' AS companyName,
+    'SA' AS companyCountryEn, 'Marketed' AS marketingStatus, 'Prescription' AS legalStatus,
+    CASE WHEN p_size > 10 THEN ' OTC ' WHEN p_size > 5 THEN '' END AS legalStatusEn,
+    'Store below 25C' AS storageConditions, CAST(NULL AS VARCHAR) AS distributionArea,
+    {_AGENTS} AS agents
+  FROM part)"""
+
+
+def _t3(x: str) -> str:
+    return f"coalesce({d.strip(f'array_to_string(list_transform(string_split({x}, {chr(39)},{chr(39)}), lambda y: {d.strip(chr(121))}), {chr(39)}, {chr(39)})')}, '')"
+
+
+def _t2(a: str, b: str) -> str:
+    return f"trim(regexp_replace(trim({d.ws(a)} || ' ' || {d.ws(b)}), ',+$', ''))"
+
+
+_A10 = ("coalesce(array_to_string(list_sort(list_distinct(list_transform(list_filter(agents, "
+        "lambda x: x.nameEn IS NOT NULL AND x.nameEn <> ''), lambda x: " + d.ws("x.nameEn") + "))), ', '), '')")
+
+REGCLEAN = f"""SELECT id AS record_id, {_t3('tradeName')} AS "Trade Name", {_t3('scientificName')} AS "Scientific Name",
+  {d.ws('registerNumber')} AS "Registration Number", {d.ws('registerYear')} AS "Registration Year",
+  {_t2('strength', 'strengthUnit')} AS "Strength", {d.ws('doesageForm')} AS "Dosage Form",
+  {d.ws('administrationRoute')} AS "Administration Route", {d.ws('price')} AS "Price (SAR)",
+  {d.ws('manufacturerName')} AS "Manufacturer", {d.ws('manufacturerCountry')} AS "Manufacturer Country",
+  {d.ws('companyName')} AS "Selling Company", {d.ws('companyCountryEn')} AS "Company Country",
+  {d.ws('marketingStatus')} AS "Marketing Status",
+  coalesce(nullif({d.ws('legalStatusEn')}, ''), {d.ws('legalStatus')}) AS "Legal Status",
+  {d.ws('storageConditions')} AS "Storage Conditions", {d.ws('distributionArea')} AS "Distribution Area",
+  {_A10} AS "Agents"
+FROM rawreg"""
+
+_T3_NOTE = None
+
+
+def _leaflet_clean_sql() -> str:
+    cols = ["search_key", "leaflet", "practitioner", "trade_ar", "sci_ar"]
+    norm = ", ".join(f"{d.leaflet_norm(c)} AS {c}" for c in cols)
+    return (_with(LEAFSHEET) +
+            f", kept AS (SELECT * FROM lf WHERE NOT (leaflet IS NULL AND trade_ar IS NULL AND sci_ar IS NULL)),\n"
+            f"norm AS (SELECT ord, {norm} FROM kept)\n"
+            f"SELECT * FROM norm WHERE NOT coalesce(regexp_matches(leaflet, {_P}), false)"
+            f" AND NOT coalesce(regexp_matches(practitioner, {_P}), false)")
+
+
+def _dosage_clean_sql() -> str:
+    raw_adult = "'for:  ' || adult || chr(10) || chr(10) || 'Additional dosage information ' || source"
+    cols = {"adult": raw_adult, "pediatric": "pediatric", "renal": "renal", "liver": "liver"}
+    norm = ", ".join(f"{d.dosage_norm(v)} AS {k}" for k, v in cols.items())
+    return (_with(DOSPAGES, SECTIONS) +
+            f", cleaned AS (SELECT doc_id, source, {norm} FROM sections)\n"
+            f"SELECT *, {d.dosage_ctx('adult', 'pediatric', 'renal', 'liver')} AS dosage_context FROM cleaned\n"
+            f"WHERE NOT (adult = '' AND pediatric = '' AND renal = '' AND liver = '')")
+
+
+_ST = "upper(regexp_replace(regexp_split_to_array(" + d.strip("trade_name") + ", " + d.lit(d.WS + "+") \
+      + ")[1], '[^a-zA-Z]', '', 'g'))"
+_SLUG_CLASS = d.lit(r"[^a-z0-9\t\n\x{0B}\f\r\x{1C}-\x{20}\x{85}\p{Z}-]")
+
+ORACLES.update({
+    "dq_duplicate_ids": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem "
+                        "GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1",
+    "dq_duplicate_keys": _with(REG) + """, dup AS (
+  SELECT trade_name, count(*) AS n, min(ord) AS first_ord FROM reg
+  WHERE trade_name IS NOT NULL AND trade_name <> '' GROUP BY trade_name HAVING count(*) > 1)
+SELECT trade_name, n, first_ord, (SELECT count(*) FROM dup) AS duplicate_keys FROM dup ORDER BY first_ord LIMIT 5""",
+    "dq_field_presence": _with(RAWEVENTS) + """, k AS (SELECT unnest(list_distinct(json_keys(raw))) AS field FROM raw)
+SELECT field, (SELECT count(*) FROM raw) - count(*) AS missing FROM k GROUP BY field
+HAVING (SELECT count(*) FROM raw) - count(*) > 0""",
+    "dq_critical_empty": """WITH dd AS (SELECT text, lang, source, regexp_extract(text, '^([A-Z][a-z]+) ', 1) AS title FROM documents),
+c AS (SELECT 'text' AS field, count(*) FILTER (WHERE text IS NULL OR text = '') AS empty FROM dd
+  UNION ALL SELECT 'lang', count(*) FILTER (WHERE lang IS NULL OR lang = '') FROM dd
+  UNION ALL SELECT 'source', count(*) FILTER (WHERE source IS NULL OR source = '') FROM dd
+  UNION ALL SELECT 'title', count(*) FILTER (WHERE title IS NULL OR title = '') FROM dd)
+SELECT field, empty FROM c WHERE empty > 0""",
+    "dq_filter_report": _with(LEAFSHEET) + f""", r AS (
+  SELECT count(*) AS before, count(*) FILTER (WHERE NOT coalesce(regexp_matches(leaflet, {_P}), false)
+                                           AND NOT coalesce(regexp_matches(practitioner, {_P}), false)) AS after FROM lf)
+SELECT before, after, before - after AS removed FROM r""",
+    "dataset_status": _with(REG) + """, sd_ord AS (SELECT p_type AS key, min(p_partkey) AS ord FROM part GROUP BY p_type)
+SELECT (SELECT count(*) FROM reg) AS rows, (SELECT count(*) FROM sd_ord) AS map_size,
+  (SELECT string_agg(key, ', ' ORDER BY ord) FROM (SELECT * FROM sd_ord ORDER BY ord LIMIT 3)) AS sample_keys""",
+    "lookup_first_wins": _with(REG, LEAF, BLEAF, DOS, MASTER)
+    + "SELECT ord, sci_key, leaflet, practitioner, route_ar FROM m1",
+    "lookup_gap_fill": _with(REG, LEAF, BLEAF, DOS, MASTER) + "SELECT ord, brand_key, leaflet, route_ar FROM m2",
+    "lookup_last_wins": _with(REG, LEAF, BLEAF, DOS, MASTER)
+    + "SELECT r.ord, r.sci_key, coalesce(j4.dosage_context, '') AS intl_dosage FROM reg r "
+      "LEFT JOIN j4 ON r.sci_key IS NOT DISTINCT FROM j4.search_key",
+    "coverage_report": _with(REG, LEAF, BLEAF, DOS, MASTER) + """SELECT count(*) AS rows,
+  count(*) FILTER (WHERE leaflet_before_gap) AS leaflets_first, count(leaflet) AS leaflets_after,
+  count(leaflet) - count(*) FILTER (WHERE leaflet_before_gap) AS new_hits,
+  round(CAST(count(leaflet) AS DOUBLE) * 100.0 / count(*), 2) AS coverage_pct,
+  count(*) FILTER (WHERE intl_dosage <> '') AS dosage_rows FROM master""",
+    "resume_anti_join": "SELECT DISTINCT doc_id FROM documents d WHERE doc_id IS NOT NULL "
+                        "AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
+    "union_by_name": "SELECT doc_id, text, source FROM documents WHERE lang = 'en' "
+                     "UNION ALL BY NAME SELECT conv_id, turn, text FROM conversations",
+    "nest_details": """WITH li AS (
+  SELECT l_orderkey, count(*) AS n, string_agg(CAST(l_linenumber AS VARCHAR) || ':' || CAST(l_partkey AS VARCHAR), ';'
+         ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS details
+  FROM lineitem GROUP BY l_orderkey)
+SELECT o.o_orderkey, o.o_orderstatus, coalesce(li.n, 0) AS n_details, coalesce(li.details, '') AS details
+FROM orders o LEFT JOIN li ON li.l_orderkey = o.o_orderkey""",
+    "nested_distinct_join": f"""WITH a AS (
+  SELECT l.l_orderkey AS o_orderkey, ' ' || s.s_name || '  ' AS nm
+  FROM lineitem l LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey)
+SELECT o_orderkey, coalesce(string_agg(DISTINCT {d.ws('nm')}, ', ' ORDER BY {d.ws('nm')})
+  FILTER (WHERE nm IS NOT NULL AND nm <> ''), '') AS agents FROM a GROUP BY o_orderkey""",
+    "search_terms": _with(REG) + f""", k AS (SELECT {_ST} AS search_term, trade_name, ord FROM reg WHERE trade_name IS NOT NULL)
+SELECT search_term, arg_min(trade_name, ord) AS original_name FROM k GROUP BY search_term HAVING length(search_term) > 2""",
+    "slugify": f"""SELECT p_partkey,
+  regexp_replace(regexp_replace(split_part(lower(concat_ws(' + ', p_name, p_type)), ' + ', 1), {_SLUG_CLASS}, '', 'g'),
+                 {d.lit(d.WS + '+')}, '-', 'g') AS slug,
+  replace(p_name, ' ', '+') AS query_form FROM part""",
+    "registry_clean": _with(RAWREG) + REGCLEAN,
+    "leaflet_clean": _leaflet_clean_sql(),
+    "section_extract": _with(DOSPAGES, SECTIONS) + "SELECT * FROM sections",
+    "dosage_clean": _dosage_clean_sql(),
+})
