@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rxframe.functions.text import brand_simplify, query_string_form, url_slug
 from rxframe.operators import quality
@@ -16,7 +17,15 @@ from rxframe.operators.context import MasterColumns
 from rxframe.operators.enrich import (first_seen_by_derived_key, lookup_first_wins, lookup_gap_fill,
                                       lookup_last_wins, nest_details, resume_todo, union_by_name)
 from rxframe.operators.link import extract_entities, link_dictionary, search_terms
-from rxframe.operators.retrieve import retrieve_topk
+from rxframe.operators.context import format_request
+from rxframe.operators.pages import label_values, page_outcome, page_texts, result_links
+from rxframe.operators.retrieve import boundary_matches_per_term, retrieve_substring, retrieve_topk
+from rxframe.operators.search import (HISTORY_OPTIONS, SYMPTOM_OPTIONS, agent_slots, display_defaults,
+                                      option_labels, page_rows, search_filter)
+from rxframe.operators.clean import RAW_REGISTRY_SCHEMA
+from rxframe.session import scratch_path
+from rxframe.sources.files import (dictionary_entries, flatten_envelopes, read_csv_table, read_registry_json,
+                                   write_csv_table, write_registry_json)
 from rxframe.plans import fixtures as fx
 from rxframe.plans.consult import consult_contexts, consult_prompts
 from rxframe.plans.master import build_master, coverage_report
@@ -248,3 +257,135 @@ QUERIES: dict[str, Query] = {
     "section_extract": q_section_extract,
     "dosage_clean": q_dosage_clean,
 }
+
+
+# --- sources, search, display, pages, retrieval variants ------------------------
+
+def q_registry_json_scan(spark, sf):
+    path = scratch_path(spark, "registry-json")
+    write_registry_json(fx.raw_registry(spark, sf), path)
+    r = read_registry_json(spark, path, RAW_REGISTRY_SCHEMA)
+    scalar = [c for c in r.columns if c != "agents"]
+    return r.select(*scalar, F.size("agents").cast("long").alias("n_agents"),
+                    F.array_join(F.transform("agents", lambda x: F.coalesce(x["nameEn"], F.lit("<null>"))), "|")
+                    .alias("agent_names"))
+
+
+def q_page_envelope_flatten(spark, sf):
+    env = fx.order_envelopes(spark, sf, page_size=100)
+    rec = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("o_custkey", T.LongType()),
+                        T.StructField("o_orderstatus", T.StringType()), T.StructField("o_totalprice", T.DoubleType())])
+    return flatten_envelopes(env, "envelope", rec, keep=["page"])
+
+
+def q_csv_roundtrip(spark, sf):
+    c = read_table(spark, sf, "customer", "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    c = c.withColumn("c_mktsegment", F.when(F.col("c_mktsegment") == "AUTOMOBILE", F.lit("NA"))
+                     .otherwise(F.col("c_mktsegment")))
+    path = scratch_path(spark, "customer-csv")
+    write_csv_table(c, path, c.columns)
+    return read_csv_table(spark, path, c.schema)
+
+
+def q_dictionary_scan(spark, sf):
+    e = read_table(spark, sf, "events", "event_id", "props")
+    return dictionary_entries(e, "props", keep=["event_id"])
+
+
+def q_registry_search(spark, sf):
+    raw = fx.raw_registry(spark, sf)
+    hits = search_filter(raw, {"tradeName": "ring", "scientificName": "", "manufacturerName": "",
+                               "registerNumber": ""}, agents_col="agents", agent="brand#1")
+    hits = hits.select(F.col("id").cast("long").alias("ord"), "tradeName", "registerNumber")
+    return page_rows(hits, "ord", page_size=10)
+
+
+def q_null_display(spark, sf):
+    raw = fx.raw_registry(spark, sf)
+    fields = ["tradeName", "scientificName", "strengthUnit", "manufacturerCountry", "legalStatusEn",
+              "distributionArea", "price"]
+    shown = display_defaults(raw.select("id", *fields, "agents"), fields, "ar", empty_too=["legalStatusEn"])
+    return shown.select("id", *fields, *agent_slots("agents", 3, "ar"))
+
+
+def q_request_format(spark, sf):
+    c = read_table(spark, sf, "customer", "c_custkey", "c_name", "c_nationkey", "c_acctbal")
+    sym_ids = [i for i, _ in SYMPTOM_OPTIONS]
+    his_ids = [i for i, _ in HISTORY_OPTIONS]
+    sym_arr = F.array(*[F.lit(x) for x in sym_ids])
+    his_arr = F.array(*[F.lit(x) for x in his_ids])
+    nk = F.col("c_nationkey")
+    sel = c.select(
+        "c_custkey", "c_name", "c_nationkey", "c_acctbal",
+        F.array(F.element_at(sym_arr, nk % 12 + 1), F.element_at(sym_arr, (nk + 5) % 12 + 1), F.lit("unknown"))
+        .alias("symptom_ids"),
+        F.when(F.col("c_acctbal") < 0, F.array().cast("array<string>"))
+        .otherwise(F.array(F.element_at(his_arr, nk % 6 + 1))).alias("history_ids"))
+    f = format_request(age=(nk + 20).cast("string"), weight=F.round(F.col("c_acctbal") / 100).cast("long").cast("string"),
+                       symptom_labels=option_labels("symptom_ids", SYMPTOM_OPTIONS),
+                       history_labels=option_labels("history_ids", HISTORY_OPTIONS),
+                       medications=F.col("c_name"), takes_meds=F.col("c_acctbal") > 5000)
+    return sel.select("c_custkey", *[v.alias(k) for k, v in f.items()])
+
+
+def q_page_links_topk(spark, sf):
+    p = read_table(spark, sf, "pages", "page_id", "html")
+    return result_links(p, "page_id", "html", marker="e", k=3)
+
+
+def q_page_fields(spark, sf):
+    p = read_table(spark, sf, "pages", "page_id", "html")
+    return label_values(p, "page_id", "html")
+
+
+def q_page_text(spark, sf):
+    p = read_table(spark, sf, "pages", "page_id", "html")
+    return page_texts(p, "page_id", "html", min_len=10)
+
+
+def q_page_outcomes(spark, sf):
+    p = read_table(spark, sf, "pages", "page_id", "url", "html")
+    links = result_links(p, "page_id", "html", marker="e", k=3).groupBy("page_id").agg(
+        F.count(F.lit(1)).alias("n_results"))
+    j = p.join(links, "page_id", "left")
+    status = F.when(F.col("url").contains("#"), F.lit(404)).otherwise(F.lit(200))
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    cls = page_outcome(F.col("html"), status, title, F.coalesce(F.col("n_results"), F.lit(0)))
+    return j.groupBy(cls.alias("outcome")).agg(F.count(F.lit(1)).alias("pages"))
+
+
+def _chat_terms(spark, sf):
+    req = fx.chat_requests(spark, sf)
+    terms, links = extract_entities(req, fx.symptom_dictionary(spark, sf), _link_dict(spark, sf))
+    return search_terms(terms, links)
+
+
+def q_retrieve_substring(spark, sf):
+    terms, links = _entities(spark, sf)
+    st = search_terms(terms, links)
+    return retrieve_substring(st, fx.registry(spark, sf), ord_col="ord", trade_col="trade_name",
+                              sci_col="scientific_name", k=5).withColumn("rn", F.col("rn").cast("long"))
+
+
+def q_retrieve_indexed(spark, sf):
+    """Per distinct term of the chat requests: its first 4 matching rows."""
+    per_term, _ = boundary_matches_per_term(_chat_terms(spark, sf), fx.registry(spark, sf), term_col="term",
+                                            ord_col="ord", trade_col="trade_name", sci_col="scientific_name", k=4)
+    return per_term.select("term_l", "ord")
+
+
+QUERIES.update({
+    "registry_json_scan": q_registry_json_scan,
+    "page_envelope_flatten": q_page_envelope_flatten,
+    "csv_roundtrip": q_csv_roundtrip,
+    "dictionary_scan": q_dictionary_scan,
+    "registry_search": q_registry_search,
+    "null_display": q_null_display,
+    "request_format": q_request_format,
+    "page_links_topk": q_page_links_topk,
+    "page_fields": q_page_fields,
+    "page_text": q_page_text,
+    "page_outcomes": q_page_outcomes,
+    "retrieve_substring": q_retrieve_substring,
+    "retrieve_indexed": q_retrieve_indexed,
+})

@@ -177,7 +177,7 @@ def raw_registry(spark: SparkSession, sf: str) -> DataFrame:
         F.col("p_retailprice").cast("string").alias("price"),
         F.col("p_brand").alias("manufacturerName"),
         F.lit(None).cast("string").alias("manufacturerCountry"),
-        F.concat(F.col("p_brand"), F.lit(" Co")).alias("companyName"),
+        F.concat(F.col("p_brand"), F.lit(" Co")).alias("companyName"),
         F.lit("SA").alias("companyCountryEn"),
         F.lit("Marketed").alias("marketingStatus"),
         F.lit("Prescription").alias("legalStatus"),
@@ -196,3 +196,17 @@ def order_agents(spark: SparkSession, sf: str) -> DataFrame:
     return (j.groupBy(F.col("l_orderkey").alias("o_orderkey"))
             .agg(F.collect_list(F.struct(F.concat(F.lit(" "), F.col("s_name"), F.lit("  ")).alias("nameEn")))
                  .alias("agents")))
+
+
+def order_envelopes(spark: SparkSession, sf: str, page_size: int = 100) -> DataFrame:
+    """Registry pages as the paged API returns them: orders packed by key into
+    pages of ``page_size`` numbers, ``{"pageCount": n, "results": [...]}``;
+    only finished orders are listed, so a page may come back empty."""
+    o = read_table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    page = F.floor(F.col("o_orderkey") / page_size).cast("long")
+    rec = F.when(F.col("o_orderstatus") == "F",
+                 F.struct("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"))
+    pages = o.groupBy(page.alias("page")).agg(F.collect_list(rec).alias("results"))
+    n_pages = pages.select(F.count(F.lit(1))).scalar()
+    return pages.select("page", F.to_json(F.struct(n_pages.cast("int").alias("pageCount"), "results"))
+                        .alias("envelope"))

@@ -378,3 +378,114 @@ SELECT search_term, arg_min(trade_name, ord) AS original_name FROM k GROUP BY se
     "section_extract": _with(DOSPAGES, SECTIONS) + "SELECT * FROM sections",
     "dosage_clean": _dosage_clean_sql(),
 })
+
+
+# --- batch 3: sources, search, display, pages, retrieval variants ----------------
+
+from rxframe.operators.search import HISTORY_OPTIONS, NO_VALUE, SYMPTOM_OPTIONS  # noqa: E402
+
+_RAW_COLS = ("id, tradeName, scientificName, registerNumber, registerYear, strength, strengthUnit, doesageForm, "
+             "administrationRoute, price, manufacturerName, manufacturerCountry, companyName, companyCountryEn, "
+             "marketingStatus, legalStatus, legalStatusEn, storageConditions, distributionArea")
+
+
+def _unescape(x: str) -> str:
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        x = f"replace({x}, {d.lit(ent)}, {d.lit(ch)})"
+    return x
+
+
+def _label_case(x: str, options) -> str:
+    whens = " ".join(f"WHEN {d.lit(i)} THEN {d.lit(lbl)}" for i, lbl in options)
+    return f"CASE {x} {whens} END"
+
+
+def _ids(options) -> str:
+    return "[" + ", ".join(d.lit(i) for i, _ in options) + "]"
+
+
+_AR = d.lit(NO_VALUE["ar"])
+_NULLDISP_FIELDS = ["tradeName", "scientificName", "strengthUnit", "manufacturerCountry", "legalStatusEn",
+                    "distributionArea", "price"]
+
+ANCHORS = f"""a0 AS (SELECT page_id, regexp_extract_all(html, {d.lit('<a href="[^"]*">[^<]*</a>')}) AS l FROM pages),
+a1 AS (SELECT page_id, unnest(generate_series(0, len(l) - 1)) AS pos, unnest(l) AS a FROM a0),
+anchors AS (SELECT page_id, pos, regexp_extract(a, 'href="([^"]*)"', 1) AS href,
+                   {_unescape(d.lit('>([^<]*)</a>').join(['regexp_extract(a, ', ', 1)']))} AS text FROM a1),
+links AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank
+                         FROM anchors WHERE contains(text, 'e')) WHERE rank <= 3)"""
+
+_INNER = "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
+_NODES = f"string_split(regexp_replace({_INNER}, '<[^>]*>', chr(1), 'g'), chr(1))"
+_KEPT = f"list_filter(list_transform({_NODES}, lambda x: {d.strip(_unescape('x'))}), lambda x: x <> '')"
+_BODY = f"CASE WHEN {_INNER} <> '' THEN array_to_string({_KEPT}, chr(10)) END"
+
+REQCHAT = """req AS (
+  SELECT conv_id * 1000 + turn AS req_id, text AS symptoms, '' AS history, '' AS medications
+  FROM conversations WHERE role = 'user')"""
+
+ORACLES.update({
+    "registry_json_scan": _with(RAWREG) + f"""SELECT {_RAW_COLS}, CAST(len(agents) AS BIGINT) AS n_agents,
+  array_to_string(list_transform(agents, lambda x: coalesce(x.nameEn, '<null>')), '|') AS agent_names FROM rawreg""",
+    "page_envelope_flatten": "SELECT CAST(floor(o_orderkey / 100) AS BIGINT) AS page, o_orderkey, o_custkey, "
+                             "o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'F'",
+    "csv_roundtrip": "SELECT c_custkey, c_name, c_nationkey, c_acctbal, CASE WHEN c_mktsegment = 'AUTOMOBILE' "
+                     "THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer",
+    "dictionary_scan": """SELECT event_id, k AS key, json_extract_string(props, '$."' || k || '"') AS value
+FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)""",
+    "registry_search": _with(RAWREG) + """, hits AS (
+  SELECT CAST(id AS BIGINT) AS ord, tradeName, registerNumber FROM rawreg
+  WHERE contains(lower(tradeName), 'ring')
+    AND len(list_filter(agents, lambda x: coalesce(contains(lower(x.nameEn), 'brand#1'), false))) > 0),
+numbered AS (SELECT *, row_number() OVER (ORDER BY ord) AS rn, count(*) OVER () AS total FROM hits)
+SELECT ord, tradeName, registerNumber, rn, CAST(ceil(rn / 10) AS BIGINT) AS page,
+  CAST(ceil(total / 10) AS BIGINT) AS page_count, (CAST(ceil(rn / 10) AS BIGINT) - 1) * 10 + 1 AS first_row_on_page,
+  least(CAST(ceil(rn / 10) AS BIGINT) * 10, total) AS last_row_on_page FROM numbered""",
+    "null_display": _with(RAWREG) + "SELECT id, " + ", ".join(
+        (f"CASE WHEN {c} IS NULL OR {c} = '' THEN {_AR} ELSE {c} END AS {c}" if c == "legalStatusEn"
+         else f"coalesce({c}, {_AR}) AS {c}") for c in _NULLDISP_FIELDS)
+    + f", coalesce(agents[1].nameEn, {_AR}) AS agent_1, coalesce(agents[2].nameEn, {_AR}) AS agent_2, "
+      f"coalesce(agents[3].nameEn, {_AR}) AS agent_3 FROM rawreg",
+    "request_format": f"""WITH c AS (
+  SELECT c_custkey, c_name, c_nationkey AS nk, c_acctbal,
+    [{_ids(SYMPTOM_OPTIONS)}[c_nationkey % 12 + 1], {_ids(SYMPTOM_OPTIONS)}[(c_nationkey + 5) % 12 + 1], 'unknown'] AS sym_ids,
+    CASE WHEN c_acctbal < 0 THEN CAST([] AS VARCHAR[]) ELSE [{_ids(HISTORY_OPTIONS)}[c_nationkey % 6 + 1]] END AS his_ids
+  FROM customer),
+l AS (SELECT *, list_filter(list_transform(sym_ids, lambda x: {_label_case('x', SYMPTOM_OPTIONS)}), lambda x: x IS NOT NULL) AS sl,
+             list_filter(list_transform(his_ids, lambda x: {_label_case('x', HISTORY_OPTIONS)}), lambda x: x IS NOT NULL) AS hl
+      FROM c)
+SELECT c_custkey, array_to_string(sl, ', ') AS symptoms,
+  CASE WHEN len(hl) > 0 THEN array_to_string(hl, ', ') ELSE {_AR} END AS history,
+  CASE WHEN c_acctbal > 5000 THEN c_name ELSE {_AR} END AS medications,
+  CAST(nk + 20 AS VARCHAR) || ' سنة, ' || CAST(CAST(round(c_acctbal / 100) AS BIGINT) AS VARCHAR) || ' كجم' AS age_weight
+FROM l""",
+    "page_links_topk": _with(ANCHORS) + "SELECT page_id, rank, href, text FROM links",
+    "page_fields": _with(ANCHORS) + "SELECT page_id, text AS label, arg_max(href, pos) AS value FROM anchors "
+                                    "GROUP BY page_id, text",
+    "page_text": f"""WITH b AS (SELECT page_id, {_unescape("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS title,
+  {_BODY} AS body,
+  array_to_string(list_transform(regexp_extract_all(html, '<h[23][^>]*>([^<]*)</h[23]>', 1), lambda x: {_unescape('x')}), chr(10)) AS headings
+  FROM pages)
+SELECT page_id, title, CASE WHEN NOT contains(body, {d.lit("لم يتم إدخال بيانات")}) AND length(body) > 10 THEN body END AS body,
+  headings FROM b""",
+    "page_outcomes": _with(ANCHORS) + """, n AS (SELECT page_id, count(*) AS n_results FROM links GROUP BY page_id),
+cls AS (
+  SELECT CASE WHEN contains(p.html, 'Just a moment') OR st IN (403, 429) THEN 'blocked'
+              WHEN st <> 200 OR contains(title, 'Page Not Found') OR contains(title, '404') THEN 'not_found'
+              WHEN contains(p.html, 'no-results-content') THEN 'no_results'
+              WHEN coalesce(n.n_results, 0) > 0 THEN 'hit' ELSE 'miss' END AS outcome
+  FROM (SELECT *, CASE WHEN contains(url, '#') THEN 404 ELSE 200 END AS st,
+               regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages) p
+  LEFT JOIN n ON n.page_id = p.page_id)
+SELECT outcome, count(*) AS pages FROM cls GROUP BY outcome""",
+    "retrieve_substring": _with(REG, REQ, SYMDICT, MAPPING, LINKDICT, ENTITIES) + """, mrows AS (
+  SELECT ord, lower(coalesce(trade_name, 'nan')) AS a, lower(coalesce(scientific_name, 'nan')) AS b FROM reg),
+th AS (SELECT t.term, m.ord FROM (SELECT DISTINCT term FROM sterms) t JOIN mrows m
+       ON contains(m.a, t.term) OR contains(m.b, t.term)),
+rh AS (SELECT DISTINCT s.req_id, th.ord FROM sterms s JOIN th ON th.term = s.term)
+SELECT req_id, rn, ord FROM (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY ord) AS rn FROM rh)
+WHERE rn <= 5""",
+    "retrieve_indexed": _with(REG, REQCHAT, SYMDICT, MAPPING, LINKDICT, ENTITIES, RETRIEVE) + """, tf AS (
+  SELECT term_l, dkey, min(ord) AS ord FROM term_hits GROUP BY term_l, dkey)
+SELECT term_l, ord FROM (SELECT *, row_number() OVER (PARTITION BY term_l ORDER BY ord) AS rn FROM tf) WHERE rn <= 4""",
+})
