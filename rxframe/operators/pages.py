@@ -72,17 +72,21 @@ def section_text(html: Column, tag: str) -> Column:
     return F.when(inner != "", F.array_join(kept, "\n"))
 
 
-def page_texts(pages: DataFrame, page_col: str, html_col: str, min_len: int = 10) -> DataFrame:
-    """H3/H6: title (``h1``), main text (``article``; dropped when it holds the
-    placeholder or is not longer than ``min_len``) and the ``h2``/``h3`` headings."""
+def page_text_columns(html_col: str, min_len: int = 10) -> list[Column]:
+    """H3/H6 columns: title (``h1``), main text (``article``; dropped when it
+    holds the placeholder or is not longer than ``min_len``), ``h2``/``h3`` headings."""
     h = F.col(html_col)
     body = section_text(h, "article")
     heads = F.regexp_extract_all(h, F.lit(r"<h[23][^>]*>([^<]*)</h[23]>"), F.lit(1))
-    return pages.select(
-        page_col,
-        html_unescape_basic(F.regexp_extract(h, r"<h1>([^<]*)</h1>", 1)).alias("title"),
-        F.when(~body.contains(LEAFLET_PLACEHOLDER) & (F.length(body) > min_len), body).alias("body"),
-        F.array_join(F.transform(heads, html_unescape_basic), "\n").alias("headings"))
+    return [html_unescape_basic(F.regexp_extract(h, r"<h1>([^<]*)</h1>", 1)).alias("title"),
+            F.when(~body.contains(LEAFLET_PLACEHOLDER) & (F.length(body) > min_len), body).alias("body"),
+            F.array_join(F.transform(heads, html_unescape_basic), "\n").alias("headings")]
+
+
+def page_texts(pages: DataFrame, page_col: str, html_col: str, min_len: int = 10,
+               keep: tuple[str, ...] = ()) -> DataFrame:
+    """Page texts as one projection (works on batch and streaming frames)."""
+    return pages.select(page_col, *keep, *page_text_columns(html_col, min_len))
 
 
 def page_outcome(html: Column, status: Column, title: Column, n_results: Column) -> Column:

@@ -24,6 +24,7 @@ from rxframe.operators.search import (HISTORY_OPTIONS, SYMPTOM_OPTIONS, agent_sl
                                       option_labels, page_rows, search_filter)
 from rxframe.operators.clean import RAW_REGISTRY_SCHEMA
 from rxframe.session import scratch_path
+from rxframe.streaming.streams import consult_stream, page_extract_stream
 from rxframe.sources.files import (dictionary_entries, flatten_envelopes, read_csv_table, read_registry_json,
                                    write_csv_table, write_registry_json)
 from rxframe.plans import fixtures as fx
@@ -389,3 +390,39 @@ QUERIES.update({
     "retrieve_substring": q_retrieve_substring,
     "retrieve_indexed": q_retrieve_indexed,
 })
+
+
+# --- streams ---------------------------------------------------------------------
+
+def _land_as_files(df: DataFrame, path: str, files: int) -> None:
+    """Land a table as ``files`` parquet files (the stream's arriving files)."""
+    df.repartition(files).write.parquet(path)
+
+
+def q_stream_consult(spark, sf):
+    """The consult requests arrive as files; prompts per micro-batch."""
+    base = scratch_path(spark, "stream-consult")
+    req = fx.consult_requests(spark, sf)
+    _land_as_files(req, f"{base}/in", 4)
+    master_path = f"{base}/master"
+    _master(spark, sf).write.parquet(master_path)          # static side, materialised once
+    master = spark.read.parquet(master_path)
+    sd, ld = fx.symptom_dictionary(spark, sf), _link_dict(spark, sf)
+    consult_stream(spark, f"{base}/in", req.schema, f"{base}/out", f"{base}/ckpt",
+                   lambda batch: consult_prompts(batch, master, sd, ld, MASTER_COLS))
+    return spark.read.parquet(f"{base}/out").drop("batch")
+
+
+def q_stream_page_extract(spark, sf):
+    """R2: landed pages arrive as files; extraction runs once per page."""
+    base = scratch_path(spark, "stream-pages")
+    pages = read_table(spark, sf, "pages", "page_id", "url", "html")
+    _land_as_files(pages, f"{base}/in", 4)
+    page_extract_stream(spark, f"{base}/in", pages.schema, f"{base}/out", f"{base}/ckpt")
+    return spark.read.parquet(f"{base}/out")
+
+
+QUERIES.update({
+    "stream_consult": q_stream_consult,
+    "stream_page_extract": q_stream_page_extract,
+})

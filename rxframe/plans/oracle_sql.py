@@ -489,3 +489,9 @@ WHERE rn <= 5""",
   SELECT term_l, dkey, min(ord) AS ord FROM term_hits GROUP BY term_l, dkey)
 SELECT term_l, ord FROM (SELECT *, row_number() OVER (PARTITION BY term_l ORDER BY ord) AS rn FROM tf) WHERE rn <= 4""",
 })
+
+
+ORACLES["stream_consult"] = ORACLES["prompt_table"]
+ORACLES["stream_page_extract"] = ORACLES["page_text"].replace(
+    "WITH b AS (SELECT page_id, ", "WITH b AS (SELECT page_id, url, ").replace(
+    "SELECT page_id, title, CASE", "SELECT page_id, url, title, CASE")
