@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 # characters ``re.escape`` has to escape (everything ASCII that is not a letter,
 # a digit or ``_``).
 PY_WS = r"[\t\n\x{0B}\f\r\x{1C}-\x{20}\x{85}\p{Z}]"
+PY_NOT_WS = r"[^\t\n\x{0B}\f\r\x{1C}-\x{20}\x{85}\p{Z}]"
+# the same set as characters (for trim): ASCII controls and space, NEL, and Unicode Z
+PY_WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+               + "\u2028\u2029\u202f\u205f\u3000")
 WORD = r"[\p{L}\p{N}_]"
 NONWORD = r"[^\p{L}\p{N}_]"
 ASCII_SPECIAL = r"([\x{00}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{5E}\x{60}\x{7B}-\x{7F}])"
@@ -25,8 +29,14 @@ def _c(c) -> Column:
 
 
 def py_strip(c) -> Column:
-    """``str.strip()``: remove leading and trailing Unicode whitespace."""
-    return F.regexp_replace(_c(c), rf"^{PY_WS}+|{PY_WS}+$", "")
+    """``str.strip()``: remove leading and trailing Unicode whitespace (a
+    character-set trim, linear and regex-free)."""
+    return F.trim(_c(c), F.lit(PY_WS_CHARS))
+
+
+def first_token(c) -> Column:
+    """``s.split()[0]`` (``""`` when there is none), without a per-row regex split."""
+    return F.regexp_extract(_c(c), rf"^{PY_WS}*({PY_NOT_WS}*)", 1)
 
 
 def ws_collapse(c) -> Column:
@@ -91,8 +101,7 @@ def dosage_context(adult, pediatric, renal, liver) -> Column:
 
 def brand_simplify(c) -> Column:
     """First whitespace token, only ASCII letters kept, upper-cased."""
-    first = F.element_at(F.split(py_strip(_c(c)), rf"{PY_WS}+"), 1)
-    return F.upper(F.regexp_replace(first, "[^a-zA-Z]", ""))
+    return F.upper(F.regexp_replace(first_token(c), "[^a-zA-Z]", ""))
 
 
 def url_slug(c) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rxframe.functions.text import PY_WS, comma_items, py_strip
+from rxframe.functions.text import comma_items, first_token, py_strip
 
 # field ranks: insertion order of the reference's link map (medications first)
 FIELD_MEDICATIONS, FIELD_SYMPTOMS, FIELD_HISTORY = 0, 1, 2
@@ -33,7 +33,7 @@ def link_dictionary(mapping: DataFrame, *, ord_col: str, term_col: str, brand_co
     """
     term_key = F.upper(py_strip(_py_str(F.col(term_col))))
     brand_key = F.upper(py_strip(_py_str(F.col(brand_col))))
-    first = F.element_at(F.split(brand_key, rf"{PY_WS}+"), 1)
+    first = first_token(brand_key)
     ing = py_strip(_py_str(F.col(ingredient_col)))
     entries = F.array(
         F.struct(F.lit(0).alias("kind"), term_key.alias("key")),

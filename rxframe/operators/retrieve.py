@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from rxframe.functions.text import (WORD, inner_separator_runs, py_str_or_nan,
                                     word_pattern, word_runs)
 from rxframe.operators.common import bounded_broadcast, salted_equi_join
+from rxframe.session import materialize
 
 
 def dedupe_key(sci_col: str, ord_col: str):
@@ -112,8 +113,10 @@ def boundary_matches_per_term(terms: DataFrame, master: DataFrame, *, term_col:
         cands = idx.join(tk_b, "key")
     else:
         cands = salted_equi_join(tk, idx, "key", salt_buckets, right_salt_from="ord")
-    verified = cands.where(
-        ~F.col("key").startswith("w") | F.expr("a RLIKE pattern") | F.expr("b RLIKE pattern"))
+    # a term that is one word run, or one inner separator run, matches exactly
+    # the rows holding it as a token: only other terms need the pattern check
+    exact = F.col("key") == F.concat(F.substring("key", 1, 1), F.col("term_l"))
+    verified = cands.where(exact | F.expr("a RLIKE pattern") | F.expr("b RLIKE pattern"))
     cols = ["term_l", "ord", "dkey"]
     verified = verified.select(*cols).unionByName(_empty_term_rows(master, ord_col, trade_col, sci_col))
     return _first_k_per_term(verified, k, dedupe), small
@@ -137,9 +140,9 @@ def retrieve_topk(request_terms: DataFrame, master: DataFrame, *, req_col: str =
     ``request_terms`` is long form ``(req_col, term_col)``.  Returns
     ``(req_col, rn, ord_col)`` with ``rn`` = 1..k.
     """
-    rt = request_terms.select(req_col, F.lower(F.col(term_col)).alias("term_l"))
+    rt = materialize(request_terms.select(req_col, F.lower(F.col(term_col)).alias("term_l")).distinct())
     per_term, small = boundary_matches_per_term(
-        request_terms, master, term_col=term_col, ord_col=ord_col, trade_col=trade_col,
+        rt, master, term_col="term_l", ord_col=ord_col, trade_col=trade_col,
         sci_col=sci_col, k=k, dedupe=True, salt_buckets=salt_buckets, broadcast_rows=broadcast_rows)
     out = _first_k_per_request(rt, per_term, req_col, k, True, small)
     return out.withColumnRenamed("ord", ord_col)
@@ -177,8 +180,8 @@ def retrieve_substring(request_terms: DataFrame, master: DataFrame, *, req_col:
     term matches every row (kept as its own first-``k`` list, no join).
     """
     t = F.col(term_col)
-    rt = request_terms.select(req_col, t.alias("term_l"))
-    terms = request_terms.select(t.alias("term_l")).distinct()
+    rt = materialize(request_terms.select(req_col, t.alias("term_l")).distinct())
+    terms = rt.select("term_l").distinct()
     idx = substring_index_table(master, ord_col, trade_col, sci_col, gram)
     keyed = terms.where(F.col("term_l") != "").withColumn("key", F.substring("term_l", 1, gram))
     keyed_b, small = bounded_broadcast(keyed, broadcast_rows)

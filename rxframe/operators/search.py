@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rxframe.session import materialize
+
 # Display default per language.
 NO_VALUE = {"en": "No value", "ar": "لا يوجد"}
 # The entry form's options (id, label) in display order.
@@ -47,13 +49,11 @@ def global_row_number(df: DataFrame, order_col: str, partitions: int | None = No
     and the rows come from one materialisation.
     """
     spark = df.sparkSession
-    from rxframe.session import checkpoint_dir
-    checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     r = (df.repartitionByRange(n, order_col).sortWithinPartitions(order_col)
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_local", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
-    r = r.checkpoint(eager=True)
+    r = materialize(r, "row-number")
     counts = r.groupBy("_pid").agg((F.max("_local") + 1).alias("_n"))
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))

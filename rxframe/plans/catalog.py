@@ -369,8 +369,10 @@ def q_retrieve_substring(spark, sf):
 
 
 def q_retrieve_indexed(spark, sf):
-    """Per distinct term of the chat requests: its first 4 matching rows."""
-    per_term, _ = boundary_matches_per_term(_chat_terms(spark, sf), fx.registry(spark, sf), term_col="term",
+    """Per distinct term of the chat and consult requests: its first 4 matching rows."""
+    terms, links = _entities(spark, sf)
+    both = _chat_terms(spark, sf).unionByName(search_terms(terms, links))
+    per_term, _ = boundary_matches_per_term(both, fx.registry(spark, sf), term_col="term",
                                             ord_col="ord", trade_col="trade_name", sci_col="scientific_name", k=4)
     return per_term.select("term_l", "ord")
 

@@ -485,7 +485,9 @@ th AS (SELECT t.term, m.ord FROM (SELECT DISTINCT term FROM sterms) t JOIN mrows
 rh AS (SELECT DISTINCT s.req_id, th.ord FROM sterms s JOIN th ON th.term = s.term)
 SELECT req_id, rn, ord FROM (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY ord) AS rn FROM rh)
 WHERE rn <= 5""",
-    "retrieve_indexed": _with(REG, REQCHAT, SYMDICT, MAPPING, LINKDICT, ENTITIES, RETRIEVE) + """, tf AS (
+    "retrieve_indexed": _with(REG, REQCHAT.replace("FROM conversations WHERE role = 'user')", """FROM conversations WHERE role = 'user'
+  UNION ALL SELECT p_partkey, replace(p_name, ' ', ', '), p_type, p_name FROM part)"""),
+                              SYMDICT, MAPPING, LINKDICT, ENTITIES, RETRIEVE) + """, tf AS (
   SELECT term_l, dkey, min(ord) AS ord FROM term_hits GROUP BY term_l, dkey)
 SELECT term_l, ord FROM (SELECT *, row_number() OVER (PARTITION BY term_l ORDER BY ord) AS rn FROM tf) WHERE rn <= 4""",
 })

@@ -58,3 +58,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder for one write."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df, name: str = "stage"):
+    """Write ``df`` once as a parquet table under the shared checkpoint folder
+    and read it back.
+
+    Used where one intermediate feeds several branches or a size check: it is
+    computed by one job, later stages read files (with pruning), and its
+    lineage is cut, so a lost executor does not recompute the upstream plan.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
