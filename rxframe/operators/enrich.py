@@ -11,7 +11,7 @@ of the lookup, as dictionary lookups of pandas cells do.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,43 +29,53 @@ def last_per_key(df: DataFrame, key: str, ord_col: str, cols: Sequence[str]) ->
             .select(key, *[F.col(f"_v.{c}").alias(c) for c in cols]))
 
 
+Finish = dict[str, Callable]
+
+
 def _left_lookup(master: DataFrame, master_key: str, reduced: DataFrame, lookup_key: str,
-                 cols: Sequence[str], prefix: str) -> DataFrame:
-    r = reduced.select(F.col(lookup_key).alias("_lk"), *[F.col(c).alias(prefix + c) for c in cols])
+                 cols: Sequence[str], prefix: str, finish: Finish | None = None) -> DataFrame:
+    """Left join of the one-row-per-key lookup.  ``finish`` maps a lookup column
+    to a row-wise function applied after the reduction, so expensive cleaning
+    runs once per key instead of once per lookup row (valid for functions that
+    keep null-ness, since the winner is chosen on null-ness and order only)."""
+    finish = finish or {}
+    r = reduced.select(F.col(lookup_key).alias("_lk"),
+                       *[(finish[c](F.col(c)) if c in finish else F.col(c)).alias(prefix + c) for c in cols])
     return master.join(r, master[master_key].eqNullSafe(r["_lk"]), "left").drop("_lk")
 
 
 def lookup_first_wins(master: DataFrame, lookup: DataFrame, *, master_key: str, lookup_key: str,
-                      ord_col: str, require: str, take: dict[str, str]) -> DataFrame:
+                      ord_col: str, require: str, take: dict[str, str], finish: Finish | None = None) -> DataFrame:
     """Among lookup rows whose ``require`` column is present, the first row per
     key supplies all ``take`` columns together (``{lookup_col: master_col}``);
     the master columns are (re)set from it, missing when the key has no row."""
     cols = list(take)
     reduced = first_per_key(lookup.where(F.col(require).isNotNull()), lookup_key, ord_col, cols)
-    out = _left_lookup(master.drop(*take.values()), master_key, reduced, lookup_key, cols, "_n_")
+    out = _left_lookup(master.drop(*take.values()), master_key, reduced, lookup_key, cols, "_n_", finish)
     for src, dst in take.items():
         out = out.withColumnRenamed("_n_" + src, dst)
     return out
 
 
 def lookup_gap_fill(master: DataFrame, lookup: DataFrame, *, master_key: str, lookup_key: str,
-                    ord_col: str, require: str, take: dict[str, str]) -> DataFrame:
+                    ord_col: str, require: str, take: dict[str, str], finish: Finish | None = None) -> DataFrame:
     """First-wins rows as in J2, but every master column is only filled
     where it is missing, each column on its own."""
     cols = list(take)
     reduced = first_per_key(lookup.where(F.col(require).isNotNull()), lookup_key, ord_col, cols)
-    out = _left_lookup(master, master_key, reduced, lookup_key, cols, "_n_")
+    out = _left_lookup(master, master_key, reduced, lookup_key, cols, "_n_", finish)
     for src, dst in take.items():
         out = out.withColumn(dst, F.coalesce(F.col(dst), F.col("_n_" + src))).drop("_n_" + src)
     return out
 
 
 def lookup_last_wins(master: DataFrame, lookup: DataFrame, *, master_key: str, lookup_key: str,
-                     ord_col: str, value: str, target: str, default: str = "") -> DataFrame:
+                     ord_col: str, value: str, target: str, default: str = "",
+                     finish: Finish | None = None) -> DataFrame:
     """Replace ``target`` by the value of the last lookup row with the key
     (a missing value included), ``default`` where there is none.  Idempotent."""
     reduced = last_per_key(lookup, lookup_key, ord_col, [value])
-    out = _left_lookup(master.drop(target), master_key, reduced, lookup_key, [value], "_n_")
+    out = _left_lookup(master.drop(target), master_key, reduced, lookup_key, [value], "_n_", finish)
     return out.withColumn(target, F.coalesce(F.col("_n_" + value), F.lit(default))).drop("_n_" + value)
 
 

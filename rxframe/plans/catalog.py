@@ -41,7 +41,8 @@ MASTER_COLS = MasterColumns(trade="trade_name", sci="scientific_name", form="dos
 
 def _master(spark, sf):
     return build_master(fx.registry(spark, sf), fx.leaflets(spark, sf), fx.brand_leaflets(spark, sf),
-                        fx.dosage(spark, sf), sci_key="sci_key", brand_key="brand_key")
+                        fx.dosage(spark, sf), sci_key="sci_key", brand_key="brand_key",
+                        leaflet_finish=fx.LEAFLET_FINISH, dosage_finish=fx.DOSAGE_FINISH)
 
 
 def _link_dict(spark, sf):
@@ -139,22 +140,25 @@ def q_dataset_status(spark, sf):
 def q_lookup_first_wins(spark, sf):
     m = lookup_first_wins(fx.registry(spark, sf), fx.leaflets(spark, sf), master_key="sci_key",
                           lookup_key="search_key", ord_col="ord", require="leaflet",
-                          take={"leaflet": "leaflet", "practitioner": "practitioner", "route_ar": "route_ar"})
+                          take={"leaflet": "leaflet", "practitioner": "practitioner", "route_ar": "route_ar"},
+                          finish=fx.LEAFLET_FINISH)
     return m.select("ord", "sci_key", "leaflet", "practitioner", "route_ar")
 
 
 def q_lookup_gap_fill(spark, sf):
     m = lookup_first_wins(fx.registry(spark, sf), fx.leaflets(spark, sf), master_key="sci_key",
                           lookup_key="search_key", ord_col="ord", require="leaflet",
-                          take={"leaflet": "leaflet", "route_ar": "route_ar"})
+                          take={"leaflet": "leaflet", "route_ar": "route_ar"}, finish=fx.LEAFLET_FINISH)
     m = lookup_gap_fill(m, fx.brand_leaflets(spark, sf), master_key="brand_key", lookup_key="search_key",
-                        ord_col="ord", require="leaflet", take={"leaflet": "leaflet", "route_ar": "route_ar"})
+                        ord_col="ord", require="leaflet", take={"leaflet": "leaflet", "route_ar": "route_ar"},
+                        finish=fx.LEAFLET_FINISH)
     return m.select("ord", "brand_key", "leaflet", "route_ar")
 
 
 def q_lookup_last_wins(spark, sf):
     m = lookup_last_wins(fx.registry(spark, sf), fx.dosage(spark, sf), master_key="sci_key",
-                         lookup_key="search_key", ord_col="ord", value="dosage_context", target="intl_dosage")
+                         lookup_key="search_key", ord_col="ord", value="dosage_context", target="intl_dosage",
+                         finish=fx.DOSAGE_FINISH)
     return m.select("ord", "sci_key", "intl_dosage")
 
 
@@ -411,7 +415,7 @@ def q_stream_consult(spark, sf):
     master = spark.read.parquet(master_path)
     sd, ld = fx.symptom_dictionary(spark, sf), _link_dict(spark, sf)
     consult_stream(spark, f"{base}/in", req.schema, f"{base}/out", f"{base}/ckpt",
-                   lambda batch: consult_prompts(batch, master, sd, ld, MASTER_COLS))
+                   lambda batch: consult_prompts(batch, master, sd, ld, MASTER_COLS), files_per_trigger=2)
     return spark.read.parquet(f"{base}/out").drop("batch")
 
 

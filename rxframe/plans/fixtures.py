@@ -36,14 +36,15 @@ def registry(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def leaflets(spark: SparkSession, sf: str) -> DataFrame:
-    """Leaflet lookup: search name, patient leaflet (only some documents have
-    one), practitioner leaflet, Arabic route; normalised as T5."""
+    """Leaflet lookup (raw sheet text): search name, patient leaflet (only some
+    documents have one), practitioner leaflet, Arabic route.  Consumers apply
+    ``LEAFLET_FINISH`` (T5) to the rows they keep."""
     d = read_table(spark, sf, "documents", "doc_id", "text", "lang", "source")
     return d.select(
         F.col("doc_id").alias("ord"),
         F.col("source").alias("search_key"),
-        leaflet_normalise(F.when(F.col("lang") == "en", F.col("text"))).alias("leaflet"),
-        leaflet_normalise(F.when(F.col("lang") != "de", F.col("text"))).alias("practitioner"),
+        F.when(F.col("lang") == "en", F.col("text")).alias("leaflet"),
+        F.when(F.col("lang") != "de", F.col("text")).alias("practitioner"),
         F.col("lang").alias("route_ar"),
     )
 
@@ -53,22 +54,27 @@ def brand_leaflets(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(
         F.col("doc_id").alias("ord"),
         F.col("source").alias("search_key"),
-        leaflet_normalise(F.when(F.col("lang") == "fr", F.col("text"))).alias("leaflet"),
+        F.when(F.col("lang") == "fr", F.col("text")).alias("leaflet"),
         F.concat(F.lit("ar-"), F.col("lang")).alias("route_ar"),
     )
 
 
 def dosage(spark: SparkSession, sf: str) -> DataFrame:
-    """Dosage lookup: cleaned text as the adult section, labelled context."""
+    """Dosage lookup (raw page text as the adult section); consumers apply
+    ``DOSAGE_FINISH`` (T6 + T7) to the rows they keep."""
     d = read_table(spark, sf, "documents", "doc_id", "text", "source")
-    adult = dosage_normalise(F.col("text"))
     return d.select(
         F.col("doc_id").alias("ord"),
         F.col("source").alias("search_key"),
-        dosage_context(adult, F.lit(""), F.lit(""), F.lit("")).alias("dosage_context"),
+        F.col("text").alias("dosage_context"),
     )
 
 
+# row-wise cleaning of the lookup columns, applied after the one-row-per-key reduction
+LEAFLET_FINISH = {"leaflet": leaflet_normalise, "practitioner": leaflet_normalise}
+DOSAGE_FINISH = {"dosage_context": lambda c: dosage_context(dosage_normalise(c), F.lit(""), F.lit(""), F.lit(""))}
+
+
 def brand_mapping(spark: SparkSession, sf: str) -> DataFrame:
     """Brand mapping rows: term = first word of the name, brand = name,
     ingredient = brand label; file order = ``p_partkey``."""

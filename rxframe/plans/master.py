@@ -9,7 +9,8 @@ from rxframe.operators.enrich import lookup_first_wins, lookup_gap_fill, lookup_
 
 
 def build_master(registry: DataFrame, leaflets: DataFrame, brand_leaflets: DataFrame,
-                 dosage: DataFrame, *, sci_key: str, brand_key: str) -> DataFrame:
+                 dosage: DataFrame, *, sci_key: str, brand_key: str, leaflet_finish=None,
+                 dosage_finish=None) -> DataFrame:
     """Registry enriched in the reference's order.
 
     Adds ``leaflet``, ``practitioner``, ``route_ar`` (J2 by ``sci_key``), fills
@@ -19,12 +20,14 @@ def build_master(registry: DataFrame, leaflets: DataFrame, brand_leaflets: DataF
     """
     m = lookup_first_wins(registry, leaflets, master_key=sci_key, lookup_key="search_key", ord_col="ord",
                           require="leaflet",
-                          take={"leaflet": "leaflet", "practitioner": "practitioner", "route_ar": "route_ar"})
+                          take={"leaflet": "leaflet", "practitioner": "practitioner", "route_ar": "route_ar"},
+                          finish=leaflet_finish)
     m = m.withColumn("leaflet_before_gap", F.col("leaflet").isNotNull())
     m = lookup_gap_fill(m, brand_leaflets, master_key=brand_key, lookup_key="search_key", ord_col="ord",
-                        require="leaflet", take={"leaflet": "leaflet", "route_ar": "route_ar"})
+                        require="leaflet", take={"leaflet": "leaflet", "route_ar": "route_ar"},
+                        finish=leaflet_finish)
     m = lookup_last_wins(m, dosage, master_key=sci_key, lookup_key="search_key", ord_col="ord",
-                         value="dosage_context", target="intl_dosage")
+                         value="dosage_context", target="intl_dosage", finish=dosage_finish)
     return m
 
 
