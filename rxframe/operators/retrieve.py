@@ -86,10 +86,22 @@ def _first_k_per_term(cands: DataFrame, k: int, dedupe: bool) -> DataFrame:
 
 
 def _first_k_per_request(req_terms: DataFrame, per_term: DataFrame, req_col: str, k: int,
-                         dedupe: bool, small_per_term: bool) -> DataFrame:
-    rt = req_terms.select(req_col, "term_l").distinct()
-    pt = F.broadcast(per_term) if small_per_term else per_term
-    pairs = rt.join(pt, "term_l")
+                         dedupe: bool, small_per_term: bool, salt_buckets: int = 16) -> DataFrame:
+    """Join every request's terms to the (at most ``k`` long) per-term lists and
+    keep the first ``k`` rows per request.
+
+    The per-term side is broadcast when the term count passed the size check;
+    otherwise the join is salted on the request side, because one term (the
+    empty one, say) may be used by a third of all requests.  The pairs are
+    then hash-partitioned once by request: the dedupe aggregate and the
+    ranking window both run on that partitioning (one shuffle, not two).
+    """
+    rt = req_terms.select(req_col, "term_l")
+    if small_per_term:
+        pairs = rt.join(F.broadcast(per_term), "term_l")
+    else:
+        pairs = salted_equi_join(per_term, rt, "term_l", salt_buckets, right_salt_from=req_col)
+    pairs = pairs.repartition(req_col)
     if dedupe:
         pairs = pairs.groupBy(req_col, "dkey").agg(F.min("ord").alias("ord"))
     else:
@@ -102,7 +114,7 @@ def _first_k_per_request(req_terms: DataFrame, per_term: DataFrame, req_col: str
 def boundary_matches_per_term(terms: DataFrame, master: DataFrame, *, term_col: str = "term",
                               ord_col: str, trade_col: str, sci_col: str, k: int = 4,
                               dedupe: bool = True, salt_buckets: int = 16,
-                              broadcast_rows: int = 2_000_000) -> tuple[DataFrame, bool]:
+                              broadcast_rows: int = 500_000) -> tuple[DataFrame, bool]:
     """For every distinct lowered term: its first ``k`` matching rows
     ``(term_l, ord[, dkey])``.  Also says whether the term side was small
     enough to broadcast (then the per-term result is too)."""
@@ -133,7 +145,7 @@ def _empty_term_rows(master: DataFrame, ord_col: str, trade_col: str, sci_col: s
 
 def retrieve_topk(request_terms: DataFrame, master: DataFrame, *, req_col: str = "req_id",
                   term_col: str = "term", ord_col: str, trade_col: str, sci_col: str,
-                  k: int = 4, salt_buckets: int = 16, broadcast_rows: int = 2_000_000) -> DataFrame:
+                  k: int = 4, salt_buckets: int = 16, broadcast_rows: int = 500_000) -> DataFrame:
     """W4 over J8: per request the first ``k`` rows (file order) that match any
     term on a word boundary in either name, one row per scientific name.
 
@@ -144,7 +156,7 @@ def retrieve_topk(request_terms: DataFrame, master: DataFrame, *, req_col: str =
     per_term, small = boundary_matches_per_term(
         rt, master, term_col="term_l", ord_col=ord_col, trade_col=trade_col,
         sci_col=sci_col, k=k, dedupe=True, salt_buckets=salt_buckets, broadcast_rows=broadcast_rows)
-    out = _first_k_per_request(rt, per_term, req_col, k, True, small)
+    out = _first_k_per_request(rt, per_term, req_col, k, True, small, salt_buckets)
     return out.withColumnRenamed("ord", ord_col)
 
 
@@ -171,7 +183,7 @@ def substring_index_table(master: DataFrame, ord_col: str, trade_col: str, sci_c
 def retrieve_substring(request_terms: DataFrame, master: DataFrame, *, req_col: str = "req_id",
                        term_col: str = "term", ord_col: str, trade_col: str, sci_col: str,
                        k: int = 5, gram: int = 3, salt_buckets: int = 16,
-                       broadcast_rows: int = 2_000_000) -> DataFrame:
+                       broadcast_rows: int = 500_000) -> DataFrame:
     """W5 over J9: first ``k`` rows per request whose lowered trade or scientific
     name contains a term *as written* (the term is not lowered), no dedupe.
 
@@ -195,5 +207,5 @@ def retrieve_substring(request_terms: DataFrame, master: DataFrame, *, req_col:
     empty = (master.select(F.col(ord_col).alias("ord")).orderBy("ord").limit(k)
              .select(F.lit("").alias("term_l"), "ord"))
     per_term = per_term.unionByName(empty)
-    out = _first_k_per_request(rt, per_term, req_col, k, False, small)
+    out = _first_k_per_request(rt, per_term, req_col, k, False, small, salt_buckets)
     return out.withColumnRenamed("ord", ord_col)
