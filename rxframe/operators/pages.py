@@ -97,3 +97,27 @@ def page_outcome(html: Column, status: Column, title: Column, n_results: Column)
             .when(html.contains(NO_RESULTS_MARKER), F.lit("no_results"))
             .when(n_results > 0, F.lit("hit"))
             .otherwise(F.lit("miss")))
+
+
+CARD = r"<li>(.*?)</li>"
+
+
+def result_cards(pages: DataFrame, page_col: str, html_col: str, k: int,
+                 name_expr, ingredients_expr) -> DataFrame:
+    """H4: result cards of a search page in order; only the first ``k`` cards are
+    looked at, and *then* cards lacking a name or an ingredient text are
+    dropped (so fewer than ``k`` may remain).  ``name_expr`` and
+    ``ingredients_expr`` map the card markup column ``card`` to text (empty
+    means absent)."""
+    cards = pages.select(page_col, F.posexplode(F.regexp_extract_all(F.col(html_col), F.lit(CARD), F.lit(1)))
+                         .alias("pos", "card"))
+    cut = first_k_per_page(cards, page_col, k)
+    out = cut.select(page_col, F.col("pos").cast("long").alias("pos"),
+                     F.nullif(py_strip_col(name_expr(F.col("card"))), F.lit("")).alias("name"),
+                     F.nullif(py_strip_col(ingredients_expr(F.col("card"))), F.lit("")).alias("ingredients"))
+    return out.where(F.col("name").isNotNull() & F.col("ingredients").isNotNull())
+
+
+def py_strip_col(c: Column) -> Column:
+    from rxframe.functions.text import py_strip
+    return py_strip(html_unescape_basic(c))

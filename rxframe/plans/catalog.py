@@ -18,15 +18,16 @@ from rxframe.operators.enrich import (first_seen_by_derived_key, lookup_first_wi
                                       lookup_last_wins, nest_details, resume_todo, union_by_name)
 from rxframe.operators.link import extract_entities, link_dictionary, search_terms
 from rxframe.operators.context import format_request
-from rxframe.operators.pages import label_values, page_outcome, page_texts, result_links
+from rxframe.operators.pages import label_values, page_outcome, page_texts, result_cards, result_links
 from rxframe.operators.retrieve import boundary_matches_per_term, retrieve_substring, retrieve_topk
 from rxframe.operators.search import (HISTORY_OPTIONS, SYMPTOM_OPTIONS, agent_slots, display_defaults,
                                       option_labels, page_rows, search_filter)
 from rxframe.operators.clean import RAW_REGISTRY_SCHEMA
 from rxframe.session import scratch_path
 from rxframe.streaming.streams import consult_stream, page_extract_stream
-from rxframe.sources.files import (dictionary_entries, flatten_envelopes, read_csv_table, read_registry_json,
-                                   write_csv_table, write_registry_json)
+from rxframe.sources.files import (dictionary_entries, first_existing, flatten_envelopes, latest_version,
+                                   read_csv_table, read_registry_json, write_csv_table, write_new_version,
+                                   write_registry_json)
 from rxframe.plans import fixtures as fx
 from rxframe.plans.consult import consult_contexts, consult_prompts
 from rxframe.plans.master import build_master, coverage_report
@@ -432,3 +433,28 @@ QUERIES.update({
     "stream_consult": q_stream_consult,
     "stream_page_extract": q_stream_page_extract,
 })
+
+
+def q_page_cards(spark, sf):
+    """H4 on the landed pages: nav items as result cards (name = link text,
+    ingredient = a plain-word link target), first 5 cards looked at."""
+    p = read_table(spark, sf, "pages", "page_id", "html")
+    return result_cards(p, "page_id", "html", 5,
+                        name_expr=lambda c: F.regexp_extract(c, r">([^<]*)</a>", 1),
+                        ingredients_expr=lambda c: F.regexp_extract(c, r'href="/([a-z]+)"', 1))
+
+
+def q_master_versions(spark, sf):
+    """The enriched master written as a new version next to the old one,
+    read back from the newest version."""
+    base = scratch_path(spark, "master-versions")
+    write_new_version(fx.registry(spark, sf), base)                    # version 1: the cleaned registry
+    write_new_version(_master(spark, sf), base)                        # version 2: enriched
+    src = first_existing(spark, [f"{base}/missing", latest_version(spark, base)])
+    return spark.read.parquet(src).select("ord", "sci_key", "leaflet", "intl_dosage")
+
+
+QUERIES.update({
+    "page_cards": q_page_cards,
+    "master_versions": q_master_versions,
+})

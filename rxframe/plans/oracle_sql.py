@@ -497,3 +497,13 @@ ORACLES["stream_consult"] = ORACLES["prompt_table"]
 ORACLES["stream_page_extract"] = ORACLES["page_text"].replace(
     "WITH b AS (SELECT page_id, ", "WITH b AS (SELECT page_id, url, ").replace(
     "SELECT page_id, title, CASE", "SELECT page_id, url, title, CASE")
+
+ORACLES["page_cards"] = f"""WITH c0 AS (SELECT page_id, regexp_extract_all(html, '<li>(.*?)</li>', 1) AS l FROM pages),
+c1 AS (SELECT page_id, unnest(generate_series(0, len(l) - 1)) AS pos, unnest(l) AS card FROM c0),
+c2 AS (SELECT page_id, pos,
+         nullif({d.strip(_unescape("regexp_extract(card, '>([^<]*)</a>', 1)"))}, '') AS name,
+         nullif({d.strip(_unescape("regexp_extract(card, 'href=\"/([a-z]+)\"', 1)"))}, '') AS ingredients
+       FROM c1 WHERE pos < 5)
+SELECT page_id, pos, name, ingredients FROM c2 WHERE name IS NOT NULL AND ingredients IS NOT NULL"""
+
+ORACLES["master_versions"] = _with(REG, LEAF, BLEAF, DOS, MASTER) + "SELECT ord, sci_key, leaflet, intl_dosage FROM master"

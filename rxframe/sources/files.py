@@ -67,3 +67,47 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], "key string, value string")
     raw = spark.read.option("wholetext", True).text(path)
     return dictionary_entries(raw, "value")
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    return hpath, hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def first_existing(spark: SparkSession, paths: Sequence[str]) -> str | None:
+    """S3 path fallback: the first of ``paths`` that exists (a driver-side
+    metadata check, no data read); ``None`` when none does."""
+    for p in paths:
+        hpath, fs = _fs(spark, p)
+        if fs.exists(hpath):
+            return p
+    return None
+
+
+def write_new_version(df: DataFrame, base: str) -> str:
+    """S7: "overwrite in place" without reading and overwriting one path: write
+    ``base/v=<n+1>`` and return it; readers switch to the newest version
+    (``latest_version``).  A failed write leaves the previous version intact."""
+    spark = df.sparkSession
+    n = _max_version(spark, base)
+    path = f"{base.rstrip('/')}/v={n + 1}"
+    df.write.mode("errorifexists").parquet(path)
+    return path
+
+
+def latest_version(spark: SparkSession, base: str) -> str | None:
+    n = _max_version(spark, base)
+    return f"{base.rstrip('/')}/v={n}" if n > 0 else None
+
+
+def _max_version(spark: SparkSession, base: str) -> int:
+    hpath, fs = _fs(spark, base)
+    if not fs.exists(hpath):
+        return 0
+    best = 0
+    for st in fs.listStatus(hpath):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith("v=") and name[2:].isdigit():
+            best = max(best, int(name[2:]))
+    return best
