@@ -129,8 +129,10 @@ def boundary_matches_per_term(terms: DataFrame, master: DataFrame, *, term_col:
     # the rows holding it as a token: only other terms need the pattern check
     exact = F.col("key") == F.concat(F.substring("key", 1, 1), F.col("term_l"))
     verified = cands.where(exact | F.expr("a RLIKE pattern") | F.expr("b RLIKE pattern"))
-    cols = ["term_l", "ord", "dkey"]
-    verified = verified.select(*cols).unionByName(_empty_term_rows(master, ord_col, trade_col, sci_col))
+    verified = verified.select("term_l", "ord", "dkey")
+    # the empty term's list needs a pass over the whole master: only when used
+    if terms.where(F.col(term_col) == "").limit(1).count() > 0:
+        verified = verified.unionByName(_empty_term_rows(master, ord_col, trade_col, sci_col))
     return _first_k_per_term(verified, k, dedupe), small
 
 

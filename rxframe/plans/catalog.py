@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from rxframe.functions.text import brand_simplify, query_string_form, url_slug
 from rxframe.operators import quality
-from rxframe.operators.clean import (clean_dosage, clean_leaflets, clean_registry_with_id, distinct_agent_names,
+from rxframe.operators.clean import (clean_dosage, clean_leaflets, clean_registry_with_id, distinct_names_per_key,
                                      extract_sections, leaflet_keep_predicate)
 from rxframe.operators.context import MasterColumns
 from rxframe.operators.enrich import (first_seen_by_derived_key, lookup_first_wins, lookup_gap_fill,
@@ -194,8 +194,16 @@ def q_nest_details(spark, sf):
 
 
 def q_nested_distinct_join(spark, sf):
-    agents = fx.order_agents(spark, sf)
-    return agents.select("o_orderkey", distinct_agent_names("agents").alias("agents"))
+    """A10 per order over its suppliers' names (long form; orders whose
+    suppliers all lack a name get ``""``)."""
+    li = read_table(spark, sf, "lineitem", "l_orderkey", "l_suppkey")
+    s = read_table(spark, sf, "supplier", "s_suppkey", "s_name")
+    long = li.join(s, li.l_suppkey == s.s_suppkey, "left").select(
+        F.col("l_orderkey").alias("o_orderkey"), F.concat(F.lit(" "), F.col("s_name"), F.lit("  ")).alias("nameEn"))
+    named = distinct_names_per_key(long, "o_orderkey", "nameEn")
+    keys = long.select("o_orderkey").distinct()
+    return keys.join(named, "o_orderkey", "left").select(
+        "o_orderkey", F.coalesce(F.col("agents"), F.lit("")).alias("agents"))
 
 
 def q_search_terms(spark, sf):

@@ -193,17 +193,6 @@ def raw_registry(spark: SparkSession, sf: str) -> DataFrame:
         agents.alias("agents"))
 
 
-def order_agents(spark: SparkSession, sf: str) -> DataFrame:
-    """Per order, its suppliers as a nested agent list (``nameEn`` = supplier
-    name, padded), as the harvest nests agents per register number."""
-    li = read_table(spark, sf, "lineitem", "l_orderkey", "l_suppkey", "l_linenumber")
-    s = read_table(spark, sf, "supplier", "s_suppkey", "s_name")
-    j = li.join(s, li.l_suppkey == s.s_suppkey, "left")
-    return (j.groupBy(F.col("l_orderkey").alias("o_orderkey"))
-            .agg(F.collect_list(F.struct(F.concat(F.lit(" "), F.col("s_name"), F.lit("  ")).alias("nameEn")))
-                 .alias("agents")))
-
-
 def order_envelopes(spark: SparkSession, sf: str, page_size: int = 100) -> DataFrame:
     """Registry pages as the paged API returns them: orders packed by key into
     pages of ``page_size`` numbers, ``{"pageCount": n, "results": [...]}``;
