@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rxframe.functions import text as tx
+from rxframe.operators.common import keep_rows
 
 # The cleaned registry's column order and the raw field each comes from.
 REGISTRY_HEADERS = [
@@ -89,7 +90,7 @@ def clean_leaflets(df: DataFrame, required_any: Sequence[str],
     strings = {f.name for f in kept.schema.fields if isinstance(f.dataType, T.StringType)}
     normalised = kept.select(*[tx.leaflet_normalise(c).alias(c) if c in strings else F.col(c)
                                for c in kept.columns])
-    return normalised.where(leaflet_keep_predicate(normalised.columns, leaflet_cols))
+    return keep_rows(normalised, leaflet_keep_predicate(normalised.columns, leaflet_cols))
 
 
 DOSAGE_COLS = ("adult", "pediatric", "renal", "liver")
@@ -99,7 +100,7 @@ def clean_dosage(df: DataFrame, cols: Sequence[str] = DOSAGE_COLS) -> DataFrame:
     """T6 on the four dosage texts, F4 (drop rows where all four are empty),
     T7 labelled ``dosage_context``."""
     out = df.select(*[tx.dosage_normalise(c).alias(c) if c in cols else F.col(c) for c in df.columns])
-    out = out.where(~functools.reduce(lambda a, b: a & b, [F.col(c) == "" for c in cols]))
+    out = keep_rows(out, ~functools.reduce(lambda a, b: a & b, [F.col(c) == "" for c in cols]))
     return out.withColumn("dosage_context", tx.dosage_context(*cols))
 
 
@@ -114,7 +115,7 @@ def extract_sections(df: DataFrame, text_col: str) -> DataFrame:
         tx.section_between(t, tx.PEDIATRIC_MARKER, "Usual", 1000).alias("pediatric"),
         tx.section_between(t, tx.RENAL_MARKER, "\n\n", 500).alias("renal"),
         tx.section_between(t, tx.LIVER_MARKER, "\n\n", 500).alias("liver"))
-    return out.where((F.col("adult") != "") | (F.col("pediatric") != ""))
+    return keep_rows(out, (F.col("adult") != "") | (F.col("pediatric") != ""))
 
 
 

@@ -38,3 +38,16 @@ def salted_equi_join(left: DataFrame, right: DataFrame, key: str, buckets: int,
     l = left.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
     r = right.withColumn("_salt", F.pmod(F.xxhash64(F.col(right_salt_from)), F.lit(buckets)).cast("int"))
     return l.join(r, [key, "_salt"], how).drop("_salt")
+
+
+def keep_rows(df: DataFrame, cond) -> DataFrame:
+    """``df.where(cond)`` for a condition on *computed* columns, without
+    recomputing them.
+
+    Catalyst pushes a ``Filter`` below the ``Project`` that computed the columns
+    by inlining their expressions, so expensive text expressions would run
+    twice (once in the pushed filter, once in the projection).  Expressing the
+    filter as a generator that emits the row or nothing keeps one evaluation:
+    the projection computes each column once and the generator only reads them.
+    """
+    return df.select(F.inline(F.when(cond, F.array(F.struct(*df.columns))).otherwise(F.array())))
