@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from rxframe.functions.text import (WORD, inner_separator_runs, py_str_or_nan,
                                     word_pattern, word_runs)
-from rxframe.operators.common import bounded_broadcast, salted_equi_join
+from rxframe.operators.common import bounded_broadcast, salted_equi_join  # noqa: F401
 from rxframe.session import materialize
 
 
@@ -118,11 +118,16 @@ def boundary_matches_per_term(terms: DataFrame, master: DataFrame, *, term_col:
     """For every distinct lowered term: its first ``k`` matching rows
     ``(term_l, ord[, dkey])``.  Also says whether the term side was small
     enough to broadcast (then the per-term result is too)."""
-    tk = boundary_term_keys(terms, term_col).where(F.col("key") != "e")
+    # distinct terms, written once: one small job then gives both the size
+    # check for the broadcast and whether the empty term is used at all
+    tk = materialize(boundary_term_keys(terms, term_col), "term-keys")
+    stats = tk.agg(F.count(F.lit(1)).alias("n"),
+                   F.max((F.col("key") == "e").cast("int")).alias("has_empty")).first()
+    small = stats["n"] <= broadcast_rows
+    tk = tk.where(F.col("key") != "e")
     idx = boundary_index(master, ord_col, trade_col, sci_col)
-    tk_b, small = bounded_broadcast(tk, broadcast_rows)
     if small:
-        cands = idx.join(tk_b, "key")
+        cands = idx.join(F.broadcast(tk), "key")
     else:
         cands = salted_equi_join(tk, idx, "key", salt_buckets, right_salt_from="ord")
     # a term that is one word run, or one inner separator run, matches exactly
@@ -131,7 +136,7 @@ def boundary_matches_per_term(terms: DataFrame, master: DataFrame, *, term_col:
     verified = cands.where(exact | F.expr("a RLIKE pattern") | F.expr("b RLIKE pattern"))
     verified = verified.select("term_l", "ord", "dkey")
     # the empty term's list needs a pass over the whole master: only when used
-    if terms.where(F.col(term_col) == "").limit(1).count() > 0:
+    if stats["has_empty"]:
         verified = verified.unionByName(_empty_term_rows(master, ord_col, trade_col, sci_col))
     return _first_k_per_term(verified, k, dedupe), small
 
