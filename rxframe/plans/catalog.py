@@ -23,7 +23,7 @@ from rxframe.operators.retrieve import boundary_matches_per_term, retrieve_subst
 from rxframe.operators.search import (HISTORY_OPTIONS, SYMPTOM_OPTIONS, agent_slots, display_defaults,
                                       option_labels, page_rows, search_filter)
 from rxframe.operators.clean import RAW_REGISTRY_SCHEMA
-from rxframe.session import scratch_path
+from rxframe.session import materialize, scratch_path
 from rxframe.streaming.streams import consult_stream, page_extract_stream
 from rxframe.sources.files import (dictionary_entries, first_existing, flatten_envelopes, latest_version,
                                    read_csv_table, read_registry_json, write_csv_table, write_new_version,
@@ -422,7 +422,8 @@ def q_stream_consult(spark, sf):
     master_path = f"{base}/master"
     _master(spark, sf).write.parquet(master_path)          # static side, materialised once
     master = spark.read.parquet(master_path)
-    sd, ld = fx.symptom_dictionary(spark, sf), _link_dict(spark, sf)
+    # static dimensions, written once: every micro-batch reads them instead of re-deriving them
+    sd, ld = materialize(fx.symptom_dictionary(spark, sf), "sd"), materialize(_link_dict(spark, sf), "ld")
     consult_stream(spark, f"{base}/in", req.schema, f"{base}/out", f"{base}/ckpt",
                    lambda batch: consult_prompts(batch, master, sd, ld, MASTER_COLS), files_per_trigger=2)
     return spark.read.parquet(f"{base}/out").drop("batch")
