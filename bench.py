@@ -26,8 +26,8 @@ def main() -> None:
     only = [k for k in sys.argv[1:] if k in QUERIES]
     keys = only or (HEADLINE + [k for k in QUERIES if k not in HEADLINE and k in QUERIES])
     spark = build_session(f"local[{cpus}]", cpus, app_name="rxframe-bench")
-    # warm-up (untimed): JVM start and JIT, codegen caches, on the smallest fixture
-    warm_dir = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.001")
+    # warm-up (untimed): JVM start and JIT, codegen caches, on a smaller fixture
+    warm_dir = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.01")
     if os.path.isdir(warm_dir):
         for k in HEADLINE:
             QUERIES[k](spark, warm_dir).write.format("noop").mode("overwrite").save()

@@ -68,40 +68,56 @@ def expand_items(requests: DataFrame, req_col: str, field_col: str, dictionary:
             .select(req_col, "pos", F.posexplode(F.coalesce("exp", F.array("item"))).alias("sub", "term")))
 
 
+def entity_rows(requests: DataFrame, symptom_dict: DataFrame, link_dict: DataFrame, *,
+                req_col: str = "req_id", symptoms_col: str = "symptoms", history_col: str = "history",
+                medications_col: str = "medications") -> DataFrame:
+    """C3 as one long table ``(req, field, pos, sub, term, ingredient)``.
+
+    All three request fields are exploded in one pass; symptom and history
+    items that are dictionary keys expand to their terms (J6), medication items
+    stay as they are and empty ones are skipped; every non-empty term is then
+    looked up once in the brand dictionary (J7).  Terms, links and search terms
+    all derive from this table, so callers can materialise it once.
+    """
+    fields = F.array(
+        F.struct(F.lit(FIELD_SYMPTOMS).alias("field"), F.col(symptoms_col).alias("text")),
+        F.struct(F.lit(FIELD_HISTORY).alias("field"), F.col(history_col).alias("text")),
+        F.struct(F.lit(FIELD_MEDICATIONS).alias("field"), F.col(medications_col).alias("text")))
+    per_field = requests.select(req_col, F.inline(fields))
+    items = per_field.select(req_col, "field", F.posexplode(comma_items("text")).alias("pos", "item"))
+    d = symptom_dict.select(F.col("key").alias("item"),
+                            F.transform(F.split(F.col("value"), ","), lambda x: py_strip(x)).alias("exp"))
+    expanded = items.join(d, "item", "left").select(
+        req_col, "field", "pos",
+        F.posexplode(F.when(F.col("field") == FIELD_MEDICATIONS,
+                            F.when(F.col("item") != "", F.array("item")).otherwise(F.array().cast("array<string>")))
+                     .otherwise(F.coalesce("exp", F.array("item")))).alias("sub", "term"))
+    return resolve_links(expanded, link_dict)
+
+
+def terms_and_links(rows: DataFrame, req_col: str = "req_id") -> tuple[DataFrame, DataFrame]:
+    """From ``entity_rows``: ``terms`` ``(req, field, pos, sub, term)`` (each
+    linked medication followed by its ingredient) and ``links``
+    ``(req, brand, ingredient, link_rank)``, one row per linked name in the
+    reference's insertion order (medications, then symptom/history terms)."""
+    med_ings = rows.where((F.col("field") == FIELD_MEDICATIONS) & F.col("ingredient").isNotNull()).select(
+        req_col, "field", "pos", F.lit(1).alias("sub"), F.col("ingredient").alias("term"))
+    terms = rows.select(req_col, "field", "pos", "sub", "term").unionByName(med_ings)
+    links = (rows.where(F.col("ingredient").isNotNull())
+             .select(req_col, F.col("term").alias("brand"), "ingredient", F.struct("field", "pos", "sub").alias("rank"))
+             .groupBy(req_col, "brand")
+             .agg(F.min_by("ingredient", "rank").alias("ingredient"), F.min("rank").alias("link_rank")))
+    return terms, links
+
+
 def extract_entities(requests: DataFrame, symptom_dict: DataFrame, link_dict: DataFrame, *,
                      req_col: str = "req_id", symptoms_col: str = "symptoms",
                      history_col: str = "history", medications_col: str = "medications"
                      ) -> tuple[DataFrame, DataFrame]:
-    """C3.  Returns ``(terms, links)``:
-
-    * ``terms``  ``(req, field, pos, sub, term)``: expanded symptoms and history,
-      non-empty medications each followed by its linked ingredient;
-    * ``links``  ``(req, brand, ingredient, link_rank)``: one row per linked
-      name, ranked in the reference's insertion order (medications, then
-      symptom and history terms not linked yet).
-    """
-    sym = expand_items(requests, req_col, symptoms_col, symptom_dict).withColumn("field", F.lit(FIELD_SYMPTOMS))
-    his = expand_items(requests, req_col, history_col, symptom_dict).withColumn("field", F.lit(FIELD_HISTORY))
-    meds = (requests.select(req_col, F.posexplode(comma_items(medications_col)).alias("pos", "term"))
-            .where(F.col("term") != ""))
-    meds = resolve_links(meds, link_dict)
-    med_terms = meds.select(req_col, "pos", F.explode(F.array_compact(F.array(
-        F.struct(F.lit(0).alias("sub"), F.col("term").alias("term")),
-        F.when(F.col("ingredient").isNotNull(),
-               F.struct(F.lit(1).alias("sub"), F.col("ingredient").alias("term")))))).alias("x"))
-    med_terms = med_terms.select(req_col, F.lit(FIELD_MEDICATIONS).alias("field"), "pos", "x.sub", "x.term")
-    text_terms = sym.unionByName(his)
-    terms = text_terms.select(req_col, "field", "pos", "sub", "term").unionByName(med_terms)
-
-    med_links = meds.where(F.col("ingredient").isNotNull()).select(
-        req_col, F.col("term").alias("brand"), "ingredient",
-        F.struct(F.lit(FIELD_MEDICATIONS).alias("field"), F.col("pos"), F.lit(0).alias("sub")).alias("rank"))
-    text_links = resolve_links(text_terms, link_dict).where(F.col("ingredient").isNotNull()).select(
-        req_col, F.col("term").alias("brand"), "ingredient",
-        F.struct("field", "pos", "sub").alias("rank"))
-    links = (med_links.unionByName(text_links).groupBy(req_col, "brand")
-             .agg(F.min_by("ingredient", "rank").alias("ingredient"), F.min("rank").alias("link_rank")))
-    return terms, links
+    """``(terms, links)`` of every request (see ``terms_and_links``)."""
+    rows = entity_rows(requests, symptom_dict, link_dict, req_col=req_col, symptoms_col=symptoms_col,
+                       history_col=history_col, medications_col=medications_col)
+    return terms_and_links(rows, req_col)
 
 
 def search_terms(terms: DataFrame, links: DataFrame, req_col: str = "req_id") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,8 +71,7 @@ def q_request_terms(spark, sf):
 
 def q_entity_link(spark, sf):
     _, links = _entities(spark, sf)
-    w = F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window
-                            .partitionBy("req_id").orderBy("link_rank"))
+    w = F.row_number().over(Window.partitionBy("req_id").orderBy("link_rank"))
     return links.select("req_id", "brand", "ingredient", w.cast("long").alias("link_pos"))
 
 

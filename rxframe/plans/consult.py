@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from rxframe.operators.context import MasterColumns, consult_context, context_lines, prompt_table
-from rxframe.operators.link import extract_entities, search_terms
+from rxframe.operators.link import entity_rows, search_terms, terms_and_links
 from rxframe.operators.retrieve import retrieve_topk
 from rxframe.session import materialize
 
@@ -15,14 +15,14 @@ def consult_contexts(requests: DataFrame, master: DataFrame, symptom_dict: DataF
                      req_col: str = "req_id", k: int = 4) -> DataFrame:
     """``(req, context)`` for every request.
 
-    The master (only the columns the context needs) and the link rows are
+    The master (only the columns the context needs) and the entity rows are
     materialised once: both feed two branches (retrieval and context text).
     """
     needed = [ord_col] + [c for c in (cols.trade, cols.sci, cols.form, cols.strength, cols.price, cols.route,
                                       cols.route_ar, cols.leaflet, cols.intl_dosage) if c]
-    master = materialize(master.select(*needed))
-    terms, links = extract_entities(requests, symptom_dict, link_dict, req_col=req_col)
-    links = materialize(links)
+    master = materialize(master.select(*needed), "master")
+    rows = materialize(entity_rows(requests, symptom_dict, link_dict, req_col=req_col), "entities")
+    terms, links = terms_and_links(rows, req_col)
     st = search_terms(terms, links, req_col)
     ranked = retrieve_topk(st, master, req_col=req_col, term_col="term", ord_col=ord_col,
                            trade_col=cols.trade, sci_col=cols.sci, k=k)

@@ -3,8 +3,6 @@
 import os
 import tempfile
 
-from pyspark.sql import functions as F
-
 from rxframe.operators.pages import label_values, page_texts, result_links
 from rxframe.operators.search import page_rows
 
