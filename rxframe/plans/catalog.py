@@ -18,6 +18,7 @@ from rxframe.operators.enrich import (first_seen_by_derived_key, lookup_first_wi
                                       lookup_last_wins, nest_details, resume_todo, union_by_name)
 from rxframe.operators.link import extract_entities, link_dictionary, search_terms
 from rxframe.operators.context import format_request
+from rxframe.operators.detail_pages import detail_fields, detail_sections
 from rxframe.operators.pages import label_values, page_outcome, page_texts, result_cards, result_links
 from rxframe.operators.retrieve import boundary_matches_per_term, retrieve_substring, retrieve_topk
 from rxframe.operators.search import (HISTORY_OPTIONS, SYMPTOM_OPTIONS, agent_slots, display_defaults,
@@ -466,3 +467,19 @@ QUERIES.update({
     "page_cards": q_page_cards,
     "master_versions": q_master_versions,
 })
+
+
+def q_detail_fields(spark, sf):
+    """H2 on registry detail pages: label/value pairs, later duplicate label wins."""
+    return detail_fields(fx.detail_pages(spark, sf))
+
+
+def q_detail_sections(spark, sf):
+    """H3 on registry detail pages: leaflet tabs by id, placeholder tabs dropped."""
+    return detail_sections(fx.detail_pages(spark, sf))
+
+
+QUERIES.update({
+    "detail_fields": q_detail_fields,
+    "detail_sections": q_detail_sections,
+})

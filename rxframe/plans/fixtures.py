@@ -205,3 +205,28 @@ def order_envelopes(spark: SparkSession, sf: str, page_size: int = 100) -> DataF
     n_pages = pages.select(F.count(F.lit(1))).scalar()
     return pages.select("page", F.to_json(F.struct(n_pages.cast("int").alias("pageCount"), "results"))
                         .alias("envelope"))
+
+
+def detail_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Registry detail pages rendered from ``part``: a data tab of label/value
+    pairs (nested and padded values, a label repeated later), a patient leaflet
+    tab and a practitioner tab that holds the empty-leaflet placeholder for
+    large sizes."""
+    p = read_table(spark, sf, "part", "p_partkey", "p_name", "p_type", "p_brand", "p_size")
+    html = F.concat(
+        F.lit('<html><body><div id="D-div" class="tab">'),
+        F.lit('<label class="form-label"> Trade Name </label><div class="form-line">  '), F.col("p_name"),
+        F.lit(' </div>'),
+        F.lit('<label class="form-label">Scientific Name</label><div class="form-line"><div><b>'), F.col("p_type"),
+        F.lit('</b></div></div>'),
+        F.lit('<label class="form-label">Brand</label><div class="row"><div class="form-line">'), F.col("p_brand"),
+        F.lit('</div></div>'),
+        F.lit('<label class="form-label">Trade Name</label><div class="form-line">'), F.upper("p_name"),
+        F.lit('</div></div>'),
+        F.lit('<div id="A-div"><div><p>'), F.col("p_name"), F.lit('</p><p> '), F.col("p_brand"),
+        F.lit(' </p><p>  </p></div></div>'),
+        F.lit('<div id="M-div"><p>'),
+        F.when(F.col("p_size") > 40, F.lit("لم يتم إدخال بيانات"))
+        .otherwise(F.concat(F.lit("Size "), F.col("p_size").cast("string"))),
+        F.lit('</p></div></body></html>'))
+    return p.select(F.col("p_partkey").alias("page_id"), html.alias("html"))

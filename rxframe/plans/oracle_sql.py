@@ -507,3 +507,10 @@ c2 AS (SELECT page_id, pos,
 SELECT page_id, pos, name, ingredients FROM c2 WHERE name IS NOT NULL AND ingredients IS NOT NULL"""
 
 ORACLES["master_versions"] = _with(REG, LEAF, BLEAF, DOS, MASTER) + "SELECT ord, sci_key, leaflet, intl_dosage FROM master"
+
+ORACLES["detail_fields"] = """SELECT p_partkey AS page_id, CAST(0 AS BIGINT) AS pos, 'Trade Name' AS label, upper(p_name) AS value FROM part
+UNION ALL SELECT p_partkey, 1, 'Scientific Name', p_type FROM part
+UNION ALL SELECT p_partkey, 2, 'Brand', p_brand FROM part"""
+
+ORACLES["detail_sections"] = """SELECT p_partkey AS page_id, 'leaflet' AS section, p_name || chr(10) || p_brand AS text FROM part
+UNION ALL SELECT p_partkey, 'practitioner', 'Size ' || CAST(p_size AS VARCHAR) FROM part WHERE p_size <= 40"""
