@@ -114,7 +114,7 @@ def _first_k_per_request(req_terms: DataFrame, per_term: DataFrame, req_col: str
 def boundary_matches_per_term(terms: DataFrame, master: DataFrame, *, term_col: str = "term",
                               ord_col: str, trade_col: str, sci_col: str, k: int = 4,
                               dedupe: bool = True, salt_buckets: int = 16,
-                              broadcast_rows: int = 500_000) -> tuple[DataFrame, bool]:
+                              broadcast_rows: int = 500_000, rarest: bool = True) -> tuple[DataFrame, bool]:
     """For every distinct lowered term: its first ``k`` matching rows
     ``(term_l, ord[, dkey])``.  Also says whether the term side was small
     enough to broadcast (then the per-term result is too)."""
@@ -126,6 +126,8 @@ def boundary_matches_per_term(terms: DataFrame, master: DataFrame, *, term_col:
     small = stats["n"] <= broadcast_rows
     tk = tk.where(F.col("key") != "e")
     idx = boundary_index(master, ord_col, trade_col, sci_col)
+    if rarest:
+        tk = _rarest_run_keys(tk, idx, small)
     if small:
         cands = idx.join(F.broadcast(tk), "key")
     else:
@@ -141,6 +143,27 @@ def boundary_matches_per_term(terms: DataFrame, master: DataFrame, *, term_col:
     return _first_k_per_term(verified, k, dedupe), small
 
 
+def _rarest_run_keys(tk: DataFrame, idx: DataFrame, small: bool) -> DataFrame:
+    """Re-key word terms on their rarest word run in the index (ties: longest,
+    then first).  Any run of a term is a sound key (a match holds every run as
+    a whole token); the rarest one bounds the candidates a hot token would
+    otherwise bring.  A run absent from the index gets frequency 0, so its term
+    matches nothing without touching the index.  Token counts come from a
+    hash aggregate with map-side combine; the term side is broadcast when it
+    passed the size check."""
+    freq = idx.groupBy("key").agg(F.count(F.lit(1)).alias("freq"))
+    runs = (tk.where(F.col("key").startswith("w"))
+            .select("term_l", F.posexplode(word_runs(F.col("term_l"))).alias("i", "run"))
+            .select("term_l", "i", F.concat(F.lit("w"), F.col("run")).alias("key"), F.length("run").alias("len")))
+    runs_j = F.broadcast(runs) if small else runs
+    ranked = freq.join(runs_j, "key", "right").select(
+        "term_l", "key", F.struct(F.coalesce("freq", F.lit(0)).alias("f"), (-F.col("len")).alias("l"),
+                                  F.col("i")).alias("rank"))
+    best = ranked.groupBy("term_l").agg(F.min_by("key", "rank").alias("best"))
+    return (tk.join(F.broadcast(best) if small else best, "term_l", "left")
+            .select("term_l", F.coalesce("best", "key").alias("key"), "pattern"))
+
+
 def _empty_term_rows(master: DataFrame, ord_col: str, trade_col: str, sci_col: str) -> DataFrame:
     """Rows matched by the empty term (``\\b\\b``): any word character in either
     lowered name.  Tagged with ``term_l = ''``; reduced with the rest."""
@@ -178,11 +201,13 @@ def _grams(c, n: int):
 
 
 def substring_index_table(master: DataFrame, ord_col: str, trade_col: str, sci_col: str,
-                          gram: int = 3) -> DataFrame:
-    """n-gram index (all grams of length 1..``gram``) of the lowered names."""
+                          gram: int = 3, lengths=None) -> DataFrame:
+    """n-gram index of the lowered names: grams of the given ``lengths``
+    (default all of 1..``gram``)."""
     a = py_str_or_nan(trade_col)
     b = py_str_or_nan(sci_col)
-    grams = F.array_distinct(F.flatten(F.array(*[_grams(x, n) for x in (a, b) for n in range(1, gram + 1)])))
+    lengths = sorted(lengths) if lengths else list(range(1, gram + 1))
+    grams = F.array_distinct(F.flatten(F.array(*[_grams(x, n) for x in (a, b) for n in lengths])))
     return master.select(F.col(ord_col).alias("ord"), a.alias("a"), b.alias("b"),
                          F.explode(grams).alias("key"))
 
@@ -201,7 +226,10 @@ def retrieve_substring(request_terms: DataFrame, master: DataFrame, *, req_col:
     t = F.col(term_col)
     rt = materialize(request_terms.select(req_col, t.alias("term_l")).distinct())
     terms = rt.select("term_l").distinct()
-    idx = substring_index_table(master, ord_col, trade_col, sci_col, gram)
+    # only the gram lengths some term needs (at most ``gram`` small values)
+    lengths = [r[0] for r in terms.where(F.col("term_l") != "")
+               .select(F.least(F.length("term_l"), F.lit(gram))).distinct().collect()]
+    idx = substring_index_table(master, ord_col, trade_col, sci_col, gram, lengths or [gram])
     keyed = terms.where(F.col("term_l") != "").withColumn("key", F.substring("term_l", 1, gram))
     keyed_b, small = bounded_broadcast(keyed, broadcast_rows)
     if small:
