@@ -212,7 +212,8 @@ def detail_pages(spark: SparkSession, sf: str) -> DataFrame:
     pairs (nested and padded values, a label repeated later), a patient leaflet
     tab and a practitioner tab that holds the empty-leaflet placeholder for
     large sizes."""
-    p = read_table(spark, sf, "part", "p_partkey", "p_name", "p_type", "p_brand", "p_size")
+    # the rows become page texts parsed in Python: spread them over the cores
+    p = read_table(spark, sf, "part", "p_partkey", "p_name", "p_type", "p_brand", "p_size", spread=True)
     html = F.concat(
         F.lit('<html><body><div id="D-div" class="tab">'),
         F.lit('<label class="form-label"> Trade Name </label><div class="form-line">  '), F.col("p_name"),
