@@ -30,7 +30,7 @@ from rxframe.sources.files import (dictionary_entries, first_existing, flatten_e
                                    read_csv_table, read_registry_json, write_csv_table, write_new_version,
                                    write_registry_json)
 from rxframe.plans import fixtures as fx
-from rxframe.plans.consult import consult_contexts, consult_prompts
+from rxframe.plans.consult import consult_contexts, consult_lines, consult_prompts
 from rxframe.plans.master import build_master, coverage_report
 from rxframe.sources.tables import read_table
 
@@ -84,12 +84,9 @@ def q_retrieve_topk(spark, sf):
 
 
 def q_context_lines(spark, sf):
-    from rxframe.operators.context import context_lines
-    terms, links = _entities(spark, sf)
-    st = search_terms(terms, links)
-    master = _master(spark, sf)
-    ranked = retrieve_topk(st, master, ord_col="ord", trade_col="trade_name", sci_col="scientific_name", k=4)
-    return context_lines(ranked, master, MASTER_COLS, ord_col="ord").withColumn("rn", F.col("rn").cast("long"))
+    lines, _ = consult_lines(fx.consult_requests(spark, sf), _master(spark, sf), fx.symptom_dictionary(spark, sf),
+                             _link_dict(spark, sf), MASTER_COLS)
+    return lines.withColumn("rn", F.col("rn").cast("long"))
 
 
 def q_consult_context(spark, sf):
