@@ -5,15 +5,18 @@ matches.  Here every request is handled in one plan:
 
 1. the master is turned into an inverted index ``(key, ord, a, b, dkey)``;
 2. each *distinct* lowered term gets one equi-join key that every true match
-   must contain (a word run of the term, the term itself when it has no word
-   character, or the empty-term key);
-3. candidates are verified with the exact pattern, reduced to the first ``k``
-   rows per term (exact, see ``_first_k_per_term``), and only then joined back
-   to the requests and reduced again to ``k`` per request.
+   must contain: its rarest word run in the index, or the term itself when it
+   has no word character; the empty term (which matches every row holding a
+   word character) is a separate scan, run only when some request uses it;
+3. candidates are verified with the exact pattern (single-run terms match
+   exactly by token equality), reduced to the first ``k`` rows per term
+   (exact, see ``_first_k_per_term``), and only then joined back to the
+   requests and reduced again to ``k`` per request.
 
 No step pairs every request with every row: the per-term lists are at most
-``k`` long, and the index join is salted so that a key held by a third of the
-master is spread over many tasks.
+``k`` long, the term side is broadcast only after a size check, and otherwise
+the joins are salted so that a key held by a third of the master (or a term
+used by a third of the requests) is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from rxframe.functions.text import (WORD, inner_separator_runs, py_str_or_nan,
                                     word_pattern, word_runs)
-from rxframe.operators.common import bounded_broadcast, salted_equi_join  # noqa: F401
+from rxframe.operators.common import bounded_broadcast, salted_equi_join
 from rxframe.session import materialize
 
 
