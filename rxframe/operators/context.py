@@ -110,7 +110,13 @@ def context_line(m: MasterColumns) -> F.Column:
 
 def context_lines(ranked: DataFrame, master: DataFrame, m: MasterColumns, *, req_col: str = "req_id",
                   ord_col: str) -> DataFrame:
-    """``(req, rn, line)`` for retrieved rows ``(req, rn, ord)``."""
+    """``(req, rn, line)`` for retrieved rows ``(req, rn, ord)``.
+
+    The same few master rows can be retrieved for many requests (the first
+    rows of a frequent term), so the join on ``ord`` may be skewed on the
+    retrieved side: AQE's skew-join split handles such partitions, and AQE
+    broadcasts the master side when its measured size is small.
+    """
     return (ranked.join(master, ord_col)
             .select(req_col, "rn", context_line(m).alias("line")))
 
