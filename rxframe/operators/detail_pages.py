@@ -17,6 +17,8 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from rxframe.session import ship_package
+
 # The detail page's structure and the empty-leaflet placeholder.
 DATA_SECTION_ID = "D-div"
 LABEL_CLASS = "form-label"
@@ -108,6 +110,7 @@ SECTION_SCHEMA = "page_id long, section string, text string"
 
 def detail_fields(pages: DataFrame, page_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """H2 long form ``(page_id, pos, label, value)`` (``pos`` = label order)."""
+    ship_package(pages.sparkSession)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
@@ -120,6 +123,7 @@ def detail_fields(pages: DataFrame, page_col: str = "page_id", html_col: str = "
 
 def detail_sections(pages: DataFrame, page_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """H3 ``(page_id, section, text)`` for the leaflet sections found by id."""
+    ship_package(pages.sparkSession)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
