@@ -132,3 +132,53 @@ def detail_sections(pages: DataFrame, page_col: str = "page_id", html_col: str =
                 rows.extend((pid, k, v) for k, v in sections.items())
             yield pd.DataFrame(rows, columns=["page_id", "section", "text"])
     return pages.select(page_col, html_col).mapInPandas(run, SECTION_SCHEMA)
+
+
+# Where a dosage page keeps its main text.
+MAIN_CLASS = "contentBox"
+MAIN_ID = "content"
+HEADING_TAGS = ("h2", "h3")
+
+
+def parse_main_block(html: str) -> tuple[str | None, str | None]:
+    """H6 of one page: ``(text, headings)``.  The main block is the first
+    ``div.contentBox``, else the element with id ``content``, else none (both
+    null).  Its text nodes are joined by newlines unstripped; headings are the
+    ``h2``/``h3`` texts inside it, stripped, joined by newlines."""
+    w = _Walker()
+    w.feed(html or "")
+    w.close()
+    ev = w.events
+    k = next((i for i, e in enumerate(ev) if e[0] == "start" and e[1] == "div" and MAIN_CLASS in e[3]), None)
+    if k is None:
+        k = next((i for i, e in enumerate(ev) if e[0] == "start" and e[2] == MAIN_ID), None)
+    if k is None:
+        return None, None
+    depth = ev[k][4]
+    heads, texts, j = [], [], k + 1
+    while j < len(ev) and not (ev[j][0] == "end" and ev[j][1] == depth):
+        e = ev[j]
+        if e[0] == "text":
+            texts.append(e[1])
+        elif e[0] == "start" and e[1] in HEADING_TAGS:
+            heads.append("".join(_element_texts(ev, j)).strip())
+        j += 1
+    return "\n".join(texts), "\n".join(heads)
+
+
+MAIN_SCHEMA = "page_id long, main_text string, headings string"
+
+
+def main_blocks(pages: DataFrame, page_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """H6 ``(page_id, main_text, headings)``; pages without a main block are skipped."""
+    ship_package(pages.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for pid, html in zip(b[page_col], b[html_col]):
+                text, heads = parse_main_block(html)
+                if text is not None:
+                    rows.append((pid, text, heads))
+            yield pd.DataFrame(rows, columns=["page_id", "main_text", "headings"])
+    return pages.select(page_col, html_col).mapInPandas(run, MAIN_SCHEMA)

@@ -18,7 +18,7 @@ from rxframe.operators.enrich import (first_seen_by_derived_key, lookup_first_wi
                                       lookup_last_wins, nest_details, resume_todo, union_by_name)
 from rxframe.operators.link import extract_entities, link_dictionary, search_terms
 from rxframe.operators.context import format_request
-from rxframe.operators.detail_pages import detail_fields, detail_sections
+from rxframe.operators.detail_pages import detail_fields, detail_sections, main_blocks
 from rxframe.operators.pages import label_values, page_outcome, page_texts, result_cards, result_links
 from rxframe.operators.retrieve import boundary_matches_per_term, retrieve_substring, retrieve_topk
 from rxframe.operators.search import (HISTORY_OPTIONS, SYMPTOM_OPTIONS, agent_slots, display_defaults,
@@ -480,3 +480,11 @@ QUERIES.update({
     "detail_fields": q_detail_fields,
     "detail_sections": q_detail_sections,
 })
+
+
+def q_page_main_block(spark, sf):
+    """H6 on dosage pages: main block (class, else id, else skipped) and headings."""
+    return main_blocks(fx.dosage_html_pages(spark, sf))
+
+
+QUERIES["page_main_block"] = q_page_main_block

@@ -231,3 +231,20 @@ def detail_pages(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(F.concat(F.lit("Size "), F.col("p_size").cast("string"))),
         F.lit('</p></div></body></html>'))
     return p.select(F.col("p_partkey").alias("page_id"), html.alias("html"))
+
+
+def dosage_html_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Dosage pages rendered from ``documents`` as fetched HTML: the main text
+    sits in a ``div.contentBox`` (English, French), in ``#content`` (Spanish) or
+    nowhere (German), after a navigation block; text is HTML-escaped."""
+    d = read_table(spark, sf, "documents", "doc_id", "text", "lang", "source")
+    esc = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
+                    F.lit(">"), F.lit("&gt;"))
+    body = F.concat(F.lit("<h2>Usual Adult Dose</h2><p>"), esc, F.lit("</p><h3> Renal Dose Adjustments </h3><p>"),
+                    F.col("source"), F.lit("</p>"))
+    main = (F.when(F.col("lang").isin("en", "fr"), F.concat(F.lit('<div class="contentBox wide">'), body,
+                                                            F.lit("</div>")))
+            .when(F.col("lang") == "es", F.concat(F.lit('<section id="content">'), body, F.lit("</section>")))
+            .otherwise(F.concat(F.lit("<div>"), body, F.lit("</div>"))))
+    html = F.concat(F.lit('<html><body><div id="nav"><a href="/x">Home</a></div>'), main, F.lit("</body></html>"))
+    return d.select(F.col("doc_id").alias("page_id"), html.alias("html"))

@@ -514,3 +514,8 @@ UNION ALL SELECT p_partkey, 2, 'Brand', p_brand FROM part"""
 
 ORACLES["detail_sections"] = """SELECT p_partkey AS page_id, 'leaflet' AS section, p_name || chr(10) || p_brand AS text FROM part
 UNION ALL SELECT p_partkey, 'practitioner', 'Size ' || CAST(p_size AS VARCHAR) FROM part WHERE p_size <= 40"""
+
+ORACLES["page_main_block"] = """SELECT doc_id AS page_id,
+  'Usual Adult Dose' || chr(10) || text || chr(10) || ' Renal Dose Adjustments ' || chr(10) || source AS main_text,
+  'Usual Adult Dose' || chr(10) || 'Renal Dose Adjustments' AS headings
+FROM documents WHERE lang IN ('en', 'fr', 'es')"""
