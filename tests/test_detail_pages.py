@@ -31,6 +31,6 @@ def test_main_block_rules():
     from rxframe.operators.detail_pages import parse_main_block
     page = ('<div id="content"><p>by id</p></div>'
             '<div class="x contentBox"><h2> A </h2><p>one\n two</p><h3>B<b>!</b></h3></div>')
-    assert parse_main_block(page) == ("A\none\n two\nB\n!", "A\nB!")      # class first, text unstripped
+    assert parse_main_block(page) == (" A \none\n two\nB\n!", "A\nB!")    # class first, text unstripped
     assert parse_main_block('<section id="content"><p> x </p></section>') == (" x ", "")
     assert parse_main_block("<div><p>none</p></div>") == (None, None)
