@@ -165,15 +165,16 @@ def q_coverage_report(spark, sf):
 
 
 def q_resume_anti_join(spark, sf):
-    todo = read_table(spark, sf, "documents", "doc_id")
+    todo = read_table(spark, sf, "documents", "doc_id", spread=False)   # ids only: no text work to spread
     done = read_table(spark, sf, "labels", "doc_id")
     return resume_todo(todo, done, "doc_id")
 
 
 def q_union_by_name(spark, sf):
-    earlier = read_table(spark, sf, "documents", "doc_id", "text", "lang", "source").where(
+    # a union does no per-row work: keep the scans' own splits (no spreading shuffle)
+    earlier = read_table(spark, sf, "documents", "doc_id", "text", "lang", "source", spread=False).where(
         F.col("lang") == "en").drop("lang")
-    new = read_table(spark, sf, "conversations", "conv_id", "turn", "text")
+    new = read_table(spark, sf, "conversations", "conv_id", "turn", "text", spread=False)
     return union_by_name(earlier, new)
 
 
