@@ -32,7 +32,13 @@ def salted_equi_join(left: DataFrame, right: DataFrame, key: str, buckets: int,
     row lands in one bucket chosen from a hash of ``right_salt_from``.  A key
     that holds a third of ``right`` is spread over ``buckets`` tasks instead of
     one.  The salt column is dropped from the result.
+
+    Only ``inner`` and ``right`` joins keep their meaning: the replicated
+    ``left`` side must not be the preserved side of an outer join (an
+    unmatched left row would come out once per bucket).
     """
+    if how not in ("inner", "right"):
+        raise ValueError(f"salted join supports inner and right joins, not {how!r}")
     if buckets <= 1:
         return left.join(right, key, how)
     l = left.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
