@@ -9,12 +9,13 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from rxframe.plans.catalog import QUERIES  # noqa: E402
-from rxframe.session import build_session  # noqa: E402
+from rxframe.session import build_session, release_scratch  # noqa: E402
 
 # headline keys first; the rest follow in registration order
 HEADLINE = ["prompt_table", "retrieve_topk", "master_build", "request_terms"]
@@ -25,7 +26,8 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     only = [k for k in sys.argv[1:] if k in QUERIES]
     keys = only or (HEADLINE + [k for k in QUERIES if k not in HEADLINE and k in QUERIES])
-    spark = build_session(f"local[{cpus}]", cpus, app_name="rxframe-bench")
+    spark = build_session(f"local[{cpus}]", cpus, app_name="rxframe-bench",
+                          checkpoint_folder=tempfile.mkdtemp(prefix="rxframe-bench-"))
     # warm-up (untimed): JVM start and JIT, codegen caches, on a smaller fixture
     warm_dir = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.01")
     if os.path.isdir(warm_dir):
@@ -42,6 +44,7 @@ def main() -> None:
         except Exception as e:  # a failing key is reported, not hidden
             times[k] = None
             print(f"{k}: {type(e).__name__}: {str(e)[:200]}", file=sys.stderr)
+        release_scratch(spark)
     spark.stop()
     done = [v for v in times.values() if v is not None]
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")

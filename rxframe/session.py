@@ -1,4 +1,4 @@
-"""Session construction and the few session-level settings the jobs rely on."""
+"""Session construction, the shared scratch folder and the few settings the jobs rely on."""
 
 from __future__ import annotations
 
@@ -6,16 +6,18 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "rxframe") -> SparkSession:
+                  app_name: str = "rxframe", checkpoint_folder: str | None = None) -> SparkSession:
     """A session with AQE, skew-join handling and the UI off.
 
     On a cluster ``master`` is left to spark-submit; locally it defaults to
     ``local[*]``.  Shuffle partitions default to the core count locally; on a
     cluster size them so one partition stays around 128-256 MB.
+    ``checkpoint_folder`` becomes ``spark.checkpoint.dir``; leave it out where
+    the cluster's own configuration names one.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -32,6 +34,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": "16g",
     }
+    if checkpoint_folder:
+        conf["spark.checkpoint.dir"] = checkpoint_folder
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
@@ -39,28 +43,44 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+# one scratch root per Spark application, decided at the first use
+_ROOTS: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: ``spark.checkpoint.dir`` (or the context's
-    checkpoint dir) as the cluster sets it.
+    """The shared checkpoint folder, read from the session, never changed here.
 
-    Only when neither is set (local tests) a scratch folder is created and
-    registered; on a cluster the setting must name shared storage and is used
-    as is.
+    ``spark.checkpoint.dir`` as the cluster sets it, else the folder somebody
+    gave the context with ``setCheckpointDir``.  Where neither is set, a plain
+    ``local[...]`` session (tests, smoke runs: one machine, one JVM) gets a
+    temporary folder once; any other master raises, because a folder of the
+    driver's machine is not seen by the executors.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="rxframe-ckpt-", dir="/tmp")
-    sc.setCheckpointDir(current)
-    return sc.getCheckpointDir() or current
+    set_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    set_dir = set_dir or sc.getCheckpointDir()
+    if set_dir:
+        return set_dir.rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="rxframe-local-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The one folder of this application under the checkpoint folder."""
+    app = spark.sparkContext.applicationId
+    if app not in _ROOTS:
+        _ROOTS[app] = f"{checkpoint_dir(spark)}/rxframe-{uuid.uuid4().hex}"
+    return _ROOTS[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder for one write."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder for one write, always at the same depth."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df, name: str = "stage"):
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once as a parquet table under the shared checkpoint folder
     and read it back.
 
@@ -70,20 +90,35 @@ def materialize(df, name: str = "stage"):
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete one folder through Hadoop's file system API (any store)."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete every intermediate table of this application.  Results that were
+    not written or consumed yet read from these tables: call it after them."""
+    root = _ROOTS.pop(spark.sparkContext.applicationId, None)
+    if root:
+        delete_path(spark, root)
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``rxframe`` importable in Python workers (for ``mapInPandas``
-    functions), once per context: the package is zipped on the driver and
+    functions), once per application: the package is zipped on the driver and
     distributed with ``addPyFile``, as ``--py-files`` would do.  A no-op when
-    the package was already shipped in this context."""
+    the package was already shipped in this application."""
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     import zipfile
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
@@ -96,4 +131,4 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(dirpath, f)
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(out)
-    _SHIPPED.add(id(sc))
+    _SHIPPED.add(sc.applicationId)
