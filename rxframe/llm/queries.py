@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxframe.llm import mixing, quality, sharding, token_files
+from rxframe.llm import mixing, quality, sharding, simhash, token_files
 from rxframe.session import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -22,6 +22,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard_table(_table(spark, sf, "documents"), 8)
 
@@ -44,6 +48,7 @@ def op6_token_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op3_sharding": op3_sharding,
     "op4_quality_rules": op4_quality_rules,
     "op5_mixing": op5_mixing,
