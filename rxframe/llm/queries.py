@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxframe.llm import mixing, quality, sharding, simhash, token_files
+from rxframe.llm import decontaminate, mixing, quality, sharding, simhash, token_files
 from rxframe.session import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -47,12 +47,18 @@ def op6_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.token_table(spark, path)
 
 
+def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontaminate.leaks(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+    return found.select(F.col("_id").alias("doc_id"), F.col("item").alias("item_id"), "word", "similarity", "distance")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_sharding": op3_sharding,
     "op4_quality_rules": op4_quality_rules,
     "op5_mixing": op5_mixing,
     "op6_token_files": op6_token_files,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES: dict[str, str] = {"op5_mixing": mixing.MIX_SQL}

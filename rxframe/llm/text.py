@@ -35,3 +35,10 @@ def keep_columns(docs: DataFrame, **renamed: str) -> DataFrame:
     """Only the named columns, under internal names: columns of the input that
     happen to carry an output's name cannot clash."""
     return docs.select(*[F.col(f"`{c}`").alias(n) for n, c in renamed.items()])
+
+
+def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where null equals null; the left side's keys stay."""
+    other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(other, on, how).drop(*[f"_right_{k}" for k in keys])
