@@ -137,4 +137,14 @@ def assess(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
 def trusted_labels(labels: DataFrame) -> DataFrame:
     """Ids that every label calls good and none calls toxic."""
     return labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")) \
+def keep_good(docs: DataFrame, trusted: DataFrame, **options) -> DataFrame:
+    """``docs`` that the rules keep.
+
+    The row number keeps the filter above the counts: pushed below them, it would
+    repeat the whole expression inside its own lambdas.
+    """
+    d = assess(docs, trusted, **options).withColumn("_at", F.monotonically_increasing_id())
+    return d.where(F.col(options.get("out", "_quality"))["kept"] & (F.col("_at") >= 0)).select(*docs.columns)
+
+
         .where("q = 1 and coalesce(t, 0) = 0").select("doc_id")
