@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxframe.llm import decontaminate, mixing, quality, sharding, simhash, token_files
+from rxframe.llm import decontaminate, licenses, mixing, quality, secrets, sharding, simhash, token_files
 from rxframe.session import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -47,6 +47,16 @@ def op6_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.token_table(spark, path)
 
 
+def op8_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf, "documents"))
+
+
+def op9_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    """The tables name no files: source and language stand in for the directories."""
+    docs = _table(spark, sf, "documents").withColumn("path", F.concat_ws("/", "source", "lang", "doc_id"))
+    return licenses.scan(docs)
+
+
 def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     found = decontaminate.leaks(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
     return found.select(F.col("_id").alias("doc_id"), F.col("item").alias("item_id"), "word", "similarity", "distance")
@@ -58,6 +68,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_mixing": op5_mixing,
     "op6_token_files": op6_token_files,
+    "op8_secrets": op8_secrets,
+    "op9_licenses": op9_licenses,
     "op10_decontamination": op10_decontamination,
 }
 
