@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxframe.llm import decontaminate, licenses, mixing, quality, secrets, sharding, simhash, token_files
+from rxframe.llm import decontaminate, licenses, lm_score, mixing, quality, secrets, sharding, simhash, token_files
 from rxframe.session import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -47,6 +47,15 @@ def op6_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.token_table(spark, path)
 
 
+def lm_training(id_col: str) -> Column:
+    """All but the fifth of ids whose checksum leaves 1: those are held out."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 != 1
+
+
+def op7_lm_score(spark: SparkSession, sf: str) -> DataFrame:
+    return lm_score.score(_table(spark, sf, "documents"), lm_training("doc_id"))
+
+
 def op8_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.scan(_table(spark, sf, "documents"))
 
@@ -68,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_mixing": op5_mixing,
     "op6_token_files": op6_token_files,
+    "op7_lm_score": op7_lm_score,
     "op8_secrets": op8_secrets,
     "op9_licenses": op9_licenses,
     "op10_decontamination": op10_decontamination,
