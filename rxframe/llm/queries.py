@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxframe.llm import decontaminate, licenses, lm_score, mixing, quality, secrets, sharding, simhash, token_files
+from rxframe.llm import decontaminate, licenses, lm_score, mixing, quality, secrets, sharding, simhash, suffixes, token_files
 from rxframe.session import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -26,6 +26,10 @@ def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf, "documents"))
 
 
+def op2_suffix_array(spark: SparkSession, sf: str) -> DataFrame:
+    return suffixes.drop_repeats(_table(spark, sf, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard_table(_table(spark, sf, "documents"), 8)
 
@@ -73,6 +77,7 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_suffix_array": op2_suffix_array,
     "op3_sharding": op3_sharding,
     "op4_quality_rules": op4_quality_rules,
     "op5_mixing": op5_mixing,
