@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from rxframe.llm.text import let, words
 
 BUCKETS = 10_000
+BROADCAST_IDS = 2_000_000  # 16 MB of ids
 MIN_MEAN_RATIO = -0.2
 WINDOW = 5
 _TEMP = ("_ws", "_w1", "_w2", "_w3", "_w5")
@@ -90,17 +91,19 @@ def base_counts(docs: DataFrame, text_col: str = "text", out: str = "_quality")
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               trusted_id: str = "doc_id", buckets: int = BUCKETS) -> list[float]:
+               trusted_id: str = "doc_id", buckets: int = BUCKETS, broadcast_ids: int = BROADCAST_IDS) -> list[float]:
     """``log p_target - log p_raw`` per bucket, add-one smoothed: ``buckets`` numbers.
 
     The raw counts cover every document, the target counts every trusted one.
     """
     ids = trusted.select(F.col(f"`{trusted_id}`").alias("_id")).where("_id is not null").distinct() \
         .withColumn("_t", F.lit(1).cast("long"))
+    # few enough ids are sent to the texts; beyond that texts and ids meet by a shuffle
+    ids = F.broadcast(ids) if ids.count() <= broadcast_ids else ids.hint("merge")
     d = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_x")).join(ids, "_id", "left")
     d = _grams(d, "_x").select(F.coalesce("_t", F.lit(0).cast("long")).alias("_t"),
-                               F.explode(F.concat("_w1", "_w2", "_w3")).alias("h"))
-    counts = d.groupBy(F.pmod("h", F.lit(buckets)).alias("k")) \
+                               F.explode_outer(F.concat("_w1", "_w2", "_w3")).alias("h"))
+    counts = d.where("h is not null").groupBy(F.pmod("h", F.lit(buckets)).alias("k")) \
         .agg(F.count(F.lit(1)).alias("raw"), F.sum("_t").alias("target"))
     rows = {r["k"]: (r["raw"], r["target"]) for r in counts.collect()}
     raw, target = sum(r for r, _ in rows.values()), sum(t for _, t in rows.values())
@@ -134,9 +137,6 @@ def assess(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
     return d.drop(*_TEMP)
 
 
-def trusted_labels(labels: DataFrame) -> DataFrame:
-    """Ids that every label calls good and none calls toxic."""
-    return labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")) \
 def keep_good(docs: DataFrame, trusted: DataFrame, **options) -> DataFrame:
     """``docs`` that the rules keep.
 
@@ -147,4 +147,7 @@ def keep_good(docs: DataFrame, trusted: DataFrame, **options) -> DataFrame:
     return d.where(F.col(options.get("out", "_quality"))["kept"] & (F.col("_at") >= 0)).select(*docs.columns)
 
 
+def trusted_labels(labels: DataFrame) -> DataFrame:
+    """Ids that every label calls good and none calls toxic."""
+    return labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")) \
         .where("q = 1 and coalesce(t, 0) = 0").select("doc_id")
