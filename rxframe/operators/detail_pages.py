@@ -26,6 +26,8 @@ VALUE_CLASS = "form-line"
 SECTION_IDS = {"A-div": "leaflet", "M-div": "practitioner"}
 PLACEHOLDER = "لم يتم إدخال بيانات"
 
+# text inside these is not page text
+UNSEEN = {"script", "style", "template"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
@@ -35,17 +37,17 @@ class _Walker(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, str, set[str]]] = []   # (tag, id, classes)
-        self.events: list[tuple] = []                        # ("start", tag, id, classes, depth) / ("text", s) / ("end", depth)
+        self.events: list[tuple] = []                        # ("start", tag, id, classes, depth, href) / ("text", s) / ("end", depth)
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
         el = (tag, a.get("id") or "", set((a.get("class") or "").split()))
         if tag in VOID:
-            self.events.append(("start", *el, len(self.stack) + 1))
+            self.events.append(("start", *el, len(self.stack) + 1, a.get("href")))
             self.events.append(("end", len(self.stack) + 1))
             return
         self.stack.append(el)
-        self.events.append(("start", *el, len(self.stack)))
+        self.events.append(("start", *el, len(self.stack), a.get("href")))
 
     def handle_endtag(self, tag):
         for i in range(len(self.stack) - 1, -1, -1):
@@ -56,7 +58,65 @@ class _Walker(HTMLParser):
                 return
 
     def handle_data(self, data):
-        self.events.append(("text", data))
+        if not any(tag in UNSEEN for tag, _, _ in self.stack):
+            self.events.append(("text", data))
+
+
+def _events(html: str | None) -> list[tuple]:
+    w = _Walker()
+    w.feed(html or "")
+    w.close()
+    return w.events
+
+
+def _end(events, start_idx: int) -> int:
+    """Index of the event that closes the element opened at ``start_idx``."""
+    depth = events[start_idx][4]
+    return next((j for j in range(start_idx + 1, len(events)) if events[j][:2] == ("end", depth)), len(events))
+
+
+def _single_string(events, start_idx: int) -> str | None:
+    """The text of an element whose only child is a text, or an element of that kind."""
+    end, at, texts, elements = _end(events, start_idx), start_idx + 1, [], []
+    while at < end:
+        if events[at][0] == "text":
+            texts.append(events[at][1])
+        elif events[at][0] == "start":
+            elements.append(at)
+            at = _end(events, at)
+        at += 1
+    if texts and not elements:
+        return "".join(texts)
+    return _single_string(events, elements[0]) if len(elements) == 1 and not texts else None
+
+
+def parse_result_links(html: str, marker: str, k: int) -> list[str]:
+    """H1: targets of the first ``k`` links whose single text holds ``marker``; of
+    these, links without a target are dropped after the cut."""
+    ev = _events(html)
+    found = [e[5] for i, e in enumerate(ev) if e[0] == "start" and e[1] == "a" and marker in (_single_string(ev, i) or "")]
+    return [href for href in found[:k] if href]
+
+
+# The classes of a result card, its title link and its ingredient line.
+CARD_CLASS = "search-results-product"
+CARD_NAME_CLASS = "search-results-product-info-title-link"
+CARD_TYPE_CLASS = "search-results-product-info-type"
+
+
+def parse_result_cards(html: str, k: int) -> list[tuple[int, str, str]]:
+    """H4: (position, name, ingredients) of the first ``k`` cards; cards that lack one
+    of both elements are dropped after the cut."""
+    ev = _events(html)
+    out = []
+    cards = [i for i, e in enumerate(ev) if e[0] == "start" and e[1] == "div" and CARD_CLASS in e[3]]
+    for pos, c in enumerate(cards[:k]):
+        inside = range(c + 1, _end(ev, c))
+        parts = [next((j for j in inside if ev[j][0] == "start" and ev[j][1] == tag and cls in ev[j][3]), None)
+                 for tag, cls in (("a", CARD_NAME_CLASS), ("div", CARD_TYPE_CLASS))]
+        if None not in parts:
+            out.append((pos, *["".join(t.strip() for t in _element_texts(ev, j)) for j in parts]))
+    return out
 
 
 def _element_texts(events, start_idx: int) -> list[str]:
@@ -71,15 +131,12 @@ def _element_texts(events, start_idx: int) -> list[str]:
     return out
 
 
-def parse_detail_page(html: str) -> tuple[dict[str, str], dict[str, str]]:
+def parse_detail_page(html: str, min_len: int = -1) -> tuple[dict[str, str], dict[str, str]]:
     """``(fields, sections)`` of one page: label -> value (a later duplicate
     label wins; a label without a following value is skipped) and section
     texts by id (text nodes stripped, empty ones dropped, joined by newlines;
-    dropped when they hold the placeholder)."""
-    w = _Walker()
-    w.feed(html or "")
-    w.close()
-    ev = w.events
+    dropped when they hold the placeholder or are not longer than ``min_len``)."""
+    ev = _events(html)
     fields: dict[str, str] = {}
     sections: dict[str, str] = {}
     data_start = next((i for i, e in enumerate(ev) if e[0] == "start" and e[2] == DATA_SECTION_ID), None)
@@ -99,39 +156,56 @@ def parse_detail_page(html: str) -> tuple[dict[str, str], dict[str, str]]:
         k = next((i for i, e in enumerate(ev) if e[0] == "start" and e[1] == "div" and e[2] == sid), None)
         if k is not None:
             text = "\n".join(t.strip() for t in _element_texts(ev, k) if t.strip())
-            if PLACEHOLDER not in text:
+            if PLACEHOLDER not in text and len(text) > min_len:
                 sections[name] = text
     return fields, sections
 
 
-FIELD_SCHEMA = "page_id long, pos long, label string, value string"
-SECTION_SCHEMA = "page_id long, section string, text string"
+def _per_page(pages: DataFrame, cols: list[str], schema: str, rows_of) -> DataFrame:
+    """One parse per page inside an Arrow batch: ``rows_of(*cols)`` gives a page's rows."""
+    ship_package(pages.sparkSession)
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [r for page in zip(*[b[c] for c in cols]) for r in rows_of(*page)]
+            yield pd.DataFrame(rows, columns=names)
+    return pages.select(*cols).mapInPandas(run, schema)
 
 
 def detail_fields(pages: DataFrame, page_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """H2 long form ``(page_id, pos, label, value)`` (``pos`` = label order)."""
-    ship_package(pages.sparkSession)
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for pid, html in zip(b[page_col], b[html_col]):
-                fields, _ = parse_detail_page(html)
-                rows.extend((pid, n, k, v) for n, (k, v) in enumerate(fields.items()))
-            yield pd.DataFrame(rows, columns=["page_id", "pos", "label", "value"])
-    return pages.select(page_col, html_col).mapInPandas(run, FIELD_SCHEMA)
+    return _per_page(pages, [page_col, html_col], "page_id long, pos long, label string, value string",
+                     lambda pid, html: [(pid, n, k, v) for n, (k, v) in enumerate(parse_detail_page(html)[0].items())])
 
 
-def detail_sections(pages: DataFrame, page_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """H3 ``(page_id, section, text)`` for the leaflet sections found by id."""
-    ship_package(pages.sparkSession)
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for pid, html in zip(b[page_col], b[html_col]):
-                _, sections = parse_detail_page(html)
-                rows.extend((pid, k, v) for k, v in sections.items())
-            yield pd.DataFrame(rows, columns=["page_id", "section", "text"])
-    return pages.select(page_col, html_col).mapInPandas(run, SECTION_SCHEMA)
+def detail_sections(pages: DataFrame, page_col: str = "page_id", html_col: str = "html", min_len: int = -1) -> DataFrame:
+    """H3 ``(page_id, section, text)`` for the leaflet sections found by id; the brand
+    search keeps texts longer than ten characters only (``min_len=10``)."""
+    return _per_page(pages, [page_col, html_col], "page_id long, section string, text string",
+                     lambda pid, html: [(pid, k, v) for k, v in parse_detail_page(html, min_len)[1].items()])
+
+
+def leaflet_records(pages: DataFrame, key_col: str, url_col: str, html_col: str = "html", min_len: int = -1) -> DataFrame:
+    """H2 and H3 from one parse: ``(search_key, url, fields, leaflet, practitioner)`` per
+    page, the lookup side of J2/J3."""
+    def rows(key, url, html):
+        fields, sections = parse_detail_page(html, min_len)
+        return [(key, url, fields, sections.get("leaflet"), sections.get("practitioner"))]
+    return _per_page(pages, [key_col, url_col, html_col],
+                     "search_key string, url string, fields map<string,string>, leaflet string, practitioner string", rows)
+
+
+def dom_result_links(pages: DataFrame, page_col: str, html_col: str, marker: str, k: int) -> DataFrame:
+    """H1 on any markup: ``(page_id, rank, href)``."""
+    return _per_page(pages, [page_col, html_col], "page_id long, rank long, href string",
+                     lambda pid, html: [(pid, n + 1, href) for n, href in enumerate(parse_result_links(html, marker, k))])
+
+
+def dom_result_cards(pages: DataFrame, page_col: str, html_col: str, k: int) -> DataFrame:
+    """H4 on the card markup: ``(page_id, pos, name, ingredients)``."""
+    return _per_page(pages, [page_col, html_col], "page_id long, pos long, name string, ingredients string",
+                     lambda pid, html: [(pid, *card) for card in parse_result_cards(html, k)])
 
 
 # Where a dosage page keeps its main text.
@@ -145,10 +219,7 @@ def parse_main_block(html: str) -> tuple[str | None, str | None]:
     ``div.contentBox``, else the element with id ``content``, else none (both
     null).  Its text nodes are joined by newlines unstripped; headings are the
     ``h2``/``h3`` texts inside it, stripped, joined by newlines."""
-    w = _Walker()
-    w.feed(html or "")
-    w.close()
-    ev = w.events
+    ev = _events(html)
     k = next((i for i, e in enumerate(ev) if e[0] == "start" and e[1] == "div" and MAIN_CLASS in e[3]), None)
     if k is None:
         k = next((i for i, e in enumerate(ev) if e[0] == "start" and e[2] == MAIN_ID), None)

@@ -1,9 +1,9 @@
 """Deterministic lookups into the master table.
 
-Every first/last rule uses an explicit order column: the lookup side is first
-reduced to one row per key with ``min_by``/``max_by`` (hash aggregate with
-map-side partial aggregation, so a hot key costs one row per map task), then
-joined to the master.  The reduced side holds one row per distinct key; Spark
+Every first/last rule uses an explicit order column (unique within the lookup):
+the smallest or greatest order per key is a hash aggregate over two narrow columns
+(a hot key costs one row per map task), the texts of these winners alone are then
+fetched by (key, order), and joined to the master.  The reduced side holds one row per distinct key; Spark
 and AQE broadcast it when its measured size is small and shuffle otherwise.
 Keys are compared null-safely: a missing key of the master finds a missing key
 of the lookup, as dictionary lookups of pandas cells do.
@@ -17,16 +17,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _winners(df: DataFrame, key: str, ord_col: str, cols: Sequence[str], best) -> DataFrame:
+    won = df.groupBy(F.col(key).alias("_wk")).agg(best.alias("_wo"))
+    return df.join(won, (F.col(ord_col) == F.col("_wo")) & F.col(key).eqNullSafe(F.col("_wk"))).select(key, *cols)
+
+
 def first_per_key(df: DataFrame, key: str, ord_col: str, cols: Sequence[str]) -> DataFrame:
     """For each ``key`` the ``cols`` of the row with the smallest ``ord_col``."""
-    return (df.groupBy(key).agg(F.min_by(F.struct(*cols), F.col(ord_col)).alias("_v"))
-            .select(key, *[F.col(f"_v.{c}").alias(c) for c in cols]))
+    return _winners(df, key, ord_col, cols, F.min(ord_col))
 
 
 def last_per_key(df: DataFrame, key: str, ord_col: str, cols: Sequence[str]) -> DataFrame:
     """For each ``key`` the ``cols`` of the row with the greatest ``ord_col``."""
-    return (df.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(ord_col)).alias("_v"))
-            .select(key, *[F.col(f"_v.{c}").alias(c) for c in cols]))
+    return _winners(df, key, ord_col, cols, F.max(ord_col))
 
 
 Finish = dict[str, Callable]
@@ -44,6 +47,13 @@ def _left_lookup(master: DataFrame, master_key: str, reduced: DataFrame, lookup_
     return master.join(r, master[master_key].eqNullSafe(r["_lk"]), "left").drop("_lk")
 
 
+def with_text(lookup: DataFrame, col: str, finish: Finish | None = None) -> DataFrame:
+    """F3-F5 before a lookup: rows whose ``col``, cleaned, is missing or empty go, so
+    that they neither win nor replace another row's text."""
+    clean = (finish or {}).get(col)
+    return lookup.where((clean(F.col(col)) if clean else F.col(col)) != "")
+
+
 def lookup_first_wins(master: DataFrame, lookup: DataFrame, *, master_key: str, lookup_key: str,
                       ord_col: str, require: str, take: dict[str, str], finish: Finish | None = None) -> DataFrame:
     """Among lookup rows whose ``require`` column is present, the first row per

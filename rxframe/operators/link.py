@@ -49,25 +49,14 @@ def link_dictionary(mapping: DataFrame, *, ord_col: str, term_col: str, brand_co
 
 def resolve_links(terms: DataFrame, dictionary: DataFrame, term_col: str = "term") -> DataFrame:
     """Adds ``ingredient`` (null when unlinked) by exact lookup of
-    ``upper(strip(term))``; an empty term never links."""
+    ``upper(strip(term))``; an empty term never links, and a blank ingredient is
+    no link."""
     q = F.upper(py_strip(F.col(term_col)))
-    d = dictionary.select(F.col("key").alias("_lk"), F.col("ingredient"))
+    d = dictionary.where(F.col("ingredient") != "").select(F.col("key").alias("_lk"), F.col("ingredient"))
     return (terms.withColumn("_lk", F.when(F.col(term_col) != "", q))
             .join(d, "_lk", "left").drop("_lk"))
 
 
-def expand_items(requests: DataFrame, req_col: str, field_col: str, dictionary: DataFrame,
-                 key_col: str = "key", value_col: str = "value") -> DataFrame:
-    """T14 + J6: comma items of ``field_col``; an item that is a dictionary key
-    (exact, case-sensitive) becomes its comma-split, stripped terms, otherwise it
-    stays itself.  Returns ``(req, pos, sub, term)`` in request order."""
-    items = requests.select(req_col, F.posexplode(comma_items(field_col)).alias("pos", "item"))
-    d = dictionary.select(F.col(key_col).alias("item"),
-                          F.transform(F.split(F.col(value_col), ","), lambda x: py_strip(x)).alias("exp"))
-    return (items.join(d, "item", "left")
-            .select(req_col, "pos", F.posexplode(F.coalesce("exp", F.array("item"))).alias("sub", "term")))
-
-
 def entity_rows(requests: DataFrame, symptom_dict: DataFrame, link_dict: DataFrame, *,
                 req_col: str = "req_id", symptoms_col: str = "symptoms", history_col: str = "history",
                 medications_col: str = "medications") -> DataFrame:

@@ -8,7 +8,7 @@ shuffled (for the per-page "first k" and "last label wins" rules).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Page markers of the search sites.
@@ -30,36 +30,37 @@ def html_unescape_basic(c) -> Column:
     return x
 
 
-def anchors(pages: DataFrame, page_col: str, html_col: str) -> DataFrame:
-    """All anchors ``(page, pos, href, text)`` in page order (text decoded)."""
-    a = pages.select(page_col, F.posexplode(F.regexp_extract_all(F.col(html_col), F.lit(ANCHOR), F.lit(0)))
-                     .alias("pos", "_a"))
-    return a.select(page_col, "pos",
-                    F.regexp_extract("_a", r'href="([^"]*)"', 1).alias("href"),
-                    html_unescape_basic(F.regexp_extract("_a", r">([^<]*)</a>", 1)).alias("text"))
+def _marked_links(html_col: str, marker: str, k: int) -> Column:
+    found = F.filter(F.regexp_extract_all(F.col(html_col), F.lit(ANCHOR), F.lit(0)), lambda x: html_unescape_basic(
+        F.regexp_extract(x, r">([^<]*)</a>", 1)).contains(marker))
+    return F.slice(found, 1, k)
 
 
-def first_k_per_page(rows: DataFrame, page_col: str, k: int, pos_col: str = "pos") -> DataFrame:
-    """The first ``k`` rows of every page by position (partial top-k before
-    the shuffle, so a page with many rows costs ``k`` rows per task)."""
-    w = Window.partitionBy(page_col).orderBy(pos_col)
-    return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
+def result_links(pages: DataFrame, page_col: str, html_col: str, marker: str, k: int) -> DataFrame:
+    """H1 on pages of bare anchors: anchors whose text contains ``marker``, the first
+    ``k`` of each page, ranked in the row (``dom_result_links`` takes any markup)."""
+    a = pages.select(page_col, F.posexplode(_marked_links(html_col, marker, k)).alias("rank", "_a"))
+    return a.select(page_col, (F.col("rank") + 1).cast("long").alias("rank"),
+                    F.regexp_extract("_a", r'href="([^"]*)"', 1).alias("href"),
+                    html_unescape_basic(F.regexp_extract("_a", r">([^<]*)</a>", 1)).alias("text"))
 
 
-def result_links(pages: DataFrame, page_col: str, html_col: str, marker: str, k: int) -> DataFrame:
-    """H1: anchors whose text contains ``marker``, first ``k`` per page, ranked."""
-    a = anchors(pages, page_col, html_col).where(F.col("text").contains(marker))
-    w = Window.partitionBy(page_col).orderBy("pos")
-    return (a.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select(page_col, F.col("rank").cast("long").alias("rank"), "href", "text"))
+def n_result_links(html_col: str, marker: str, k: int) -> Column:
+    """Number of ``result_links`` of a page, as a column."""
+    return F.size(_marked_links(html_col, marker, k))
 
 
 def label_values(pages: DataFrame, page_col: str, html_col: str) -> DataFrame:
     """H2: label/value pairs of a page (anchor text -> href here); a later
-    duplicate label wins."""
-    a = anchors(pages, page_col, html_col)
-    return (a.groupBy(page_col, F.col("text").alias("label"))
-            .agg(F.max_by("href", "pos").alias("value")))
+    duplicate label wins.  Decided in the row: no shuffle."""
+    found = F.regexp_extract_all(F.col(html_col), F.lit(ANCHOR), F.lit(0))
+    a = pages.select(page_col, F.reverse(F.transform(found, lambda x: F.struct(
+        html_unescape_basic(F.regexp_extract(x, r">([^<]*)</a>", 1)).alias("label"),
+        F.regexp_extract(x, r'href="([^"]*)"', 1).alias("value")))).alias("_p"))
+    a = a.withColumn("_l", F.transform("_p", lambda x: x["label"]))
+    last = F.transform(F.array_distinct("_l"), lambda k: F.get(F.col("_p"), (F.array_position("_l", k) - 1).cast("int")))
+    return a.select(page_col, F.explode_outer(last).alias("_r")).where("_r is not null") \
+        .select(page_col, "_r.label", "_r.value")
 
 
 def section_text(html: Column, tag: str) -> Column:
@@ -99,7 +100,7 @@ def page_outcome(html: Column, status: Column, title: Column, n_results: Column)
             .otherwise(F.lit("miss")))
 
 
-CARD = r"<li>(.*?)</li>"
+CARD = r"(?s)<li(?:\s[^>]*)?>(.*?)</li>"
 
 
 def result_cards(pages: DataFrame, page_col: str, html_col: str, k: int,
@@ -109,9 +110,8 @@ def result_cards(pages: DataFrame, page_col: str, html_col: str, k: int,
     dropped (so fewer than ``k`` may remain).  ``name_expr`` and
     ``ingredients_expr`` map the card markup column ``card`` to text (empty
     means absent)."""
-    cards = pages.select(page_col, F.posexplode(F.regexp_extract_all(F.col(html_col), F.lit(CARD), F.lit(1)))
-                         .alias("pos", "card"))
-    cut = first_k_per_page(cards, page_col, k)
+    first = F.slice(F.regexp_extract_all(F.col(html_col), F.lit(CARD), F.lit(1)), 1, k)
+    cut = pages.select(page_col, F.posexplode(first).alias("pos", "card"))
     out = cut.select(page_col, F.col("pos").cast("long").alias("pos"),
                      F.nullif(py_strip_col(name_expr(F.col("card"))), F.lit("")).alias("name"),
                      F.nullif(py_strip_col(ingredients_expr(F.col("card"))), F.lit("")).alias("ingredients"))

@@ -15,11 +15,12 @@ from rxframe.operators.clean import (clean_dosage, clean_leaflets, clean_registr
                                      extract_sections, leaflet_keep_predicate)
 from rxframe.operators.context import MasterColumns
 from rxframe.operators.enrich import (first_seen_by_derived_key, lookup_first_wins, lookup_gap_fill,
-                                      lookup_last_wins, nest_details, resume_todo, union_by_name)
+                                      lookup_last_wins, nest_details, resume_todo, union_by_name, with_text)
 from rxframe.operators.link import extract_entities, link_dictionary, search_terms
 from rxframe.operators.context import format_request
-from rxframe.operators.detail_pages import detail_fields, detail_sections, main_blocks
-from rxframe.operators.pages import label_values, page_outcome, page_texts, result_cards, result_links
+from rxframe.operators.detail_pages import (detail_fields, detail_sections, dom_result_cards,
+                                            dom_result_links, leaflet_records, main_blocks)
+from rxframe.operators.pages import label_values, page_outcome, page_texts, result_cards, n_result_links, result_links
 from rxframe.operators.retrieve import boundary_matches_per_term, retrieve_substring, retrieve_topk
 from rxframe.operators.search import (HISTORY_OPTIONS, SYMPTOM_OPTIONS, agent_slots, display_defaults,
                                       option_labels, page_rows, search_filter)
@@ -136,7 +137,7 @@ def q_dataset_status(spark, sf):
 # --- enrichment ---------------------------------------------------------------
 
 def q_lookup_first_wins(spark, sf):
-    m = lookup_first_wins(fx.registry(spark, sf), fx.leaflets(spark, sf), master_key="sci_key",
+    m = lookup_first_wins(fx.registry(spark, sf), with_text(fx.leaflets(spark, sf), "leaflet", fx.LEAFLET_FINISH), master_key="sci_key",
                           lookup_key="search_key", ord_col="ord", require="leaflet",
                           take={"leaflet": "leaflet", "practitioner": "practitioner", "route_ar": "route_ar"},
                           finish=fx.LEAFLET_FINISH)
@@ -144,17 +145,18 @@ def q_lookup_first_wins(spark, sf):
 
 
 def q_lookup_gap_fill(spark, sf):
-    m = lookup_first_wins(fx.registry(spark, sf), fx.leaflets(spark, sf), master_key="sci_key",
+    m = lookup_first_wins(fx.registry(spark, sf), with_text(fx.leaflets(spark, sf), "leaflet", fx.LEAFLET_FINISH), master_key="sci_key",
                           lookup_key="search_key", ord_col="ord", require="leaflet",
                           take={"leaflet": "leaflet", "route_ar": "route_ar"}, finish=fx.LEAFLET_FINISH)
-    m = lookup_gap_fill(m, fx.brand_leaflets(spark, sf), master_key="brand_key", lookup_key="search_key",
+    m = lookup_gap_fill(m, with_text(fx.brand_leaflets(spark, sf), "leaflet", fx.LEAFLET_FINISH), master_key="brand_key", lookup_key="search_key",
                         ord_col="ord", require="leaflet", take={"leaflet": "leaflet", "route_ar": "route_ar"},
                         finish=fx.LEAFLET_FINISH)
     return m.select("ord", "brand_key", "leaflet", "route_ar")
 
 
 def q_lookup_last_wins(spark, sf):
-    m = lookup_last_wins(fx.registry(spark, sf), fx.dosage(spark, sf), master_key="sci_key",
+    m = lookup_last_wins(fx.registry(spark, sf), with_text(fx.dosage(spark, sf), "dosage_context", fx.DOSAGE_FINISH),
+                         master_key="sci_key",
                          lookup_key="search_key", ord_col="ord", value="dosage_context", target="intl_dosage",
                          finish=fx.DOSAGE_FINISH)
     return m.select("ord", "sci_key", "intl_dosage")
@@ -165,16 +167,14 @@ def q_coverage_report(spark, sf):
 
 
 def q_resume_anti_join(spark, sf):
-    todo = read_table(spark, sf, "documents", "doc_id", spread=False)   # ids only: no text work to spread
+    todo = read_table(spark, sf, "documents", "doc_id")
     done = read_table(spark, sf, "labels", "doc_id")
     return resume_todo(todo, done, "doc_id")
 
 
 def q_union_by_name(spark, sf):
-    # a union does no per-row work: keep the scans' own splits (no spreading shuffle)
-    earlier = read_table(spark, sf, "documents", "doc_id", "text", "lang", "source", spread=False).where(
-        F.col("lang") == "en").drop("lang")
-    new = read_table(spark, sf, "conversations", "conv_id", "turn", "text", spread=False)
+    earlier = read_table(spark, sf, "documents", "doc_id", "text", "source")
+    new = read_table(spark, sf, "conversations", "conv_id", "turn", "text")
     return union_by_name(earlier, new)
 
 
@@ -292,8 +292,9 @@ def q_page_envelope_flatten(spark, sf):
 
 def q_csv_roundtrip(spark, sf):
     c = read_table(spark, sf, "customer", "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
-    c = c.withColumn("c_mktsegment", F.when(F.col("c_mktsegment") == "AUTOMOBILE", F.lit("NA"))
-                     .otherwise(F.col("c_mktsegment")))
+    seg = F.col("c_mktsegment")
+    c = c.withColumn("c_mktsegment", F.when(seg == "AUTOMOBILE", F.lit("NA"))
+                     .when(seg == "BUILDING", F.concat(F.lit("  "), seg, F.lit(" "))).otherwise(seg))
     path = scratch_path(spark, "customer-csv")
     write_csv_table(c, path, c.columns)
     return read_csv_table(spark, path, c.schema)
@@ -357,13 +358,10 @@ def q_page_text(spark, sf):
 
 def q_page_outcomes(spark, sf):
     p = read_table(spark, sf, "pages", "page_id", "url", "html")
-    links = result_links(p, "page_id", "html", marker="e", k=3).groupBy("page_id").agg(
-        F.count(F.lit(1)).alias("n_results"))
-    j = p.join(links, "page_id", "left")
     status = F.when(F.col("url").contains("#"), F.lit(404)).otherwise(F.lit(200))
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    cls = page_outcome(F.col("html"), status, title, F.coalesce(F.col("n_results"), F.lit(0)))
-    return j.groupBy(cls.alias("outcome")).agg(F.count(F.lit(1)).alias("pages"))
+    cls = page_outcome(F.col("html"), status, title, n_result_links("html", marker="e", k=3))
+    return p.select(cls.alias("outcome")).groupBy("outcome").agg(F.count(F.lit(1)).alias("pages"))
 
 
 def _chat_terms(spark, sf):
@@ -407,16 +405,16 @@ QUERIES.update({
 
 # --- streams ---------------------------------------------------------------------
 
-def _land_as_files(df: DataFrame, path: str, files: int) -> None:
-    """Land a table as ``files`` parquet files (the stream's arriving files)."""
-    df.repartition(files).write.parquet(path)
+def _land_as_files(df: DataFrame, path: str, rows_per_file: int = 100_000) -> None:
+    """Land a table as parquet files of bounded rows (the stream's arriving files)."""
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
 def q_stream_consult(spark, sf):
     """The consult requests arrive as files; prompts per micro-batch."""
     base = scratch_path(spark, "stream-consult")
     req = fx.consult_requests(spark, sf)
-    _land_as_files(req, f"{base}/in", 4)
+    _land_as_files(req, f"{base}/in", 15_000)
     master_path = f"{base}/master"
     _master(spark, sf).write.parquet(master_path)          # static side, materialised once
     master = spark.read.parquet(master_path)
@@ -431,7 +429,7 @@ def q_stream_page_extract(spark, sf):
     """R2: landed pages arrive as files; extraction runs once per page."""
     base = scratch_path(spark, "stream-pages")
     pages = read_table(spark, sf, "pages", "page_id", "url", "html")
-    _land_as_files(pages, f"{base}/in", 4)
+    _land_as_files(pages, f"{base}/in")
     page_extract_stream(spark, f"{base}/in", pages.schema, f"{base}/out", f"{base}/ckpt")
     return spark.read.parquet(f"{base}/out")
 
@@ -489,3 +487,27 @@ def q_page_main_block(spark, sf):
 
 
 QUERIES["page_main_block"] = q_page_main_block
+
+
+def q_dom_links(spark, sf):
+    """H1 on result pages with mixed markup: first 3 view links, then those with a target."""
+    return dom_result_links(fx.search_pages(spark, sf), "page_id", "html", "view", 3)
+
+
+def q_dom_cards(spark, sf):
+    """H4 on result pages: product cards, first 5 looked at."""
+    return dom_result_cards(fx.search_pages(spark, sf), "page_id", "html", 5)
+
+
+def q_leaflet_records(spark, sf):
+    """H2 + H3 in one parse, keyed by search name and URL (texts over ten characters)."""
+    r = leaflet_records(fx.detail_pages(spark, sf), "search_key", "url", min_len=10)
+    return r.select("search_key", "url", F.element_at("fields", "Trade Name").alias("trade_name"),
+                    F.element_at("fields", "Brand").alias("brand"), "leaflet", "practitioner")
+
+
+QUERIES.update({
+    "dom_links": q_dom_links,
+    "dom_cards": q_dom_cards,
+    "leaflet_records": q_leaflet_records,
+})

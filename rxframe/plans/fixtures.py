@@ -43,7 +43,8 @@ def leaflets(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(
         F.col("doc_id").alias("ord"),
         F.col("source").alias("search_key"),
-        F.when(F.col("lang") == "en", F.col("text")).alias("leaflet"),
+        F.when(F.col("lang") == "en", F.when(F.col("doc_id") % 3 == 0, F.lit("_x000D_ \r"))
+               .otherwise(F.col("text"))).alias("leaflet"),
         F.when(F.col("lang") != "de", F.col("text")).alias("practitioner"),
         F.col("lang").alias("route_ar"),
     )
@@ -66,7 +67,7 @@ def dosage(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(
         F.col("doc_id").alias("ord"),
         F.col("source").alias("search_key"),
-        F.col("text").alias("dosage_context"),
+        F.when(F.col("doc_id") % 3 == 0, F.lit("for: \n")).otherwise(F.col("text")).alias("dosage_context"),
     )
 
 
@@ -88,7 +89,6 @@ def brand_mapping(spark: SparkSession, sf: str) -> DataFrame:
 def symptom_dictionary(spark: SparkSession, sf: str) -> DataFrame:
     """``(key, value)``: each part type expands to itself and the smallest and
     largest part name of that type (a comma-joined value, as in the reference)."""
-    p = read_table(spark, sf, "part", "p_type", "p_name")
     p = read_table(spark, sf, "part", "p_partkey", "p_type", "p_name")
     return p.groupBy(F.col("p_type").alias("key")).agg(
         F.concat_ws(", ", F.lower(F.col("key")), F.min("p_name"), F.max("p_name")).alias("value"),
@@ -113,7 +113,7 @@ def chat_requests(spark: SparkSession, sf: str) -> DataFrame:
     """One request per user turn: its whole text as the symptom list."""
     c = read_table(spark, sf, "conversations", "conv_id", "turn", "role", "text")
     return c.where(F.col("role") == "user").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("req_id"),
+        F.concat_ws(".", "conv_id", "turn").alias("req_id"),
         F.col("text").alias("symptoms"), F.lit("").alias("history"), F.lit("").alias("medications"))
 
 
@@ -196,12 +196,14 @@ def raw_registry(spark: SparkSession, sf: str) -> DataFrame:
 def order_envelopes(spark: SparkSession, sf: str, page_size: int = 100) -> DataFrame:
     """Registry pages as the paged API returns them: orders packed by key into
     pages of ``page_size`` numbers, ``{"pageCount": n, "results": [...]}``;
-    only finished orders are listed, so a page may come back empty."""
+    orders of every fifth page are listed under another page number, so that page
+    comes back empty."""
     o = read_table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     page = F.floor(F.col("o_orderkey") / page_size).cast("long")
-    rec = F.when(F.col("o_orderstatus") == "F",
-                 F.struct("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"))
-    pages = o.groupBy(page.alias("page")).agg(F.collect_list(rec).alias("results"))
+    rec = F.struct("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    listed = F.when(page % 5 == 4, page - 1).otherwise(page)
+    slots = F.array(F.struct(listed.alias("page"), rec.alias("rec")), F.struct(page.alias("page"), F.lit(None).alias("rec")))
+    pages = o.select(F.inline(slots)).groupBy("page").agg(F.collect_list("rec").alias("results"))
     n_pages = pages.select(F.count(F.lit(1))).scalar()
     return pages.select("page", F.to_json(F.struct(n_pages.cast("int").alias("pageCount"), "results"))
                         .alias("envelope"))
@@ -212,8 +214,7 @@ def detail_pages(spark: SparkSession, sf: str) -> DataFrame:
     pairs (nested and padded values, a label repeated later), a patient leaflet
     tab and a practitioner tab that holds the empty-leaflet placeholder for
     large sizes."""
-    # the rows become page texts parsed in Python: spread them over the cores
-    p = read_table(spark, sf, "part", "p_partkey", "p_name", "p_type", "p_brand", "p_size", spread=True)
+    p = read_table(spark, sf, "part", "p_partkey", "p_name", "p_type", "p_brand", "p_size")
     html = F.concat(
         F.lit('<html><body><div id="D-div" class="tab">'),
         F.lit('<label class="form-label"> Trade Name </label><div class="form-line">  '), F.col("p_name"),
@@ -230,6 +231,32 @@ def detail_pages(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("p_size") > 40, F.lit("لم يتم إدخال بيانات"))
         .otherwise(F.concat(F.lit("Size "), F.col("p_size").cast("string"))),
         F.lit('</p></div></body></html>'))
+    return p.select(F.col("p_partkey").alias("page_id"), F.col("p_type").alias("search_key"),
+                    F.concat(F.lit("/drug/"), F.col("p_partkey").cast("string")).alias("url"), html.alias("html"))
+
+
+def search_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Search pages rendered from ``part``: six product cards (classes in any order,
+    nested markup, entities, one without an ingredient line, the sixth past the cut)
+    and view links as bare, nested, target-less and mixed anchors."""
+    p = read_table(spark, sf, "part", "p_partkey", "p_name", "p_type", "p_brand")
+
+    def card(name, kind, extra=""):
+        title = F.concat(F.lit('<a href="/p" title="x" class="big search-results-product-info-title-link">'), name, F.lit("</a>"))
+        line = F.concat(F.lit(f'<div {extra} class="search-results-product-info-type">\n '), kind, F.lit(" </div>")) \
+            if kind is not None else F.lit("")
+        return F.concat(F.lit('<div data-n="1" class="row search-results-product"><div><h2>'), title, F.lit("</h2>"), line,
+                        F.lit("</div></div>"))
+
+    name, kind, brand = F.col("p_name"), F.col("p_type"), F.col("p_brand")
+    cards = [card(F.concat(F.lit(" <b>"), name, F.lit("</b> ")), kind), card(brand, None),
+             card(F.concat(brand, F.lit(" &amp; Co&middot;&#233;")), F.concat(kind, F.lit("<script>var x=1;</script>")), 'id="t"'),
+             card(name, F.lit("")), card(brand, brand), card(name, name)]
+    key = F.col("p_partkey").cast("string")
+    links = F.concat(
+        F.lit('<a href="/o">other</a><a class="b" href="/1/'), key, F.lit('">view</a><a href="/2/'), key,
+        F.lit('"><span>view it</span></a><a href="/x">view <b>not one text</b></a><a name="n">view</a><a href="/4">view</a>'))
+    html = F.concat(F.lit("<html><head><style>p{}</style></head><body>"), *cards, links, F.lit("</body></html>"))
     return p.select(F.col("p_partkey").alias("page_id"), html.alias("html"))
 
 

@@ -5,28 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rxframe.operators.enrich import lookup_first_wins, lookup_gap_fill, lookup_last_wins
+from rxframe.operators.enrich import lookup_first_wins, lookup_gap_fill, lookup_last_wins, with_text
 
 
 def build_master(registry: DataFrame, leaflets: DataFrame, brand_leaflets: DataFrame,
                  dosage: DataFrame, *, sci_key: str, brand_key: str, leaflet_finish=None,
                  dosage_finish=None) -> DataFrame:
-    """Registry enriched in the reference's order.
+    """Registry enriched in a fixed order; lookup rows without text after cleaning are
+    dropped first, so an earlier or later row with text takes their place.
 
     Adds ``leaflet``, ``practitioner``, ``route_ar`` (J2 by ``sci_key``), fills
     ``leaflet`` and ``route_ar`` gaps by ``brand_key`` (J3), replaces
     ``intl_dosage`` by the last dosage context per ``sci_key`` (J4).  The flag
     ``leaflet_before_gap`` keeps step 1's coverage for the report.
     """
-    m = lookup_first_wins(registry, leaflets, master_key=sci_key, lookup_key="search_key", ord_col="ord",
+    m = lookup_first_wins(registry, with_text(leaflets, "leaflet", leaflet_finish), master_key=sci_key, lookup_key="search_key", ord_col="ord",
                           require="leaflet",
                           take={"leaflet": "leaflet", "practitioner": "practitioner", "route_ar": "route_ar"},
                           finish=leaflet_finish)
     m = m.withColumn("leaflet_before_gap", F.col("leaflet").isNotNull())
-    m = lookup_gap_fill(m, brand_leaflets, master_key=brand_key, lookup_key="search_key", ord_col="ord",
+    m = lookup_gap_fill(m, with_text(brand_leaflets, "leaflet", leaflet_finish), master_key=brand_key, lookup_key="search_key", ord_col="ord",
                         require="leaflet", take={"leaflet": "leaflet", "route_ar": "route_ar"},
                         finish=leaflet_finish)
-    m = lookup_last_wins(m, dosage, master_key=sci_key, lookup_key="search_key", ord_col="ord",
+    m = lookup_last_wins(m, with_text(dosage, "dosage_context", dosage_finish), master_key=sci_key, lookup_key="search_key", ord_col="ord",
                          value="dosage_context", target="intl_dosage", finish=dosage_finish)
     return m
 

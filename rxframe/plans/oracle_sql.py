@@ -20,7 +20,7 @@ REG = """reg AS (
 
 LEAF = f"""leaf AS (
   SELECT doc_id AS ord, source AS search_key,
-         {d.leaflet_norm("CASE WHEN lang = 'en' THEN text END")} AS leaflet,
+         {d.leaflet_norm("CASE WHEN lang = 'en' THEN CASE WHEN doc_id % 3 = 0 THEN '_x000D_ ' || chr(13) ELSE text END END")} AS leaflet,
          {d.leaflet_norm("CASE WHEN lang <> 'de' THEN text END")} AS practitioner,
          lang AS route_ar
   FROM documents)"""
@@ -33,27 +33,27 @@ BLEAF = f"""bleaf AS (
 
 DOS = f"""dos AS (
   SELECT doc_id AS ord, source AS search_key,
-         {d.dosage_ctx(d.dosage_norm("text"), "''", "''", "''")} AS dosage_context
+         {d.dosage_ctx(d.dosage_norm("CASE WHEN doc_id % 3 = 0 THEN 'for: ' || chr(10) ELSE text END"), "''", "''", "''")} AS dosage_context
   FROM documents)"""
 
 MASTER = """j2 AS (
   SELECT * FROM (SELECT search_key, leaflet, practitioner, route_ar,
                         row_number() OVER (PARTITION BY search_key ORDER BY ord) AS rn
-                 FROM leaf WHERE leaflet IS NOT NULL) WHERE rn = 1),
+                 FROM leaf WHERE leaflet <> '') WHERE rn = 1),
 m1 AS (
   SELECT r.*, j2.leaflet, j2.practitioner, j2.route_ar, j2.leaflet IS NOT NULL AS leaflet_before_gap
   FROM reg r LEFT JOIN j2 ON r.sci_key IS NOT DISTINCT FROM j2.search_key),
 j3 AS (
   SELECT * FROM (SELECT search_key, leaflet, route_ar,
                         row_number() OVER (PARTITION BY search_key ORDER BY ord) AS rn
-                 FROM bleaf WHERE leaflet IS NOT NULL) WHERE rn = 1),
+                 FROM bleaf WHERE leaflet <> '') WHERE rn = 1),
 m2 AS (
   SELECT m1.* REPLACE (coalesce(m1.leaflet, j3.leaflet) AS leaflet, coalesce(m1.route_ar, j3.route_ar) AS route_ar)
   FROM m1 LEFT JOIN j3 ON m1.brand_key IS NOT DISTINCT FROM j3.search_key),
 j4 AS (
   SELECT * FROM (SELECT search_key, dosage_context,
                         row_number() OVER (PARTITION BY search_key ORDER BY ord DESC) AS rn
-                 FROM dos) WHERE rn = 1),
+                 FROM dos WHERE dosage_context <> '') WHERE rn = 1),
 master AS (
   SELECT m2.*, coalesce(j4.dosage_context, '') AS intl_dosage
   FROM m2 LEFT JOIN j4 ON m2.sci_key IS NOT DISTINCT FROM j4.search_key)"""
@@ -354,7 +354,7 @@ SELECT (SELECT count(*) FROM reg) AS rows, (SELECT count(*) FROM sd_ord) AS map_
   count(*) FILTER (WHERE intl_dosage <> '') AS dosage_rows FROM master""",
     "resume_anti_join": "SELECT DISTINCT doc_id FROM documents d WHERE doc_id IS NOT NULL "
                         "AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
-    "union_by_name": "SELECT doc_id, text, source FROM documents WHERE lang = 'en' "
+    "union_by_name": "SELECT doc_id, text, source FROM documents "
                      "UNION ALL BY NAME SELECT conv_id, turn, text FROM conversations",
     "nest_details": """WITH li AS (
   SELECT l_orderkey, count(*) AS n, string_agg(CAST(l_linenumber AS VARCHAR) || ':' || CAST(l_partkey AS VARCHAR), ';'
@@ -427,10 +427,10 @@ REQCHAT = """req AS (
 ORACLES.update({
     "registry_json_scan": _with(RAWREG) + f"""SELECT {_RAW_COLS}, CAST(len(agents) AS BIGINT) AS n_agents,
   array_to_string(list_transform(agents, lambda x: coalesce(x.nameEn, '<null>')), '|') AS agent_names FROM rawreg""",
-    "page_envelope_flatten": "SELECT CAST(floor(o_orderkey / 100) AS BIGINT) AS page, o_orderkey, o_custkey, "
-                             "o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'F'",
+    "page_envelope_flatten": "SELECT CASE WHEN p % 5 = 4 THEN p - 1 ELSE p END AS page, o_orderkey, o_custkey, o_orderstatus, "
+                             "o_totalprice FROM (SELECT *, CAST(floor(o_orderkey / 100) AS BIGINT) AS p FROM orders)",
     "csv_roundtrip": "SELECT c_custkey, c_name, c_nationkey, c_acctbal, CASE WHEN c_mktsegment = 'AUTOMOBILE' "
-                     "THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer",
+                     "THEN NULL WHEN c_mktsegment = 'BUILDING' THEN '  BUILDING ' ELSE c_mktsegment END AS c_mktsegment FROM customer",
     "dictionary_scan": """SELECT event_id, k AS key, json_extract_string(props, '$."' || k || '"') AS value
 FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)""",
     "registry_search": _with(RAWREG) + """, hits AS (
@@ -519,3 +519,16 @@ ORACLES["page_main_block"] = """SELECT doc_id AS page_id,
   'Usual Adult Dose' || chr(10) || text || chr(10) || ' Renal Dose Adjustments ' || chr(10) || source AS main_text,
   'Usual Adult Dose' || chr(10) || 'Renal Dose Adjustments' AS headings
 FROM documents WHERE lang IN ('en', 'fr', 'es')"""
+
+ORACLES["dom_links"] = """SELECT p_partkey AS page_id, CAST(n AS BIGINT) AS rank, '/' || n || '/' || p_partkey AS href
+FROM part, (VALUES (1), (2)) t(n)"""
+
+ORACLES["dom_cards"] = """SELECT p_partkey AS page_id, CAST(0 AS BIGINT) AS pos, p_name AS name, p_type AS ingredients FROM part
+UNION ALL SELECT p_partkey, 2, p_brand || ' & Co\u00b7\u00e9', p_type FROM part
+UNION ALL SELECT p_partkey, 3, p_name, '' FROM part
+UNION ALL SELECT p_partkey, 4, p_brand, p_brand FROM part"""
+
+_LONG = "CASE WHEN length({0}) > 10 THEN {0} END"
+ORACLES["leaflet_records"] = f"""SELECT p_type AS search_key, '/drug/' || p_partkey AS url, upper(p_name) AS trade_name, p_brand AS brand,
+  {_LONG.format("(p_name || chr(10) || p_brand)")} AS leaflet,
+  CASE WHEN p_size <= 40 THEN {_LONG.format("('Size ' || p_size)")} END AS practitioner FROM part"""

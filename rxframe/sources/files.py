@@ -23,8 +23,9 @@ def read_registry_json(spark: SparkSession, path: str, schema: T.StructType, mul
 
 
 def write_registry_json(df: DataFrame, path: str) -> None:
-    """JSON lines, UTF-8, non-ASCII kept as is."""
-    df.write.mode("errorifexists").json(path)
+    """JSON lines, UTF-8, non-ASCII kept as is; a key with a null value is written
+    (it counts as present when the file is profiled)."""
+    df.write.mode("errorifexists").option("ignoreNullFields", False).json(path)
 
 
 def envelope_schema(record: T.StructType) -> T.StructType:
@@ -39,23 +40,31 @@ def flatten_envelopes(pages: DataFrame, json_col: str, record: T.StructType, kee
     return parsed.select(*keep, F.explode("_env.results").alias("_r")).select(*keep, "_r.*")
 
 
-def read_csv_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv_table(spark: SparkSession, path: str, schema: T.StructType, multiline: bool = True) -> DataFrame:
     """S3: header CSV with quoted multi-line fields; NA words become null in
-    string columns (numbers are typed by the schema)."""
-    df = (spark.read.schema(schema).option("header", True).option("multiLine", True)
+    string columns (numbers are typed by the schema).  ``multiline=False`` reads
+    sheets without line breaks in fields, whose files Spark can split."""
+    df = (spark.read.schema(schema).option("header", True).option("multiLine", multiline)
           .option("escape", '"').csv(path))
     return df.select(*[na_to_null(f.name).alias(f.name) if isinstance(f.dataType, T.StringType)
                        else F.col(f.name) for f in schema.fields])
 
 
 def write_csv_table(df: DataFrame, path: str, columns: Sequence[str]) -> None:
-    """Header CSV in a fixed column order (no BOM, no index)."""
-    df.select(*columns).write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
+    """Header CSV in a fixed column order (no BOM, no index), blanks around values kept."""
+    (df.select(*columns).write.mode("errorifexists").option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def dictionary_entries(df: DataFrame, json_col: str, keep: Sequence[str] = ()) -> DataFrame:
-    """Each JSON object text as ``(key, value)`` rows (values as text)."""
-    return df.select(*keep, F.explode(F.from_json(F.col(json_col), "map<string,string>")).alias("key", "value"))
+    """Each JSON object text as ``(key, value)`` rows (values as text); of a key
+    that an object repeats the last value holds."""
+    parsed = df.select(*keep, F.map_entries(F.from_json(F.col(json_col), "map<string,string>")).alias("_e"))
+    backwards = parsed.select(*keep, F.reverse(F.transform("_e", lambda x: x["key"])).alias("_k"),
+                              F.reverse(F.transform("_e", lambda x: x["value"])).alias("_v"))
+    last = F.transform(F.array_distinct("_k"), lambda k: F.struct(
+        k.alias("key"), F.get(F.col("_v"), (F.array_position("_k", k) - 1).cast("int")).alias("value")))
+    return backwards.select(*keep, F.explode_outer(last).alias("_r")).where("_r is not null").select(*keep, "_r.*")
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:

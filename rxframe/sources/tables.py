@@ -2,48 +2,15 @@
 
 from __future__ import annotations
 
-import threading
-
 from pyspark.sql import DataFrame, SparkSession
 
-# base scans per (session, path): a DataFrame is an immutable plan, so one scan
-# plan serves every branch that reads the table (no data is cached; this only
-# saves the file listing and footer read each new reader would repeat)
-_SCANS: dict[tuple[int, str], DataFrame] = {}
-_LOCK = threading.Lock()
-
-
-def _scan(spark: SparkSession, path: str) -> DataFrame:
-    key = (id(spark), path)
-    with _LOCK:
-        df = _SCANS.get(key)
-        if df is None or df.sparkSession is not spark:
-            df = spark.read.parquet(path)
-            _SCANS[key] = df
-    return df
-
-
-# tables whose rows carry long texts (row-wise regex work dominates their jobs)
-TEXT_TABLES = frozenset({"documents", "pages", "conversations"})
-
 
-def read_table(spark: SparkSession, base_dir: str, name: str, *cols: str, spread: bool | None = None) -> DataFrame:
+def read_table(spark: SparkSession, base_dir: str, name: str, *cols: str) -> DataFrame:
     """Read ``<base_dir>/<name>.parquet``; with ``cols`` only those are selected so
     the scan's ReadSchema stays minimal.
 
-    A file stored as one row group scans as one task, which would leave all
-    row-wise text work before the first shuffle on one core.  For text tables
-    (``spread`` defaults to membership in ``TEXT_TABLES``) whose scan has fewer
-    splits than the cluster's default parallelism the rows are spread
-    round-robin; large tables (many splits) are left untouched, so no shuffle
-    is added at scale, and small dimension tables are never spread.
+    The scan's own splits are kept: how many there are is set by the files and by
+    ``spark.sql.files.maxPartitionBytes``/``minPartitionNum``, not by a shuffle.
     """
-    df = _scan(spark, f"{base_dir.rstrip('/')}/{name}.parquet")
-    if cols:
-        df = df.select(*cols)
-    if spread is None:
-        spread = name in TEXT_TABLES
-    target = spark.sparkContext.defaultParallelism
-    if spread and df.rdd.getNumPartitions() < target:
-        df = df.repartition(target)
-    return df
+    df = spark.read.parquet(f"{base_dir.rstrip('/')}/{name}.parquet")
+    return df.select(*cols) if cols else df

@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from rxframe.operators.pages import page_texts
 
 
-def run_available_now(writer, timeout_s: int):
-    """Start with ``availableNow``, wait at most ``timeout_s``, always stop."""
+def run_available_now(writer, timeout_s: int | None = None):
+    """Start with ``availableNow``, wait for the end (at most ``timeout_s`` if given), always stop."""
     q = writer.trigger(availableNow=True).start()
     try:
-        if not q.awaitTermination(timeout_s):
+        if timeout_s is None:
+            q.awaitTermination()
+        elif not q.awaitTermination(timeout_s):
             raise TimeoutError(f"stream {q.id} did not finish in {timeout_s}s")
         if q.exception() is not None:
             raise RuntimeError(str(q.exception()))
@@ -36,7 +38,7 @@ def run_available_now(writer, timeout_s: int):
 
 def consult_stream(spark: SparkSession, requests_dir: str, requests_schema, output_dir: str,
                    checkpoint: str, per_batch: Callable[[DataFrame], DataFrame], *,
-                   files_per_trigger: int = 1, timeout_s: int = 900):
+                   files_per_trigger: int = 1, timeout_s: int | None = None):
     """Run ``per_batch`` (requests -> prompts) on every micro-batch of the
     request files under ``requests_dir``; results land in ``output_dir``."""
     stream = (spark.readStream.schema(requests_schema).option("maxFilesPerTrigger", files_per_trigger)
@@ -51,7 +53,7 @@ def consult_stream(spark: SparkSession, requests_dir: str, requests_schema, outp
 
 def page_extract_stream(spark: SparkSession, pages_dir: str, pages_schema, output_dir: str, checkpoint: str,
                         *, page_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",),
-                        files_per_trigger: int = 1, timeout_s: int = 900):
+                        files_per_trigger: int = 1, timeout_s: int | None = None):
     """R2 + S8: extract title/body/headings from every landed page exactly once."""
     stream = (spark.readStream.schema(pages_schema).option("maxFilesPerTrigger", files_per_trigger)
               .parquet(pages_dir))

@@ -34,3 +34,27 @@ def test_main_block_rules():
     assert parse_main_block(page) == (" A \none\n two\nB\n!", "A\nB!")    # class first, text unstripped
     assert parse_main_block('<section id="content"><p> x </p></section>') == (" x ", "")
     assert parse_main_block("<div><p>none</p></div>") == (None, None)
+
+
+RESULTS = ('<a href="/o">other</a><a class="b" href="/1">view</a><a href="/2"><span>view it</span></a>'
+           '<a href="/x">view <b>two texts</b></a><a name="n">view</a><a href="/4">view</a>'
+           '<div class="search-results-product row"><a class="search-results-product-info-title-link"> A &middot; <b>x</b></a>'
+           '<div id="q" class="search-results-product-info-type">one<style>p{}</style></div></div>'
+           '<div class="search-results-product"><a class="search-results-product-info-title-link">no type</a></div>'
+           '<div class="search-results-product"><a class="search-results-product-info-title-link">cut</a>'
+           '<div class="search-results-product-info-type">off</div></div>')
+
+
+def test_links_and_cards_cut_before_drop():
+    from rxframe.operators.detail_pages import parse_result_cards, parse_result_links
+    assert parse_result_links(RESULTS, "view", 3) == ["/1", "/2"]       # the third match has no target
+    assert parse_result_links(RESULTS, "view", 9) == ["/1", "/2", "/4"]
+    assert parse_result_cards(RESULTS, 2) == [(0, "A ·x", "one")]
+    assert parse_result_links(None, "view", 3) == [] and parse_result_cards("", 5) == []
+
+
+def test_script_and_style_are_not_text_and_short_sections_go():
+    from rxframe.operators.detail_pages import parse_main_block
+    assert parse_main_block('<div id="content">a<script>var x=1;</script><style>p{}</style>&#233;</div>') == ("a\né", "")
+    assert parse_detail_page('<div id="A-div">0123456789</div>', min_len=10)[1] == {}
+    assert parse_detail_page('<div id="A-div">0123456789a</div>', min_len=10)[1] == {"leaflet": "0123456789a"}

@@ -81,3 +81,22 @@ def test_quality(spark):
     assert {(r["field"], r["missing"]) for r in quality.field_presence(raw, "raw").collect()} == {("b", 1)}
     ce = quality.critical_empty(df.select(F.col("reg"), F.col("id").cast("string")), ["reg", "id"]).collect()
     assert {(r["field"], r["empty"]) for r in ce} == {("reg", 1), ("id", 2)}
+
+
+def test_blank_ingredient_is_no_link(spark):
+    from rxframe.operators.link import resolve_links
+    d = spark.createDataFrame([("A", ""), ("B", "x")], "key string, ingredient string")
+    terms = spark.createDataFrame([("a",), ("b",), ("",)], "term string")
+    assert {r["term"]: r["ingredient"] for r in resolve_links(terms, d).collect()} == {"a": None, "b": "x", "": None}
+
+
+def test_lookup_plans_sort_no_text(spark):
+    from rxframe.operators.enrich import first_per_key, last_per_key, lookup_last_wins, with_text
+    df = spark.createDataFrame([(1, "k", "one"), (2, "k", ""), (3, None, "n")], "ord int, key string, text string")
+    for reduce in (first_per_key, last_per_key):
+        out = reduce(df, "key", "ord", ["text"])
+        assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+        assert len(out.collect()) == 2
+    m = spark.createDataFrame([("k",)], "mk string")
+    got = lookup_last_wins(m, with_text(df, "text"), master_key="mk", lookup_key="key", ord_col="ord", value="text", target="t")
+    assert got.first()["t"] == "one"        # the empty last row does not replace the earlier text

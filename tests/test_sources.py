@@ -61,3 +61,16 @@ def test_envelopes(spark):
                                    (2, '{"pageCount": 2}'), (3, '{"pageCount": 2, "results": []}')],
                                   "page long, env string")
     assert sorted(r["id"] for r in flatten_envelopes(pages, "env", rec).collect()) == [1, 2]
+
+
+def test_json_keeps_null_keys_csv_keeps_blanks_dictionary_last_wins(spark):
+    from rxframe.sources.files import dictionary_entries, write_csv_table, write_registry_json
+    d = _tmp()
+    df = spark.createDataFrame([(1, None), (2, "  a  ")], "id int, v string")
+    write_registry_json(df, os.path.join(d, "j"))
+    raw = sorted(r[0] for r in spark.read.text(os.path.join(d, "j")).collect())
+    assert raw == ['{"id":1,"v":null}', '{"id":2,"v":"  a  "}']
+    write_csv_table(df, os.path.join(d, "c"), df.columns)
+    assert sorted(map(tuple, read_csv_table(spark, os.path.join(d, "c"), df.schema).collect())) == [(1, None), (2, "  a  ")]
+    rows = spark.createDataFrame([('{"a":"1","b":"x","a":"2"}',), (None,), ("{}",)], "j string")
+    assert sorted(map(tuple, dictionary_entries(rows, "j").collect())) == [("a", "2"), ("b", "x")]
