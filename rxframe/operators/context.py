@@ -108,17 +108,20 @@ def context_line(m: MasterColumns) -> F.Column:
     return F.concat_ws("", head, *[x for x in (leaflet, dosage) if x is not None])
 
 
-def context_lines(ranked: DataFrame, master: DataFrame, m: MasterColumns, *, req_col: str = "req_id",
-                  ord_col: str) -> DataFrame:
-    """``(req, rn, line)`` for retrieved rows ``(req, rn, ord)``.
+def line_table(master: DataFrame, m: MasterColumns, ord_col: str) -> DataFrame:
+    """``(ord, line)``: the context line of every master row, built once per version."""
+    return master.select(ord_col, context_line(m).alias("line"))
+
+
+def context_lines(ranked: DataFrame, lines: DataFrame, *, req_col: str = "req_id", ord_col: str) -> DataFrame:
+    """``(req, rn, line)`` for retrieved rows ``(req, rn, ord)`` from a ``line_table``.
 
     The same few master rows can be retrieved for many requests (the first
     rows of a frequent term), so the join on ``ord`` may be skewed on the
     retrieved side: AQE's skew-join split handles such partitions, and AQE
     broadcasts the master side when its measured size is small.
     """
-    return (ranked.join(master, ord_col)
-            .select(req_col, "rn", context_line(m).alias("line")))
+    return ranked.join(lines, ord_col).select(req_col, "rn", "line")
 
 
 def consult_context(requests: DataFrame, lines: DataFrame, links: DataFrame, *,

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rxframe.functions.text import comma_items, first_token, py_strip
+from rxframe.session import materialize
 
 # field ranks: insertion order of the reference's link map (medications first)
 FIELD_MEDICATIONS, FIELD_SYMPTOMS, FIELD_HISTORY = 0, 1, 2
@@ -103,9 +104,10 @@ def extract_entities(requests: DataFrame, symptom_dict: DataFrame, link_dict: Da
                      req_col: str = "req_id", symptoms_col: str = "symptoms",
                      history_col: str = "history", medications_col: str = "medications"
                      ) -> tuple[DataFrame, DataFrame]:
-    """``(terms, links)`` of every request (see ``terms_and_links``)."""
-    rows = entity_rows(requests, symptom_dict, link_dict, req_col=req_col, symptoms_col=symptoms_col,
-                       history_col=history_col, medications_col=medications_col)
+    """``(terms, links)`` of every request (see ``terms_and_links``); the rows that
+    both derive from are stored once."""
+    rows = materialize(entity_rows(requests, symptom_dict, link_dict, req_col=req_col, symptoms_col=symptoms_col,
+                                   history_col=history_col, medications_col=medications_col), "entities")
     return terms_and_links(rows, req_col)
 
 

@@ -3,7 +3,9 @@
 The reference scans the whole master once per request and keeps the first
 matches.  Here every request is handled in one plan:
 
-1. the master is turned into an inverted index ``(key, ord, a, b, dkey)``;
+1. the master's distinct names (first row of each) are turned into an inverted index
+   ``(key, ord, a, b, dkey)`` with token counts, stored once and passed to every call
+   and micro-batch (``build_index``);
 2. each *distinct* lowered term gets one equi-join key that every true match
    must contain: its rarest word run in the index, or the term itself when it
    has no word character; the empty term (which matches every row holding a
@@ -21,6 +23,8 @@ used by a third of the requests) is spread over many tasks.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,23 +44,40 @@ def dedupe_key(sci_col: str, ord_col: str):
 # word-boundary retrieval
 # ---------------------------------------------------------------------------
 
-def boundary_index(master: DataFrame, ord_col: str, trade_col: str, sci_col: str) -> DataFrame:
-    """Inverted index of the master for word-boundary terms.
+def _keys(a, b):
+    """Index keys of two lowered names.
 
-    Keys: ``w<run>`` for every word run of either lowered name and ``s<run>``
-    for every inner non-word run.  The empty term needs no key (see
-    ``_empty_term_rows``).
+    ``w<run>`` for every word run of either name and ``s<run>`` for every inner
+    non-word run.  The empty term needs no key (see ``_empty_term_rows``).
     """
-    a = py_str_or_nan(trade_col)
-    b = py_str_or_nan(sci_col)
-    keys = F.array_union(
+    return F.array_union(
         F.transform(F.array_union(word_runs(a), word_runs(b)), lambda x: F.concat(F.lit("w"), x)),
         F.transform(F.array_union(inner_separator_runs(a), inner_separator_runs(b)),
                     lambda x: F.concat(F.lit("s"), x)))
-    return master.select(
-        F.col(ord_col).alias("ord"), a.alias("a"), b.alias("b"),
-        dedupe_key(sci_col, ord_col).alias("dkey"),
-        F.explode(keys).alias("key"))
+
+
+@dataclass(frozen=True)
+class RetrievalIndex:
+    """Stored tables of one master version: ``names`` (a, b, dkey, ord), ``tokens``
+    (names by key) and ``counts`` (key, freq)."""
+    names: DataFrame
+    tokens: DataFrame
+    counts: DataFrame
+
+
+def build_index(master: DataFrame, ord_col: str, trade_col: str, sci_col: str) -> RetrievalIndex:
+    """Build the index once per master version.
+
+    Rows that agree in both lowered names and the dedupe key match the same terms, and
+    only the first of them can be kept, so they are one name with its smallest order
+    (rows without a scientific name never agree): the index grows with names, not rows.
+    """
+    rows = master.select(py_str_or_nan(trade_col).alias("a"), py_str_or_nan(sci_col).alias("b"),
+                         dedupe_key(sci_col, ord_col).alias("dkey"), F.col(ord_col).alias("ord"))
+    names = materialize(rows.groupBy("a", "b", "dkey").agg(F.min("ord").alias("ord")), "names")
+    tokens = materialize(names.select("*", F.explode(_keys(F.col("a"), F.col("b"))).alias("key")), "tokens")
+    counts = materialize(tokens.groupBy("key").agg(F.count(F.lit(1)).alias("freq")), "token-counts")
+    return RetrievalIndex(names, tokens, counts)
 
 
 def boundary_term_keys(terms: DataFrame, term_col: str = "term") -> DataFrame:
@@ -71,6 +92,10 @@ def boundary_term_keys(terms: DataFrame, term_col: str = "term") -> DataFrame:
             .select("term_l", key.alias("key"), word_pattern(t).alias("pattern")))
 
 
+# bytes of terms and patterns that may be broadcast
+BROADCAST_BYTES = 64 << 20
+
+
 def _first_k_per_term(cands: DataFrame, k: int, dedupe: bool) -> DataFrame:
     """First ``k`` candidates per term in file order.
 
@@ -116,21 +141,24 @@ def _first_k_per_request(req_terms: DataFrame, per_term: DataFrame, req_col: str
 
 def boundary_matches_per_term(terms: DataFrame, master: DataFrame, *, term_col: str = "term",
                               ord_col: str, trade_col: str, sci_col: str, k: int = 4,
-                              dedupe: bool = True, salt_buckets: int = 16,
-                              broadcast_rows: int = 500_000, rarest: bool = True) -> tuple[DataFrame, bool]:
-    """For every distinct lowered term: its first ``k`` matching rows
-    ``(term_l, ord[, dkey])``.  Also says whether the term side was small
-    enough to broadcast (then the per-term result is too)."""
+                              salt_buckets: int = 16, broadcast_rows: int = 500_000, rarest: bool = True,
+                              index: RetrievalIndex | None = None) -> tuple[DataFrame, bool]:
+    """For every distinct lowered term: its first ``k`` matching names
+    ``(term_l, ord, dkey)``.  Also says whether the term side was small enough,
+    in rows and bytes, to broadcast (then the per-term result is too).  ``index``
+    is the stored index of ``master``; without it one is built for this call."""
+    index = index or build_index(master, ord_col, trade_col, sci_col)
     # distinct terms, written once: one small job then gives both the size
     # check for the broadcast and whether the empty term is used at all
     tk = materialize(boundary_term_keys(terms, term_col), "term-keys")
     stats = tk.agg(F.count(F.lit(1)).alias("n"),
+                   F.coalesce(F.sum(F.octet_length("term_l") + F.octet_length("pattern")), F.lit(0)).alias("bytes"),
                    F.max((F.col("key") == "e").cast("int")).alias("has_empty")).first()
-    small = stats["n"] <= broadcast_rows
+    small = stats["n"] <= broadcast_rows and stats["bytes"] <= BROADCAST_BYTES
     tk = tk.where(F.col("key") != "e")
-    idx = boundary_index(master, ord_col, trade_col, sci_col)
+    idx = index.tokens
     if rarest:
-        tk = _rarest_run_keys(tk, idx, small)
+        tk = _rarest_run_keys(tk, index.counts, small)
     if small:
         cands = idx.join(F.broadcast(tk), "key")
     else:
@@ -142,24 +170,22 @@ def boundary_matches_per_term(terms: DataFrame, master: DataFrame, *, term_col:
     verified = verified.select("term_l", "ord", "dkey")
     # the empty term's list needs a pass over the whole master: only when used
     if stats["has_empty"]:
-        verified = verified.unionByName(_empty_term_rows(master, ord_col, trade_col, sci_col))
-    return _first_k_per_term(verified, k, dedupe), small
+        verified = verified.unionByName(_empty_term_rows(index.names))
+    return _first_k_per_term(verified, k, True), small
 
 
-def _rarest_run_keys(tk: DataFrame, idx: DataFrame, small: bool) -> DataFrame:
+def _rarest_run_keys(tk: DataFrame, counts: DataFrame, small: bool) -> DataFrame:
     """Re-key word terms on their rarest word run in the index (ties: longest,
     then first).  Any run of a term is a sound key (a match holds every run as
     a whole token); the rarest one bounds the candidates a hot token would
     otherwise bring.  A run absent from the index gets frequency 0, so its term
-    matches nothing without touching the index.  Token counts come from a
-    hash aggregate with map-side combine; the term side is broadcast when it
-    passed the size check."""
-    freq = idx.groupBy("key").agg(F.count(F.lit(1)).alias("freq"))
+    matches nothing without touching the index.  Token counts are stored with the
+    index; the term side is broadcast when it passed the size check."""
     runs = (tk.where(F.col("key").startswith("w"))
             .select("term_l", F.posexplode(word_runs(F.col("term_l"))).alias("i", "run"))
             .select("term_l", "i", F.concat(F.lit("w"), F.col("run")).alias("key"), F.length("run").alias("len")))
     runs_j = F.broadcast(runs) if small else runs
-    ranked = freq.join(runs_j, "key", "right").select(
+    ranked = counts.join(runs_j, "key", "right").select(
         "term_l", "key", F.struct(F.coalesce("freq", F.lit(0)).alias("f"), (-F.col("len")).alias("l"),
                                   F.col("i")).alias("rank"))
     best = ranked.groupBy("term_l").agg(F.min_by("key", "rank").alias("best"))
@@ -167,18 +193,16 @@ def _rarest_run_keys(tk: DataFrame, idx: DataFrame, small: bool) -> DataFrame:
             .select("term_l", F.coalesce("best", "key").alias("key"), "pattern"))
 
 
-def _empty_term_rows(master: DataFrame, ord_col: str, trade_col: str, sci_col: str) -> DataFrame:
-    """Rows matched by the empty term (``\\b\\b``): any word character in either
-    lowered name.  Tagged with ``term_l = ''``; reduced with the rest."""
-    a = py_str_or_nan(trade_col)
-    b = py_str_or_nan(sci_col)
-    return master.where(a.rlike(WORD) | b.rlike(WORD)).select(
-        F.lit("").alias("term_l"), F.col(ord_col).alias("ord"), dedupe_key(sci_col, ord_col).alias("dkey"))
+def _empty_term_rows(names: DataFrame) -> DataFrame:
+    """Names matched by the empty term (``\\b\\b``): any word character in either
+    of them.  Tagged with ``term_l = ''``; reduced with the rest."""
+    return names.where(F.col("a").rlike(WORD) | F.col("b").rlike(WORD)).select(F.lit("").alias("term_l"), "ord", "dkey")
 
 
 def retrieve_topk(request_terms: DataFrame, master: DataFrame, *, req_col: str = "req_id",
                   term_col: str = "term", ord_col: str, trade_col: str, sci_col: str,
-                  k: int = 4, salt_buckets: int = 16, broadcast_rows: int = 500_000) -> DataFrame:
+                  k: int = 4, salt_buckets: int = 16, broadcast_rows: int = 500_000,
+                  index: RetrievalIndex | None = None) -> DataFrame:
     """W4 over J8: per request the first ``k`` rows (file order) that match any
     term on a word boundary in either name, one row per scientific name.
 
@@ -188,7 +212,7 @@ def retrieve_topk(request_terms: DataFrame, master: DataFrame, *, req_col: str =
     rt = materialize(request_terms.select(req_col, F.lower(F.col(term_col)).alias("term_l")).distinct())
     per_term, small = boundary_matches_per_term(
         rt, master, term_col="term_l", ord_col=ord_col, trade_col=trade_col,
-        sci_col=sci_col, k=k, dedupe=True, salt_buckets=salt_buckets, broadcast_rows=broadcast_rows)
+        sci_col=sci_col, k=k, salt_buckets=salt_buckets, broadcast_rows=broadcast_rows, index=index)
     out = _first_k_per_request(rt, per_term, req_col, k, True, small, salt_buckets)
     return out.withColumnRenamed("ord", ord_col)
 

@@ -31,7 +31,7 @@ from rxframe.sources.files import (dictionary_entries, first_existing, flatten_e
                                    read_csv_table, read_registry_json, write_csv_table, write_new_version,
                                    write_registry_json)
 from rxframe.plans import fixtures as fx
-from rxframe.plans.consult import consult_contexts, consult_lines, consult_prompts
+from rxframe.plans.consult import consult_contexts, consult_lines, consult_prompts, prepare_consult
 from rxframe.plans.master import build_master, coverage_report
 from rxframe.sources.tables import read_table
 
@@ -418,10 +418,11 @@ def q_stream_consult(spark, sf):
     master_path = f"{base}/master"
     _master(spark, sf).write.parquet(master_path)          # static side, materialised once
     master = spark.read.parquet(master_path)
-    # static dimensions, written once: every micro-batch reads them instead of re-deriving them
+    # static sides, stored once: every micro-batch reads them instead of deriving them again
+    prepared = prepare_consult(master, MASTER_COLS)
     sd, ld = materialize(fx.symptom_dictionary(spark, sf), "sd"), materialize(_link_dict(spark, sf), "ld")
     consult_stream(spark, f"{base}/in", req.schema, f"{base}/out", f"{base}/ckpt",
-                   lambda batch: consult_prompts(batch, master, sd, ld, MASTER_COLS), files_per_trigger=2)
+                   lambda batch: consult_prompts(batch, master, sd, ld, MASTER_COLS, base=prepared), files_per_trigger=2)
     return spark.read.parquet(f"{base}/out").drop("batch")
 
 

@@ -2,44 +2,53 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from rxframe.operators.context import CONTEXT_CHARS, MasterColumns, consult_context, context_lines, prompt_table
-from rxframe.operators.link import entity_rows, search_terms, terms_and_links
-from rxframe.operators.retrieve import retrieve_topk
+from rxframe.operators.context import MasterColumns, consult_context, context_lines, line_table, prompt_table
+from rxframe.operators.link import extract_entities, search_terms
+from rxframe.operators.retrieve import RetrievalIndex, build_index, retrieve_topk
 from rxframe.session import materialize
 
 
+@dataclass(frozen=True)
+class ConsultBase:
+    """What every consult over one master version shares: the retrieval index and the
+    context line of every row, both stored."""
+    index: RetrievalIndex
+    lines: DataFrame
+
+
+def prepare_consult(master: DataFrame, cols: MasterColumns, *, ord_col: str = "ord") -> ConsultBase:
+    """Index and lines, built once per master version and passed to every batch."""
+    return ConsultBase(build_index(master, ord_col, cols.trade, cols.sci),
+                       materialize(line_table(master, cols, ord_col), "lines"))
+
+
 def consult_lines(requests: DataFrame, master: DataFrame, symptom_dict: DataFrame,
                   link_dict: DataFrame, cols: MasterColumns, *, ord_col: str = "ord",
-                  req_col: str = "req_id", k: int = 4) -> tuple[DataFrame, DataFrame]:
+                  req_col: str = "req_id", k: int = 4, base: ConsultBase | None = None) -> tuple[DataFrame, DataFrame]:
     """``(lines, links)``: the context line of every retrieved row ``(req, rn,
     line)`` and the linked names ``(req, brand, ingredient, link_rank)``.
 
-    The master (only the columns the context needs) and the entity rows are
-    materialised once: both feed two branches (retrieval and context text).
+    ``base`` comes from ``prepare_consult``; without it the master is prepared for
+    this call.  The entity rows feed several branches and are stored once.
     """
-    needed = [ord_col] + [c for c in (cols.trade, cols.sci, cols.form, cols.strength, cols.price, cols.route,
-                                      cols.route_ar) if c]
-    # the context shows at most CONTEXT_CHARS of the long texts: cut them before
-    # they are written and shuffled (a cut keeps null-ness and emptiness)
-    long_texts = [F.substring(F.col(c), 1, CONTEXT_CHARS).alias(c) for c in (cols.leaflet, cols.intl_dosage) if c]
-    master = materialize(master.select(*needed, *long_texts), "master")
-    rows = materialize(entity_rows(requests, symptom_dict, link_dict, req_col=req_col), "entities")
-    terms, links = terms_and_links(rows, req_col)
+    base = base or prepare_consult(master, cols, ord_col=ord_col)
+    terms, links = extract_entities(requests, symptom_dict, link_dict, req_col=req_col)
     st = search_terms(terms, links, req_col)
     ranked = retrieve_topk(st, master, req_col=req_col, term_col="term", ord_col=ord_col,
-                           trade_col=cols.trade, sci_col=cols.sci, k=k)
-    return context_lines(ranked, master, cols, req_col=req_col, ord_col=ord_col), links
+                           trade_col=cols.trade, sci_col=cols.sci, k=k, index=base.index)
+    return context_lines(ranked, base.lines, req_col=req_col, ord_col=ord_col), links
 
 
 def consult_contexts(requests: DataFrame, master: DataFrame, symptom_dict: DataFrame,
                      link_dict: DataFrame, cols: MasterColumns, *, ord_col: str = "ord",
-                     req_col: str = "req_id", k: int = 4) -> DataFrame:
+                     req_col: str = "req_id", k: int = 4, base: ConsultBase | None = None) -> DataFrame:
     """``(req, context)`` for every request."""
     lines, links = consult_lines(requests, master, symptom_dict, link_dict, cols, ord_col=ord_col,
-                                 req_col=req_col, k=k)
+                                 req_col=req_col, k=k, base=base)
     return consult_context(requests, lines, links, req_col=req_col)
 
 
