@@ -18,8 +18,11 @@ earlier document, or earlier in the same one); strings are judged on the input.
 4. Each block gets back the places that stay, marks the rest and digests what is left.
 
 Whole copies of a text are found by digest before step 2: all their strings start
-earlier.  An anchor with over ``big_anchor`` different contexts (a passage in very many
-surroundings) is not gathered: its strings are grouped by value with map-side combine.
+earlier.  A string holds either the 34 bytes before its anchor or the 35 bytes after it, so a
+context whose stretches of that kind occur once has unique strings only and is not
+sorted (short lines that very many texts share are of this kind).  An anchor with over
+``big_anchor`` different contexts (a passage in very many surroundings) is not gathered:
+the same rule leaves the strings in question, which are grouped by value.
 No task holds more than a block, a range of hashes or about ``range_bytes`` of contexts.
 
 Defined results: a null text is empty.  Null ids come after all others; equal ids go by
@@ -42,7 +45,7 @@ from rxframe.session import materialize
 
 LENGTH = 100
 GRAM = 32
-BIG_ANCHOR = 5000
+BIG_ANCHOR = 20_000
 RANGE_BYTES = 64 << 20
 CONTEXT_BYTES = 2 << 20
 _STEP = 1 << 20
@@ -70,7 +73,8 @@ def _leftmost_minimum(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Runs of strings with one anchor: (text number, first start, last start, anchor hash)."""
+    """Runs of strings with one anchor: (text number, first start, last start, anchor
+    hash, anchor's place in the first string)."""
     out, group, first, size = [], [], 0, 0
     for i, t in enumerate(texts):
         group.append(t)
@@ -89,10 +93,11 @@ def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
                 d, p = doc[valid], place[valid]
                 new = np.flatnonzero(np.concatenate([[True], (np.diff(p) != 0) | (np.diff(d) != 0)]))
                 last = np.concatenate([new[1:], [len(valid)]]) - 1
-                out.append((d[new] + first, valid[new] - starts[d[new]], valid[last] - starts[d[new]], h[p[new]]))
+                out.append((d[new] + first, valid[new] - starts[d[new]], valid[last] - starts[d[new]], h[p[new]],
+                            p[new] - valid[new]))
         group, first, size = [], i + 1, 0
     if not out:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.int64))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -203,6 +208,22 @@ def first_places(contexts: list[bytes], documents: np.ndarray, starts: np.ndarra
     return c[head], o[head]
 
 
+def shared_sides(contexts: list[bytes], offsets: list[int], length: int = LENGTH) -> np.ndarray:
+    """Numbers of the contexts that have a stretch on one side of the anchor, anchor
+    included, in common with another: only these can share a string."""
+    half, seen, sides = (length - GRAM) // 2, {}, []
+    for i, (c, off) in enumerate(zip(contexts, offsets)):
+        mine = []
+        if off >= half:
+            mine.append((0, c[off - half:off + GRAM]))
+        if len(c) - length > off - half:
+            mine.append((1, c[off:off + length - half + 1]))
+        for side in mine:
+            seen[side] = seen.get(side, 0) + 1
+        sides.append(mine)
+    return np.array([i for i, mine in enumerate(sides) if any(seen[x] > 1 for x in mine)], np.int64)
+
+
 def _runs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted whole numbers as runs: first and last of each."""
     cut = np.flatnonzero(np.diff(places) != 1)
@@ -274,28 +295,28 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         copies.select("_block", F.lit(None).cast("binary").alias("keys"), "rows"))
 
     def find(texts: pa.Table, known: pa.Table) -> pa.Table:
-        out = {c: [] for c in ("h", "context", "none", "_id", "_block", "_row", "lo", "hi")}
+        out = {c: [] for c in ("h", "context", "off", "none", "_id", "_block", "_row", "lo", "hi")}
         if texts.num_rows:
             rows, ids, data = texts.column("_row").to_pylist(), texts.column("_id").to_pylist(), _bytes(texts.column("_text"))
             block = texts.column("_block")[0].as_py()
             skip = {r for x in known.column("rows").to_pylist() if x for r in x}
-            doc, lo, hi, h = anchors(data, length)
+            doc, lo, hi, h, off = anchors(data, length)
             keys = np.concatenate([B.unpack(k) for k in known.column("keys").to_pylist() if k is not None]
                                   or [np.zeros(0, np.uint64)])
             own, n = np.unique(h, return_counts=True)
             repeated = np.isin(h, np.concatenate([keys, own[n > 1]]))
-            for i, a, z, key in zip(doc[repeated].tolist(), lo[repeated].tolist(), hi[repeated].tolist(),
-                                    h[repeated].view(np.int64).tolist()):
+            for i, a, z, key, at in zip(doc[repeated].tolist(), lo[repeated].tolist(), hi[repeated].tolist(),
+                                        h[repeated].view(np.int64).tolist(), off[repeated].tolist()):
                 if rows[i] not in skip:
-                    for c, v in zip(out, (key, data[i][a:z + length], ids[i] is None, ids[i], block, rows[i], a, z)):
+                    for c, v in zip(out, (key, data[i][a:z + length], at, ids[i] is None, ids[i], block, rows[i], a, z)):
                         out[c].append(v)
-        kinds = (pa.int64(), pa.binary(), pa.bool_(), id_arrow, pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.bool_(), id_arrow, pa.int64(), pa.int32(), pa.int32(), pa.int32())
         return pa.table({c: pa.array(v, k) for (c, v), k in zip(out.items(), kinds)})
 
     found = stored.groupBy("_block").cogroup(known.groupBy("_block")).applyInArrow(
-        find, f"h bigint, context binary, none boolean, _id {id_sql}, _block bigint, _row int, lo int, hi int")
+        find, f"h bigint, context binary, off int, none boolean, _id {id_sql}, _block bigint, _row int, lo int, hi int")
     found = materialize(found, "repeat-contexts")
-    distinct = materialize(found.groupBy("h", "context").agg(F.min(F.struct("none", "_id", "_block", "_row", "lo")).alias("f"))
+    distinct = materialize(found.groupBy("h", "context").agg(F.min(F.struct("none", "_id", "_block", "_row", "lo", "off")).alias("f"))
                            .select("h", "context", "f.*"), "repeat-distinct")
     size = distinct.agg(F.coalesce(F.sum(F.length("context")), F.lit(0)).alias("n")).first()["n"]
     crowded = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > big_anchor).select("h")
@@ -310,7 +331,14 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         new = np.concatenate([[0], np.cumsum((np.diff(code[by]) != 0) | (np.diff(block[by]) != 0) | (np.diff(row[by]) != 0))])
         document = np.empty(len(by), np.int64)
         document[by] = new
-        c, o = first_places(table.column("context").to_pylist(), document, lo, length)
+        contexts, off = table.column("context").to_pylist(), table.column("off").to_pylist()
+        shared = shared_sides(contexts, off, length)
+        c, o = first_places([contexts[i] for i in shared], document[shared], lo[shared], length)
+        c = shared[c]
+        alone = np.setdiff1d(np.arange(len(contexts)), shared)
+        n = np.array([len(contexts[i]) - length + 1 for i in alone], np.int64)
+        c = np.concatenate([c, np.repeat(alone, n)])
+        o = np.concatenate([o, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
         by = np.lexsort((o, c))
         c, o = c[by], o[by]
         a, z = _runs(c * (1 << 32) + o)
@@ -321,13 +349,24 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     stays = distinct.join(crowded, "h", "left_anti").withColumn("bucket", F.pmod("h", F.lit(buckets))) \
         .groupBy("bucket").applyInArrow(first, "_block bigint, _row int, lo int, hi int")
-    # crowded anchors: strings by value
-    strings = distinct.join(crowded, "h", "left_semi").select(
-        "h", "context", "none", "_id", "_block", "_row", "lo",
-        F.explode(F.sequence(F.lit(0), F.length("context") - length)).alias("o"))
+    # crowded anchors: per side, strings whose side occurs once are first; the others go by value
+    half, off, last = (length - GRAM) // 2, F.col("off"), F.length("context") - length
+    before = F.when(off >= half, F.struct(
+        F.substring("context", off - half + 1, F.lit(half + GRAM)).alias("side"), F.lit(0).alias("a"), F.least(off - half, last).alias("z")))
+    after = F.when(last > off - half, F.struct(
+        F.substring("context", off + 1, F.lit(length - half + 1)).alias("side"), F.greatest(off - half + 1, F.lit(0)).alias("a"), last.alias("z")))
+    place = ["none", "_id", "_block", "_row", "lo"]
+    sides = distinct.join(crowded, "h", "left_semi").select("h", "context", *place, F.posexplode(F.array(before, after)).alias("k", "s"))
+    sides = sides.where("s is not null").select("h", "context", *place, "k", "s.*")
+    often = sides.groupBy("h", "k", "side").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    once = sides.join(often, ["h", "k", "side"], "left_anti") \
+        .select("_block", "_row", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("z")).alias("hi"))
+    strings = sides.join(often, ["h", "k", "side"], "left_semi") \
+        .select("h", "context", *place, F.explode(F.sequence("a", "z")).alias("o"))
     strings = strings.groupBy("h", F.substring("context", F.col("o") + 1, F.lit(length)).alias("string")) \
         .agg(F.min(F.struct("none", "_id", "_block", "_row", (F.col("lo") + F.col("o")).alias("lo"))).alias("f"))
-    stays = stays.unionByName(strings.select("f._block", "f._row", F.col("f.lo").alias("lo"), F.col("f.lo").alias("hi")))
+    stays = stays.unionByName(once).unionByName(
+        strings.select("f._block", "f._row", F.col("f.lo").alias("lo"), F.col("f.lo").alias("hi")))
 
     marks = found.select("_block", "_row", F.lit(1).alias("add"), "lo", "hi") \
         .unionByName(stays.select("_block", "_row", F.lit(-1).alias("add"), "lo", "hi")) \
