@@ -47,12 +47,11 @@ def distinct_agent_names(agents) -> Column:
 
 def distinct_names_per_key(df: DataFrame, key: str, name_col: str, out_col: str = "agents") -> DataFrame:
     """A10 over a long table ``(key, name)``: names that are present, cleaned,
-    distinct, code-point sorted, joined by ``", "`` per key.  Duplicates are
-    removed by a (map-side combined) aggregate before any list is built, so a
-    key's list is bounded by its distinct names, not by its rows."""
-    names = (df.where(F.col(name_col).isNotNull() & (F.col(name_col) != ""))
-             .select(key, tx.ws_collapse(name_col).alias("_n")).distinct())
-    return names.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("_n")), ", ").alias(out_col))
+    distinct, code-point sorted, joined by ``", "`` per key; a key without any gives
+    ``""``.  One shuffle: sets are combined in the map tasks, so a key costs its
+    distinct names, not its rows."""
+    name = F.when(F.col(name_col) != "", tx.ws_collapse(name_col))
+    return df.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(name)), ", ").alias(out_col))
 
 
 def clean_registry(raw: DataFrame, keep: dict[str, str] | None = None) -> DataFrame:

@@ -63,7 +63,9 @@ def global_row_number(df: DataFrame, order_col: str, partitions: int | None = No
 
 
 def page_rows(df: DataFrame, order_col: str, page_size: int) -> DataFrame:
-    """Row number, page, page count, first and last row on the page."""
+    """Row number, page, page count, first and last row on the page.  The rows
+    are computed once; count, range sampling and numbering read the stored table."""
+    df = materialize(df, "paged-rows")
     total = df.select(F.count(F.lit(1))).scalar()
     numbered = global_row_number(df, order_col)
     page = F.ceil(F.col("rn") / F.lit(page_size))
