@@ -11,6 +11,7 @@ shuffle compression shortens to the few bytes that differ.
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -18,15 +19,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rxframe.session import materialize, ship_package
+from rxframe.session import scratch_path, ship_package
 
 BLOCK_BYTES = 4 << 20
+MAX_BUCKETS = 100_000  # what Spark takes by default
 
 
-def store_blocks(docs: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with ``_block`` and ``_row``, written once.  A block is a run of rows of
-    one input split, closed when it reaches ``block_bytes``; null texts become empty."""
-    ship_package(docs.sparkSession)
+def store_blocks(docs: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES,
+                 bucket_bytes: int = 4 * BLOCK_BYTES) -> DataFrame:
+    """``docs`` with ``_block`` and ``_row``, written once as a table bucketed by block.
+
+    A block is a run of rows of one input split, closed when it reaches ``block_bytes``;
+    null texts become empty.  Later grouping by ``_block`` reads the buckets as they are:
+    texts are never shuffled, however often they meet what was found out about them.
+    """
+    spark = docs.sparkSession
+    ship_package(spark)
     at = docs.columns.index(text_col)
 
     def run(batches):
@@ -45,7 +53,12 @@ def store_blocks(docs: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES)
 
     d = docs.withColumn(text_col, F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema)
-    return materialize(d.mapInArrow(run, f"{schema}, _block bigint, _row int"), "blocks")
+    total = d.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("n")).first()["n"]
+    name = f"rxframe_blocks_{uuid.uuid4().hex}"
+    d.mapInArrow(run, f"{schema}, _block bigint, _row int").write.format("parquet") \
+        .bucketBy(min(MAX_BUCKETS, max(1, math.ceil(total / bucket_bytes))), "_block") \
+        .option("path", scratch_path(spark, "blocks")).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
 
 
 def key_ranges(blocks: DataFrame, text_col: str, range_bytes: int) -> int:

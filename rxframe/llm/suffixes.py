@@ -9,20 +9,21 @@ earlier document, or earlier in the same one); strings are judged on the input.
    and learns which occur elsewhere too.  A string with an anchor that occurs once is
    unique; all others are candidates.
 2. Contexts.  A run of strings with one anchor is one context, at most 168 bytes.  Equal
-   contexts are reduced with map-side combine to their first place.
-3. Suffix arrays.  Distinct contexts with one anchor meet in one task.  Their suffixes
-   are sorted in two stages: those smaller than their successors directly, all others by
-   scanning the buckets in order, each taking its place from its successor's.  Adjacent
-   common prefixes of ``length`` or more make a class of equal strings, whose first place
-   stays; every other candidate goes.
+   contexts (by hashes of anchor and context) are reduced with map-side combine to their
+   first place.  A string holds either the 34 bytes before its anchor or the 35 bytes
+   after it: a context has two sides, and strings of a side that occurs in one context
+   only are unique (short lines that very many texts share are of this kind).  Only the
+   pieces of contexts with a side in common are fetched as bytes.
+3. Suffix arrays.  Pieces with one side meet in one task.  Their suffixes are sorted in
+   two stages: those smaller than their successors directly, all others by scanning the
+   buckets in order, each taking its place from its successor's.  Adjacent common
+   prefixes of ``length`` or more make a class of equal strings, whose first place stays;
+   every other candidate goes.
 4. Each block gets back the places that stay, marks the rest and digests what is left.
 
 Whole copies of a text are found by digest before step 2: all their strings start
-earlier.  A string holds either the 34 bytes before its anchor or the 35 bytes after it, so a
-context whose stretches of that kind occur once has unique strings only and is not
-sorted (short lines that very many texts share are of this kind).  An anchor with over
-``big_anchor`` different contexts (a passage in very many surroundings) is not gathered:
-the same rule leaves the strings in question, which are grouped by value.
+earlier.  A side with over ``big_side`` different pieces (a passage in very many
+surroundings) is not gathered: its strings are grouped by value with map-side combine.
 No task holds more than a block, a range of hashes or about ``range_bytes`` of contexts.
 
 Defined results: a null text is empty.  Null ids come after all others; equal ids go by
@@ -36,6 +37,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -45,7 +47,7 @@ from rxframe.session import materialize
 
 LENGTH = 100
 GRAM = 32
-BIG_ANCHOR = 20_000
+BIG_SIDE = 20_000
 RANGE_BYTES = 64 << 20
 CONTEXT_BYTES = 2 << 20
 _STEP = 1 << 20
@@ -208,28 +210,18 @@ def first_places(contexts: list[bytes], documents: np.ndarray, starts: np.ndarra
     return c[head], o[head]
 
 
-def shared_sides(contexts: list[bytes], offsets: list[int], length: int = LENGTH) -> np.ndarray:
-    """Numbers of the contexts that have a stretch on one side of the anchor, anchor
-    included, in common with another: only these can share a string."""
-    half, seen, sides = (length - GRAM) // 2, {}, []
-    for i, (c, off) in enumerate(zip(contexts, offsets)):
-        mine = []
-        if off >= half:
-            mine.append((0, c[off - half:off + GRAM]))
-        if len(c) - length > off - half:
-            mine.append((1, c[off:off + length - half + 1]))
-        for side in mine:
-            seen[side] = seen.get(side, 0) + 1
-        sides.append(mine)
-    return np.array([i for i, mine in enumerate(sides) if any(seen[x] > 1 for x in mine)], np.int64)
-
-
 def _runs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted whole numbers as runs: first and last of each."""
     cut = np.flatnonzero(np.diff(places) != 1)
     return places[np.concatenate([[0], cut + 1])], places[np.append(cut, len(places) - 1)]
 
 
+def _hash(data: bytes) -> int:
+    """64 bits, signed; never alone a key, always beside the anchor's hash."""
+    h = xxhash.xxh64_intdigest(data, 7)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def _bytes(column) -> list[bytes]:
     return column.cast(pa.binary()).to_pylist()
 
@@ -281,7 +273,7 @@ def _copies(stored: DataFrame, length: int) -> DataFrame:
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-                 big_anchor: int = BIG_ANCHOR, block_bytes: int = B.BLOCK_BYTES, range_bytes: int = RANGE_BYTES,
+                 big_side: int = BIG_SIDE, block_bytes: int = B.BLOCK_BYTES, range_bytes: int = RANGE_BYTES,
                  context_bytes: int = CONTEXT_BYTES, with_bytes: bool = False) -> DataFrame:
     """One row per document: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``
     and, if asked for, the bytes that are left (``kept``)."""
@@ -294,8 +286,12 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = known.select("_block", "keys", F.lit(None).cast("array<int>").alias("rows")).unionByName(
         copies.select("_block", F.lit(None).cast("binary").alias("keys"), "rows"))
 
+    half = (length - GRAM) // 2
+    place = ["none", "_id", "_block", "_row", "lo"]
+
     def find(texts: pa.Table, known: pa.Table) -> pa.Table:
-        out = {c: [] for c in ("h", "context", "off", "none", "_id", "_block", "_row", "lo", "hi")}
+        names = ("h", "context", "left", "right", "off", "none", "_id", "_block", "_row", "lo", "hi")
+        out = {c: [] for c in names}
         if texts.num_rows:
             rows, ids, data = texts.column("_row").to_pylist(), texts.column("_id").to_pylist(), _bytes(texts.column("_text"))
             block = texts.column("_block")[0].as_py()
@@ -307,38 +303,54 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             repeated = np.isin(h, np.concatenate([keys, own[n > 1]]))
             for i, a, z, key, at in zip(doc[repeated].tolist(), lo[repeated].tolist(), hi[repeated].tolist(),
                                         h[repeated].view(np.int64).tolist(), off[repeated].tolist()):
-                if rows[i] not in skip:
-                    for c, v in zip(out, (key, data[i][a:z + length], at, ids[i] is None, ids[i], block, rows[i], a, z)):
-                        out[c].append(v)
-        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.bool_(), id_arrow, pa.int64(), pa.int32(), pa.int32(), pa.int32())
+                if rows[i] in skip:
+                    continue
+                t, g = data[i], a + at
+                left = _hash(t[g - half:g + GRAM]) if at >= half else None
+                right = _hash(t[g:g + length - half + 1]) if z - a > at - half else None
+                for c, v in zip(names, (key, _hash(t[a:z + length]), left, right, at, ids[i] is None, ids[i], block, rows[i], a, z)):
+                    out[c].append(v)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), id_arrow, pa.int64(), pa.int32(),
+                 pa.int32(), pa.int32())
         return pa.table({c: pa.array(v, k) for (c, v), k in zip(out.items(), kinds)})
 
-    found = stored.groupBy("_block").cogroup(known.groupBy("_block")).applyInArrow(
-        find, f"h bigint, context binary, off int, none boolean, _id {id_sql}, _block bigint, _row int, lo int, hi int")
-    found = materialize(found, "repeat-contexts")
-    distinct = materialize(found.groupBy("h", "context").agg(F.min(F.struct("none", "_id", "_block", "_row", "lo", "off")).alias("f"))
-                           .select("h", "context", "f.*"), "repeat-distinct")
-    size = distinct.agg(F.coalesce(F.sum(F.length("context")), F.lit(0)).alias("n")).first()["n"]
-    crowded = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > big_anchor).select("h")
+    found = materialize(stored.groupBy("_block").cogroup(known.groupBy("_block")).applyInArrow(
+        find, f"h bigint, context bigint, left bigint, right bigint, off int, none boolean, _id {id_sql}, _block bigint, "
+              "_row int, lo int, hi int"), "repeat-contexts")
+    firsts = found.groupBy("h", "context").agg(F.min(F.struct(*place, "hi", "off", "left", "right")).alias("f")).select("h", "f.*")
+    cut = F.col("lo") + F.col("off") - half  # the last start with ``half`` bytes before the anchor
+    sides = firsts.select("h", *place, F.posexplode(F.array(
+        F.when(F.col("left").isNotNull(), F.struct(F.col("left").alias("side"), F.col("lo").alias("a"), F.least(cut, "hi").alias("z"))),
+        F.when(F.col("right").isNotNull(), F.struct(F.col("right").alias("side"), F.greatest(cut + 1, "lo").alias("a"), F.col("hi").alias("z")))
+    )).alias("k", "s")).where("s is not null").select("h", "k", "s.side", "none", "_id", "_block", "_row", "s.a", "s.z")
+    sides = materialize(sides, "repeat-sides")
+    counts = sides.groupBy("h", "k", "side").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sides = materialize(sides.join(counts, ["h", "k", "side"], "left"), "repeat-counted")
+    once = sides.where("n is null").select("_block", "_row", F.col("a").alias("lo"), F.col("z").alias("hi"))
+
+    def fetch(texts: pa.Table, wanted: pa.Table) -> pa.Table:
+        data = dict(zip(texts.column("_row").to_pylist(), _bytes(texts.column("_text"))))
+        piece = [data[r][a:z + length] for r, a, z in zip(*[wanted.column(c).to_pylist() for c in ("_row", "a", "z")])]
+        return wanted.select(["h", "k", "side", "n", "none", "_id", "_block", "_row", "a"]) \
+            .append_column("piece", pa.array(piece, pa.binary()))
+
+    pieces = materialize(stored.select("_block", "_row", "_text").groupBy("_block").cogroup(
+        sides.where("n is not null").groupBy("_block")).applyInArrow(
+        fetch, f"h bigint, k int, side bigint, n bigint, none boolean, _id {id_sql}, _block bigint, _row int, a int, piece binary"),
+        "repeat-pieces")
+    size = pieces.agg(F.coalesce(F.sum(F.length("piece")), F.lit(0)).alias("n")).first()["n"]
     buckets = max(1, math.ceil(size / context_bytes))
 
     def first(table: pa.Table) -> pa.Table:
         ids = table.column("_id").to_pylist()
         codes = {v: i for i, v in enumerate(sorted({v for v in ids if v is not None}))}
         code = np.array([codes.get(v, len(codes)) for v in ids])
-        block, row, lo = (np.asarray(table.column(c)).astype(np.int64) for c in ("_block", "_row", "lo"))
+        block, row, lo = (np.asarray(table.column(c)).astype(np.int64) for c in ("_block", "_row", "a"))
         by = np.lexsort((row, block, code))
         new = np.concatenate([[0], np.cumsum((np.diff(code[by]) != 0) | (np.diff(block[by]) != 0) | (np.diff(row[by]) != 0))])
         document = np.empty(len(by), np.int64)
         document[by] = new
-        contexts, off = table.column("context").to_pylist(), table.column("off").to_pylist()
-        shared = shared_sides(contexts, off, length)
-        c, o = first_places([contexts[i] for i in shared], document[shared], lo[shared], length)
-        c = shared[c]
-        alone = np.setdiff1d(np.arange(len(contexts)), shared)
-        n = np.array([len(contexts[i]) - length + 1 for i in alone], np.int64)
-        c = np.concatenate([c, np.repeat(alone, n)])
-        o = np.concatenate([o, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
+        c, o = first_places(table.column("piece").to_pylist(), document, lo, length)
         by = np.lexsort((o, c))
         c, o = c[by], o[by]
         a, z = _runs(c * (1 << 32) + o)
@@ -347,24 +359,14 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                          "lo": pa.array((lo[c] + a - (c << 32)).astype(np.int32)),
                          "hi": pa.array((lo[c] + z - (c << 32)).astype(np.int32))})
 
-    stays = distinct.join(crowded, "h", "left_anti").withColumn("bucket", F.pmod("h", F.lit(buckets))) \
+    stays = pieces.where(F.col("n") <= big_side) \
+        .withColumn("bucket", F.pmod(F.xxhash64("h", "k", "side"), F.lit(buckets))) \
         .groupBy("bucket").applyInArrow(first, "_block bigint, _row int, lo int, hi int")
-    # crowded anchors: per side, strings whose side occurs once are first; the others go by value
-    half, off, last = (length - GRAM) // 2, F.col("off"), F.length("context") - length
-    before = F.when(off >= half, F.struct(
-        F.substring("context", off - half + 1, F.lit(half + GRAM)).alias("side"), F.lit(0).alias("a"), F.least(off - half, last).alias("z")))
-    after = F.when(last > off - half, F.struct(
-        F.substring("context", off + 1, F.lit(length - half + 1)).alias("side"), F.greatest(off - half + 1, F.lit(0)).alias("a"), last.alias("z")))
-    place = ["none", "_id", "_block", "_row", "lo"]
-    sides = distinct.join(crowded, "h", "left_semi").select("h", "context", *place, F.posexplode(F.array(before, after)).alias("k", "s"))
-    sides = sides.where("s is not null").select("h", "context", *place, "k", "s.*")
-    often = sides.groupBy("h", "k", "side").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    once = sides.join(often, ["h", "k", "side"], "left_anti") \
-        .select("_block", "_row", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("z")).alias("hi"))
-    strings = sides.join(often, ["h", "k", "side"], "left_semi") \
-        .select("h", "context", *place, F.explode(F.sequence("a", "z")).alias("o"))
-    strings = strings.groupBy("h", F.substring("context", F.col("o") + 1, F.lit(length)).alias("string")) \
-        .agg(F.min(F.struct("none", "_id", "_block", "_row", (F.col("lo") + F.col("o")).alias("lo"))).alias("f"))
+    # crowded sides: strings by value
+    strings = pieces.where(F.col("n") > big_side).select("h", "piece", "none", "_id", "_block", "_row", "a", F.explode(
+        F.sequence(F.lit(0), F.length("piece") - length)).alias("o"))
+    strings = strings.groupBy("h", F.substring("piece", F.col("o") + 1, F.lit(length)).alias("string")) \
+        .agg(F.min(F.struct("none", "_id", "_block", "_row", (F.col("a") + F.col("o")).alias("lo"))).alias("f"))
     stays = stays.unionByName(once).unionByName(
         strings.select("f._block", "f._row", F.col("f.lo").alias("lo"), F.col("f.lo").alias("hi")))
 
