@@ -37,6 +37,8 @@ from rxframe.session import materialize, ship_package
 BITS = 64
 SEED = 42
 _CHUNK = 1 << 16
+# a probe is a row to shuffle and sort, a candidate one comparison: their costs, in candidates
+PROBE_COST = 16
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -194,8 +196,9 @@ def links(nodes: DataFrame, distance: int = 2, big_bucket: int = 2000) -> DataFr
             cost = np.zeros((len(fp), len(groups), distance + 2))
             for k in range(len(groups)):
                 for t in range(distance + 1):
-                    signatures = sum(len(f) for f in flips[k][:t + 1])
-                    cost[:, k, t + 1] = signatures + own[:, k] + n * shares[k][1:t + 1].sum()
+                    # values nearby are looked up in the plain and in the finer index
+                    rows = 1 + (distance + 2) * sum(len(f) for f in flips[k][1:t + 1])
+                    cost[:, k, t + 1] = PROBE_COST * rows + own[:, k] + n * shares[k][1:t + 1].sum()
             chosen = allocate(cost, total)
             out = {c: [] for c in ("fp", "part", "key", "sub", "rest")}
 
