@@ -40,6 +40,8 @@ BLOCK_BITS, BLOCKS, BLOCK_RADIUS = 8, 8, 2
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 MIN_BITS, MAX_BITS = 1 << 18, 1 << 23
 PROBES = 4
+# rows of the benchmark's own tables that may be sent to every task
+BROADCAST_ROWS = 1_000_000
 _PAIR = 0x100000001  # the lowest bit of each half of a long
 
 
@@ -135,11 +137,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     more: ``_id``, ``_x`` (hash of the text), ``item``, ``word`` (where the best window
     starts, the first of equals), ``similarity``, ``distance`` (bits)."""
     items = benchmark_items(benchmark, item_id, item_text)
-    facts = items.groupBy("size").agg(F.max("n").alias("grid"), F.sum("n").alias("n")).collect()
+    facts = items.groupBy("size").agg(F.max("n").alias("grid"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("count")).collect()
     text = F.col(f"`{text_col}`")
     d = docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text).alias("_x"),
                     F.transform(words(ascii_lower(text)), lambda w: F.xxhash64(w)).alias("_w"))
-    found = [_leaks_of_size(d, items, r["size"], r["grid"], r["n"], similarity) for r in facts]
+    found = [_leaks_of_size(d, items, r["size"], r["grid"], r["n"], r["count"], similarity) for r in facts]
     if not found:
         empty = d.select("_id", "_x").where(F.lit(False))
         item_type = benchmark.schema[item_id].dataType
@@ -148,7 +150,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return reduce(DataFrame.unionByName, found)
 
 
-def _leaks_of_size(d: DataFrame, items: DataFrame, size: int, grid: int, shingles: int, similarity: float) -> DataFrame:
+def _block_mask(b: int) -> int:
+    mask = ((1 << BLOCK_BITS) - 1) << (BLOCK_BITS * b)
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _probe(windows: DataFrame, blocks: list[Column]) -> DataFrame:
+    return windows.withColumn("k", F.explode(F.array(*blocks))).select("*", "k.b", "k.v").drop("k")
+
+
+def _numbered(hs: Column) -> Column:
+    """Shingles told apart by their number among equal ones: multisets as sets."""
+    return let(F.sort_array(hs), lambda s: F.transform(s, lambda x, i: F.xxhash64(x, i - F.array_position(s, x))))
+
+
+def _leaks_of_size(d: DataFrame, items: DataFrame, size: int, grid: int, shingles: int, count: int, similarity: float) -> DataFrame:
     bits = MIN_BITS
     while bits < min(MAX_BITS, 32 * shingles):
         bits *= 2
@@ -158,6 +174,7 @@ def _leaks_of_size(d: DataFrame, items: DataFrame, size: int, grid: int, shingle
 
     # which window sizes a stretch needs: those of the items that it shares a shingle with
     index = mine.select("n", F.explode("hs").alias("h")).distinct()
+    index = F.broadcast(index) if shingles <= BROADCAST_ROWS else index
     sizes = stretch.select(*key, F.explode(F.array_distinct("hs")).alias("h")).join(index, "h") \
         .select(*key, "n").distinct()
     w = join_same(stretch, sizes, key)
@@ -175,22 +192,23 @@ def _leaks_of_size(d: DataFrame, items: DataFrame, size: int, grid: int, shingle
     near = mine.select("item", "n", F.col("fp").alias("fi"), F.explode(F.array(*blocks)).alias("k")) \
         .select("item", "n", "fi", "k.b", F.explode(F.transform(
             F.array(*map(F.lit, flips)), lambda x: F.col("k.v").bitwiseXOR(x.cast("long")))).alias("v"))
-    distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("fi")))
-    probe = w.select("_id", "_x", "word", "n", "fp", F.explode(F.array(*blocks)).alias("k")) \
-        .select("_id", "_x", "word", "n", "fp", "k.b", "k.v")
-    cand = probe.join(near, ["n", "b", "v"]).where(distance <= RADIUS) \
-        .select("_id", "_x", "word", "n", "item", distance.alias("distance")).distinct()
-
+    small = count * BLOCKS * len(flips) <= BROADCAST_ROWS and shingles <= BROADCAST_ROWS
+    xor = F.col("fp").bitwiseXOR(F.col("fi"))
+    first = F.coalesce(*[F.when(F.bit_count(xor.bitwiseAND(F.lit(_block_mask(b)))) <= BLOCK_RADIUS, F.lit(b)) for b in range(BLOCKS)])
     at = ["_id", "_x", "word", "n"]
-    counted = join_same(cand, w.select(*at, "hs"), at) \
-        .select(*at, "item", "distance", F.size("hs").alias("nw"), F.explode("hs").alias("h")) \
-        .groupBy(*at, "item", "distance", "nw", "h").agg(F.count(F.lit(1)).alias("cw"))
-    of_item = mine.select("item", F.explode("hs").alias("h")).groupBy("item", "h").agg(F.count(F.lit(1)).alias("ci"))
-    both = counted.join(of_item, ["item", "h"]).groupBy(*at, "item", "distance", "nw") \
-        .agg(F.sum(F.least("cw", "ci")).alias("both"))
-    sim = F.col("both") / (F.col("nw") + F.col("n") - F.col("both"))
-    best = both.withColumn("sim", sim).where(F.col("sim") >= similarity).groupBy("_id", "_x", "item") \
-        .agg(F.max(F.struct("sim", (-F.col("word")).alias("back"), "distance")).alias("m"))
+    found = ((F.bit_count(xor) <= RADIUS) & (F.col("b") == first))  # once, at the first block that agrees
+    tagged = mine.select("item", _numbered(F.col("hs")).alias("hi"))
+    if small:  # the windows stay where they are and meet the index, then the items, there
+        cand = _probe(w.select(*at, "fp", "hs"), blocks).join(F.broadcast(near), ["n", "b", "v"]).where(found) \
+            .select(*at, "item", F.bit_count(xor).alias("distance"), "hs").join(F.broadcast(tagged), "item")
+    else:  # fingerprints alone are shuffled to the index, matches back to their windows
+        cand = _probe(w.select(*at, "fp"), blocks).join(near, ["n", "b", "v"]).where(found) \
+            .select(*at, "item", F.bit_count(xor).alias("distance"))
+        cand = join_same(cand, w.select(*at, "hs"), at).join(tagged, "item")
+    both = F.size(F.array_intersect(_numbered(F.col("hs")), F.col("hi")))
+    sim = let(both, lambda x: x / (F.size("hs") + F.size("hi") - x))
+    best = cand.select("_id", "_x", "item", "word", "distance", sim.alias("sim")).where(F.col("sim") >= similarity) \
+        .groupBy("_id", "_x", "item").agg(F.max(F.struct("sim", (-F.col("word")).alias("back"), "distance")).alias("m"))
     return best.select("_id", "_x", "item", (-F.col("m.back")).alias("word"), F.col("m.sim").alias("similarity"),
                        F.col("m.distance").alias("distance"))
 
