@@ -12,15 +12,13 @@ tokens per part, then tokens before it within its part.
 
 Defined results: a null or empty text is the end id alone.  Null ids come first;
 equal ids go by a hash of the text, then the text.  Special tokens' strings in a
-text are encoded as the tokenizer file says.  Texts over ``CUT_CHARS`` are encoded
-in pieces cut at a space between two ASCII letters, where no token or
-normalisation of this tokenizer family spans the cut.
+text are encoded as the tokenizer file says.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,56 +29,90 @@ from pyspark.sql import functions as F
 from rxframe.session import ship_package
 
 END_ID = 2
-BATCH_CHARS = 1 << 19
-CUT_CHARS = 1 << 18
-_CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
-_LOADED: dict[str, object] = {}
+BATCH_CHARS = 1 << 21
+# words whose ids a worker remembers, and the longest of them in bytes
+KNOWN_WORDS, KNOWN_BYTES = 1_000_000, 64
+_LOADED: dict[str, _Words] = {}
 
 
-def _tokenizer(path: str):
-    if path not in _LOADED:
+class _Words:
+    """Token ids of words, by the tokenizer's library, remembered within a Python worker.
+
+    White space never lies within a token of this tokenizer family and nothing is
+    normalised across ASCII white space, so a text's ids are its words' ids in a row.
+    New words are encoded many at a time with a special token between them, which
+    marks the ends; a word that holds a special token's text is encoded alone.
+    """
+
+    def __init__(self, path: str):
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
-        _LOADED[path] = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        special = [(i, t.content) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special]
+        self.special = [t.encode() for _, t in special]
+        self.mark = special[0] if special else None
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.ids, self.ends = array("i"), array("q", [0])
+
+    def _add(self, word: bytes, ids) -> None:
+        self.place[word] = len(self.ends) - 1
+        self.ids.extend(ids)
+        self.ends.append(len(self.ids))
+
+    def learn(self, words: list[bytes], many: int = 512) -> None:
+        alone = [w for w in words if not self.mark or len(w) > KNOWN_BYTES or any(t in w for t in self.special)]
+        skip = set(alone)
+        rest = [w for w in words if w not in skip]
+        groups = [rest[i:i + many] for i in range(0, len(rest), many)]
+        between = f" {self.mark[1]} " if self.mark else " "
+        texts = [between.join(w.decode() for w in g) for g in groups]
+        for group, e in zip(groups, self.batch(texts, add_special_tokens=False)):
+            at, ids = 0, e.ids
+            for word in group[:-1]:
+                end = ids.index(self.mark[0], at)
+                self._add(word, ids[at:end])
+                at = end + 1
+            self._add(group[-1], ids[at:])
+        for word in alone:
+            self._add(word, self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and the number of ids of each text."""
+        split = [(t or "").encode().split() for t in texts]
+        words = [w for ws in split for w in ws]
+        new = set(words).difference(self.place)
+        if len(new) + len(self.place) > KNOWN_WORDS:
+            self.forget()
+            new = set(words)
+        self.learn(sorted(new))
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        ends = np.frombuffer(self.ends, np.int64)
+        start, size = ends[at], ends[at + 1] - ends[at]
+        total = np.cumsum(size)
+        ids = np.frombuffer(self.ids, np.int32) if len(self.ids) else np.zeros(0, np.int32)
+        ids = ids[np.arange(total[-1] if len(total) else 0) + np.repeat(start - total + size, size)]
+        first = np.cumsum([0, *map(len, split)])
+        counts = np.concatenate([[0], total])
+        return ids, counts[first[1:]] - counts[first[:-1]]
+
+
+def _words(path: str) -> _Words:
+    if path not in _LOADED:
+        _LOADED[path] = _Words(path)
     return _LOADED[path]
 
 
-def pieces(text: str, size: int = CUT_CHARS) -> list[str]:
-    """A long text in pieces of about ``size`` characters, cut where it is safe."""
-    out, at = [], 0
-    while len(text) - at > size:
-        cut = _CUT.search(text, at + size)
-        if not cut:
-            break
-        out.append(text[at:cut.start()])
-        at = cut.start()
-    return [*out, text[at:]]
-
-
 def encode(texts: list[str | None], path: str, end_id: int | None = END_ID) -> list[np.ndarray]:
-    """Token ids of each text, the end id appended; memory is bounded by batches."""
-    tok = _tokenizer(path)
-    batch = getattr(tok, "encode_batch_fast", tok.encode_batch)
-    done: list[list[np.ndarray]] = [[] for _ in texts]
-    queue: list[tuple[int, str]] = []
-
-    def flush() -> None:
-        for (i, _), e in zip(queue, batch([t for _, t in queue], add_special_tokens=False)):
-            done[i].append(np.array(e.ids, dtype=np.int32))
-        queue.clear()
-
-    waiting = 0
-    for i, text in enumerate(texts):
-        for piece in pieces(text or ""):
-            queue.append((i, piece))
-            waiting += len(piece)
-            if waiting >= BATCH_CHARS:
-                flush()
-                waiting = 0
-    flush()
-    end = [] if end_id is None else [np.array([end_id], dtype=np.int32)]
-    return [np.concatenate(x + end) if x or end else np.zeros(0, np.int32) for x in done]
+    """Token ids of each text, the end id appended."""
+    ids, sizes = _words(path).encode(texts)
+    parts = np.split(ids, np.cumsum(sizes)[:-1]) if len(texts) else []
+    end = [] if end_id is None else [np.array([end_id], np.int32)]
+    return [np.concatenate([x, *end]) for x in parts]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -98,7 +130,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
             texts, at = b.column(1), 0
             while at < len(texts):  # a few documents at a time: token lists are much larger than texts
                 size, end = 0, at
-                while end < len(texts) and (end == at or size < 4 * BATCH_CHARS):
+                while end < len(texts) and (end == at or size < BATCH_CHARS):
                     size += len(texts[end].as_py() or "")
                     end += 1
                 ids = encode(texts.slice(at, end - at).to_pylist(), tokenizer_path, end_id)

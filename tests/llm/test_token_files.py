@@ -2,6 +2,8 @@ import zlib
 
 import numpy as np
 import pyarrow.parquet as pq
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from rxframe.llm import token_files as tf
@@ -10,6 +12,9 @@ from rxframe.session import scratch_path
 from edge_rows import EDGE
 
 
+TOK = []
+
+
 def table(spark, docs):
     path = scratch_path(spark, "t")
     tf.write_tokens(docs, path, tokenizer_path())
@@ -47,10 +52,21 @@ def test_edge_rows(spark, make_docs):
     assert t.count() == 0
 
 
-def test_long_texts_are_cut_without_changing_ids():
-    text = "Some words, and don't stop é 12 3.\n" * 400
-    whole = Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids
-    parts = tf.pieces(text, 500)
-    assert len(parts) > 10 and "".join(parts) == text
-    ids = [i for p in parts for i in Tokenizer.from_file(tokenizer_path()).encode(p, add_special_tokens=False).ids]
-    assert ids == whole
+PARTS = ["Some", "words", "don't", "é", "e\u0301", "ΑΣ", "Σ", "12", "３", "\u00a0", "\x85", "\x1c", "\u3000", " ", "\n", "\t", "  ",
+         "<|endoftext|>", "<|startoftext|>", "<|", "日本語", "각", "\u1100", "\u1161", "\u0301", "x" * 90, "'s", "!!", "ﬁ", "😀"]
+
+
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=12).map("".join), min_size=1, max_size=4))
+@settings(max_examples=400, deadline=None)
+def test_words_in_a_row_are_the_whole_text(texts):
+    whole = Tokenizer.from_file(tokenizer_path()) if not TOK else TOK[0]
+    TOK[:] = [whole]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in tf.encode(texts, tokenizer_path(), None)] == want
+
+
+def test_forgetting_changes_nothing(monkeypatch, sf_docs):
+    texts = [r["text"] for r in sf_docs.limit(40).collect()]
+    want = [x.tolist() for x in tf.encode(texts, tokenizer_path())]
+    monkeypatch.setattr(tf, "KNOWN_WORDS", 50)
+    assert [tf.encode([t], tokenizer_path())[0].tolist() for t in texts] == want
