@@ -142,7 +142,7 @@ def sort_suffixes(symbols: np.ndarray) -> np.ndarray:
     while len(active):
         at = order[active]
         key = words[np.where(at + depth <= end[at], at + depth, n)]
-        by = np.lexsort((at, key, group[active]))
+        by = np.lexsort((key, group[active]))  # stable: equal keys stay in the order of their places
         order[active], key, g = at[by], key[by], group[active][by]
         new = np.concatenate([[True], (np.diff(g) != 0) | (np.diff(key) != 0)])
         group[active] = active[np.flatnonzero(new)][np.cumsum(new) - 1]
@@ -177,13 +177,15 @@ def common_prefixes(symbols: np.ndarray, suffixes: np.ndarray, limit: int) -> np
     at = np.arange(1, len(suffixes))
     for depth in range(0, limit, 7):
         a, b = words[suffixes[at - 1] + depth], words[suffixes[at] + depth]
-        differ = a ^ b
-        same = np.full(len(at), 7)
+        equal = (a == b) & ((a & 511) != 0)  # a word without separators ends in a symbol
+        out[at[equal]] += 7
+        a, differ, end = a[~equal], (a ^ b)[~equal], at[~equal]
+        same = np.zeros(len(end), np.int64)
         for j in range(6, -1, -1):  # the first of the seven symbols that differs or is a separator
             shift = 9 * (6 - j)
             same = np.where(((differ >> shift) & 511 != 0) | ((a >> shift) & 511 == 0), j, same)
-        out[at] += same
-        at = at[same == 7]
+        out[end] += same
+        at = at[equal]
     return np.minimum(out, limit)
 
 
