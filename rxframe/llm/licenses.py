@@ -1,16 +1,17 @@
 """License scan: TF-IDF cosine of lines to templates, then inheritance by directory.
 
 Every line of every text is a possible license header.  Weights are term frequency
-times the inverse share of lines with the term, counted over all lines of all texts
-for the templates' terms; a term of no template weighs as if it were in one line.
+times ``1 + ln(n / df)``: ``df`` of all ``n`` lines have the term, counted for every
+term of every line; a template's term in no line weighs as the rarest counted one.
+Only shares of lines count, so repeating all rows changes no cosine.
 A line carries the license of the template with the largest cosine of ``MIN_COSINE``
 or more.  A text with at least half of its terms in such lines is a license file and
 gives its license to its directory; a text without a license of its own takes that of
 the nearest directory above it.
 
 Spark shape: the texts are read twice in the row (counting, then picking lines);
-counting shuffles at most one row per template term and task.  A line can only reach
-the cosine if it has one of a template's few heaviest terms (the rest is too short a
+counting shuffles at most one row per term and task, and the counts stay a table that
+is cut by a join to the terms of the picked lines.  A line can only reach the cosine if it has one of a template's few heaviest terms (the rest is too short a
 vector), so only such lines become rows: an exact filter.  Directories are reduced to
 distinct ones before ancestors are joined, so a directory with a third of all files is
 one row there.
@@ -57,15 +58,18 @@ def _lines(docs: DataFrame, text_col: str) -> Column:
     return F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "\n")
 
 
-def term_weights(docs: DataFrame, text_col: str, templates: DataFrame) -> tuple[dict[str, float], float]:
-    """Inverse line frequency of every template term, and of a term outside them."""
-    vocabulary = sorted(r["t"] for r in templates.select(F.explode(terms(F.col("notice"))).alias("t")).distinct().collect())
-    known = F.split(F.lit(",".join(vocabulary)), ",")
+def term_weights(docs: DataFrame, text_col: str, templates: DataFrame) -> tuple[dict[str, float], DataFrame]:
+    """Inverse line frequency of every template term; a table of all counted terms'
+    (``t``, ``idf``)."""
     lines = docs.select(F.explode_outer(_lines(docs, text_col)).alias("l"))
-    found = lines.select(F.explode_outer(F.concat(F.array(F.lit("")), F.array_intersect(terms(F.col("l")), known))).alias("t"))
-    counts = {r["t"]: r["n"] for r in found.groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n = counts.pop("", 0)
-    return {t: 1 + math.log((n + 1) / (counts.get(t, 0) + 1)) for t in vocabulary}, 1 + math.log((n + 1) / 2)
+    found = lines.select(F.explode(F.concat(F.array(F.lit("")), F.array_distinct(terms(F.col("l"))))).alias("t"))
+    counts = materialize(found.groupBy("t").agg(F.count(F.lit(1)).alias("df")), "license-terms")
+    r = counts.agg(F.max(F.when(F.col("t") == "", F.col("df"))).alias("n"), F.min(F.when(F.col("t") != "", F.col("df"))).alias("rarest")).first()
+    n, rarest = r["n"] or 1, r["rarest"] or 1
+    idf = counts.where("t != ''").select("t", (1 + F.log(F.lit(float(n)) / F.col("df"))).alias("idf"))
+    vocabulary = templates.select(F.explode(terms(F.col("notice"))).alias("t")).distinct()
+    known = {r["t"]: r["idf"] for r in vocabulary.join(idf, "t", "left").collect()}
+    return {t: 1 + math.log(n / rarest) if w is None else w for t, w in known.items()}, idf
 
 
 def _template_table(spark: SparkSession, templates: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -97,7 +101,7 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", id_co
     templates = templates if templates is not None else spark.createDataFrame(list(TEMPLATES), "license string, notice string")
     d = files.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{path_col}`").alias("_path"),
                      F.col(f"`{text_col}`").alias("_text"), F.xxhash64(F.col(f"`{text_col}`")).alias("_x"))
-    weights, outside = term_weights(d, "_text", templates)
+    weights, counted = term_weights(d, "_text", templates)
     table = _template_table(spark, templates, weights)
     needed = F.split(F.lit(",".join(_needed_terms(table, min_cosine))), ",")
 
@@ -110,9 +114,8 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", id_co
     key = ["_path", "_x"]
     lines = rows.select(*key, F.explode("lines").alias("l")).select(*key, "l.line", "l.ts").distinct()
     tf = lines.select(*key, "line", F.explode("ts").alias("t")).groupBy(*key, "line", "t").agg(F.count(F.lit(1)).alias("tf"))
-    idf = spark.createDataFrame(sorted(weights.items()), "t string, idf double")
-    tf = tf.join(F.broadcast(idf), "t", "left") \
-        .withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(outside)))
+    idf = materialize(counted.join(tf.select("t").distinct(), "t", "left_semi"), "license-weights")
+    tf = tf.join(idf, "t").withColumn("w", F.col("tf") * F.col("idf"))
     norms = tf.groupBy(*key, "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("tf").alias("n"))
     dots = tf.join(F.broadcast(table), "t").groupBy(*key, "line", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
     cos = join_same(dots, norms, [*key, "line"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)) \

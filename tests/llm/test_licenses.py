@@ -71,3 +71,18 @@ def test_edge_rows(spark, make_docs):
     assert licenses.scan(docs).count() == len(EDGE)
     assert licenses.scan(frame(spark, [(1, None, None)])).count() == 1
     assert licenses.scan(make_docs([]).withColumn("path", F.lit("x"))).count() == 0
+
+
+def test_cosines_do_not_depend_on_repetition(spark):
+    """Everyday words weigh by their counted frequency, so a corpus repeated 300 times
+    gives every cosine again."""
+    line = "This work is licensed under the GNU General Public License, version 3 or later."
+    prose = ["sooner or later it rains", "now or never", "later that day", "one or two", "tea or coffee", "see you later"] * 5
+    rows = [(i, f"d/{i}", t) for i, t in enumerate([line, *prose, "Licensed under the Apache License"])]
+    once = frame(spark, rows)
+    often = once.crossJoin(spark.range(300).select(F.col("id").alias("k"))) \
+        .select(F.col("doc_id"), F.concat_ws("/", F.lit("k"), "k", "path").alias("path"), "text")
+    pick = lambda d: {(r["doc_id"], r["license"], r["cosine"]) for r in licenses.scan(d).collect() if r["cosine"]}
+    one = pick(once)
+    assert {(i, k) for i, k, _ in one} >= {(0, "GPL-3.0")}
+    assert pick(often) == one
