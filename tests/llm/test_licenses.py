@@ -86,3 +86,30 @@ def test_cosines_do_not_depend_on_repetition(spark):
     one = pick(once)
     assert {(i, k) for i, k, _ in one} >= {(0, "GPL-3.0")}
     assert pick(often) == one
+
+
+def test_header_variants_blocks_and_license_texts(spark):
+    """Ordinary cases beyond the ten notices, among everyday prose."""
+    mit = (licenses.more_templates.__globals__["TEXTS"] / "MIT.txt").read_text()
+    gpl = (licenses.more_templates.__globals__["TEXTS"] / "GPL-3.0.txt").read_text()
+    code = "\n\nimport os\n" + "value = compute(other value)\n" * 40
+    cases = [
+        ("Licensed under the MIT License." + code, "MIT", "header"),
+        ("Copyright 2020 Acme. All rights reserved." + code, "Proprietary", "header"),
+        ("Released under the MIT License, see below." + code, "MIT", "header"),
+        ("GNU GENERAL PUBLIC LICENSE" + code, "GPL", "header"),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy" + code, "MIT", "header"),
+        ("# it under the terms of the GNU General Public License as published by" + code, "GPL", "header"),
+        (mit.replace("[year] [fullname]", "2021 Jane Q. Doe"), "MIT", "file"),
+        ("".join(f" * {x}\n" for x in mit.split("\n")[4:10]) + " */" + code, "MIT", "header"),
+        (gpl, "GPL-3.0", "file"),
+        ("# This program is free software: you can redistribute it and/or modify it under the\n"
+         "# terms of the GNU General Public License as published by the Free Software Foundation,\n"
+         "# either version 3 of the License, or (at your option) any later version.\nimport os\n" + code, "GPL-3.0", "header"),
+        ("the weather was fine and any person would see it" + code, None, "none"),
+    ]
+    prose = [(100 + i, f"p{i}/x", f"the day {i} was of the kind that you see in any person or other value\nand under the tree") for i in range(30)]
+    rows = [(i, f"c{i}/x", text) for i, (text, _, _) in enumerate(cases)] + prose
+    got = {r["doc_id"]: (r["license"], r["origin"]) for r in licenses.scan(frame(spark, rows)).collect()}
+    assert {i: got[i] for i in range(len(cases))} == {i: (k, o) for i, (_, k, o) in enumerate(cases)}
+    assert all(got[r[0]] == (None, "none") for r in prose)
