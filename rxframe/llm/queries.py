@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxframe.llm import decontaminate, licenses, lm_score, mixing, quality, secrets, sharding, simhash, suffixes, token_files
+from rxframe.llm import decontaminate, fill_middle, licenses, lm_score, mixing, quality, secrets, sharding, simhash, suffixes, token_files
 from rxframe.session import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -75,6 +75,10 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("_id").alias("doc_id"), F.col("item").alias("item_id"), "word", "similarity", "distance")
 
 
+def op11_fill_middle(spark: SparkSession, sf: str) -> DataFrame:
+    return fill_middle.digest_table(_table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_suffix_array": op2_suffix_array,
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_licenses": op9_licenses,
     "op10_decontamination": op10_decontamination,
+    "op11_fill_middle": op11_fill_middle,
 }
 
-ORACLES: dict[str, str] = {"op5_mixing": mixing.MIX_SQL}
+ORACLES: dict[str, str] = {"op5_mixing": mixing.MIX_SQL, "op11_fill_middle": fill_middle.FILL_SQL}
