@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxframe.llm import decontaminate, fill_middle, licenses, lm_score, mixing, quality, secrets, sharding, simhash, suffixes, token_files
+from rxframe.llm import decontaminate, fill_middle, licenses, lm_score, mixing, quality, secrets, sharding, simhash, suffixes, token_files, winnowing
 from rxframe.session import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -79,6 +79,10 @@ def op11_fill_middle(spark: SparkSession, sf: str) -> DataFrame:
     return fill_middle.digest_table(_table(spark, sf, "documents"))
 
 
+def op12_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return winnowing.edited_table(_table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_suffix_array": op2_suffix_array,
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licenses": op9_licenses,
     "op10_decontamination": op10_decontamination,
     "op11_fill_middle": op11_fill_middle,
+    "op12_fingerprints": op12_fingerprints,
 }
 
 ORACLES: dict[str, str] = {"op5_mixing": mixing.MIX_SQL, "op11_fill_middle": fill_middle.FILL_SQL}
