@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxframe.llm import decontaminate, fill_middle, licenses, lm_score, mixing, quality, secrets, sharding, simhash, suffixes, token_files, winnowing
+from rxframe.llm import decontaminate, fill_middle, licenses, lm_score, mixing, quality, secrets, sharding, simhash, spelling, suffixes, token_files, winnowing
 from rxframe.session import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -83,6 +83,11 @@ def op12_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return winnowing.edited_table(_table(spark, sf, "documents"))
 
 
+def op13_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    runs = spelling.letter_runs(_table(spark, sf, "documents"))
+    return spelling.group_variants(spelling.vocabulary(spelling.with_slips(runs)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_suffix_array": op2_suffix_array,
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
     "op11_fill_middle": op11_fill_middle,
     "op12_fingerprints": op12_fingerprints,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLES: dict[str, str] = {"op5_mixing": mixing.MIX_SQL, "op11_fill_middle": fill_middle.FILL_SQL}
