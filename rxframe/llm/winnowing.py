@@ -11,8 +11,9 @@ A fingerprint is written as text: per kept hash eight hexadecimal digits and two
 the distance from the previous position (from the start for the first), at most ``w``.
 
 A text is cut into pieces of ``PIECE`` windows that overlap by what a window needs, and the
-pieces of a batch are hashed together in numpy: a task holds its batch of texts and some 60
-bytes per code point of ``GROUP`` code points, however long a text is.
+pieces of a batch are hashed together in numpy: a task holds its Arrow batch, some
+``THEN_BYTES`` of it as strings (one text at least) and about 100 bytes for each of ``GROUP``
+code points.
 
 Defined results: a null or empty text has the empty fingerprint; two empty fingerprints have
 likeness 1, an empty and another one 0.  A text shorter than ``k`` is one run, a text with
@@ -28,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +37,9 @@ from rxframe.llm.blocks import mix
 from rxframe.session import ship_package
 
 PIECE = 1 << 18
-GROUP = 1 << 20
+GROUP = 1 << 18
 RANGE_BYTES = 32 << 20
+THEN_BYTES = 4 << 20
 NO_CHAR = 0x110000  # no code point: fills up texts that are shorter than one run
 _BASE = 0x9E3779B97F4A7C15
 _LOW = np.uint64(0xFFFFFFFF)
@@ -242,9 +245,15 @@ def with_next(docs: DataFrame, then, columns: str, id_col: str = "doc_id", text_
             if not n:
                 continue
             held = b.slice(n - 1, 1)
-            own = np.flatnonzero(~b.column(4).slice(0, n - 1).to_numpy(zero_copy_only=False))
-            if len(own):
-                yield then(b.column(0).take(pa.array(own)), b.column(2).to_pylist(), own)
+            own = ~b.column(4).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(pc.binary_length(b.column(2)).to_numpy(zero_copy_only=False))
+            start = 0
+            while start < n - 1:  # some megabytes of text at a time, and the row after them
+                end = min(n - 1, max(start + 1, int(np.searchsorted(ends, ends[start] + THEN_BYTES))))
+                at = np.flatnonzero(own[start:end])
+                if len(at):
+                    yield then(b.column(0).take(pa.array(at + start)), b.column(2).slice(start, end - start + 1).to_pylist(), at)
+                start = end
 
     dealt = keyed.mapInArrow(deal, f"id {kind}, h bigint, text string, range int, guest boolean")
     return dealt.repartitionById(max(1, len(order)), F.col("range")) \

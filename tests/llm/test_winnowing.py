@@ -106,6 +106,7 @@ ROWS = [r for r in EDGE if r[0] is not None] + [(None, "no id here at all"), (50
 @pytest.mark.parametrize("range_bytes", [64, 5000, wn.RANGE_BYTES])
 def test_table(make_docs, monkeypatch, range_bytes):
     monkeypatch.setattr(wn.with_next, "__defaults__", ("doc_id", "text", range_bytes))
+    monkeypatch.setattr(wn, "THEN_BYTES", range_bytes)
     docs = make_docs(ROWS)
     for c in ("id", "h", "range", "guest", "fingerprint"):
         docs = docs.withColumn(c, docs["source"])
