@@ -27,9 +27,9 @@ from rxframe.operators.search import (HISTORY_OPTIONS, SYMPTOM_OPTIONS, agent_sl
 from rxframe.operators.clean import RAW_REGISTRY_SCHEMA
 from rxframe.session import materialize, scratch_path
 from rxframe.streaming.streams import consult_stream, page_extract_stream
-from rxframe.sources.files import (dictionary_entries, first_existing, flatten_envelopes, latest_version,
-                                   read_csv_table, read_registry_json, write_csv_table, write_new_version,
-                                   write_registry_json)
+from rxframe.sources.files import (dictionary_entries, first_existing, flatten_envelopes, read_csv_table,
+                                   read_registry_json, write_csv_table, write_registry_json)
+from rxframe.sources.versions import latest_version, write_new_version
 from rxframe.plans import fixtures as fx
 from rxframe.plans.consult import consult_contexts, consult_lines, consult_prompts, prepare_consult
 from rxframe.plans.master import build_master, coverage_report

@@ -1,4 +1,4 @@
-"""File sources and sinks of the registry pipeline.
+"""File sources and sinks of the registry pipeline (S1-S6; versions are in ``versions.py``).
 
 Registry harvests are JSON: either one array per file (``multiLine``, one task
 per file) or JSON lines (splittable; what ``write_registry_json`` produces and
@@ -92,31 +92,3 @@ def first_existing(spark: SparkSession, paths: Sequence[str]) -> str | None:
         if fs.exists(hpath):
             return p
     return None
-
-
-def write_new_version(df: DataFrame, base: str) -> str:
-    """S7: "overwrite in place" without reading and overwriting one path: write
-    ``base/v=<n+1>`` and return it; readers switch to the newest version
-    (``latest_version``).  A failed write leaves the previous version intact."""
-    spark = df.sparkSession
-    n = _max_version(spark, base)
-    path = f"{base.rstrip('/')}/v={n + 1}"
-    df.write.mode("errorifexists").parquet(path)
-    return path
-
-
-def latest_version(spark: SparkSession, base: str) -> str | None:
-    n = _max_version(spark, base)
-    return f"{base.rstrip('/')}/v={n}" if n > 0 else None
-
-
-def _max_version(spark: SparkSession, base: str) -> int:
-    hpath, fs = _fs(spark, base)
-    if not fs.exists(hpath):
-        return 0
-    best = 0
-    for st in fs.listStatus(hpath):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("v=") and name[2:].isdigit():
-            best = max(best, int(name[2:]))
-    return best

@@ -7,8 +7,9 @@ import tempfile
 from pyspark.sql import types as T
 
 from rxframe.operators.clean import RAW_REGISTRY_SCHEMA, clean_registry
-from rxframe.sources.files import (first_existing, flatten_envelopes, latest_version, read_csv_table,
-                                   read_dictionary, read_registry_json, write_new_version)
+from rxframe.sources.files import (first_existing, flatten_envelopes, read_csv_table, read_dictionary,
+                                   read_registry_json)
+from rxframe.sources.versions import latest_version, write_new_version
 
 
 def _tmp():
