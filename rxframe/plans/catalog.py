@@ -26,12 +26,12 @@ from rxframe.operators.search import (HISTORY_OPTIONS, SYMPTOM_OPTIONS, agent_sl
                                       option_labels, page_rows, search_filter)
 from rxframe.operators.clean import RAW_REGISTRY_SCHEMA
 from rxframe.session import materialize, scratch_path
-from rxframe.streaming.streams import consult_stream, page_extract_stream
+from rxframe.streaming.streams import RECORDS, page_extract_stream, record_stream, versioned_consult_stream
 from rxframe.sources.files import (dictionary_entries, first_existing, flatten_envelopes, read_csv_table,
                                    read_registry_json, write_csv_table, write_registry_json)
-from rxframe.sources.versions import latest_version, write_new_version
+from rxframe.sources.versions import current, latest_version, write_new_version
 from rxframe.plans import fixtures as fx
-from rxframe.plans.consult import consult_contexts, consult_lines, consult_prompts, prepare_consult
+from rxframe.plans.consult import VersionedConsult, consult_contexts, consult_lines, consult_prompts
 from rxframe.plans.master import build_master, coverage_report
 from rxframe.sources.tables import read_table
 
@@ -408,21 +408,37 @@ def _land_as_files(df: DataFrame, path: str, rows_per_file: int = 100_000) -> No
 
 
 def q_stream_consult(spark, sf):
-    """The consult requests arrive as files; prompts per micro-batch."""
+    """The consult requests arrive as files; prompts per micro-batch over the newest
+    version of the master."""
     base = scratch_path(spark, "stream-consult")
     req = fx.consult_requests(spark, sf)
     _land_as_files(req, f"{base}/in", 15_000)
-    master_path = f"{base}/master"
-    _master(spark, sf).write.parquet(master_path)          # static side, materialised once
-    master = spark.read.parquet(master_path)
-    # static sides, stored once: every micro-batch reads them instead of deriving them again
-    prepared = prepare_consult(master, MASTER_COLS)
+    write_new_version(_master(spark, sf), f"{base}/master")
+    # dictionaries, stored once: every micro-batch reads them instead of deriving them again
     sd, ld = materialize(fx.symptom_dictionary(spark, sf), "sd"), materialize(_link_dict(spark, sf), "ld")
-    consult_stream(spark, f"{base}/in", req.schema, f"{base}/out", f"{base}/ckpt",
-                   lambda batch: consult_prompts(batch, master, sd, ld, MASTER_COLS, base=prepared), files_per_trigger=2)
+    versioned_consult_stream(
+        spark, f"{base}/in", req.schema, f"{base}/out", f"{base}/ckpt", VersionedConsult(spark, f"{base}/master", MASTER_COLS),
+        lambda batch, master, prepared: consult_prompts(batch, master, sd, ld, MASTER_COLS, base=prepared), files_per_trigger=2)
     return spark.read.parquet(f"{base}/out").drop("batch")
 
 
+def q_stream_records(spark, sf):
+    """R2 + J5: detail pages arrive per search name; half of the files, then all of them under
+    other names and with a new checkpoint: every name's records come once."""
+    base = scratch_path(spark, "stream-records")
+    pages = fx.detail_pages(spark, sf).withColumn("search_key", F.concat("search_key", F.lit(" "), "url"))
+    pages = materialize(pages, "landed")
+    names = dict(name_col="search_key", url_col="url", min_len=10, files_per_trigger=4)
+    early = pages.where(F.crc32("search_key") % 2 == 0)
+    early.repartition(8, "search_key").write.parquet(f"{base}/first")
+    record_stream(spark, f"{base}/first", pages.schema, f"{base}/out", f"{base}/ckpt-1", **names)
+    pages.repartition(8, "search_key").write.parquet(f"{base}/second")
+    record_stream(spark, f"{base}/second", pages.schema, f"{base}/out", f"{base}/ckpt-2", **names)
+    r = current(spark, f"{base}/out").read(spark, RECORDS)
+    return r.select("search_key", "url", F.element_at("fields", "Trade Name").alias("trade_name"),
+                    F.element_at("fields", "Brand").alias("brand"), "leaflet", "practitioner")
+
+
 def q_stream_page_extract(spark, sf):
     """R2: landed pages arrive as files; extraction runs once per page."""
     base = scratch_path(spark, "stream-pages")
@@ -435,6 +451,7 @@ def q_stream_page_extract(spark, sf):
 QUERIES.update({
     "stream_consult": q_stream_consult,
     "stream_page_extract": q_stream_page_extract,
+    "stream_records": q_stream_records,
 })
 
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from rxframe.operators.context import MasterColumns, consult_context, context_lines, line_table, prompt_table
 from rxframe.operators.link import extract_entities, search_terms
 from rxframe.operators.retrieve import RetrievalIndex, build_index, retrieve_topk
-from rxframe.session import materialize
+from rxframe.session import ScratchGroup, materialize
+from rxframe.sources.versions import current
 
 
 @dataclass(frozen=True)
@@ -26,6 +27,38 @@ def prepare_consult(master: DataFrame, cols: MasterColumns, *, ord_col: str = "o
                        materialize(line_table(master, cols, ord_col), "lines"))
 
 
+class VersionedConsult:
+    """The consult base of the newest master version (R1 over a changing master).
+
+    ``use`` gives the master and its base to one batch.  The base is built when a version is
+    first seen; the one before, and its master version if nobody else needs it, is no longer
+    read by then, since batches run one after another, and its tables are deleted.
+    """
+
+    def __init__(self, spark: SparkSession, base: str, cols: MasterColumns, *, ord_col: str = "ord"):
+        self.spark, self.base, self.cols, self.ord_col = spark, base, cols, ord_col
+        self.version: int | None = None
+        self._held: tuple[DataFrame, ConsultBase, ScratchGroup] | None = None
+
+    def use(self) -> tuple[DataFrame, ConsultBase]:
+        v = current(self.spark, self.base)
+        if v is None:
+            raise ValueError(f"{self.base} has no version yet")
+        if v.number != self.version:
+            master = v.read(self.spark)
+            with ScratchGroup(self.spark) as group:
+                prepared = prepare_consult(master, self.cols, ord_col=self.ord_col)
+            self.release()
+            self.version, self._held = v.number, (master, prepared, group)
+        return self._held[:2]
+
+    def release(self) -> None:
+        """Delete the tables of the base in use."""
+        if self._held:
+            self._held[2].release()
+        self.version, self._held = None, None
+
+
 def consult_lines(requests: DataFrame, master: DataFrame, symptom_dict: DataFrame,
                   link_dict: DataFrame, cols: MasterColumns, *, ord_col: str = "ord",
                   req_col: str = "req_id", k: int = 4, base: ConsultBase | None = None) -> tuple[DataFrame, DataFrame]:

@@ -532,3 +532,5 @@ _LONG = "CASE WHEN length({0}) > 10 THEN {0} END"
 ORACLES["leaflet_records"] = f"""SELECT p_type AS search_key, '/drug/' || p_partkey AS url, upper(p_name) AS trade_name, p_brand AS brand,
   {_LONG.format("(p_name || chr(10) || p_brand)")} AS leaflet,
   CASE WHEN p_size <= 40 THEN {_LONG.format("('Size ' || p_size)")} END AS practitioner FROM part"""
+
+ORACLES["stream_records"] = ORACLES["leaflet_records"].replace("SELECT p_type AS search_key", "SELECT p_type || ' /drug/' || p_partkey AS search_key")

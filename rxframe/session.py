@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextvars
 import os
 import tempfile
 import uuid
@@ -45,6 +46,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 # one scratch root per Spark application, decided at the first use
 _ROOTS: dict[str, str] = {}
+_GROUPS: contextvars.ContextVar[tuple[ScratchGroup, ...]] = contextvars.ContextVar("scratch groups", default=())
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -77,7 +79,31 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder for one write, always at the same depth."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if groups := _GROUPS.get():
+        groups[-1].paths.append(path)
+    return path
+
+
+class ScratchGroup:
+    """The scratch folders taken inside ``with`` (but in no group within), to be deleted together
+    before the application ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> ScratchGroup:
+        self._before = _GROUPS.set((*_GROUPS.get(), self))
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        _GROUPS.reset(self._before)
+        if kind is not None:
+            self.release()
+
+    def release(self) -> None:
+        while self.paths:
+            delete_path(self.spark, self.paths.pop())
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
