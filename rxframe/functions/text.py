@@ -70,6 +70,18 @@ def leaflet_normalise(c) -> Column:
     return py_strip(x)
 
 
+def has_leaflet_text(c) -> Column:
+    """``leaflet_normalise(c) != ""``, read off the raw text without normalising it; null gives false."""
+    return F.coalesce(F.replace(_c(c), F.lit("_x000D_"), F.lit(" ")).rlike(PY_NOT_WS), F.lit(False))
+
+
+def has_phrase(c, phrases) -> Column:
+    """Whether ``leaflet_normalise(c)`` contains one of ``phrases`` (words with single spaces), read off
+    the raw text: a space stands for any run of blanks, returns and Excel marks."""
+    gap = r"(?:[ \r]|_x000D_)[ \r]*+(?:_x000D_[ \r]*+)*+"
+    return F.coalesce(_c(c).rlike("|".join(p.replace(" ", gap) for p in phrases)), F.lit(False))
+
+
 # The dosage-page markers.
 DOSAGE_TAIL_MARKER = "Additional dosage information"
 ADULT_MARKER = "Usual Adult Dose"
@@ -90,6 +102,15 @@ def dosage_normalise(c) -> Column:
     return F.when(empty, F.lit("")).otherwise(x)
 
 
+def has_dosage_text(c) -> Column:
+    """``dosage_normalise(c) != ""``, read off the raw text: after the cut and the leading ``for:``
+    something visible is left, or a paragraph break, which becomes visible."""
+    x = F.substring_index(_c(c), DOSAGE_TAIL_MARKER, 1)
+    x = F.when(x.rlike("(?i)^for:"), F.regexp_replace(x, rf"(?i)^for:{PY_WS}*", "")).otherwise(x)
+    word = (F.length(_c(c)) == 3) & (F.lower(_c(c)) == "nan")
+    return F.coalesce(~word & x.rlike(rf"{PY_NOT_WS}|\n{PY_WS}*\n"), F.lit(False))
+
+
 def dosage_context(adult, pediatric, renal, liver) -> Column:
     """Labelled non-empty parts joined by `` // ``."""
     def part(label, col):

@@ -26,6 +26,7 @@ REGISTRY_HEADERS = [
 # Placeholder phrases that mark an empty leaflet.
 LEAFLET_PLACEHOLDERS = ["لم يتم إدخال بيانات", "No data", "No specific match found"]
 
+# The raw registry's field names.
 RAW_FIELDS = ["id", "tradeName", "scientificName", "registerNumber", "registerYear", "strength",
               "strengthUnit", "doesageForm", "administrationRoute", "price", "manufacturerName",
               "manufacturerCountry", "companyName", "companyCountryEn", "marketingStatus", "legalStatus",
@@ -81,6 +82,20 @@ def leaflet_keep_predicate(columns: Sequence[str], leaflet_cols=("leaflet", "pra
     return keep
 
 
+def leaflet_usable(leaflet: str = "leaflet", practitioner: str | None = "practitioner") -> Column:
+    """F3-F5 for a lookup, on raw text: the leaflet is not empty once cleaned and neither text
+    holds a placeholder.  (F3 drops rows without leaflet and names; without leaflet they are not usable.)"""
+    bad = tx.has_phrase(leaflet, LEAFLET_PLACEHOLDERS)
+    if practitioner:
+        bad = bad | tx.has_phrase(practitioner, LEAFLET_PLACEHOLDERS)
+    return tx.has_leaflet_text(leaflet) & ~bad
+
+
+def dosage_usable(cols: Sequence[str]) -> Column:
+    """F4 for a lookup, on raw text: one of the dosage texts is not empty once cleaned."""
+    return functools.reduce(lambda a, b: a | b, [tx.has_dosage_text(c) for c in cols])
+
+
 def clean_leaflets(df: DataFrame, required_any: Sequence[str],
                    leaflet_cols: Sequence[str] = ("leaflet", "practitioner")) -> DataFrame:
     """F3 -> T5 -> F5: drop rows missing all of ``required_any``, normalise every

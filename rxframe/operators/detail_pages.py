@@ -11,7 +11,7 @@ handlers and a stack.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -161,6 +161,10 @@ def parse_detail_page(html: str, min_len: int = -1) -> tuple[dict[str, str], dic
     return fields, sections
 
 
+def _kind(pages: DataFrame, col: str) -> str:
+    return pages.schema[col].dataType.simpleString()
+
+
 def _per_page(pages: DataFrame, cols: list[str], schema: str, rows_of) -> DataFrame:
     """One parse per page inside an Arrow batch: ``rows_of(*cols)`` gives a page's rows."""
     ship_package(pages.sparkSession)
@@ -175,36 +179,38 @@ def _per_page(pages: DataFrame, cols: list[str], schema: str, rows_of) -> DataFr
 
 def detail_fields(pages: DataFrame, page_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """H2 long form ``(page_id, pos, label, value)`` (``pos`` = label order)."""
-    return _per_page(pages, [page_col, html_col], "page_id long, pos long, label string, value string",
+    return _per_page(pages, [page_col, html_col], f"page_id {_kind(pages, page_col)}, pos long, label string, value string",
                      lambda pid, html: [(pid, n, k, v) for n, (k, v) in enumerate(parse_detail_page(html)[0].items())])
 
 
 def detail_sections(pages: DataFrame, page_col: str = "page_id", html_col: str = "html", min_len: int = -1) -> DataFrame:
     """H3 ``(page_id, section, text)`` for the leaflet sections found by id; the brand
     search keeps texts longer than ten characters only (``min_len=10``)."""
-    return _per_page(pages, [page_col, html_col], "page_id long, section string, text string",
+    return _per_page(pages, [page_col, html_col], f"page_id {_kind(pages, page_col)}, section string, text string",
                      lambda pid, html: [(pid, k, v) for k, v in parse_detail_page(html, min_len)[1].items()])
 
 
-def leaflet_records(pages: DataFrame, key_col: str, url_col: str, html_col: str = "html", min_len: int = -1) -> DataFrame:
+def leaflet_records(pages: DataFrame, key_col: str, url_col: str, html_col: str = "html", min_len: int = -1,
+                    keep: Sequence[str] = ()) -> DataFrame:
     """H2 and H3 from one parse: ``(search_key, url, fields, leaflet, practitioner)`` per
-    page, the lookup side of J2/J3."""
-    def rows(key, url, html):
+    page, the lookup side of J2/J3; ``keep`` passes further columns through."""
+    def rows(key, url, html, *kept):
         fields, sections = parse_detail_page(html, min_len)
-        return [(key, url, fields, sections.get("leaflet"), sections.get("practitioner"))]
-    return _per_page(pages, [key_col, url_col, html_col],
-                     "search_key string, url string, fields map<string,string>, leaflet string, practitioner string", rows)
+        return [(key, url, fields, sections.get("leaflet"), sections.get("practitioner"), *kept)]
+    kept = "".join(f", {c} {_kind(pages, c)}" for c in keep)
+    return _per_page(pages, [key_col, url_col, html_col, *keep],
+                     "search_key string, url string, fields map<string,string>, leaflet string, practitioner string" + kept, rows)
 
 
 def dom_result_links(pages: DataFrame, page_col: str, html_col: str, marker: str, k: int) -> DataFrame:
     """H1 on any markup: ``(page_id, rank, href)``."""
-    return _per_page(pages, [page_col, html_col], "page_id long, rank long, href string",
+    return _per_page(pages, [page_col, html_col], f"page_id {_kind(pages, page_col)}, rank long, href string",
                      lambda pid, html: [(pid, n + 1, href) for n, href in enumerate(parse_result_links(html, marker, k))])
 
 
 def dom_result_cards(pages: DataFrame, page_col: str, html_col: str, k: int) -> DataFrame:
     """H4 on the card markup: ``(page_id, pos, name, ingredients)``."""
-    return _per_page(pages, [page_col, html_col], "page_id long, pos long, name string, ingredients string",
+    return _per_page(pages, [page_col, html_col], f"page_id {_kind(pages, page_col)}, pos long, name string, ingredients string",
                      lambda pid, html: [(pid, *card) for card in parse_result_cards(html, k)])
 
 
@@ -237,19 +243,12 @@ def parse_main_block(html: str) -> tuple[str | None, str | None]:
     return "\n".join(texts), "\n".join(heads)
 
 
-MAIN_SCHEMA = "page_id long, main_text string, headings string"
-
-
-def main_blocks(pages: DataFrame, page_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """H6 ``(page_id, main_text, headings)``; pages without a main block are skipped."""
-    ship_package(pages.sparkSession)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for pid, html in zip(b[page_col], b[html_col]):
-                text, heads = parse_main_block(html)
-                if text is not None:
-                    rows.append((pid, text, heads))
-            yield pd.DataFrame(rows, columns=["page_id", "main_text", "headings"])
-    return pages.select(page_col, html_col).mapInPandas(run, MAIN_SCHEMA)
+def main_blocks(pages: DataFrame, page_col: str = "page_id", html_col: str = "html", keep: Sequence[str] = ()) -> DataFrame:
+    """H6 ``(page_id, main_text, headings)``; pages without a main block are skipped;
+    ``keep`` passes further columns through."""
+    def rows(pid, html, *kept):
+        text, heads = parse_main_block(html)
+        return [] if text is None else [(pid, text, heads, *kept)]
+    kept = "".join(f", {c} {_kind(pages, c)}" for c in keep)
+    return _per_page(pages, [page_col, html_col, *keep],
+                     f"page_id {_kind(pages, page_col)}, main_text string, headings string" + kept, rows)

@@ -2,8 +2,9 @@
 
 Every first/last rule uses an explicit order column (unique within the lookup):
 the smallest or greatest order per key is a hash aggregate over two narrow columns
-(a hot key costs one row per map task), the texts of these winners alone are then
-fetched by (key, order), and joined to the master.  The reduced side holds one row per distinct key; Spark
+(a hot key costs one row per map task) of the rows that are ``usable``, a predicate that is
+evaluated in this one pass; the texts of these winners alone are then fetched by (key,
+order), cleaned, and joined to the master.  The reduced side holds one row per distinct key; Spark
 and AQE broadcast it when its measured size is small and shuffle otherwise.
 Keys are compared null-safely: a missing key of the master finds a missing key
 of the lookup, as dictionary lookups of pandas cells do.
@@ -13,23 +14,24 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _winners(df: DataFrame, key: str, ord_col: str, cols: Sequence[str], best) -> DataFrame:
-    won = df.groupBy(F.col(key).alias("_wk")).agg(best.alias("_wo"))
+def _winners(df: DataFrame, key: str, ord_col: str, cols: Sequence[str], best, usable: Column | None) -> DataFrame:
+    rows = df if usable is None else df.where(usable)
+    won = rows.groupBy(F.col(key).alias("_wk")).agg(best.alias("_wo"))
     return df.join(won, (F.col(ord_col) == F.col("_wo")) & F.col(key).eqNullSafe(F.col("_wk"))).select(key, *cols)
 
 
-def first_per_key(df: DataFrame, key: str, ord_col: str, cols: Sequence[str]) -> DataFrame:
-    """For each ``key`` the ``cols`` of the row with the smallest ``ord_col``."""
-    return _winners(df, key, ord_col, cols, F.min(ord_col))
+def first_per_key(df: DataFrame, key: str, ord_col: str, cols: Sequence[str], usable: Column | None = None) -> DataFrame:
+    """For each ``key`` the ``cols`` of the (usable) row with the smallest ``ord_col``."""
+    return _winners(df, key, ord_col, cols, F.min(ord_col), usable)
 
 
-def last_per_key(df: DataFrame, key: str, ord_col: str, cols: Sequence[str]) -> DataFrame:
-    """For each ``key`` the ``cols`` of the row with the greatest ``ord_col``."""
-    return _winners(df, key, ord_col, cols, F.max(ord_col))
+def last_per_key(df: DataFrame, key: str, ord_col: str, cols: Sequence[str], usable: Column | None = None) -> DataFrame:
+    """For each ``key`` the ``cols`` of the (usable) row with the greatest ``ord_col``."""
+    return _winners(df, key, ord_col, cols, F.max(ord_col), usable)
 
 
 Finish = dict[str, Callable]
@@ -54,13 +56,19 @@ def with_text(lookup: DataFrame, col: str, finish: Finish | None = None) -> Data
     return lookup.where((clean(F.col(col)) if clean else F.col(col)) != "")
 
 
+def _present(require: str, usable: Column | None) -> Column:
+    present = F.col(require).isNotNull()
+    return present if usable is None else present & usable
+
+
 def lookup_first_wins(master: DataFrame, lookup: DataFrame, *, master_key: str, lookup_key: str,
-                      ord_col: str, require: str, take: dict[str, str], finish: Finish | None = None) -> DataFrame:
-    """Among lookup rows whose ``require`` column is present, the first row per
+                      ord_col: str, require: str, take: dict[str, str], finish: Finish | None = None,
+                      usable: Column | None = None) -> DataFrame:
+    """Among usable lookup rows whose ``require`` column is present, the first row per
     key supplies all ``take`` columns together (``{lookup_col: master_col}``);
     the master columns are (re)set from it, missing when the key has no row."""
     cols = list(take)
-    reduced = first_per_key(lookup.where(F.col(require).isNotNull()), lookup_key, ord_col, cols)
+    reduced = first_per_key(lookup, lookup_key, ord_col, cols, _present(require, usable))
     out = _left_lookup(master.drop(*take.values()), master_key, reduced, lookup_key, cols, "_n_", finish)
     for src, dst in take.items():
         out = out.withColumnRenamed("_n_" + src, dst)
@@ -68,11 +76,12 @@ def lookup_first_wins(master: DataFrame, lookup: DataFrame, *, master_key: str,
 
 
 def lookup_gap_fill(master: DataFrame, lookup: DataFrame, *, master_key: str, lookup_key: str,
-                    ord_col: str, require: str, take: dict[str, str], finish: Finish | None = None) -> DataFrame:
+                    ord_col: str, require: str, take: dict[str, str], finish: Finish | None = None,
+                    usable: Column | None = None) -> DataFrame:
     """First-wins rows as in J2, but every master column is only filled
     where it is missing, each column on its own."""
     cols = list(take)
-    reduced = first_per_key(lookup.where(F.col(require).isNotNull()), lookup_key, ord_col, cols)
+    reduced = first_per_key(lookup, lookup_key, ord_col, cols, _present(require, usable))
     out = _left_lookup(master, master_key, reduced, lookup_key, cols, "_n_", finish)
     for src, dst in take.items():
         out = out.withColumn(dst, F.coalesce(F.col(dst), F.col("_n_" + src))).drop("_n_" + src)
@@ -81,10 +90,10 @@ def lookup_gap_fill(master: DataFrame, lookup: DataFrame, *, master_key: str, lo
 
 def lookup_last_wins(master: DataFrame, lookup: DataFrame, *, master_key: str, lookup_key: str,
                      ord_col: str, value: str, target: str, default: str = "",
-                     finish: Finish | None = None) -> DataFrame:
-    """Replace ``target`` by the value of the last lookup row with the key
+                     finish: Finish | None = None, usable: Column | None = None) -> DataFrame:
+    """Replace ``target`` by the value of the last (usable) lookup row with the key
     (a missing value included), ``default`` where there is none.  Idempotent."""
-    reduced = last_per_key(lookup, lookup_key, ord_col, [value])
+    reduced = last_per_key(lookup, lookup_key, ord_col, [value], usable)
     out = _left_lookup(master.drop(target), master_key, reduced, lookup_key, [value], "_n_", finish)
     return out.withColumn(target, F.coalesce(F.col("_n_" + value), F.lit(default))).drop("_n_" + value)
 

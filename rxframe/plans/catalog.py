@@ -15,7 +15,7 @@ from rxframe.operators.clean import (clean_dosage, clean_leaflets, clean_registr
                                      extract_sections, leaflet_keep_predicate)
 from rxframe.operators.context import MasterColumns
 from rxframe.operators.enrich import (first_seen_by_derived_key, lookup_first_wins, lookup_gap_fill,
-                                      lookup_last_wins, nest_details, resume_todo, union_by_name, with_text)
+                                      lookup_last_wins, nest_details, resume_todo, union_by_name)
 from rxframe.operators.link import extract_entities, link_dictionary, search_terms
 from rxframe.operators.context import format_request
 from rxframe.operators.detail_pages import (detail_fields, detail_sections, dom_result_cards,
@@ -32,7 +32,7 @@ from rxframe.sources.files import (dictionary_entries, first_existing, flatten_e
 from rxframe.sources.versions import current, latest_version, write_new_version
 from rxframe.plans import fixtures as fx
 from rxframe.plans.consult import VersionedConsult, consult_contexts, consult_lines, consult_prompts
-from rxframe.plans.master import build_master, coverage_report
+from rxframe.plans.master import build_master, build_master_from_sources, coverage_report
 from rxframe.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,7 +45,8 @@ MASTER_COLS = MasterColumns(trade="trade_name", sci="scientific_name", form="dos
 def _master(spark, sf):
     return build_master(fx.registry(spark, sf), fx.leaflets(spark, sf), fx.brand_leaflets(spark, sf),
                         fx.dosage(spark, sf), sci_key="sci_key", brand_key="brand_key",
-                        leaflet_finish=fx.LEAFLET_FINISH, dosage_finish=fx.DOSAGE_FINISH)
+                        leaflet_finish=fx.LEAFLET_FINISH, brand_finish=fx.LEAFLET_FINISH, dosage_finish=fx.DOSAGE_FINISH,
+                        **fx.lookup_rules())
 
 
 def _link_dict(spark, sf):
@@ -136,32 +137,39 @@ def q_dataset_status(spark, sf):
 
 # --- enrichment ---------------------------------------------------------------
 
+def _first_leaflets(spark, sf, *cols):
+    return lookup_first_wins(fx.registry(spark, sf), fx.leaflets(spark, sf), master_key="sci_key", lookup_key="search_key",
+                             ord_col="ord", require="leaflet", take={c: c for c in cols}, finish=fx.LEAFLET_FINISH,
+                             usable=fx.lookup_rules()["leaflet_usable"])
+
+
 def q_lookup_first_wins(spark, sf):
-    m = lookup_first_wins(fx.registry(spark, sf), with_text(fx.leaflets(spark, sf), "leaflet", fx.LEAFLET_FINISH), master_key="sci_key",
-                          lookup_key="search_key", ord_col="ord", require="leaflet",
-                          take={"leaflet": "leaflet", "practitioner": "practitioner", "route_ar": "route_ar"},
-                          finish=fx.LEAFLET_FINISH)
+    m = _first_leaflets(spark, sf, "leaflet", "practitioner", "route_ar")
     return m.select("ord", "sci_key", "leaflet", "practitioner", "route_ar")
 
 
 def q_lookup_gap_fill(spark, sf):
-    m = lookup_first_wins(fx.registry(spark, sf), with_text(fx.leaflets(spark, sf), "leaflet", fx.LEAFLET_FINISH), master_key="sci_key",
-                          lookup_key="search_key", ord_col="ord", require="leaflet",
-                          take={"leaflet": "leaflet", "route_ar": "route_ar"}, finish=fx.LEAFLET_FINISH)
-    m = lookup_gap_fill(m, with_text(fx.brand_leaflets(spark, sf), "leaflet", fx.LEAFLET_FINISH), master_key="brand_key", lookup_key="search_key",
-                        ord_col="ord", require="leaflet", take={"leaflet": "leaflet", "route_ar": "route_ar"},
-                        finish=fx.LEAFLET_FINISH)
+    m = lookup_gap_fill(_first_leaflets(spark, sf, "leaflet", "route_ar"), fx.brand_leaflets(spark, sf), master_key="brand_key",
+                        lookup_key="search_key", ord_col="ord", require="leaflet", take={"leaflet": "leaflet", "route_ar": "route_ar"},
+                        finish=fx.LEAFLET_FINISH, usable=fx.lookup_rules()["brand_usable"])
     return m.select("ord", "brand_key", "leaflet", "route_ar")
 
 
 def q_lookup_last_wins(spark, sf):
-    m = lookup_last_wins(fx.registry(spark, sf), with_text(fx.dosage(spark, sf), "dosage_context", fx.DOSAGE_FINISH),
-                         master_key="sci_key",
-                         lookup_key="search_key", ord_col="ord", value="dosage_context", target="intl_dosage",
-                         finish=fx.DOSAGE_FINISH)
+    m = lookup_last_wins(fx.registry(spark, sf), fx.dosage(spark, sf), master_key="sci_key", lookup_key="search_key",
+                         ord_col="ord", value="dosage_context", target="intl_dosage", finish=fx.DOSAGE_FINISH,
+                         usable=fx.lookup_rules()["dosage_usable"])
     return m.select("ord", "sci_key", "intl_dosage")
 
 
+def q_master_chain(spark, sf):
+    """C2 whole: raw registry records and the landed pages of three harvests to the master."""
+    m = build_master_from_sources(fx.raw_registry(spark, sf), fx.harvested_leaflet_pages(spark, sf),
+                                  fx.harvested_brand_pages(spark, sf), fx.harvested_dosage_pages(spark, sf))
+    return m.select("record_id", F.col("Trade Name").alias("trade_name"), F.col("Scientific Name").alias("scientific_name"),
+                    "leaflet", "practitioner", "route_ar", "leaflet_before_gap", "intl_dosage")
+
+
 def q_coverage_report(spark, sf):
     return coverage_report(_master(spark, sf))
 
@@ -238,6 +246,7 @@ def q_dosage_clean(spark, sf):
 
 QUERIES: dict[str, Query] = {
     "master_build": q_master_build,
+    "master_chain": q_master_chain,
     "link_dictionary": q_link_dictionary,
     "request_terms": q_request_terms,
     "entity_link": q_entity_link,

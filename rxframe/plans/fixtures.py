@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxframe.functions.text import dosage_context, dosage_normalise, leaflet_normalise
+from rxframe.functions.text import dosage_context, dosage_normalise, has_dosage_text, has_leaflet_text, leaflet_normalise
+from rxframe.operators.clean import leaflet_usable
 from rxframe.sources.tables import read_table
 
 
@@ -37,17 +38,26 @@ def registry(spark: SparkSession, sf: str) -> DataFrame:
 
 def leaflets(spark: SparkSession, sf: str) -> DataFrame:
     """Leaflet lookup (raw sheet text): search name, patient leaflet (only some
-    documents have one), practitioner leaflet, Arabic route.  Consumers apply
+    documents have one), practitioner leaflet, Arabic route; before each source's documents
+    three rows that cleaning drops (blank, placeholder in either text).  Consumers apply
     ``LEAFLET_FINISH`` (T5) to the rows they keep."""
     d = read_table(spark, sf, "documents", "doc_id", "text", "lang", "source")
-    return d.select(
+    return _beside(d.select(
         F.col("doc_id").alias("ord"),
         F.col("source").alias("search_key"),
-        F.when(F.col("lang") == "en", F.when(F.col("doc_id") % 3 == 0, F.lit("_x000D_ \r"))
-               .otherwise(F.col("text"))).alias("leaflet"),
+        F.when(F.col("lang") == "en", F.col("text")).alias("leaflet"),
         F.when(F.col("lang") != "de", F.col("text")).alias("practitioner"),
         F.col("lang").alias("route_ar"),
-    )
+    ), [(-1, "_x000D_ \r", "x", "none"), (-2, "No \r_x000D_data", "x", "none"), (-3, "words", "No specific  match found", "none")])
+
+
+def _beside(rows: DataFrame, more: list[tuple]) -> DataFrame:
+    """``rows`` and, for each of their search keys, the ``more`` ones (order, then the columns after the key)."""
+    cols = rows.columns[2:]
+    added = F.array(*[F.struct(F.lit(m[0]).cast("long").alias("ord"), *[F.lit(v).cast("string").alias(c) for c, v in zip(cols, m[1:])])
+                      for m in more])
+    return rows.unionByName(rows.select("search_key").distinct().select("search_key", F.explode(added).alias("r"))
+                            .select("r.ord", "search_key", *[f"r.{c}" for c in cols]))
 
 
 def brand_leaflets(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,14 +71,14 @@ def brand_leaflets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dosage(spark: SparkSession, sf: str) -> DataFrame:
-    """Dosage lookup (raw page text as the adult section); consumers apply
-    ``DOSAGE_FINISH`` (T6 + T7) to the rows they keep."""
+    """Dosage lookup (raw page text as the adult section), after each source's documents
+    two rows without text; consumers apply ``DOSAGE_FINISH`` (T6 + T7) to the rows they keep."""
     d = read_table(spark, sf, "documents", "doc_id", "text", "source")
-    return d.select(
+    return _beside(d.select(
         F.col("doc_id").alias("ord"),
         F.col("source").alias("search_key"),
-        F.when(F.col("doc_id") % 3 == 0, F.lit("for: \n")).otherwise(F.col("text")).alias("dosage_context"),
-    )
+        F.col("text").alias("dosage_context"),
+    ), [(10**15, "for: \n"), (10**15 + 1, "NaN")])
 
 
 # row-wise cleaning of the lookup columns, applied after the one-row-per-key reduction
@@ -76,6 +86,12 @@ LEAFLET_FINISH = {"leaflet": leaflet_normalise, "practitioner": leaflet_normalis
 DOSAGE_FINISH = {"dosage_context": lambda c: dosage_context(dosage_normalise(c), F.lit(""), F.lit(""), F.lit(""))}
 
 
+# rows that keep text once cleaned, told from the raw text in the pass that chooses the winners
+def lookup_rules() -> dict:
+    return {"leaflet_usable": leaflet_usable(), "brand_usable": has_leaflet_text("leaflet"),
+            "dosage_usable": has_dosage_text("dosage_context")}
+
+
 def brand_mapping(spark: SparkSession, sf: str) -> DataFrame:
     """Brand mapping rows: term = first word of the name, brand = name,
     ingredient = brand label; file order = ``p_partkey``."""
@@ -260,13 +276,17 @@ def search_pages(spark: SparkSession, sf: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("page_id"), html.alias("html"))
 
 
+def _escaped(c: str):
+    return F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
+                     F.lit(">"), F.lit("&gt;"))
+
+
 def dosage_html_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Dosage pages rendered from ``documents`` as fetched HTML: the main text
     sits in a ``div.contentBox`` (English, French), in ``#content`` (Spanish) or
     nowhere (German), after a navigation block; text is HTML-escaped."""
     d = read_table(spark, sf, "documents", "doc_id", "text", "lang", "source")
-    esc = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
-                    F.lit(">"), F.lit("&gt;"))
+    esc = _escaped("text")
     body = F.concat(F.lit("<h2>Usual Adult Dose</h2><p>"), esc, F.lit("</p><h3> Renal Dose Adjustments </h3><p>"),
                     F.col("source"), F.lit("</p>"))
     main = (F.when(F.col("lang").isin("en", "fr"), F.concat(F.lit('<div class="contentBox wide">'), body,
@@ -275,3 +295,50 @@ def dosage_html_pages(spark: SparkSession, sf: str) -> DataFrame:
             .otherwise(F.concat(F.lit("<div>"), body, F.lit("</div>"))))
     html = F.concat(F.lit('<html><body><div id="nav"><a href="/x">Home</a></div>'), main, F.lit("</body></html>"))
     return d.select(F.col("doc_id").alias("page_id"), html.alias("html"))
+
+
+def _harvested(spark: SparkSession, sf: str, shift: int) -> DataFrame:
+    """Documents as what a harvest found for the names of the part ``shift`` rows on."""
+    p = read_table(spark, sf, "part", "p_partkey", "p_name", "p_type")
+    d = read_table(spark, sf, "documents", "doc_id", "text", "lang")
+    return d.join(p, F.col("p_partkey") == F.col("doc_id") + shift).select(
+        F.col("doc_id").alias("ord"), "text", "lang", "p_type", F.concat("p_type", F.lit(", "), F.lower("p_type")).alias("sci"),
+        F.concat("p_name", F.lit(", x")).alias("trade"))
+
+
+def _tabs(leaflet, practitioner, route):
+    return F.concat(
+        F.lit('<div id="D-div"><label class="form-label">طريقة الإستعمال</label><div class="form-line"> '), route,
+        F.lit(' </div></div><div id="A-div"><p>'), leaflet, F.lit('</p></div><div id="M-div"><p>'), practitioner, F.lit("</p></div>"))
+
+
+def harvested_leaflet_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Detail pages by scientific name, rendered from ``documents`` (none found for some names); before
+    each name's pages four that cleaning drops: placeholders in either tab, blank text, nothing entered."""
+    h = _harvested(spark, sf, 1)
+    real = h.where(~F.col("p_type").startswith("SMALL")).select(
+        F.col("sci").alias("search_key"), "ord", _tabs(_escaped("text"), F.concat("lang", F.lit(" leaflet")), F.col("lang")).alias("html"))
+    empty = F.array(*[F.struct(F.lit(n).cast("long").alias("ord"), _tabs(F.lit(a), F.lit(m), F.lit("none")).alias("html"))
+                      for n, a, m in ((-1, "No \r_x000D_data", "m"), (-2, " _x000D_ ", "m"),
+                                      (-3, "words", "No specific  match found"), (-4, "لم يتم إدخال بيانات", "m"))])
+    more = h.select(F.col("sci").alias("search_key")).distinct().select("search_key", F.inline(empty))
+    return real.unionByName(more).withColumn("url", F.concat(F.lit("/drug/"), F.col("ord").cast("string")))
+
+
+def harvested_brand_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Detail pages by trade name; before each one a page whose leaflet is too short to be kept."""
+    h = _harvested(spark, sf, 2).select(F.col("trade").alias("search_key"), "ord", "lang", _escaped("text").alias("t"))
+    both = F.array(F.struct("ord", F.col("t").alias("a")), F.struct((-1 - F.col("ord")).alias("ord"), F.lit("too short").alias("a")))
+    r = h.select("search_key", "lang", F.inline(both))
+    return r.select("search_key", "ord", _tabs(F.col("a"), F.lit("m"), F.concat(F.lit("ar-"), F.col("lang"))).alias("html"),
+                    F.concat(F.lit("/brand/"), F.col("ord").cast("string")).alias("url"))
+
+
+def harvested_dosage_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Dosage pages by scientific name (``dosage_html_pages``); after each name's pages one without a
+    dose and one whose dose is empty once cleaned."""
+    h = _harvested(spark, sf, 1).select(F.col("sci").alias("search_key"), "ord")
+    real = h.join(dosage_html_pages(spark, sf), F.col("ord") == F.col("page_id")).select("search_key", "ord", "html")
+    empty = F.array(*[F.struct(F.lit(10**15 + n).alias("ord"), F.lit(f'<div class="contentBox"><p>{t}</p></div>').alias("html"))
+                      for n, t in enumerate(("No dose is known.", "Usual Adult Dose for: \n"))])
+    return real.unionByName(h.select("search_key").distinct().select("search_key", F.inline(empty)))

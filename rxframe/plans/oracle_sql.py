@@ -18,12 +18,22 @@ REG = """reg AS (
          'src' || CAST((p_size + 7) % 25 AS VARCHAR) AS brand_key
   FROM part)"""
 
-LEAF = f"""leaf AS (
-  SELECT doc_id AS ord, source AS search_key,
-         {d.leaflet_norm("CASE WHEN lang = 'en' THEN CASE WHEN doc_id % 3 = 0 THEN '_x000D_ ' || chr(13) ELSE text END END")} AS leaflet,
-         {d.leaflet_norm("CASE WHEN lang <> 'de' THEN text END")} AS practitioner,
-         lang AS route_ar
-  FROM documents)"""
+_P = d.lit("لم يتم إدخال بيانات|No data|No specific match found")
+
+# sheet rows beside the documents' own: (order, texts ...) for every search key
+LEAF = f"""leaf_raw AS (
+  SELECT doc_id AS ord, source AS search_key, CASE WHEN lang = 'en' THEN text END AS leaflet,
+         CASE WHEN lang <> 'de' THEN text END AS practitioner, lang AS route_ar
+  FROM documents
+  UNION ALL SELECT o, k, a, b, 'none' FROM (SELECT DISTINCT source AS k FROM documents),
+    (VALUES (-1, '_x000D_ ' || chr(13), 'x'), (-2, 'No ' || chr(13) || '_x000D_data', 'x'),
+            (-3, 'words', 'No specific  match found')) t(o, a, b)),
+leaf_clean AS (
+  SELECT ord, search_key, {d.leaflet_norm('leaflet')} AS leaflet, {d.leaflet_norm('practitioner')} AS practitioner, route_ar
+  FROM leaf_raw),
+leaf AS (
+  SELECT * FROM leaf_clean WHERE NOT coalesce(regexp_matches(leaflet, {_P}), false)
+    AND NOT coalesce(regexp_matches(practitioner, {_P}), false))"""
 
 BLEAF = f"""bleaf AS (
   SELECT doc_id AS ord, source AS search_key,
@@ -31,10 +41,13 @@ BLEAF = f"""bleaf AS (
          'ar-' || lang AS route_ar
   FROM documents)"""
 
-DOS = f"""dos AS (
-  SELECT doc_id AS ord, source AS search_key,
-         {d.dosage_ctx(d.dosage_norm("CASE WHEN doc_id % 3 = 0 THEN 'for: ' || chr(10) ELSE text END"), "''", "''", "''")} AS dosage_context
-  FROM documents)"""
+DOS = f"""dos_raw AS (
+  SELECT doc_id AS ord, source AS search_key, text AS t FROM documents
+  UNION ALL SELECT o, k, t FROM (SELECT DISTINCT source AS k FROM documents),
+    (VALUES (1000000000000000, 'for: ' || chr(10)), (1000000000000001, 'NaN')) v(o, t)),
+dos AS (
+  SELECT ord, search_key, {d.dosage_ctx(d.dosage_norm("t"), "''", "''", "''")} AS dosage_context
+  FROM dos_raw)"""
 
 MASTER = """j2 AS (
   SELECT * FROM (SELECT search_key, leaflet, practitioner, route_ar,
@@ -212,8 +225,6 @@ ORACLES: dict[str, str] = {
 
 # --- batch 2: quality, single lookups, cleaning -------------------------------
 
-_P = d.lit("لم يتم إدخال بيانات|No data|No specific match found")
-
 LEAFSHEET = """lf AS (
   SELECT doc_id AS ord, source AS search_key,
     CASE WHEN lang = 'de' THEN 'No data ' || text WHEN lang = 'es' THEN NULL
@@ -534,3 +545,26 @@ ORACLES["leaflet_records"] = f"""SELECT p_type AS search_key, '/drug/' || p_part
   CASE WHEN p_size <= 40 THEN {_LONG.format("('Size ' || p_size)")} END AS practitioner FROM part"""
 
 ORACLES["stream_records"] = ORACLES["leaflet_records"].replace("SELECT p_type AS search_key", "SELECT p_type || ' /drug/' || p_partkey AS search_key")
+
+HARVEST = f"""hv AS (
+  SELECT doc_id, text, lang, source, p_partkey - doc_id AS shift, p_type, p_type || ', ' || lower(p_type) AS sci, p_name || ', x' AS trade
+  FROM documents JOIN part ON p_partkey IN (doc_id + 1, doc_id + 2)),
+leaf AS (
+  SELECT * FROM (SELECT doc_id AS ord, sci AS search_key, {d.leaflet_norm('text')} AS leaflet, lang || ' leaflet' AS practitioner,
+                        lang AS route_ar FROM hv WHERE shift = 1 AND p_type NOT LIKE 'SMALL%')
+  WHERE NOT regexp_matches(leaflet, {_P})),
+bleaf AS (
+  SELECT doc_id AS ord, trade AS search_key, {d.strip('text')} AS leaflet, 'ar-' || lang AS route_ar
+  FROM hv WHERE shift = 2 AND length({d.strip('text')}) > 10),
+pages_d AS (
+  SELECT doc_id, sci AS source, 'Usual Adult Dose' || chr(10) || text || chr(10) || ' Renal Dose Adjustments ' || chr(10) || source AS page
+  FROM hv WHERE shift = 1 AND lang IN ('en', 'fr', 'es')),
+{SECTIONS},
+dos AS (
+  SELECT doc_id AS ord, source AS search_key,
+         {d.dosage_ctx(*[d.dosage_norm(c) for c in ("adult", "pediatric", "renal", "liver")])} AS dosage_context
+  FROM sections),
+reg AS (SELECT record_id, "Trade Name" AS trade_name, "Trade Name" AS brand_key, "Scientific Name" AS scientific_name,
+               "Scientific Name" AS sci_key FROM ({REGCLEAN}))"""
+ORACLES["master_chain"] = _with(RAWREG, HARVEST, MASTER) + """SELECT record_id, trade_name, scientific_name, leaflet, practitioner,
+  route_ar, leaflet_before_gap, intl_dosage FROM master"""
