@@ -46,6 +46,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 # one scratch root per Spark application, decided at the first use
 _ROOTS: dict[str, str] = {}
+_TABLES: dict[str, list[str]] = {}
 _GROUPS: contextvars.ContextVar[tuple[ScratchGroup, ...]] = contextvars.ContextVar("scratch groups", default=())
 
 
@@ -120,6 +121,13 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_table(spark: SparkSession, name: str) -> str:
+    """A fresh name for a bucketed scratch table; ``release_scratch`` drops it."""
+    table = f"rxframe_{name}_{uuid.uuid4().hex}"
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(table)
+    return table
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete one folder through Hadoop's file system API (any store)."""
     jvm = spark.sparkContext._jvm
@@ -130,6 +138,8 @@ def delete_path(spark: SparkSession, path: str) -> None:
 def release_scratch(spark: SparkSession) -> None:
     """Delete every intermediate table of this application.  Results that were
     not written or consumed yet read from these tables: call it after them."""
+    for table in _TABLES.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
     root = _ROOTS.pop(spark.sparkContext.applicationId, None)
     if root:
         delete_path(spark, root)

@@ -39,3 +39,12 @@ def test_unset_folder_raises_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.checkpoint_dir(Session())
+
+
+def test_scratch_tables_are_dropped(spark):
+    from rxframe.session import release_scratch, scratch_path, scratch_table
+    name = scratch_table(spark, "rows")
+    spark.range(4).write.option("path", scratch_path(spark, "rows")).saveAsTable(name)
+    assert spark.catalog.tableExists(name)
+    release_scratch(spark)
+    assert not spark.catalog.tableExists(name)
