@@ -36,19 +36,20 @@ def as_word(term, name):
 
 
 def matching(master, terms, holds):
-    """(order, ingredient) of the rows of which a name holds a term, without regard to case; a missing name reads "nan"."""
+    """(order, ingredient) of the rows of which a lowered name holds a term; a missing name reads "nan"."""
     shown = [(o, sci, [("nan" if x is None else x).lower() for x in (trade, sci)]) for o, trade, sci in master]
-    return sorted((o, sci) for o, sci, names in shown if any(holds(t.lower(), n) for t in terms for n in names))
+    return sorted((o, sci) for o, sci, names in shown if any(holds(t, n) for t in terms for n in names))
 
 
 def expected_topk(master, terms, k=4):
     """Of the matching rows the first of each ingredient (all without one), the ``k`` smallest orders."""
-    rows = matching(master, terms, as_word)
+    rows = matching(master, [t.lower() for t in terms], as_word)
     first = {sci: min(o for o, s in rows if s == sci) for _, sci in rows}
     return [o for o, sci in rows if sci is None or o == first[sci]][:k]
 
 
 def expected_substring(master, terms, k=5):
+    """The older rule: terms are compared as they are written."""
     return [o for o, _ in matching(master, terms, lambda t, name: t in name)][:k]
 
 
