@@ -11,7 +11,6 @@ shuffle compression shortens to the few bytes that differ.
 from __future__ import annotations
 
 import math
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rxframe.session import scratch_path, ship_package
+from rxframe.session import scratch_path, scratch_table, ship_package
 
 BLOCK_BYTES = 4 << 20
 MAX_BUCKETS = 100_000  # what Spark takes by default
@@ -54,13 +53,42 @@ def store_blocks(docs: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES,
     d = docs.withColumn(text_col, F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema)
     total = d.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("n")).first()["n"]
-    name = f"rxframe_blocks_{uuid.uuid4().hex}"
+    name = scratch_table(spark, "blocks")
     d.mapInArrow(run, f"{schema}, _block bigint, _row int").write.format("parquet") \
         .bucketBy(min(MAX_BUCKETS, max(1, math.ceil(total / bucket_bytes))), "_block") \
         .option("path", scratch_path(spark, "blocks")).option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
 
 
+ROWS_PER_BLOCK_BITS = 12
+
+
+def store_rows(docs: DataFrame, size_col: str, bucket_bytes: int = 4 * BLOCK_BYTES) -> DataFrame:
+    """``docs`` as ``_row`` structs with ``_at`` (a row's number) and ``_block`` (some thousand
+    consecutive ones of one input split), written once as a table bucketed by block.
+
+    ``with_rows_at`` then picks rows by number: only the numbers travel to the blocks.
+    Nothing of the rows is changed, whatever their columns are called.
+    """
+    spark = docs.sparkSession
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(f"`{size_col}`")), F.lit(0)).alias("n")).first()["n"]
+    at = F.monotonically_increasing_id()
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), at.alias("_at"))
+    name = scratch_table(spark, "rows")
+    d.withColumn("_block", F.shiftright("_at", ROWS_PER_BLOCK_BITS)).write.format("parquet") \
+        .bucketBy(min(MAX_BUCKETS, max(1, math.ceil(total / bucket_bytes))), "_block") \
+        .option("path", scratch_path(spark, "rows")).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
+def with_rows_at(stored: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The ``stored`` rows whose ``_at`` is in ``numbers`` (distinct), by a join on the blocks alone:
+    the stored side is read as it is bucketed, a block's list has some thousand numbers at most."""
+    lists = numbers.groupBy(F.shiftright("_at", ROWS_PER_BLOCK_BITS).alias("_block")) \
+        .agg(F.collect_list("_at").alias("_kept"))
+    return stored.join(lists, "_block").where(F.array_contains("_kept", F.col("_at"))).drop("_kept")
+
+
 def key_ranges(blocks: DataFrame, text_col: str, range_bytes: int) -> int:
     """Number of key ranges, a power of two: one for about ``range_bytes`` of text."""
     total = blocks.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("n")).first()["n"]

@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rxframe.llm.blocks import store_rows, with_rows_at
 from rxframe.llm.components import components
 from rxframe.session import materialize, ship_package
 
@@ -265,10 +266,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                          distance: int = 2, big_bucket: int = 2000) -> DataFrame:
-    """``docs`` with one row of each class: the smallest id (of equal ids, the first row as stored)."""
+    """``docs`` with one row of each class: the smallest id (of equal ids, the first row as stored).
+
+    The rows are stored once in blocks; what is kept is decided on row numbers, and only those
+    travel, however many there are."""
     columns = docs.columns
-    stored = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"),
-                                     F.monotonically_increasing_id().alias("_at")), "simhash-docs")
+    stored = store_rows(docs, text_col)
     d = stored.select("_at", F.col(f"_row.`{id_col}`").alias("_id"), F.col(f"_row.`{text_col}`").alias("_text"))
     rows = materialize(with_fingerprint(d, "_text", shingle), "simhash-rows")
     best = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_at"))
@@ -276,5 +279,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     firsts = rows.groupBy("fp").agg(best.alias("first"))
     kept = firsts.join(classes(rows, distance, big_bucket), "fp").groupBy("root") \
         .agg(F.min("first").alias("first")).select(F.col("first._at").alias("_at"))
-    kept = stored.join(materialize(kept, "simhash-kept"), "_at", "left_semi")
-    return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in columns])
+    return with_rows_at(stored, materialize(kept, "simhash-kept")).select(*[F.col(f"_row.`{c}`").alias(c) for c in columns])
