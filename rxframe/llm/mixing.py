@@ -28,6 +28,7 @@ from rxframe.session import materialize
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MAX_EPOCHS = 2
+BROADCAST_BYTES = 64 << 20
 _SRC = ["_s", "_n"]
 
 
@@ -89,6 +90,15 @@ def _cuts(rows: DataFrame, weights, share, max_epochs) -> DataFrame:
     return src.join(cut, _SRC, "left")
 
 
+def _with_cuts(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Each row with its source's cut.  The cuts are one short row per source, written once; up to
+    ``BROADCAST_BYTES`` (measured) they go to the rows, so that a hot source stays spread and no
+    text moves; beyond, rows meet them by a shuffle on the source."""
+    cuts = materialize(cuts, "mix-cuts")
+    size = cuts.agg(F.coalesce(F.sum(F.octet_length("_s") + 200), F.lit(0)).alias("n")).first()["n"]
+    return rows.join(F.broadcast(cuts) if size <= BROADCAST_BYTES else cuts, _SRC)
+
+
 def _last_epoch() -> Column:
     return F.when(F.col("_key") < F.col("cut_key"), F.col("_size")) \
         .when(F.col("_key") == F.col("cut_key"), F.col("cut_words")).otherwise(F.lit(0)).cast("long")
@@ -100,7 +110,7 @@ def mix_table(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source
     (words the mix takes, repeats counted)."""
     rows = materialize(_rows(docs, id_col, source_col, word_count(F.col(f"`{text_col}`")), seed,
                              F.col(f"`{id_col}`").alias("_doc")), "mix-rows")
-    d = rows.join(_cuts(rows, weights, share, max_epochs), _SRC)
+    d = _with_cuts(rows, _cuts(rows, weights, share, max_epochs))
     return d.select(F.col("_doc").alias(id_col), F.col("_size").alias("size"), F.col("total").alias("source_size"),
                     "target", (F.col("epochs") * F.col("_size") + _last_epoch()).alias("taken"))
 
@@ -116,7 +126,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
     light = materialize(_rows(docs, id_col, source_col, size, seed), "mix-rows")
     cuts = _cuts(light, weights, share, max_epochs)
     whole = [F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")]
-    d = _rows(docs, id_col, source_col, size, seed, *whole).join(cuts, _SRC).withColumn("_last", _last_epoch())
+    d = _with_cuts(_rows(docs, id_col, source_col, size, seed, *whole), cuts).withColumn("_last", _last_epoch())
     # pieces of a word with the space before it; the first words joined give the text up to the cut
     pieces = F.split(F.col(f"_row.`{text_col}`"), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     partial = (F.col("_last") > 0) & (F.col("_last") < F.col("_size"))

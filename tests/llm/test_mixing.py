@@ -75,3 +75,9 @@ def test_edge_rows(make_docs):
     assert mixing.mix_table(make_docs([])).count() == 0
     assert mixing.mix_documents(make_docs([])).count() == 0
     assert {r["taken"] for r in mixing.mix_table(make_docs([(1, None, "a"), (2, " ", "b")])).collect()} == {0}
+
+
+def test_cuts_beyond_the_broadcast_bound(sf_docs, monkeypatch):
+    want = sorted(map(tuple, mixing.mix_table(sf_docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, mixing.mix_table(sf_docs).collect())) == want
