@@ -230,29 +230,30 @@ def with_next(docs: DataFrame, then, columns: str, id_col: str = "doc_id", text_
             keys = [*map(key, b.column(0).to_pylist(), b.column(1).to_pylist())]
             to = [bisect_left(order, k) for k in keys]
             guests = [j for j, (k, r) in enumerate(zip(keys, to)) if order[r] == k]
-            rows = pa.array([*range(len(keys)), *guests], pa.int64())
-            ranges = [*to, *((to[j] + 1) % len(order) for j in guests)]
-            yield pa.RecordBatch.from_arrays(
-                [*(c.take(rows) for c in b.columns), pa.array(ranges, pa.int32()),
-                 pa.array([False] * len(keys) + [True] * len(guests))], names=["id", "h", "text", "range", "guest"])
+            names = ["id", "h", "text", "range", "guest"]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(to, pa.int32()), pa.array([False] * len(to))], names=names)
+            if guests:
+                above = [(to[j] + 1) % len(order) for j in guests]
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(guests)) for c in b.columns), pa.array(above, pa.int32()),
+                                                  pa.array([True] * len(guests))], names=names)
 
     def pairs(batches):
-        held = None  # the last row waits for its next one
+        held = None  # the last row of a batch waits for the next one
         for b in batches:
-            if held is not None:
-                b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
-            n = b.num_rows
+            n, ids, texts = b.num_rows, b.column(0), b.column(2)
             if not n:
                 continue
-            held = b.slice(n - 1, 1)
             own = ~b.column(4).to_numpy(zero_copy_only=False)
-            ends = np.cumsum(pc.binary_length(b.column(2)).to_numpy(zero_copy_only=False))
+            if held is not None:
+                yield then(held[0], [held[1], texts[0].as_py()], np.zeros(1, np.int64))
+            held = (ids.slice(n - 1, 1), texts[n - 1].as_py()) if own[n - 1] else None
+            ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
             start = 0
             while start < n - 1:  # some megabytes of text at a time, and the row after them
                 end = min(n - 1, max(start + 1, int(np.searchsorted(ends, ends[start] + THEN_BYTES))))
                 at = np.flatnonzero(own[start:end])
                 if len(at):
-                    yield then(b.column(0).take(pa.array(at + start)), b.column(2).slice(start, end - start + 1).to_pylist(), at)
+                    yield then(ids.take(pa.array(at + start)), texts.slice(start, end - start + 1).to_pylist(), at)
                 start = end
 
     dealt = keyed.mapInArrow(deal, f"id {kind}, h bigint, text string, range int, guest boolean")
