@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rxframe.session import scratch_path, scratch_table, ship_package
+from rxframe.session import materialize, scratch_path, scratch_table, ship_package
 
 BLOCK_BYTES = 4 << 20
 MAX_BUCKETS = 100_000  # what Spark takes by default
@@ -83,9 +83,12 @@ def store_rows(docs: DataFrame, size_col: str, bucket_bytes: int = 4 * BLOCK_BYT
 
 def with_rows_at(stored: DataFrame, numbers: DataFrame) -> DataFrame:
     """The ``stored`` rows whose ``_at`` is in ``numbers`` (distinct), by a join on the blocks alone:
-    the stored side is read as it is bucketed, a block's list has some thousand numbers at most."""
+    the stored side is read as it is bucketed, a block's list has some thousand numbers at most.
+    The lists are written first: a side with a partitioning of its own, of more partitions than
+    there are buckets, would make Spark deal the stored rows anew."""
     lists = numbers.groupBy(F.shiftright("_at", ROWS_PER_BLOCK_BITS).alias("_block")) \
         .agg(F.collect_list("_at").alias("_kept"))
+    lists = materialize(lists, "picked-rows")
     return stored.join(lists, "_block").where(F.array_contains("_kept", F.col("_at"))).drop("_kept")
 
 

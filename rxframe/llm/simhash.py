@@ -279,4 +279,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     firsts = rows.groupBy("fp").agg(best.alias("first"))
     kept = firsts.join(classes(rows, distance, big_bucket), "fp").groupBy("root") \
         .agg(F.min("first").alias("first")).select(F.col("first._at").alias("_at"))
-    return with_rows_at(stored, materialize(kept, "simhash-kept")).select(*[F.col(f"_row.`{c}`").alias(c) for c in columns])
+    return with_rows_at(stored, kept).select(*[F.col(f"_row.`{c}`").alias(c) for c in columns])
