@@ -195,3 +195,53 @@ def inner_separator_runs(c) -> Column:
     """Non-word runs that have a word character on both sides (the only places a
     term made of non-word characters can match with ``\\b`` on both ends)."""
     return F.regexp_extract_all(_c(c), F.lit(rf"{WORD}({NONWORD}+)(?={WORD})"), F.lit(1))
+
+
+def py_number(c) -> Column:
+    """``str()`` of a Python float: the shortest digits that read back as it, plain from 1e-4 to below
+    1e16, else with a signed exponent of two digits at least; ``nan``, ``inf``.  Null stays null.
+
+    Older Java versions print one or two digits too many now and then, so the number is taken apart into
+    whole digits and a power of ten, and last digits are rounded off where that reads back."""
+    def let(value: Column, body) -> Column:  # computed once, however often the body mentions it
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def parts(v):
+        mantissa = F.ltrim(F.substring_index(v["t"], "E", 1), F.lit("-"))
+        power = F.when(v["t"].contains("E"), F.substring_index(v["t"], "E", -1).try_cast("int")).otherwise(F.lit(0))
+        return F.struct(F.replace(mantissa, F.lit("."), F.lit("")).try_cast("long").alias("whole"),
+                        (power - F.length(F.split_part(mantissa, F.lit("."), F.lit(2)))).alias("power"), v["x"].alias("x"))
+
+    def shortest(p):
+        def chosen(s):
+            short = F.concat(s.cast("string"), F.lit("E"), (p["power"] + 1).cast("string")).try_cast("double") == F.abs(p["x"])
+            return F.when(short, F.struct(s.alias("whole"), (p["power"] + 1).alias("power"), p["x"].alias("x"))).otherwise(p)
+        # a printed last 5 may itself be rounded up: whole numbers in 64 bits say which side they are on
+        size = F.abs(p["x"])
+        above = F.when((p["whole"] % 10 == 5) & (p["power"] > 0) & (size < 9e18), F.try_multiply(
+            p["whole"], F.pow(F.lit(10.0), p["power"]).try_cast("long")) > size.try_cast("long"))
+        half = F.when(above, F.lit(4)).otherwise(F.lit(5))
+        return let((p["whole"] + half - (p["whole"] + half) % 10).cast("decimal(20,0)").cast("string"),
+                   lambda tens: let(F.substring(tens, F.lit(1), F.length(tens) - 1).try_cast("long"), chosen))
+
+    def spelt(d):
+        n, e, rest = d["n"], d["e"], F.substring(d["n"], F.lit(2), F.length(d["n"]))
+        size = F.abs(e).cast("string")
+        scientific = F.concat(
+            F.substring(n, 1, 1), F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(F.lit("")),
+            F.when(e < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(size, F.greatest(F.length(size), F.lit(2)), F.lit("0")))
+        padded = F.rpad(n, F.greatest(e + 2, F.length(n)), F.lit("0"))
+        large = F.concat(F.substring(padded, F.lit(1), e + 1), F.lit("."), F.substring(padded, e + 2, F.length(padded)))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), n)
+        return F.when((e >= 16) | (e < -4), scientific).when(e >= 0, large).otherwise(small)
+
+    def shown(v):
+        number = let(let(let(let(v, parts), shortest), shortest), lambda s: let(F.struct(
+            F.rtrim(s["whole"].cast("string"), F.lit("0")).alias("n"),
+            (F.length(s["whole"].cast("string")) - 1 + s["power"]).alias("e")), spelt))
+        size = F.when(v["t"].endswith("Infinity"), F.lit("inf")).when(v["x"] == 0, F.lit("0.0")).otherwise(number)
+        return F.when(F.isnan(v["x"]), F.lit("nan")).otherwise(
+            F.concat(F.when(v["t"].startswith("-"), F.lit("-")).otherwise(F.lit("")), size))
+
+    both = F.struct(_c(c).cast("double").alias("x"), _c(c).cast("string").alias("t"))
+    return F.when(_c(c).isNotNull(), let(both, shown))

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rxframe.functions.text import py_number
+
 # ---------------------------------------------------------------------------
 # Texts of the consult answer that must match character for character.
 CONTEXT_HEADER = "Relevant SFDA Drug Data & Clinical Instructions (Master Dataset):\n"
@@ -85,16 +87,19 @@ def fill_template(template: str, **cols) -> F.Column:
     return F.concat(*parts)
 
 
-def _py(c):
-    """Python's f-string of a pandas cell: missing prints ``nan``."""
-    return F.coalesce(F.col(c).cast("string"), F.lit("nan"))
+def _py(c, kind: str = "string"):
+    """Python's f-string of a pandas cell: missing prints ``nan``, a float its shortest digits."""
+    shown = py_number(c) if kind in ("double", "float") else F.col(c).cast("string")
+    return F.coalesce(shown, F.lit("nan"))
 
 
-def context_line(m: MasterColumns) -> F.Column:
-    """One retrieved row as context text."""
+def context_line(m: MasterColumns, kinds: dict[str, str] | None = None) -> F.Column:
+    """One retrieved row as context text; ``kinds`` are the columns' types (floats are
+    printed as Python prints them)."""
+    kind = (kinds or {}).get
     route = F.coalesce(F.col(m.route_ar), F.col(m.route)) if m.route_ar else F.col(m.route)
     head = F.concat(F.lit("- "), _py(m.trade), F.lit(" ("), _py(m.sci), F.lit("): "), _py(m.form),
-                    F.lit(", Strength: "), _py(m.strength), F.lit(", Price: "), _py(m.price),
+                    F.lit(", Strength: "), _py(m.strength, kind(m.strength)), F.lit(", Price: "), _py(m.price, kind(m.price)),
                     F.lit(" SAR, Administration: "), F.coalesce(route.cast("string"), F.lit("nan")),
                     F.lit("\n"))
     leaflet = (F.when(F.col(m.leaflet).isNotNull(),
@@ -110,7 +115,7 @@ def context_line(m: MasterColumns) -> F.Column:
 
 def line_table(master: DataFrame, m: MasterColumns, ord_col: str) -> DataFrame:
     """``(ord, line)``: the context line of every master row, built once per version."""
-    return master.select(ord_col, context_line(m).alias("line"))
+    return master.select(ord_col, context_line(m, dict(master.dtypes)).alias("line"))
 
 
 def context_lines(ranked: DataFrame, lines: DataFrame, *, req_col: str = "req_id", ord_col: str) -> DataFrame:

@@ -50,6 +50,51 @@ def read_csv_table(spark: SparkSession, path: str, schema: T.StructType, multili
                        else F.col(f.name) for f in schema.fields])
 
 
+# The words and number forms that a column's type is inferred from.
+BOOL_WORDS = ["True", "TRUE", "true", "False", "FALSE", "false"]
+INT_FORM = r"^[ \t]*[+-]?[0-9]+[ \t]*$"
+FLOAT_FORM = r"^[ \t]*[+-]?(?:[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity))[ \t]*$"
+
+
+def infer_csv_schema(raw: DataFrame) -> T.StructType:
+    """S3: the type of every column of a sheet read as text, in one aggregate over all rows.
+
+    NA words are missing.  Whole numbers without a missing value: long; numbers, whole ones with a
+    missing value included: double; nothing but missing values: double; true and false words without
+    a missing value: boolean; all else, whole numbers beyond 64 bits too: string."""
+    facts = []
+    for c in raw.columns:
+        x = na_to_null(f"`{c}`")
+        whole = x.rlike(INT_FORM)
+        facts.append(F.struct(
+            F.coalesce(F.bool_or(x.isNull()), F.lit(False)).alias("missing"), F.bool_and(whole).alias("whole"),
+            F.bool_and(~whole | F.trim(x).try_cast("long").isNotNull()).alias("fits"),
+            F.bool_and(x.rlike(FLOAT_FORM)).alias("number"), F.bool_and(x.isin(BOOL_WORDS)).alias("truth")).alias(c))
+    row = raw.agg(*facts).first()
+
+    def kind(f) -> T.DataType:
+        if f["number"] is None:  # no value at all
+            return T.DoubleType()
+        if f["number"] and f["fits"]:
+            return T.LongType() if f["whole"] and not f["missing"] else T.DoubleType()
+        return T.BooleanType() if f["truth"] and not f["missing"] else T.StringType()
+
+    return T.StructType([T.StructField(c, kind(f)) for c, f in zip(raw.columns, row)])
+
+
+def read_csv_inferred(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """S3 without a given schema: header CSV, the types inferred from all rows by one pass, then
+    a typed read.  Only the header is read to name the columns."""
+    raw = (spark.read.option("header", True).option("inferSchema", False).option("multiLine", multiline)
+           .option("escape", '"').csv(path))
+    out = []
+    for f in infer_csv_schema(raw).fields:
+        x = na_to_null(f"`{f.name}`")
+        spelt = F.regexp_replace(F.trim(x), r"(?i)^([+-]?)inf(inity)?$", "$1Infinity") if isinstance(f.dataType, T.DoubleType) else F.trim(x)
+        out.append((x if isinstance(f.dataType, T.StringType) else spelt.cast(f.dataType)).alias(f.name))
+    return raw.select(*out)
+
+
 def write_csv_table(df: DataFrame, path: str, columns: Sequence[str]) -> None:
     """Header CSV in a fixed column order (no BOM, no index), blanks around values kept."""
     (df.select(*columns).write.mode("errorifexists").option("header", True).option("escape", '"')
