@@ -11,7 +11,8 @@ that is a state, and the arc weights add up.
 Spark shape: texts are stored in blocks; a block sends its distinct n-gram keys with
 its training counts, ranges of keys are summed, and a block gets back only totals
 that differ from its own count, i.e. the part of the automaton that it can reach and
-does not know.  No task holds more than one block or one range of keys, nothing is
+does not know.  From them it builds the states, arcs and failure arcs of its n-grams
+and walks its texts.  No task holds more than one block or one range of keys, nothing is
 pruned, and the driver sees two numbers (tokens and types).
 
 Defined results: a null or empty text is the end token alone.  A null id is hashed
@@ -21,6 +22,8 @@ Equal rows are counted and scored each.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -161,6 +164,78 @@ def train(blocks: DataFrame, order: int = ORDER, range_bytes: int = RANGE_BYTES)
     return model.where("_block >= 0").select("range", "_block", "keys", "counts"), r["n"], r["v"]
 
 
+class Automaton(NamedTuple):
+    """The part of the model that some texts can reach.
+
+    State 0 is the root, state ``k + 1`` the context with the ``k``-th key.  An arc is
+    numbered like the key of its n-gram (state, token); ``arcs`` finds it by
+    ``state * width + token``, where a token is the number of its own key.  The root has
+    an arc for every token of the texts, so a chain of failure arcs always ends.
+    """
+
+    start: int
+    width: int
+    arcs: dict[int, int]
+    weight: list[float]
+    target: list[int]
+    failure: list[int]
+    failure_weight: list[float]
+    tokens: list[int]
+
+    def score(self, sizes: np.ndarray) -> np.ndarray:
+        """Log10 probability of each text, one traversal of its tokens."""
+        arc, width, weight, target = self.arcs.get, self.width, self.weight, self.target
+        failure, failure_weight, tokens = self.failure, self.failure_weight, self.tokens
+        out, at = [], 0
+        for size in sizes.tolist():
+            state, total = self.start, 0.0
+            for token in tokens[at:at + size]:
+                a = arc(state * width + token)
+                while a is None:
+                    total += failure_weight[state]
+                    state = failure[state]
+                    a = arc(state * width + token)
+                total += weight[a]
+                state = target[a]
+            out.append(total)
+            at += size
+        return np.array(out, np.float64)
+
+
+def automaton(g: list[np.ndarray], sizes: np.ndarray, keys: np.ndarray, total: np.ndarray, z: float, prior: float) -> Automaton:
+    """States, arcs and failure arcs from the n-grams ``g`` of some texts, their sorted
+    ``keys`` and the keys' training counts ``total``."""
+    order = len(g)
+    first = np.zeros(len(g[0]), bool)
+    first[np.cumsum(sizes) - sizes] = True
+    start = int(np.searchsorted(keys, np.uint64(START_KEY)))
+    number = [np.searchsorted(keys, x) for x in g]  # the key of the n-gram at each token
+    p, target, failure = np.ones(len(keys)), np.zeros(len(keys), np.int64), np.zeros(len(keys) + 1, np.int64)
+
+    token = np.unique(number[0])
+    p[token] = (total[token] + 0.5) / z
+    if order > 1:
+        target[token] = np.where(total[token] > 0, token + 1, 0)
+    found, arcs = [token], [token]
+    for n in range(2, order + 1):
+        here = np.flatnonzero(g[n - 1] != 0)
+        gram, place = np.unique(number[n - 1][here], return_index=True)
+        place = here[place][total[gram] > 0]
+        gram = gram[total[gram] > 0]
+        before = np.where(first[place], start, number[n - 2][place - 1])
+        shorter = number[n - 2][place]
+        p[gram] = (total[gram] + prior * p[shorter]) / (total[before] + prior)
+        target[gram] = (gram if n < order else shorter) + 1
+        failure[gram + 1] = shorter + 1 if n < order else 0
+        found.append(gram)
+        arcs.append((before + 1) * len(keys) + number[0][place])
+    with np.errstate(divide="ignore"):
+        handed = np.concatenate([[0.0], np.log10(prior / (total + prior))])
+    return Automaton(start + 1 if order > 1 and total[start] else 0, len(keys),
+                     dict(zip(np.concatenate(arcs).tolist(), np.concatenate(found).tolist())),
+                     np.log10(p).tolist(), target.tolist(), failure.tolist(), handed.tolist(), number[0].tolist())
+
+
 def score(docs: DataFrame, train_when, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER,
           prior: float = PRIOR, block_bytes: int = B.BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """One row per document: id, ``held_out`` (not ``train_when``), ``n_tokens``, ``n_known``,
@@ -180,26 +255,13 @@ def score(docs: DataFrame, train_when, id_col: str = "doc_id", text_col: str = "
         for _, k, c in parts:
             total[np.searchsorted(keys, B.unpack(k))] = B.unpack_counts(c)
 
-        def count(of: np.ndarray) -> np.ndarray:
-            return np.where(of == 0, 0, total[np.minimum(np.searchsorted(keys, of), len(keys) - 1)])
-
         first = np.cumsum(sizes) - sizes
-        start = np.zeros(len(g[0]), bool)
-        start[first] = True
-        c = count(g[0])
-        p = (c + 0.5) / z
-        base = np.log10(p)
-        for n in range(2, order + 1):
-            shorter = np.concatenate([[0], count(g[n - 2])[:-1]])
-            if n == 2:
-                shorter = np.where(start, total[np.searchsorted(keys, np.uint64(START_KEY))], shorter)
-            else:
-                shorter = np.where(start, 0, shorter)
-            # a context that is no state hands over to the shorter one at no cost
-            p = np.where(shorter > 0, (count(g[n - 1]) + prior * p) / (shorter + prior), p)
+        c = total[np.searchsorted(keys, g[0])]
+        base = np.log10((c + 0.5) / z)
+        walked = automaton(g, sizes, keys, total, z, prior).score(sizes)
         out = [texts.column("_id").combine_chunks(), pa.array(~flags), pa.array(sizes.astype(np.int64)),
                pa.array(np.add.reduceat((c > 0).astype(np.int64), first)), pa.array(np.full(len(sizes), n_train, np.int64)),
-               pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(np.log10(p), first))]
+               pa.array(np.add.reduceat(base, first)), pa.array(walked)]
         return pa.table(dict(zip(types, out)))
 
     id_type = docs.schema[id_col].dataType

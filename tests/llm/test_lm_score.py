@@ -98,3 +98,29 @@ def test_packing_round_trip():
     assert sum(e - s for _, s, e in parts) == len(keys) and all((keys[s:e] >> np.uint64(61) == r).all() for r, s, e in parts)
     counts = np.array([0, 5, -1, 2 ** 40])
     assert (B.unpack_counts(B.pack_counts(counts)) == counts).all()
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_states_arcs_and_failure_arcs(order):
+    """Arcs lead to the longest context seen in training, failure arcs to the next shorter one."""
+    learnt, held = ["a b a c", "a b b", "c a b a b c"], ["a b c x a b", "x", "", "c c a b a"]
+    train = np.array([True] * len(learnt) + [False] * len(held))
+    sizes, g, keys, total = lm_score._counts([t.encode() for t in learnt + held], train, order)
+    m = Automaton(learnt, order, 4.0)
+    auto = lm_score.automaton(g, sizes, keys, total, m.n + 0.5 * (m.v + 1), 4.0)
+    assert auto.score(sizes) == pytest.approx([m.score(t) for t in learnt + held], rel=1e-12)
+    states = {0} | {k + 1 for k in auto.arcs.values() if total[k] and auto.target[k] == k + 1}
+    if order > 1:
+        states.add(auto.start)
+    assert {s for s in auto.target} <= states
+    for s in states - {0}:
+        assert auto.failure[s] in states and total[s - 1] > 0
+        assert auto.failure_weight[s] == pytest.approx(math.log10(4 / (total[s - 1] + 4)))
+    grams_seen = sum(len(k) <= order and k[-1] != "<s>" for k in m.seen)
+    unseen = len({"x"})
+    assert len(auto.arcs) == grams_seen + unseen
+
+
+def test_one_very_long_text(make_docs):
+    rows = [(1, "a b c " * 60_000), (2, "x" * 300_000), (3, "a b c"), (None, None)]
+    check(lm_score.score(make_docs(rows), lm_training("doc_id")), expected(rows, lm_score.ORDER, lm_score.PRIOR))
