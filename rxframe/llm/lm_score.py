@@ -22,6 +22,7 @@ Equal rows are counted and scored each.
 
 from __future__ import annotations
 
+from array import array
 from typing import NamedTuple
 
 import numpy as np
@@ -87,6 +88,8 @@ START_KEY = int(B.mix(np.array([START], np.uint64))[0] & ~_ONE)
 
 
 def _counts(texts: list[bytes], train: np.ndarray, order: int):
+    """Tokens per text, the number of each token's n-grams among the sorted keys (-1:
+    none) by n, the keys, their training counts."""
     tok, sizes = tokens(texts)
     g = grams(tok, sizes, order)
     weight = np.repeat(train.astype(np.int64), sizes)
@@ -94,9 +97,10 @@ def _counts(texts: list[bytes], train: np.ndarray, order: int):
     add = np.concatenate([*[weight] * order, [int(train.sum())]])
     unique, where = np.unique(keys, return_inverse=True)
     total = np.bincount(where, weights=add, minlength=len(unique)).astype(np.int64)
-    if len(unique) and unique[0] == 0:
-        unique, total = unique[1:], total[1:]
-    return sizes, g, unique, total
+    number = where[:-1].reshape(order, -1)
+    if unique[0] == 0:
+        unique, total, number = unique[1:], total[1:], number - 1
+    return sizes, number, unique, total
 
 
 def _texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
@@ -167,20 +171,22 @@ def train(blocks: DataFrame, order: int = ORDER, range_bytes: int = RANGE_BYTES)
 class Automaton(NamedTuple):
     """The part of the model that some texts can reach.
 
-    State 0 is the root, state ``k + 1`` the context with the ``k``-th key.  An arc is
-    numbered like the key of its n-gram (state, token); ``arcs`` finds it by
-    ``state * width + token``, where a token is the number of its own key.  The root has
-    an arc for every token of the texts, so a chain of failure arcs always ends.
+    State 0 is the root, state ``k + 1`` the context with the ``k``-th key; a token has the
+    number of its own key.  ``arcs`` finds the arc of a state other than the root by
+    ``state * width + token``; arcs are numbered like the keys of their n-grams, so the
+    root's arc of a token is the token's number.  The root has an arc for every token of
+    the texts: a chain of failure arcs always ends.  ``start``, ``target`` and ``failure``
+    hold states times ``width``.
     """
 
     start: int
     width: int
     arcs: dict[int, int]
-    weight: list[float]
-    target: list[int]
-    failure: list[int]
-    failure_weight: list[float]
-    tokens: list[int]
+    weight: array
+    target: array
+    failure: array
+    failure_weight: array
+    tokens: array
 
     def score(self, sizes: np.ndarray) -> np.ndarray:
         """Log10 probability of each text, one traversal of its tokens."""
@@ -190,11 +196,12 @@ class Automaton(NamedTuple):
         for size in sizes.tolist():
             state, total = self.start, 0.0
             for token in tokens[at:at + size]:
-                a = arc(state * width + token)
+                a = arc(state + token) if state else token
                 while a is None:
-                    total += failure_weight[state]
-                    state = failure[state]
-                    a = arc(state * width + token)
+                    s = state // width
+                    total += failure_weight[s]
+                    state = failure[s]
+                    a = arc(state + token) if state else token
                 total += weight[a]
                 state = target[a]
             out.append(total)
@@ -202,38 +209,37 @@ class Automaton(NamedTuple):
         return np.array(out, np.float64)
 
 
-def automaton(g: list[np.ndarray], sizes: np.ndarray, keys: np.ndarray, total: np.ndarray, z: float, prior: float) -> Automaton:
-    """States, arcs and failure arcs from the n-grams ``g`` of some texts, their sorted
-    ``keys`` and the keys' training counts ``total``."""
-    order = len(g)
-    first = np.zeros(len(g[0]), bool)
+def automaton(number: np.ndarray, sizes: np.ndarray, keys: np.ndarray, total: np.ndarray, z: float, prior: float) -> Automaton:
+    """States, arcs and failure arcs from the n-grams of some texts (``number``: their keys'
+    numbers by n and token), their sorted ``keys`` and the keys' training counts ``total``."""
+    order, width = len(number), len(keys)
+    first = np.zeros(number.shape[1], bool)
     first[np.cumsum(sizes) - sizes] = True
     start = int(np.searchsorted(keys, np.uint64(START_KEY)))
-    number = [np.searchsorted(keys, x) for x in g]  # the key of the n-gram at each token
-    p, target, failure = np.ones(len(keys)), np.zeros(len(keys), np.int64), np.zeros(len(keys) + 1, np.int64)
-
-    token = np.unique(number[0])
-    p[token] = (total[token] + 0.5) / z
+    p, target, failure = (total + 0.5) / z, np.zeros(width, np.int64), np.zeros(width + 1, np.int64)
     if order > 1:
-        target[token] = np.where(total[token] > 0, token + 1, 0)
-    found, arcs = [token], [token]
+        seen = np.zeros(width, bool)
+        seen[number[0]] = True
+        target = np.where(seen & (total > 0), np.arange(1, width + 1), 0)
+    arcs, found = [], []
     for n in range(2, order + 1):
-        here = np.flatnonzero(g[n - 1] != 0)
-        gram, place = np.unique(number[n - 1][here], return_index=True)
-        place = here[place][total[gram] > 0]
-        gram = gram[total[gram] > 0]
+        here = np.flatnonzero(number[n - 1] >= 0)
+        place = np.full(width, -1, np.int64)
+        place[number[n - 1][here]] = here
+        gram = np.flatnonzero((place >= 0) & (total > 0))
+        place = place[gram]
         before = np.where(first[place], start, number[n - 2][place - 1])
         shorter = number[n - 2][place]
         p[gram] = (total[gram] + prior * p[shorter]) / (total[before] + prior)
         target[gram] = (gram if n < order else shorter) + 1
-        failure[gram + 1] = shorter + 1 if n < order else 0
-        found.append(gram)
-        arcs.append((before + 1) * len(keys) + number[0][place])
+        if n < order:
+            failure[gram + 1] = shorter + 1
+        arcs += ((before + 1) * width + number[0][place]).tolist()
+        found += gram.tolist()
     with np.errstate(divide="ignore"):
         handed = np.concatenate([[0.0], np.log10(prior / (total + prior))])
-    return Automaton(start + 1 if order > 1 and total[start] else 0, len(keys),
-                     dict(zip(np.concatenate(arcs).tolist(), np.concatenate(found).tolist())),
-                     np.log10(p).tolist(), target.tolist(), failure.tolist(), handed.tolist(), number[0].tolist())
+    return Automaton((start + 1) * width if order > 1 and total[start] else 0, width, dict(zip(arcs, found)),
+                     *(array(x.dtype.char, x.tobytes()) for x in (np.log10(p), target * width, failure * width, handed, number[0])))
 
 
 def score(docs: DataFrame, train_when, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER,
@@ -249,16 +255,16 @@ def score(docs: DataFrame, train_when, id_col: str = "doc_id", text_col: str = "
         if not texts.num_rows:
             return pa.table({f: pa.array([], t) for f, t in types.items()})
         flags = np.asarray(texts.column("_train"))
-        sizes, g, keys, total = _counts(_texts(texts.column("_text")), flags, order)
+        sizes, number, keys, total = _counts(_texts(texts.column("_text")), flags, order)
         parts = sorted(zip(known.column("range").to_pylist(), known.column("keys").to_pylist(),
                            known.column("counts").to_pylist()), key=lambda r: r[0])
         for _, k, c in parts:
             total[np.searchsorted(keys, B.unpack(k))] = B.unpack_counts(c)
 
         first = np.cumsum(sizes) - sizes
-        c = total[np.searchsorted(keys, g[0])]
+        c = total[number[0]]
         base = np.log10((c + 0.5) / z)
-        walked = automaton(g, sizes, keys, total, z, prior).score(sizes)
+        walked = automaton(number, sizes, keys, total, z, prior).score(sizes)
         out = [texts.column("_id").combine_chunks(), pa.array(~flags), pa.array(sizes.astype(np.int64)),
                pa.array(np.add.reduceat((c > 0).astype(np.int64), first)), pa.array(np.full(len(sizes), n_train, np.int64)),
                pa.array(np.add.reduceat(base, first)), pa.array(walked)]

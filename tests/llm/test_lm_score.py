@@ -105,20 +105,18 @@ def test_states_arcs_and_failure_arcs(order):
     """Arcs lead to the longest context seen in training, failure arcs to the next shorter one."""
     learnt, held = ["a b a c", "a b b", "c a b a b c"], ["a b c x a b", "x", "", "c c a b a"]
     train = np.array([True] * len(learnt) + [False] * len(held))
-    sizes, g, keys, total = lm_score._counts([t.encode() for t in learnt + held], train, order)
+    sizes, number, keys, total = lm_score._counts([t.encode() for t in learnt + held], train, order)
     m = Automaton(learnt, order, 4.0)
-    auto = lm_score.automaton(g, sizes, keys, total, m.n + 0.5 * (m.v + 1), 4.0)
+    auto = lm_score.automaton(number, sizes, keys, total, m.n + 0.5 * (m.v + 1), 4.0)
     assert auto.score(sizes) == pytest.approx([m.score(t) for t in learnt + held], rel=1e-12)
-    states = {0} | {k + 1 for k in auto.arcs.values() if total[k] and auto.target[k] == k + 1}
-    if order > 1:
-        states.add(auto.start)
-    assert {s for s in auto.target} <= states
+    arcs = set(auto.arcs.values()) | set(number[0])
+    states = {0, auto.start} | {(k + 1) * auto.width for k in arcs if auto.target[k] == (k + 1) * auto.width}
+    assert {auto.target[k] for k in arcs} <= states
     for s in states - {0}:
-        assert auto.failure[s] in states and total[s - 1] > 0
-        assert auto.failure_weight[s] == pytest.approx(math.log10(4 / (total[s - 1] + 4)))
-    grams_seen = sum(len(k) <= order and k[-1] != "<s>" for k in m.seen)
-    unseen = len({"x"})
-    assert len(auto.arcs) == grams_seen + unseen
+        k = s // auto.width - 1
+        assert auto.failure[k + 1] in states and total[k] > 0
+        assert auto.failure_weight[k + 1] == pytest.approx(math.log10(4 / (total[k] + 4)))
+    assert len(auto.arcs) == sum(len(k) > 1 for k in m.seen)
 
 
 def test_one_very_long_text(make_docs):
