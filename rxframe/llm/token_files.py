@@ -17,11 +17,15 @@ text are encoded as the tokenizer file says.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,48 +34,96 @@ from rxframe.session import ship_package
 
 END_ID = 2
 BATCH_CHARS = 1 << 21
-# words whose ids a worker remembers, and the longest of them in bytes
-KNOWN_WORDS, KNOWN_BYTES = 1_000_000, 64
-_LOADED: dict[str, _Words] = {}
-
-
-class _Words:
-    """Token ids of words, by the tokenizer's library, remembered within a Python worker.
-
-    White space never lies within a token of this tokenizer family and nothing is
-    normalised across ASCII white space, so a text's ids are its words' ids in a row.
-    New words are encoded many at a time with a special token between them, which
-    marks the ends; a word that holds a special token's text is encoded alone.
+# words whose ids a worker remembers, and the longest of them in characters
+KNOWN_WORDS, KNOWN_CHARS = 1_000_000, 64
+_LOADED: dict[str, _Encoder] = {}
+
+# The parts of a tokenizer file that say that words stand for themselves.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORD_SPLITTERS = [{"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True},
+                  {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+# what these do to a word of printable ASCII and Latin letters with one code point each
+PLAIN_WORD = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+PLAIN_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+class _Encoder:
+    """Token ids by the tokenizer's library, remembered by word within a Python worker.
+
+    With the normaliser and splitter named above, white space never lies within a token
+    and nothing is normalised across ASCII white space, so a text's ids are its words'
+    ids in a row.  A batch is cut into words and these are numbered by Arrow; Python sees
+    each distinct word of the batch once.  New words of ASCII and Latin letters are cut into
+    parts as the file says and each new part goes to the library's model; other new words are
+    encoded whole, many at a time with a special token between them, which marks the ends;
+    a word that holds a special token's text is encoded alone.  With any other tokenizer
+    file, whole texts are encoded.
     """
 
     def __init__(self, path: str):
-        import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        special = [(i, t.content) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special]
-        self.special = [t.encode() for _, t in special]
-        self.mark = special[0] if special else None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        added = spec.get("added_tokens") or []
+        self.by_words = (spec.get("normalizer") == {"type": "Sequence", "normalizers": WORD_NORMALIZERS}
+                         and spec.get("pre_tokenizer") == {"type": "Sequence", "pretokenizers": WORD_SPLITTERS}
+                         and not spec.get("truncation") and not spec.get("padding") and not spec["model"].get("dropout")
+                         and all(t["special"] and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"])
+                                 and not re.search(r"\s", t["content"]) for t in added))
+        self.special = [t["content"] for t in added]
+        self.mark = (added[0]["id"], added[0]["content"]) if added else None
+        self.model = self.tokenizer.model
+        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.ids, self.ends = array("i"), array("q", [0])
+        self.place: dict[str, int] = {"": 0}
+        self.parts: dict[str, tuple[int, ...]] = {}
+        self.ids, self.ends = array("i"), array("q", [0, 0])
 
-    def _add(self, word: bytes, ids) -> None:
+    def _add(self, word: str, ids) -> None:
         self.place[word] = len(self.ends) - 1
         self.ids.extend(ids)
         self.ends.append(len(self.ids))
 
-    def learn(self, words: list[bytes], many: int = 512) -> None:
-        alone = [w for w in words if not self.mark or len(w) > KNOWN_BYTES or any(t in w for t in self.special)]
-        skip = set(alone)
-        rest = [w for w in words if w not in skip]
+    def _part(self, part: str) -> tuple[int, ...]:
+        shown = part if part.isascii() else self.bytes.pre_tokenize_str(part)[0][0]
+        ids = tuple([t.id for t in self.model.tokenize(shown)])
+        if len(part) <= KNOWN_CHARS:
+            self.parts[part] = ids
+        return ids
+
+    def _learn_plain(self, words: list[str]) -> None:
+        known, cut, ids, ends = self.parts.get, PLAIN_PARTS.findall, [], []
+        before, first = len(self.ids), len(self.ends) - 1
+        for word in words:
+            for part in cut(word.lower()):
+                ids += known(part) or self._part(part)
+            ends.append(before + len(ids))
+        self.ids.extend(ids)
+        self.ends.extend(ends)
+        self.place.update(zip(words, range(first, first + len(words))))
+
+    def learn(self, words: list[str], many: int = 512) -> None:
+        alone, rest, plain = [], [], []
+        special = re.compile("|".join(map(re.escape, self.special)) or "(?!)").search
+        for w in words:
+            if special(w):
+                alone.append(w)
+            elif PLAIN_WORD.fullmatch(w):
+                plain.append(w)
+            elif self.mark and len(w) <= KNOWN_CHARS:
+                rest.append(w)
+            else:
+                alone.append(w)
+        self._learn_plain(plain)
         groups = [rest[i:i + many] for i in range(0, len(rest), many)]
         between = f" {self.mark[1]} " if self.mark else " "
-        texts = [between.join(w.decode() for w in g) for g in groups]
-        for group, e in zip(groups, self.batch(texts, add_special_tokens=False)):
+        for group, e in zip(groups, self.batch([between.join(g) for g in groups], add_special_tokens=False)):
             at, ids = 0, e.ids
             for word in group[:-1]:
                 end = ids.index(self.mark[0], at)
@@ -79,40 +131,41 @@ class _Words:
                 at = end + 1
             self._add(group[-1], ids[at:])
         for word in alone:
-            self._add(word, self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
+            self._add(word, self.tokenizer.encode(word, add_special_tokens=False).ids)
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text."""
-        split = [(t or "").encode().split() for t in texts]
-        words = [w for ws in split for w in ws]
-        new = set(words).difference(self.place)
+        texts = pc.fill_null(texts, "")
+        if not self.by_words:
+            found = [np.array(e.ids, np.int32) for e in self.batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.int32), *found]), np.array([len(x) for x in found], np.int64)
+        lists = pc.ascii_split_whitespace(texts)
+        words = lists.flatten().dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [w for w in distinct if w not in self.place]
         if len(new) + len(self.place) > KNOWN_WORDS:
             self.forget()
-            new = set(words)
-        self.learn(sorted(new))
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+            new = [w for w in distinct if w]
+        self.learn(new)
+        place = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
+        at = place[np.asarray(words.indices)]
         ends = np.frombuffer(self.ends, np.int64)
         start, size = ends[at], ends[at + 1] - ends[at]
-        total = np.cumsum(size)
+        counts = np.concatenate([[0], np.cumsum(size)])
         ids = np.frombuffer(self.ids, np.int32) if len(self.ids) else np.zeros(0, np.int32)
-        ids = ids[np.arange(total[-1] if len(total) else 0) + np.repeat(start - total + size, size)]
-        first = np.cumsum([0, *map(len, split)])
-        counts = np.concatenate([[0], total])
-        return ids, counts[first[1:]] - counts[first[:-1]]
+        ids = ids[np.arange(counts[-1]) + np.repeat(start - counts[:-1], size)]
+        return ids, np.diff(counts[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])])
 
 
-def _words(path: str) -> _Words:
-    if path not in _LOADED:
-        _LOADED[path] = _Words(path)
-    return _LOADED[path]
-
-
-def encode(texts: list[str | None], path: str, end_id: int | None = END_ID) -> list[np.ndarray]:
+def encode(texts: pa.Array, path: str, end_id: int | None = END_ID) -> pa.ListArray:
     """Token ids of each text, the end id appended."""
-    ids, sizes = _words(path).encode(texts)
-    parts = np.split(ids, np.cumsum(sizes)[:-1]) if len(texts) else []
-    end = [] if end_id is None else [np.array([end_id], np.int32)]
-    return [np.concatenate([x, *end]) for x in parts]
+    if path not in _LOADED:
+        _LOADED[path] = _Encoder(path)
+    ids, sizes = _LOADED[path].encode(texts)
+    ends = np.cumsum(sizes)
+    if end_id is not None:
+        ids, ends = np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -128,18 +181,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
         part, row = TaskContext.get().partitionId(), 0
         for b in batches:
             texts, at = b.column(1), 0
+            chars = np.concatenate([[0], np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False))])
             while at < len(texts):  # a few documents at a time: token lists are much larger than texts
-                size, end = 0, at
-                while end < len(texts) and (end == at or size < BATCH_CHARS):
-                    size += len(texts[end].as_py() or "")
-                    end += 1
-                ids = encode(texts.slice(at, end - at).to_pylist(), tokenizer_path, end_id)
-                n = np.array([len(x) for x in ids], dtype=np.int64)
-                offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                end = max(at + 1, int(np.searchsorted(chars, chars[at] + BATCH_CHARS)))
+                ids = encode(texts.slice(at, end - at), tokenizer_path, end_id)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(len(ids), part, np.int64)), pa.array(np.arange(row, row + len(ids), dtype=np.int64)),
-                    b.column(0).slice(at, end - at), pa.array(n),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))],
+                    b.column(0).slice(at, end - at), pc.list_value_length(ids).cast(pa.int64()), ids],
                     names=["part", "row", "_id", "n_tokens", "ids"])
                 row += len(ids)
                 at = end

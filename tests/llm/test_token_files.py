@@ -1,6 +1,8 @@
 import zlib
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -53,7 +55,16 @@ def test_edge_rows(spark, make_docs):
 
 
 PARTS = ["Some", "words", "don't", "é", "e\u0301", "ΑΣ", "Σ", "12", "３", "\u00a0", "\x85", "\x1c", "\u3000", " ", "\n", "\t", "  ",
-         "<|endoftext|>", "<|startoftext|>", "<|", "日本語", "각", "\u1100", "\u1161", "\u0301", "x" * 90, "'s", "!!", "ﬁ", "😀"]
+         "<|endoftext|>", "<|startoftext|>", "<|", "日本語", "각", "\u1100", "\u1161", "\u0301", "x" * 90, "'s", "!!", "ﬁ", "😀", "É", "ß", "×", "ÿ", "İ", "'S", "'ll", "<|ENDOFTEXT|>"]
+
+
+@given(st.lists(st.text(st.characters(min_codepoint=9, max_codepoint=0x130), max_size=60), min_size=1, max_size=4))
+@settings(max_examples=300, deadline=None)
+def test_latin_words_are_cut_as_the_file_says(texts):
+    whole = Tokenizer.from_file(tokenizer_path()) if not TOK else TOK[0]
+    TOK[:] = [whole]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert tf.encode(pa.array(texts), tokenizer_path(), None).to_pylist() == want
 
 
 @given(st.lists(st.lists(st.sampled_from(PARTS), max_size=12).map("".join), min_size=1, max_size=4))
@@ -62,11 +73,42 @@ def test_words_in_a_row_are_the_whole_text(texts):
     whole = Tokenizer.from_file(tokenizer_path()) if not TOK else TOK[0]
     TOK[:] = [whole]
     want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
-    assert [x.tolist() for x in tf.encode(texts, tokenizer_path(), None)] == want
+    assert tf.encode(pa.array(texts), tokenizer_path(), None).to_pylist() == want
 
 
 def test_forgetting_changes_nothing(monkeypatch, sf_docs):
     texts = [r["text"] for r in sf_docs.limit(40).collect()]
-    want = [x.tolist() for x in tf.encode(texts, tokenizer_path())]
+    want = tf.encode(pa.array(texts), tokenizer_path()).to_pylist()
     monkeypatch.setattr(tf, "KNOWN_WORDS", 50)
-    assert [tf.encode([t], tokenizer_path())[0].tolist() for t in texts] == want
+    assert [tf.encode(pa.array([t]), tokenizer_path()).to_pylist()[0] for t in texts] == want
+
+
+def test_other_tokenizers_get_whole_texts(sf_docs):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["a b", "", None, " a  b\n", "<|endoftext|> x", *[r["text"] for r in sf_docs.limit(30).collect()]]
+    whole = Tokenizer.from_file(path)
+    want = [[*whole.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert tf.encode(pa.array(texts), path).to_pylist() == want
+    assert tf._LOADED[path].by_words is False and tf._LOADED.get(tokenizer_path(), tf._Encoder(tokenizer_path())).by_words
+
+
+def test_one_very_long_text(spark, make_docs):
+    rows = [(1, "Word word, it's " * 200_000), (2, "x" * 100_000), (3, None)]
+    _, t = table(spark, make_docs(rows))
+    assert sorted(map(tuple, t.collect())) == expected(rows)
+
+
+def test_counts_and_few_documents_read_few_bytes(spark, sf_docs):
+    """A filter on the id and a choice of columns reach the files."""
+    path = scratch_path(spark, "t")
+    tf.write_tokens(sf_docs, path, tokenizer_path(), row_group_bytes=1 << 14, page_bytes=1 << 12, page_rows=5)
+    files = tf.read_tokens(spark, path)
+    some = files.where("doc_id between 10 and 12")
+    plan = some.select("ids")._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(doc_id), GreaterThanOrEqual(doc_id,10), LessThanOrEqual(doc_id,12)]" in plan
+    counts = files.select("doc_id", "n_tokens")._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<doc_id:bigint,n_tokens:bigint>" in counts
+    want = {r["doc_id"]: r["text"] for r in sf_docs.where("doc_id between 10 and 12").collect()}
+    whole = Tokenizer.from_file(tokenizer_path())
+    assert {r["doc_id"]: r["ids"] for r in some.collect()} == {
+        i: [*whole.encode(t or "", add_special_tokens=False).ids, 2] for i, t in want.items()}
