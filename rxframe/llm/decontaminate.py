@@ -217,6 +217,9 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
     found = materialize(leaks(docs, benchmark, id_col, text_col, item_id, item_text).select("_id", "_x").distinct(), "leaks")
+    # columns by number, so that none of the rows' own names can clash
+    d = docs.toDF(*[f"_in{i}" for i in range(len(docs.columns))])
+    mine, text = (f"_in{docs.columns.index(c)}" for c in (id_col, text_col))
     ids = found.withColumnsRenamed({"_id": "_leak_id", "_x": "_leak_x"})
-    here = (F.xxhash64(F.col(f"`{text_col}`")) == F.col("_leak_x")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_leak_id"))
-    return docs.join(ids, here, "left_anti")
+    here = (F.xxhash64(F.col(text)) == F.col("_leak_x")) & F.col(mine).eqNullSafe(F.col("_leak_id"))
+    return d.join(ids, here, "left_anti").toDF(*docs.columns)

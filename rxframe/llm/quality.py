@@ -137,14 +137,17 @@ def assess(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
     return d.drop(*_TEMP)
 
 
-def keep_good(docs: DataFrame, trusted: DataFrame, **options) -> DataFrame:
-    """``docs`` that the rules keep.
+def keep_good(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` that the rules keep; columns are handled by number, so no name of theirs can clash.
 
     The row number keeps the filter above the counts: pushed below them, it would
     repeat the whole expression inside its own lambdas.
     """
-    d = assess(docs, trusted, **options).withColumn("_at", F.monotonically_increasing_id())
-    return d.where(F.col(options.get("out", "_quality"))["kept"] & (F.col("_at") >= 0)).select(*docs.columns)
+    names = [f"_in{i}" for i in range(len(docs.columns))]
+    mine, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    d = assess(docs.toDF(*names), trusted, mine, text, **options).withColumn("_at", F.monotonically_increasing_id())
+    d = d.where(F.col(options.get("out", "_quality"))["kept"] & (F.col("_at") >= 0))
+    return d.select(*names).toDF(*docs.columns)
 
 
 def trusted_labels(labels: DataFrame) -> DataFrame:
