@@ -81,15 +81,26 @@ def store_rows(docs: DataFrame, size_col: str, bucket_bytes: int = 4 * BLOCK_BYT
     return spark.table(name)
 
 
-def with_rows_at(stored: DataFrame, numbers: DataFrame) -> DataFrame:
-    """The ``stored`` rows whose ``_at`` is in ``numbers`` (distinct), by a join on the blocks alone:
-    the stored side is read as it is bucketed, a block's list has some thousand numbers at most.
+def _lists_by_block(numbers: DataFrame) -> DataFrame:
+    """``numbers`` (distinct) as one list ``_kept`` per ``_block``, some thousand numbers at most.
+
     The lists are written first: a side with a partitioning of its own, of more partitions than
     there are buckets, would make Spark deal the stored rows anew."""
-    lists = numbers.groupBy(F.shiftright("_at", ROWS_PER_BLOCK_BITS).alias("_block")) \
-        .agg(F.collect_list("_at").alias("_kept"))
-    lists = materialize(lists, "picked-rows")
-    return stored.join(lists, "_block").where(F.array_contains("_kept", F.col("_at"))).drop("_kept")
+    return materialize(numbers.groupBy(F.shiftright("_at", ROWS_PER_BLOCK_BITS).alias("_block"))
+                       .agg(F.collect_list("_at").alias("_kept")), "picked-rows")
+
+
+def with_rows_at(stored: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The ``stored`` rows whose ``_at`` is in ``numbers`` (distinct), by a join on the blocks alone:
+    the stored side is read as it is bucketed."""
+    return stored.join(_lists_by_block(numbers), "_block").where(F.array_contains("_kept", F.col("_at"))).drop("_kept")
+
+
+def marked_rows(stored: DataFrame, numbers: DataFrame, out: str) -> DataFrame:
+    """All ``stored`` rows with the boolean ``out``: whether ``_at`` is in ``numbers`` (distinct).
+    The lists of a bucket are hashed, so that its rows are not sorted."""
+    d = stored.join(_lists_by_block(numbers).hint("shuffle_hash"), "_block", "left")
+    return d.withColumn(out, F.coalesce(F.array_contains("_kept", F.col("_at")), F.lit(False))).drop("_kept")
 
 
 def key_ranges(blocks: DataFrame, text_col: str, range_bytes: int) -> int:

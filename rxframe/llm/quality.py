@@ -6,8 +6,10 @@ raw corpus.  The mean per n-gram makes long and short documents comparable, and
 one fixed threshold decides every document.
 
 Spark shape: the two count tables are one exploded pass with map-side combine
-(at most ``buckets`` rows per task are shuffled, whatever the corpus size).  Their
-log ratios are one array of ``buckets`` doubles, a bounded scalar.  All per-document
+(at most ``buckets`` rows per task are shuffled, whatever the corpus size).  Which texts are trusted is decided on
+row numbers: the texts are written once in blocks of rows, and a block gets the numbers of its
+trusted rows, so that texts never meet the ids by a shuffle or a broadcast, however many ids there
+are.  Their log ratios are one array of ``buckets`` doubles, a bounded scalar.  All per-document
 work is in-row expressions, so a decision needs no shuffle of texts and no join.
 
 Defined results: a null or blank text has no words, counts 0 everywhere and fails
@@ -23,10 +25,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rxframe.llm.blocks import marked_rows, store_rows
 from rxframe.llm.text import let, words
 
 BUCKETS = 10_000
-BROADCAST_IDS = 2_000_000  # 16 MB of ids
 MIN_MEAN_RATIO = -0.2
 WINDOW = 5
 _TEMP = ("_ws", "_w1", "_w2", "_w3", "_w5")
@@ -91,18 +93,16 @@ def base_counts(docs: DataFrame, text_col: str = "text", out: str = "_quality")
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               trusted_id: str = "doc_id", buckets: int = BUCKETS, broadcast_ids: int = BROADCAST_IDS) -> list[float]:
+               trusted_id: str = "doc_id", buckets: int = BUCKETS) -> list[float]:
     """``log p_target - log p_raw`` per bucket, add-one smoothed: ``buckets`` numbers.
 
     The raw counts cover every document, the target counts every trusted one.
     """
-    ids = trusted.select(F.col(f"`{trusted_id}`").alias("_id")).where("_id is not null").distinct() \
-        .withColumn("_t", F.lit(1).cast("long"))
-    # few enough ids are sent to the texts; beyond that texts and ids meet by a shuffle
-    ids = F.broadcast(ids) if ids.count() <= broadcast_ids else ids.hint("merge")
-    d = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_x")).join(ids, "_id", "left")
-    d = _grams(d, "_x").select(F.coalesce("_t", F.lit(0).cast("long")).alias("_t"),
-                               F.explode_outer(F.concat("_w1", "_w2", "_w3")).alias("h"))
+    ids = trusted.select(F.col(f"`{trusted_id}`").alias("_id")).where("_id is not null").distinct()
+    stored = store_rows(docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_x")), "_x")
+    numbers = stored.select("_at", F.col("_row._id").alias("_id")).join(ids, "_id").select("_at")
+    d = marked_rows(stored, numbers, "_t").select(F.col("_t").cast("long").alias("_t"), F.col("_row._x").alias("_x"))
+    d = _grams(d, "_x").select("_t", F.explode_outer(F.concat("_w1", "_w2", "_w3")).alias("h"))
     counts = d.where("h is not null").groupBy(F.pmod("h", F.lit(buckets)).alias("k")) \
         .agg(F.count(F.lit(1)).alias("raw"), F.sum("_t").alias("target"))
     rows = {r["k"]: (r["raw"], r["target"]) for r in counts.collect()}
