@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from rxframe.functions.text import (WORD, inner_separator_runs, py_str_or_nan,
                                     word_pattern, word_runs)
-from rxframe.operators.common import bounded_broadcast, salted_equi_join
+from rxframe.operators.common import salted_equi_join
 from rxframe.session import materialize
 
 
@@ -222,52 +222,98 @@ def retrieve_topk(request_terms: DataFrame, master: DataFrame, *, req_col: str =
 # ---------------------------------------------------------------------------
 
 def _grams(c, n: int):
-    return F.when(F.length(c) >= n,
-                  F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n))
-                  ).otherwise(F.array().cast("array<string>"))
-
-
-def substring_index_table(master: DataFrame, ord_col: str, trade_col: str, sci_col: str,
-                          gram: int = 3, lengths=None) -> DataFrame:
-    """n-gram index of the lowered names: grams of the given ``lengths``
-    (default all of 1..``gram``)."""
-    a = py_str_or_nan(trade_col)
-    b = py_str_or_nan(sci_col)
-    lengths = sorted(lengths) if lengths else list(range(1, gram + 1))
-    grams = F.array_distinct(F.flatten(F.array(*[_grams(x, n) for x in (a, b) for n in lengths])))
-    return master.select(F.col(ord_col).alias("ord"), a.alias("a"), b.alias("b"),
-                         F.explode(grams).alias("key"))
-
-
-def retrieve_substring(request_terms: DataFrame, master: DataFrame, *, req_col: str = "req_id",
-                       term_col: str = "term", ord_col: str, trade_col: str, sci_col: str,
-                       k: int = 5, gram: int = 3, salt_buckets: int = 16,
-                       broadcast_rows: int = 500_000) -> DataFrame:
+    """All runs of ``n`` characters, overlapping, in one pass over the text."""
+    return F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+
+
+@dataclass(frozen=True)
+class SubstringIndex:
+    """Stored tables of one master version: ``names`` (nid, a, b and ``ords``, the first ``k`` orders
+    of the name's rows), ``postings`` (key, nid) and ``counts`` (key, freq) for keys of 1 to ``gram``
+    characters."""
+    names: DataFrame
+    postings: DataFrame
+    counts: DataFrame
+    gram: int
+    k: int
+
+
+def build_substring_index(master: DataFrame, ord_col: str, trade_col: str, sci_col: str, *,
+                          k: int = 5, gram: int = 3) -> SubstringIndex:
+    """Build the index once per master version, for lists of up to ``k`` rows.
+
+    Rows with the same two lowered names contain the same terms, and only their first ``k`` orders can
+    be kept: the index grows with distinct names.  The rank is limited before the shuffle too, so a
+    name on a third of all rows sends ``k`` orders per task.  A null name reads "nan".
+    """
+    rows = master.select(py_str_or_nan(trade_col).alias("a"), py_str_or_nan(sci_col).alias("b"), F.col(ord_col).alias("ord"))
+    rank = F.dense_rank().over(Window.partitionBy("a", "b").orderBy("ord"))
+    names = rows.withColumn("r", rank).where(F.col("r") <= k).groupBy("a", "b").agg(F.sort_array(F.collect_set("ord")).alias("ords"))
+    names = materialize(names.withColumn("nid", F.monotonically_increasing_id()), "substring-names")
+    grams = F.array_distinct(F.flatten(F.array(*[_grams(F.col(c), n) for c in "ab" for n in range(1, gram + 1)])))
+    postings = materialize(names.select(F.explode(grams).alias("key"), "nid"), "substring-grams")
+    counts = materialize(postings.groupBy("key").agg(F.count(F.lit(1)).alias("freq")), "substring-counts")
+    return SubstringIndex(names, postings, counts, gram, k)
+
+
+def substring_keys(terms: DataFrame, index: SubstringIndex, crowded: int = 64, small: bool = False) -> DataFrame:
+    """Distinct terms ``term_l`` -> (term_l, key, need): the lists a name must be in, and how many.
+
+    A term of up to ``gram`` characters is a key itself.  A longer one takes the rarest of its grams;
+    where even that list is longer than ``crowded``, the two rarest, and a name must be in both.
+    A term with a gram that no name has gets no row: nothing contains it.
+    """
+    t = F.col("term_l")
+    grams = F.when(F.length(t) <= index.gram, F.array(t)).otherwise(F.array_distinct(_grams(t, index.gram)))
+    runs = terms.where(t != "").select("term_l", F.explode(grams).alias("key"))
+    ranked = index.counts.join(F.broadcast(runs) if small else runs, "key", "right")
+    two = F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "key"))), 1, 2)
+    best = ranked.groupBy("term_l").agg(two.alias("best")).where(F.col("best")[0]["freq"] > 0)
+    used = F.when(F.col("best")[0]["freq"] <= crowded, F.slice("best", 1, 1)).otherwise(F.col("best"))
+    return best.select("term_l", used.alias("used")).select("term_l", F.explode("used").alias("u"), F.size("used").alias("need")) \
+        .select("term_l", "u.key", "need")
+
+
+def substring_candidates(keys: DataFrame, index: SubstringIndex, salt_buckets: int = 16, small: bool = False) -> DataFrame:
+    """(term_l, nid) of the names that are in all lists of a term; a list may hold a third of all
+    names, so without a broadcast it is dealt over ``salt_buckets`` tasks."""
+    if small:
+        hits = index.postings.join(F.broadcast(keys), "key")
+    else:
+        hits = salted_equi_join(keys, index.postings, "key", salt_buckets, right_salt_from="nid")
+    return hits.groupBy("term_l", "nid").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")) \
+        .where("n = need").select("term_l", "nid")
+
+
+# bytes that a gram of a term may take when broadcast
+GRAM_BYTES = 64
+
+
+def retrieve_substring(request_terms: DataFrame, master: DataFrame | None, *, req_col: str = "req_id",
+                       term_col: str = "term", ord_col: str, trade_col: str = "", sci_col: str = "",
+                       k: int = 5, gram: int = 3, salt_buckets: int = 16, crowded: int = 64,
+                       broadcast_bytes: int = BROADCAST_BYTES, index: SubstringIndex | None = None) -> DataFrame:
     """W5 over J9: first ``k`` rows per request whose lowered trade or scientific
     name contains a term *as written* (the term is not lowered), no dedupe.
 
-    Terms longer than ``gram`` are looked up by their first ``gram``-gram and
-    verified with ``contains``; shorter terms are exact index keys; the empty
-    term matches every row (kept as its own first-``k`` list, no join).
+    Terms meet the stored gram index (``substring_keys``); candidates are verified with
+    ``contains`` on distinct names.  The empty term is contained in every row: its list is the
+    first ``k`` rows, without a join.  A null term matches nothing.  ``index`` is the stored index
+    of ``master`` for at least ``k`` rows; without it one is built for this call.
     """
-    t = F.col(term_col)
-    rt = materialize(request_terms.select(req_col, t.alias("term_l")).distinct())
+    index = index or build_substring_index(master, ord_col, trade_col, sci_col, k=k, gram=gram)
+    if k > index.k:
+        raise ValueError(f"the index keeps {index.k} rows of a name, {k} are asked for")
+    rt = materialize(request_terms.select(req_col, F.col(term_col).alias("term_l")).distinct(), "substring-terms")
     terms = rt.select("term_l").distinct()
-    # only the gram lengths some term needs (at most ``gram`` small values)
-    lengths = [r[0] for r in terms.where(F.col("term_l") != "")
-               .select(F.least(F.length("term_l"), F.lit(gram))).distinct().collect()]
-    idx = substring_index_table(master, ord_col, trade_col, sci_col, gram, lengths or [gram])
-    keyed = terms.where(F.col("term_l") != "").withColumn("key", F.substring("term_l", 1, gram))
-    keyed_b, small = bounded_broadcast(keyed, broadcast_rows)
-    if small:
-        cands = idx.join(keyed_b, "key")
-    else:
-        cands = salted_equi_join(keyed, idx, "key", salt_buckets, right_salt_from="ord")
-    verified = cands.where(F.col("a").contains(F.col("term_l")) | F.col("b").contains(F.col("term_l")))
-    per_term = _first_k_per_term(verified.select("term_l", "ord"), k, dedupe=False)
-    # the empty term is contained in every row: its list is the first k rows
-    empty = (master.select(F.col(ord_col).alias("ord")).orderBy("ord").limit(k)
-             .select(F.lit("").alias("term_l"), "ord"))
+    # the grams of all terms bound what the joins below broadcast
+    size = terms.agg(F.coalesce(F.sum(F.length("term_l").cast("long") + F.octet_length("term_l") + k), F.lit(0))).first()[0]
+    small = size * GRAM_BYTES <= broadcast_bytes
+    keys = substring_keys(terms, index, crowded, small)
+    cands = substring_candidates(keys, index, salt_buckets, small)
+    verified = index.names.join(cands, "nid").where(F.col("a").contains(F.col("term_l")) | F.col("b").contains(F.col("term_l")))
+    per_term = _first_k_per_term(verified.select("term_l", F.explode("ords").alias("ord")), k, dedupe=False)
+    empty = index.names.select(F.lit("").alias("term_l"), F.explode("ords").alias("ord")).distinct().orderBy("ord").limit(k)
     per_term = per_term.unionByName(empty)
     out = _first_k_per_request(rt, per_term, req_col, k, False, small, salt_buckets)
     return out.withColumnRenamed("ord", ord_col)

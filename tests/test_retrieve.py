@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rxframe.operators.retrieve import boundary_matches_per_term, retrieve_substring, retrieve_topk
+from rxframe.operators.retrieve import (boundary_matches_per_term, build_substring_index, retrieve_substring,
+                                        retrieve_topk, substring_candidates, substring_keys)
 
 WORDS = ["flu", "cold", "influenza", "para", "paracetamol", "Cold + Flu", "tab", "é", "x-ray", "a_b", "+", ""]
 
@@ -76,19 +77,57 @@ def test_topk_equals_definition(spark, seed, broadcast_rows):
         assert [o for _, o in sorted(by_req.get(req, []))] == expect, (req, terms)
 
 
-@pytest.mark.parametrize("seed", [4, 5])
-def test_substring_equals_definition(spark, seed):
-    master, reqs = _fixture(seed)
+def check_substring(spark, master, reqs, **options):
     m = spark.createDataFrame(master, "ord long, trade string, sci string")
     r = spark.createDataFrame(reqs, "req_id long, term string")
-    got = retrieve_substring(r, m, ord_col="ord", trade_col="trade", sci_col="sci", k=5, salt_buckets=2,
-                             broadcast_rows=0 if seed == 5 else 1000)
-    by_req = {}
-    for row in got.collect():
-        by_req.setdefault(row["req_id"], []).append((row["rn"], row["ord"]))
+    got = {}
+    for row in retrieve_substring(r, m, ord_col="ord", trade_col="trade", sci_col="sci", **options).collect():
+        got.setdefault(row["req_id"], []).append((row["rn"], row["ord"]))
     for req in {q for q, _ in reqs}:
-        terms = [t for q, t in reqs if q == req]
-        assert [o for _, o in sorted(by_req.get(req, []))] == expected_substring(master, terms), (req, terms)
+        terms = [t for q, t in reqs if q == req and t is not None]
+        assert [o for _, o in sorted(got.get(req, []))] == expected_substring(master, terms, options.get("k", 5)), (req, terms)
+
+
+@pytest.mark.parametrize("seed, options", [(4, {}), (5, {"broadcast_bytes": 0, "salt_buckets": 2, "crowded": 0}),
+                                           (6, {"crowded": 0, "k": 3}), (7, {"broadcast_bytes": 0, "gram": 2})])
+def test_substring_equals_definition(spark, seed, options):
+    check_substring(spark, *_fixture(seed), **options)
+
+
+def test_substring_of_odd_names_and_terms(spark):
+    """Repeated names, nulls, characters beyond 16 bits, line breaks, long names, terms that no name has."""
+    long = "Ab" * 3000 + " zinc \U0001F600x end"
+    master = [(i, "Same Name", "same") for i in range(30)] + [(40, "\U0001F600x", None), (41, "a\nb", "c"), (42, long, ""), (43, "", ""), (44, None, "q")]
+    terms = ["same name", "Same", "\U0001F600x", "\U0001F600", "x", "a\nb", "\n", "zinc \U0001F600x", "zinc  ", "ab" * 50, "nan", "", None, "?x", "e na"]
+    check_substring(spark, master, [*enumerate(terms), (99, "a\nb"), (99, "end")], crowded=1)
+    check_substring(spark, [], [(1, "a"), (2, "")])
+
+
+def test_a_stored_substring_index_serves_many_calls(spark):
+    master, reqs = _fixture(8)
+    m = spark.createDataFrame(master, "ord long, trade string, sci string")
+    index = build_substring_index(m, "ord", "trade", "sci", k=5)
+    r = spark.createDataFrame(reqs, "req_id long, term string")
+    rows = lambda **x: sorted(map(tuple, retrieve_substring(r, m, ord_col="ord", trade_col="trade", sci_col="sci", **x).collect()))
+    assert rows(k=2, index=index) == rows(k=2) and rows(index=index) == rows()
+    with pytest.raises(ValueError, match="keeps 5 rows"):
+        rows(k=6, index=index)
+
+
+def test_terms_are_asked_for_by_their_rarest_grams(spark):
+    """Names that share their beginning are not read for a term that ends rarely."""
+    m = spark.createDataFrame([(i, f"paracetamol {'forte' if i % 10 else 'junior'} {i}", "x") for i in range(100)], "ord long, trade string, sci string")
+    index = build_substring_index(m, "ord", "trade", "sci")
+    terms = spark.createDataFrame([("paracetamol junior",), ("paracetamol 7",), ("tamol forte 1",), ("parazet",), ("ol",)], "term_l string")
+    keys = {}
+    for r in substring_keys(terms, index, crowded=20).collect():
+        keys.setdefault(r["term_l"], []).append(r["key"])
+    assert len(keys["paracetamol junior"]) == 1 and keys["paracetamol junior"][0] not in "paracetamol"
+    assert "parazet" not in keys and "paracetamol 7" not in keys and keys["ol"] == ["ol"]
+    found = {}
+    for r in substring_candidates(substring_keys(terms, index, crowded=5), index).collect():
+        found[r["term_l"]] = found.get(r["term_l"], 0) + 1
+    assert found == {"paracetamol junior": 10, "tamol forte 1": 10, "ol": 100}
 
 
 def test_literal_cases(spark):
