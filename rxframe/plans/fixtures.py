@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from rxframe.functions.text import dosage_context, dosage_normalise, has_dosage_text, has_leaflet_text, leaflet_normalise
 from rxframe.operators.clean import leaflet_usable
-from rxframe.sources.tables import read_table
+from rxframe.sources.tables import dealt_rows, read_table
 
 
 def registry(spark: SparkSession, sf: str) -> DataFrame:
@@ -229,8 +229,9 @@ def detail_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Registry detail pages rendered from ``part``: a data tab of label/value
     pairs (nested and padded values, a label repeated later), a patient leaflet
     tab and a practitioner tab that holds the empty-leaflet placeholder for
-    large sizes."""
-    p = read_table(spark, sf, "part", "p_partkey", "p_name", "p_type", "p_brand", "p_size")
+    large sizes.  The parts are dealt before they are rendered, since parsing a page costs much
+    more than reading its part."""
+    p = dealt_rows(read_table(spark, sf, "part", "p_partkey", "p_name", "p_type", "p_brand", "p_size"))
     html = F.concat(
         F.lit('<html><body><div id="D-div" class="tab">'),
         F.lit('<label class="form-label"> Trade Name </label><div class="form-line">  '), F.col("p_name"),
@@ -254,8 +255,9 @@ def detail_pages(spark: SparkSession, sf: str) -> DataFrame:
 def search_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Search pages rendered from ``part``: six product cards (classes in any order,
     nested markup, entities, one without an ingredient line, the sixth past the cut)
-    and view links as bare, nested, target-less and mixed anchors."""
-    p = read_table(spark, sf, "part", "p_partkey", "p_name", "p_type", "p_brand")
+    and view links as bare, nested, target-less and mixed anchors.  The parts are dealt as in
+    ``detail_pages``."""
+    p = dealt_rows(read_table(spark, sf, "part", "p_partkey", "p_name", "p_type", "p_brand"))
 
     def card(name, kind, extra=""):
         title = F.concat(F.lit('<a href="/p" title="x" class="big search-results-product-info-title-link">'), name, F.lit("</a>"))

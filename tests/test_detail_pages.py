@@ -58,3 +58,30 @@ def test_script_and_style_are_not_text_and_short_sections_go():
     assert parse_main_block('<div id="content">a<script>var x=1;</script><style>p{}</style>&#233;</div>') == ("a\né", "")
     assert parse_detail_page('<div id="A-div">0123456789</div>', min_len=10)[1] == {}
     assert parse_detail_page('<div id="A-div">0123456789a</div>', min_len=10)[1] == {"leaflet": "0123456789a"}
+
+
+def test_plain_pages_give_the_parsers_events():
+    import random
+
+    from rxframe.operators import detail_pages as dp
+    pieces = ['<div id="A-div" class="x  form-line">', "</div>", "<p>", "<br>", "<br/>", '<a HREF="/q" href="/r">', "</A >", "<script>",
+              "var x", "</script>", "<title>", "</title>", "<template>", "</template>", "&amp;", "&eacute", " ", "<", ">", "<!-- c -->",
+              '<img src="a>b">', "<i class='q'>", '<a href="/x&amp;y">', "<a b>", "text\n", "<plaintext>", "</ div>"]
+    rng, plain = random.Random(1), 0
+    for _ in range(20_000):
+        page = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 9)))
+        walker = dp._Walker()
+        walker.feed(page)
+        walker.close()
+        plain += dp._plain_events(page) is not None
+        assert dp._events(page) == walker.out.events, page
+    assert plain > 1000
+
+
+def test_pages_rendered_from_one_split_are_dealt(spark, tmp_path):
+    from rxframe.plans import fixtures as fx
+    parts = spark.range(400).selectExpr("id p_partkey", "concat('n ', id) p_name", "'T' p_type", "'B' p_brand", "1 p_size")
+    parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for pages in (fx.detail_pages(spark, str(tmp_path)), fx.search_pages(spark, str(tmp_path))):
+        sizes = [n for n in pages.select("page_id").rdd.glom().map(len).collect() if n]
+        assert sum(sizes) == 400 and len(sizes) >= spark.sparkContext.defaultParallelism and max(sizes) <= 200
