@@ -411,7 +411,7 @@ QUERIES.update({
 
 # --- streams ---------------------------------------------------------------------
 
-def _land_as_files(df: DataFrame, path: str, rows_per_file: int = 100_000) -> None:
+def _land_as_files(df: DataFrame, path: str, rows_per_file: int) -> None:
     """Land a table as parquet files of bounded rows (the stream's arriving files)."""
     df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
 
@@ -449,11 +449,13 @@ def q_stream_records(spark, sf):
 
 
 def q_stream_page_extract(spark, sf):
-    """R2: landed pages arrive as files; extraction runs once per page."""
+    """R2: landed pages arrive as files; extraction runs once per page.  A file is one task's
+    work, so files are small and a micro-batch takes several per core."""
     base = scratch_path(spark, "stream-pages")
     pages = read_table(spark, sf, "pages", "page_id", "url", "html")
-    _land_as_files(pages, f"{base}/in")
-    page_extract_stream(spark, f"{base}/in", pages.schema, f"{base}/out", f"{base}/ckpt")
+    _land_as_files(pages, f"{base}/in", 2_500)
+    page_extract_stream(spark, f"{base}/in", pages.schema, f"{base}/out", f"{base}/ckpt",
+                        files_per_trigger=4 * spark.sparkContext.defaultParallelism)
     return spark.read.parquet(f"{base}/out")
 
 
