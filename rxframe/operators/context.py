@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rxframe.functions.text import py_number
+from rxframe.session import materialize
 
 # ---------------------------------------------------------------------------
 # Texts of the consult answer that must match character for character.
@@ -147,15 +148,62 @@ def consult_context(requests: DataFrame, lines: DataFrame, links: DataFrame, *,
             .select(req_col, F.when(ctx == "", F.lit(NO_MATCH)).otherwise(ctx).alias("context")))
 
 
+# distinct retrieved rows, and bytes of their lines, that may be broadcast
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
+
+
+def used_lines(ranked: DataFrame, lines: DataFrame, *, ord_col: str) -> tuple[DataFrame, bool]:
+    """``(ord, line)`` of the rows that ``ranked`` names, stored, and whether they are few enough in bytes to
+    be broadcast.  The lines of several rows with one order are one text, in text order.
+
+    However many requests there are, the rows they retrieve are at most ``k`` per distinct term.  Their
+    range of orders lets a stored ``lines`` table skip the row groups beyond.
+    """
+    ords = materialize(ranked.select(ord_col).where(F.col(ord_col).isNotNull()).distinct(), "ords")
+    n, low, high = ords.agg(F.count(F.lit(1)), F.min(ord_col), F.max(ord_col)).first()
+    found = lines.where(F.col(ord_col).between(low, high)) \
+        .join(F.broadcast(ords) if n <= BROADCAST_ROWS else ords, ord_col, "left_semi")
+    used = materialize(found.groupBy(ord_col).agg(F.array_join(F.sort_array(F.collect_list("line")), "").alias("line")), "lines-used")
+    size = used.agg(F.coalesce(F.sum(F.octet_length("line") + 32), F.lit(0))).first()[0]
+    return used, n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+
+
+def context_keys(requests: DataFrame, ranked: DataFrame, links: DataFrame, *, req_col: str = "req_id", ord_col: str) -> DataFrame:
+    """``(req, _ords, _links)`` for every request: what its context is made of, without any text of it."""
+    ords = ranked.groupBy(req_col).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rn", F.col(ord_col).alias("o")))), lambda x: x["o"]).alias("_ords"))
+    linked = links.groupBy(req_col).agg(F.collect_list(F.struct(F.col("link_rank").alias("r"), "brand", "ingredient")).alias("_links"))
+    return requests.select(req_col).join(ords, req_col, "left").join(linked, req_col, "left")
+
+
+def with_context(rows: DataFrame, used: DataFrame, *, ord_col: str, k: int) -> DataFrame:
+    """T16 on rows with the columns of ``context_keys``: adds ``context``.  The few distinct lines go to
+    the requests (one broadcast join per rank), so that no context text is shuffled or sorted."""
+    for i in range(k):
+        side = used.select(F.col(ord_col).alias(f"_o{i}"), F.col("line").alias(f"_l{i}"))
+        rows = rows.join(F.broadcast(side), F.get(F.col("_ords"), F.lit(i)) == F.col(f"_o{i}"), "left").drop(f"_o{i}")
+    body = F.concat_ws("", *[f"_l{i}" for i in range(k)])
+    notes = F.array_join(F.transform(F.array_sort(F.transform("_links", lambda x: F.struct(
+        x["r"].alias("r"), fill_template(BRIDGE_LINE, brand=x["brand"], ingredient=x["ingredient"]).alias("n")))),
+        lambda x: x["n"]), "")
+    ctx = F.concat(F.when(body != "", F.concat(F.lit(CONTEXT_HEADER), body)).otherwise(""),
+                   F.coalesce(F.concat(F.lit(BRIDGE_HEADER), notes), F.lit("")))
+    return rows.withColumn("context", F.when(ctx == "", F.lit(NO_MATCH)).otherwise(ctx)) \
+        .drop("_ords", "_links", *[f"_l{i}" for i in range(k)])
+
+
+def prompt_columns(req_col: str = "req_id", system_template: str = SYSTEM_PROMPT, user_template: str = USER_MESSAGE) -> list:
+    """T17 of a request with its ``context``."""
+    return [F.col(req_col),
+            fill_template(system_template, context=F.col("context"), age_weight=F.col("age_weight")).alias("system_prompt"),
+            fill_template(user_template, symptoms=F.col("symptoms"), history=F.col("history"),
+                          medications=F.col("medications")).alias("user_message")]
+
+
 def prompt_table(requests: DataFrame, contexts: DataFrame, *, req_col: str = "req_id",
                  system_template: str = SYSTEM_PROMPT, user_template: str = USER_MESSAGE) -> DataFrame:
     """``(req, system_prompt, user_message)``."""
-    r = requests.join(contexts, req_col)
-    return r.select(
-        req_col,
-        fill_template(system_template, context=F.col("context"), age_weight=F.col("age_weight")).alias("system_prompt"),
-        fill_template(user_template, symptoms=F.col("symptoms"), history=F.col("history"),
-                      medications=F.col("medications")).alias("user_message"))
+    return requests.join(contexts, req_col).select(*prompt_columns(req_col, system_template, user_template))
 
 
 def format_request(age, weight, symptom_labels, history_labels, medications, takes_meds) -> dict:
