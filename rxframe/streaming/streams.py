@@ -54,7 +54,7 @@ def consult_stream(spark: SparkSession, requests_dir: str, requests_schema, outp
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         with ScratchGroup(spark) as own:  # a batch's intermediate tables end with it
-            per_batch(batch).write.mode("overwrite").parquet(f"{output_dir}/batch={batch_id}")
+            per_batch(batch).write.mode("overwrite").option("compression", "zstd").parquet(f"{output_dir}/batch={batch_id}")
         own.release()
 
     return run_available_now(stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint),

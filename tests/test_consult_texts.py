@@ -41,3 +41,12 @@ def test_no_line_is_grouped_or_sorted_by_request(spark):
         plan = found._jdf.queryExecution().executedPlan().toString()
         moved = [x for x in plan.splitlines() if ("Exchange" in x and "Broadcast" not in x) or "Aggregate" in x or " Sort " in x]
         assert moved and not any("line#" in x or "_l0#" in x or "context#" in x for x in moved)
+
+
+def test_streamed_prompts_are_written_small(spark, tmp_path):
+    from rxframe.streaming.streams import consult_stream
+    rows = spark.range(9)
+    rows.write.parquet(f"{tmp_path}/in")
+    consult_stream(spark, f"{tmp_path}/in", rows.schema, f"{tmp_path}/out", f"{tmp_path}/ckpt", lambda batch: batch, timeout_s=100)
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 9
+    assert [f for f in tmp_path.glob("out/*/*.parquet")] == [f for f in tmp_path.glob("out/*/*.zstd.parquet")]
