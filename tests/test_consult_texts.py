@@ -50,3 +50,16 @@ def test_streamed_prompts_are_written_small(spark, tmp_path):
     consult_stream(spark, f"{tmp_path}/in", rows.schema, f"{tmp_path}/out", f"{tmp_path}/ckpt", lambda batch: batch, timeout_s=100)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 9
     assert [f for f in tmp_path.glob("out/*/*.parquet")] == [f for f in tmp_path.glob("out/*/*.zstd.parquet")]
+
+
+def test_landed_pages_are_many_tasks_of_a_micro_batch(spark, tmp_path, monkeypatch):
+    from rxframe.plans import catalog
+    seen = {}
+    real = catalog.page_extract_stream
+
+    def watched(s, pages_dir, *args, **kw):
+        seen["files"], seen["query"] = s.read.parquet(pages_dir).inputFiles(), real(s, pages_dir, *args, **kw)
+    monkeypatch.setattr(catalog, "page_extract_stream", watched)
+    spark.range(6000).selectExpr("id page_id", "'u' url", "'<h1>x</h1>' html").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    assert catalog.q_stream_page_extract(spark, str(tmp_path)).count() == 6000
+    assert len(seen["files"]) == 3 and [p["numInputRows"] for p in seen["query"].recentProgress if p["numInputRows"]] == [6000]
