@@ -34,8 +34,8 @@ from rxframe.session import ship_package
 
 END_ID = 2
 BATCH_CHARS = 1 << 21
-# words whose ids a worker remembers, and the longest of them in characters
-KNOWN_WORDS, KNOWN_CHARS = 1_000_000, 64
+# words and parts after which a worker begins to drop what it was not asked for since, and the longest that it remembers
+KNOWN_WORDS, KNOWN_CHARS = 500_000, 64
 _LOADED: dict[str, _Encoder] = {}
 
 # The parts of a tokenizer file that say that words stand for themselves.
@@ -59,6 +59,10 @@ class _Encoder:
     encoded whole, many at a time with a special token between them, which marks the ends;
     a word that holds a special token's text is encoded alone.  With any other tokenizer
     file, whole texts are encoded.
+
+    Words and parts are remembered together, each with its ids as bytes, in two generations:
+    when ``KNOWN_WORDS`` are in the newer one, the older one is dropped, so that a worker's
+    memory does not grow with the texts it has seen.
     """
 
     def __init__(self, path: str):
@@ -75,44 +79,33 @@ class _Encoder:
                          and all(t["special"] and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"])
                                  and not re.search(r"\s", t["content"]) for t in added))
         self.special = [t["content"] for t in added]
+        self.is_special = re.compile("|".join(map(re.escape, self.special)) or "(?!)").search
         self.mark = (added[0]["id"], added[0]["content"]) if added else None
         self.model = self.tokenizer.model
         self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.forget()
-
-    def forget(self) -> None:
-        self.place: dict[str, int] = {"": 0}
-        self.parts: dict[str, tuple[int, ...]] = {}
-        self.ids, self.ends = array("i"), array("q", [0, 0])
-
-    def _add(self, word: str, ids) -> None:
-        self.place[word] = len(self.ends) - 1
-        self.ids.extend(ids)
-        self.ends.append(len(self.ids))
-
-    def _part(self, part: str) -> tuple[int, ...]:
-        shown = part if part.isascii() else self.bytes.pre_tokenize_str(part)[0][0]
-        ids = tuple([t.id for t in self.model.tokenize(shown)])
-        if len(part) <= KNOWN_CHARS:
-            self.parts[part] = ids
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        ids = self.before.get(part)
+        if ids is None:
+            shown = part if part.isascii() else self.bytes.pre_tokenize_str(part)[0][0]
+            ids = array("i", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        if len(part) <= KNOWN_CHARS and not self.is_special(part):
+            self.known[part] = ids
         return ids
 
-    def _learn_plain(self, words: list[str]) -> None:
-        known, cut, ids, ends = self.parts.get, PLAIN_PARTS.findall, [], []
-        before, first = len(self.ids), len(self.ends) - 1
-        for word in words:
-            for part in cut(word.lower()):
-                ids += known(part) or self._part(part)
-            ends.append(before + len(ids))
-        self.ids.extend(ids)
-        self.ends.extend(ends)
-        self.place.update(zip(words, range(first, first + len(words))))
-
-    def learn(self, words: list[str], many: int = 512) -> None:
+    def _learn_plain(self, words: list[str]) -> list[bytes]:
+        known, new, cut = self.known.get, self._part, PLAIN_PARTS.findall
+        return [b"".join([known(part) or new(part) for part in cut(word.lower())]) for word in words]
+
+    def _learn(self, words: list[str], many: int = 512) -> tuple[dict[str, bytes], set[str]]:
+        """The ids of new words, and which of the words hold a special token's text."""
         alone, rest, plain = [], [], []
-        special = re.compile("|".join(map(re.escape, self.special)) or "(?!)").search
+        special, marked = self.is_special, set()
         for w in words:
             if special(w):
+                marked.add(w)
                 alone.append(w)
             elif PLAIN_WORD.fullmatch(w):
                 plain.append(w)
@@ -120,18 +113,35 @@ class _Encoder:
                 rest.append(w)
             else:
                 alone.append(w)
-        self._learn_plain(plain)
-        groups = [rest[i:i + many] for i in range(0, len(rest), many)]
+        found = dict(zip(plain, self._learn_plain(plain)))
         between = f" {self.mark[1]} " if self.mark else " "
-        for group, e in zip(groups, self.batch([between.join(g) for g in groups], add_special_tokens=False)):
-            at, ids = 0, e.ids
-            for word in group[:-1]:
-                end = ids.index(self.mark[0], at)
-                self._add(word, ids[at:end])
-                at = end + 1
-            self._add(group[-1], ids[at:])
+        for i in range(0, len(rest), many * 16):
+            groups = [rest[j:j + many] for j in range(i, min(i + many * 16, len(rest)), many)]
+            for group, e in zip(groups, self.batch([between.join(g) for g in groups], add_special_tokens=False)):
+                at, ids = 0, array("i", e.ids)
+                for word in group[:-1]:
+                    end = ids.index(self.mark[0], at)
+                    found[word] = ids[at:end].tobytes()
+                    at = end + 1
+                found[group[-1]] = ids[at:].tobytes()
         for word in alone:
-            self._add(word, self.tokenizer.encode(word, add_special_tokens=False).ids)
+            found[word] = array("i", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        return found, marked
+
+    def word_ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each of these distinct words, 4 bytes each."""
+        if len(self.known) >= KNOWN_WORDS:
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
+        found = list(map(known.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        learned, marked = self._learn([words[i] for i in missing if words[i] not in before])
+        for i in missing:
+            word = words[i]
+            found[i] = ids = before[word] if word in before else learned[word]
+            if len(word) <= KNOWN_CHARS and word not in marked:  # as a part, a special token's text has other ids
+                known[word] = ids
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text."""
@@ -141,19 +151,12 @@ class _Encoder:
             return np.concatenate([np.zeros(0, np.int32), *found]), np.array([len(x) for x in found], np.int64)
         lists = pc.ascii_split_whitespace(texts)
         words = lists.flatten().dictionary_encode()
-        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
-        new = [w for w in distinct if w not in self.place]
-        if len(new) + len(self.place) > KNOWN_WORDS:
-            self.forget()
-            new = [w for w in distinct if w]
-        self.learn(new)
-        place = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
-        at = place[np.asarray(words.indices)]
-        ends = np.frombuffer(self.ends, np.int64)
-        start, size = ends[at], ends[at + 1] - ends[at]
+        found = self.word_ids(words.dictionary.to_pylist())
+        ends = np.cumsum([0, *map(len, found)]) // 4
+        at = np.asarray(words.indices)
+        start, size = ends[at], np.diff(ends)[at]
         counts = np.concatenate([[0], np.cumsum(size)])
-        ids = np.frombuffer(self.ids, np.int32) if len(self.ids) else np.zeros(0, np.int32)
-        ids = ids[np.arange(counts[-1]) + np.repeat(start - counts[:-1], size)]
+        ids = np.frombuffer(b"".join(found), np.int32)[np.arange(counts[-1]) + np.repeat(start - counts[:-1], size)]
         return ids, np.diff(counts[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])])
 
 

@@ -1,3 +1,5 @@
+import json
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -83,6 +85,42 @@ def test_forgetting_changes_nothing(monkeypatch, sf_docs):
     assert [tf.encode(pa.array([t]), tokenizer_path()).to_pylist()[0] for t in texts] == want
 
 
+def traced_bytes(batches):
+    """What an encoder holds after these batches, without the tokenizer itself."""
+    encoder = tf._Encoder(tokenizer_path())
+    tracemalloc.start()
+    try:
+        for texts in batches:
+            encoder.encode(pa.array(texts))
+        return tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+
+
+def test_an_encoder_does_not_keep_all_it_has_seen(monkeypatch):
+    """What a worker remembers is bounded by its setting, whatever the words and their lengths."""
+    long_words = ([f"{chr(97 + i)}{chr(97 + j)}" * 10_000 for j in range(20)] for i in range(26))
+    assert traced_bytes(long_words) < 2e6
+    letters = str.maketrans("0123456789", "abcdefghij")
+    words = [str(10_000_000 + 7919 * i).translate(letters) for i in range(40_000)]
+    assert traced_bytes([" ".join(words[i:i + 2000])] for i in range(0, len(words), 2000)) < 10e6
+    monkeypatch.setattr(tf, "KNOWN_WORDS", 3000)
+    assert traced_bytes([" ".join(words[i:i + 2000])] for i in range(0, len(words), 2000)) < 3e6
+
+
+def test_a_part_that_is_a_special_token_is_not_remembered_as_the_word(tmp_path):
+    """A word in capitals holds, lower-cased, a special token's text; the token itself is encoded as such."""
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["added_tokens"].append({**spec["added_tokens"][0], "id": max(spec["model"]["vocab"].values()) + 1, "content": "mask"})
+    path = str(tmp_path / "t.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    whole = Tokenizer.from_file(path)
+    for text in ("MASK !mask MASK,", "mask", "MASK mask", "unmasked Mask"):
+        assert tf.encode(pa.array([text]), path, None).to_pylist() == [whole.encode(text, add_special_tokens=False).ids]
+
+
 def test_other_tokenizers_get_whole_texts(sf_docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     texts = ["a b", "", None, " a  b\n", "<|endoftext|> x", *[r["text"] for r in sf_docs.limit(30).collect()]]
