@@ -121,6 +121,27 @@ def test_a_part_that_is_a_special_token_is_not_remembered_as_the_word(tmp_path):
         assert tf.encode(pa.array([text]), path, None).to_pylist() == [whole.encode(text, add_special_tokens=False).ids]
 
 
+def test_words_are_cut_into_parts_before_python_sees_them():
+    """Many different words of a few parts: only the parts are looked up and remembered."""
+    encoder, parts = tf._Encoder(tokenizer_path()), [f"{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(8)]
+    text = " ".join(f"{a.upper()}-{b}" for a in parts for b in parts)
+    ids, sizes = encoder.encode(pa.array([text]))
+    assert ids.tolist() == Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids
+    assert len(ids) == sizes.sum() and len(encoder.known) <= len(parts) + 2
+
+
+def test_parts_end_with_their_text(monkeypatch):
+    """No contraction, word or special token reaches from one text into the next, in no piece of a long text either."""
+    texts = ["it'", "s", "we'r", "e", "x'", "ll", "'l", "l", "<|endof", "text|>", "a", "b1", "2", "é", "É", "\u65e5", "\u672c x", None, "",
+             "e", "\u0301", "<|endoftext|>", "DON'T don't", "'" * 3, "y'stuff 'S's"]
+    whole = Tokenizer.from_file(tokenizer_path())
+    want = [whole.encode(t or "", add_special_tokens=False).ids for t in [*texts, " \n".join(t or "" for t in texts)]]
+    arr = pa.array(["left out", *texts, " \n".join(t or "" for t in texts)]).slice(1)
+    for size in (tf.BATCH_CHARS, 1, 4, 9):
+        monkeypatch.setattr(tf, "BATCH_CHARS", size)
+        assert tf.encode(arr, tokenizer_path(), None).to_pylist() == want
+
+
 def test_other_tokenizers_get_whole_texts(sf_docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     texts = ["a b", "", None, " a  b\n", "<|endoftext|> x", *[r["text"] for r in sf_docs.limit(30).collect()]]
