@@ -35,7 +35,7 @@ from rxframe.session import ship_package
 END_ID = 2
 BATCH_CHARS = 1 << 21
 # parts and words after which a worker begins to drop what it was not asked for since, and the longest that it remembers
-KNOWN_WORDS, KNOWN_CHARS = 500_000, 64
+KNOWN_WORDS, KNOWN_CHARS = 250_000, 64
 _LOADED: dict[str, _Encoder] = {}
 
 # The parts of a tokenizer file that say that words stand for themselves.
