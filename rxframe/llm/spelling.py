@@ -12,6 +12,10 @@ comparison of letter sets first, then the edit distance).
 The shorter word of a pair asks.  As the longest gram depends on the length of the shorter
 word, a word is in the index for its own length and for one less.
 
+Nothing that grows with the vocabulary is broadcast: all joins are asked to merge.  Spark
+would size both sides of the gram join by the compressed file of the vocabulary, as if a word
+were not exploded to its grams, and the forms by their files, some times too low.
+
 Defined results: null and empty texts have no words; a null id counts as the empty string.
 Counts are over all rows, repeated rows included.  Ties of the frequency go to the smallest
 word in code-point order.  An empty table gives an empty table.  Only the id and the text
@@ -127,7 +131,7 @@ def near_pairs(vocab: DataFrame, dictionary: GramDictionary) -> DataFrame:
     other = F.bit_count(F.col("letters").bitwiseXOR(F.col("near_letters"))) <= 2
     once = (F.length("word") < F.length("near")) | (F.col("word") < F.col("near"))
     on = (F.col("key") == F.col("asked")) & other & once & (F.levenshtein("word", "near", 1) == 1)
-    pairs = probes.withColumnRenamed("key", "asked").join(index, on).select("word", "n", "near", "near_n").distinct()
+    pairs = probes.withColumnRenamed("key", "asked").join(index.hint("merge"), on).select("word", "n", "near", "near_n").distinct()
     both = F.array(F.struct("word", "n", "near", "near_n"),
                    F.struct(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"),
                             F.col("n").alias("near_n")))
@@ -138,7 +142,7 @@ def forms(vocab: DataFrame, pairs: DataFrame, ratio: int = 2) -> DataFrame:
     """(word, n, n_near, form, form_n): the near word of largest n, where that is ``ratio`` times the word's."""
     best = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"),
                                      F.min(F.struct((-F.col("near_n")).alias("m"), "near")).alias("best"))
-    d = vocab.join(best, "word", "left")
+    d = vocab.join(best.hint("merge"), "word", "left")
     holds = -F.col("best.m") >= F.col("n") * ratio
     return d.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
                     F.when(holds, F.col("best.near")).alias("form"), F.when(holds, -F.col("best.m")).alias("form_n"))
@@ -151,14 +155,14 @@ def with_roots(formed: DataFrame) -> DataFrame:
     are doubled: after r rounds each word knows its 2^r-th form."""
     links = materialize(formed.where("form is not null").select("word", F.col("form").alias("root")), "forms")
     while True:
-        ahead = links.select(F.col("word").alias("via"), F.col("root").alias("further"))
+        ahead = links.select(F.col("word").alias("via"), F.col("root").alias("further")).hint("merge")
         step = links.join(ahead, links["root"] == ahead["via"], "left")
         links = materialize(step.select("word", F.coalesce("further", "root").alias("root"),
                                         F.col("further").isNotNull().alias("moved")), "roots")
         if links.where("moved").isEmpty():
             break
         links = links.drop("moved")
-    return formed.join(links.select("word", "root"), "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return formed.join(links.select("word", "root").hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def group_variants(vocab: DataFrame, ratio: int = 2, settings: GramSettings = GramSettings()) -> DataFrame:

@@ -129,6 +129,22 @@ def test_variants_of_a_vocabulary(spark, how):
     assert rows_of(spelling.group_variants(vocab, settings=how)) == table_by_hand(n)
 
 
+def test_nothing_of_the_vocabulary_is_broadcast(spark, monkeypatch):
+    """Spark sizes what is read back, and what is exploded from it, by the small compressed files."""
+    plans, written = [], spelling.materialize
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(spelling, "materialize", lambda df, name: written(planned(df), name))
+    n = {"wordy" + c * k: 3 * 2 ** k for c in "abc" for k in range(6)}
+    vocab = spark.createDataFrame([*n.items()], "word string, n bigint")
+    assert rows_of(planned(spelling.group_variants(vocab))) == table_by_hand(n)
+    assert sum("Join" in p for p in plans) >= 4
+    assert not any("Broadcast" in p for p in plans)
+
+
 def test_dictionary_is_bounded(spark):
     vocab = spark.createDataFrame([(f"{a}{b}word{c}", 3) for a in "abcdefgh" for b in "ijklmnop" for c in "qrstuvwx"], "word string, n bigint")
     d = spelling.gram_dictionary(vocab, spelling.GramSettings(2, 6, 0, 30))
